@@ -1,10 +1,12 @@
 """Queries of the training-data operators and, where SQL can say it, their DuckDB SQL."""
 
-from . import simhash, substring
+from . import langid, simhash, substring, toxicity
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLE = {

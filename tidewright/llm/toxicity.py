@@ -29,6 +29,8 @@ WIDTH = 6
 DOCS, LANDMARKS, CLEAN = 2500, 64, 8000
 ROUNDS, EPOCHS, RATE, PENALTY, SEED = 3, 40, 0.5, 1e-4, 5
 THRESHOLD = 0.3
+#: Least likelihood ratio of a unit that may be a landmark or a first witness.
+SURE = 30.0
 CACHE = 400_000
 
 _DROP = re.compile(r"[\W_]+")
@@ -197,12 +199,18 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS) -> Machine
     bags = few.select("doc_id", "toxic", "text").mapInArrow(_units, "doc_id long, toxic int, units array<string>").persist()
     seen = bags.select("doc_id", "toxic", F.explode("units").alias("unit"))
     stats = seen.groupBy("unit").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    toxic = stats.where("bad >= 3 AND good * 20 <= bad").orderBy(F.desc("bad"), "unit").limit(4 * LANDMARKS).collect()
+    size = dict(bags.groupBy("toxic").count().collect())
+    share_bad = size.get(1, 0) / max(1, sum(size.values()))
+    n = F.col("bad") + F.col("good")
+    # likelihood ratio of the labels of the documents that have the unit, against their usual proportion
+    ratio = F.col("bad") * F.log(F.col("bad") / (n * share_bad)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share_bad) + 1e-9))).otherwise(0)
+    marked_units = stats.where("bad >= 1").select("unit", "bad", "good", F.when(F.col("bad") > n * share_bad, 2 * ratio).otherwise(0.0).alias("g"))
+    toxic = marked_units.where(F.col("g") >= SURE).orderBy(F.desc("g"), "unit").limit(4 * LANDMARKS).collect()
     clean = stats.where("good >= 1").orderBy(F.xxhash64("unit"), "unit").limit(CLEAN).collect()
     common = stats.where("good >= 1").orderBy(F.desc("good"), "unit").limit(CLEAN // 4).collect()
+    mixed = marked_units.where((F.col("good") >= 1) & (F.col("g") < SURE)).orderBy(F.desc("good"), "unit").limit(CLEAN).collect()
     witnesses = bags.where("toxic = 1").select("doc_id", "units").orderBy("doc_id").collect()
-    sides = bags.groupBy("toxic").count().count()
-    if sides < 2 or not toxic:
+    if len(size) < 2 or not toxic:
         bags.unpersist()
         return None
     half = LANDMARKS * 3 // 4
@@ -211,23 +219,23 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS) -> Machine
     like = normalised(pool, coded(pool), own_kernel(coded(pool)))
     near, chosen = np.zeros(len(pool)), []
     for _ in range(min(half, len(pool))):
-        k = int(np.argmax(np.where(near > 0.98, -1, np.log1p([r.bad for r in toxic]) * (1 - near))))
+        k = int(np.argmax(np.where(near > 0.98, -1, np.log1p([r.g for r in toxic]) * (1 - near))))
         chosen.append(k)
         near = np.maximum(near, like[k])
     machine = Machine([pool[k] for k in chosen] + [r.unit for r in common[: LANDMARKS - len(chosen)]])
-    negative = sorted({r.unit for r in clean} | {r.unit for r in common})
+    sure = {r.unit: r.g for r in toxic}
+    negative = sorted({r.unit for r in [*clean, *common, *mixed]} - sure.keys())
     k_neg = normalised(negative, machine.marks, machine.own)
     lists = [r.units for r in witnesses]
     every = sorted(set().union(*lists)) if lists else []
     place = {u: i for i, u in enumerate(every)}
     rows = [np.array([place[u] for u in units_], np.int64) for units_ in lists if units_]
-    sure = {r.unit: r.bad for r in toxic}
     value, floor = np.array([sure.get(u, 0) for u in every], float), 1.0
     for _ in range(ROUNDS):
         picked = np.array([r[np.argmax(value[r])] for r in rows if value[r].max() >= floor], np.int64)
         k_pos = normalised([every[i] for i in picked], machine.marks, machine.own)
         machine.train(np.concatenate([k_pos, k_neg]), np.r_[np.ones(len(picked)), np.zeros(len(negative))])
-        value, floor = machine.decide(every), -np.inf
+        value, floor = machine.decide(every), 0.0
     up = np.array([value[r].max() for r in rows])
     sent = _scored(machine)
     down = few.where("toxic = 0").select(F.struct("doc_id").alias("row"), "text").mapInArrow(sent, "row struct<doc_id long>, score double, f double").select("f").collect()
