@@ -1,12 +1,15 @@
 """Queries of the training-data operators and, where SQL can say it, their DuckDB SQL."""
 
-from . import decontaminate, langid, packing, simhash, substring, tokens, toxicity
+from . import ann, decontaminate, hmm, langid, packing, quotes, simhash, substring, tokens, toxicity
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op3_nearest_neighbours": ann.op3_nearest_neighbours,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_quotation_linking": quotes.op6_quotation_linking,
+    "op7_lm_scoring": hmm.op7_lm_scoring,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_language_id": langid.op9_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
@@ -14,4 +17,5 @@ QUERIES = {
 
 ORACLE = {
     "op2_substring_dedup": substring.OP2_SQL,
+    "op5_decontamination": decontaminate.OP5_SQL,
 }
