@@ -20,6 +20,8 @@ from .common import batches, held_out, table
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 12, 192
 #: Bounds of the labelled sample: documents of a language (about), windows of a document.
 DOCS, WINDOWS = 300, 6
+#: The commonest labels that are learned.
+LANGUAGES = 256
 EPOCHS, BATCH, RATE, SEED = 4, 128, 0.01, 11
 #: A text is rejected below this mean probability; four languages give at least 0.25.
 REJECT = 0.27
@@ -120,7 +122,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
     counts = rows.where("lang IS NOT NULL").groupBy("lang").count().where(F.col("lang") != "und")
     shares = counts.select("lang", (F.lit(1e9 * per_lang) / F.col("count")).alias("share"))
-    few = rows.where(F.length("text") > 0).join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(10**9)) < F.col("share"))
+    most = shares.orderBy("share", "lang").limit(LANGUAGES)
+    few = rows.where(F.length("text") > 0).join(F.broadcast(most), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(10**9)) < F.col("share"))
     got = few.select("doc_id", "text", "lang").mapInArrow(_sampled, "doc_id long, lang string, part binary").collect()
     if not got:
         return None

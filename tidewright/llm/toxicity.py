@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, held_out, table
+from .common import batches, held_out, shared_dir, stored, table
 
 ORDER, DECAY = 3, 0.6
 WIDTH = 6
@@ -188,17 +188,38 @@ def _units(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bags, pa.list_(pa.string()))], ["doc_id", "toxic", "units"])
 
 
+def _bests(value):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            bags = b.column(2).to_pylist()
+            pieces = sorted({u for bag in bags for u in bag})
+            f = dict(zip(pieces, value(pieces)))
+            top = [max(((float(f[u]), u) for u in bag), default=(-2.0, "")) for bag in bags]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([u for _, u in top], pa.string()), pa.array([v for v, _ in top], pa.float64())], ["toxic", "unit", "value"])
+
+    return run
+
+
+def _best(bags: DataFrame, value, floor: float) -> list:
+    """Each document's unit of the highest value, where that is `floor` at least; ordered."""
+    got = bags.mapInArrow(_bests(value), "toxic int, unit string, value double").where(F.col("value") >= floor).select("unit").collect()
+    return sorted(got, key=lambda r: r.unit)
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS) -> Machine | None:
     """Learn from about `per_label` documents of each label, chosen by a hash of the id. None
     without both labels. Rows with null ids or labels are left out; ids labelled both ways count as toxic."""
+    shared_dir(docs.sparkSession)
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = docs.select("doc_id", "text").join(marked, "doc_id")
-    counts = dict(marked.where(~held_out(F.col("doc_id"), 4)).groupBy("toxic").count().collect())
+    apart = marked.where(~held_out(F.col("doc_id"), 4))
+    counts = dict(apart.groupBy("toxic").count().collect())
     share = F.when(F.col("toxic") == 1, min(1.0, per_label / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_label / max(1, counts.get(0, 0))))
-    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**9)) < share * 1e9)
-    bags = few.select("doc_id", "toxic", "text").mapInArrow(_units, "doc_id long, toxic int, units array<string>").persist()
+    chosen_ids = apart.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**9)) < share * 1e9).orderBy("doc_id").limit(4 * per_label)
+    # few ids go to the texts, not the texts to the labels
+    few = docs.select("doc_id", "text").join(F.broadcast(chosen_ids), "doc_id")
+    bags = stored(few.select("doc_id", "toxic", "text").mapInArrow(_units, "doc_id long, toxic int, units array<string>"), "bags")
     seen = bags.select("doc_id", "toxic", F.explode("units").alias("unit"))
-    stats = seen.groupBy("unit").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    stats = stored(seen.groupBy("unit").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "units")
     size = dict(bags.groupBy("toxic").count().collect())
     share_bad = size.get(1, 0) / max(1, sum(size.values()))
     n = F.col("bad") + F.col("good")
@@ -209,10 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS) -> Machine
     clean = stats.where("good >= 1").orderBy(F.xxhash64("unit"), "unit").limit(CLEAN).collect()
     common = stats.where("good >= 1").orderBy(F.desc("good"), "unit").limit(CLEAN // 4).collect()
     mixed = marked_units.where((F.col("good") >= 1) & (F.col("g") < SURE)).orderBy(F.desc("good"), "unit").limit(CLEAN).collect()
-    witnesses = bags.where("toxic = 1").select("doc_id", "units").orderBy("doc_id").collect()
     if len(size) < 2 or not toxic:
-        bags.unpersist()
-        return None
+            return None
     half = LANDMARKS * 3 // 4
     # of look-alike toxic units only some become landmarks: each next one is the least like those before
     pool = [r.unit for r in toxic]
@@ -226,21 +245,14 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS) -> Machine
     sure = {r.unit: r.g for r in toxic}
     negative = sorted({r.unit for r in [*clean, *common, *mixed]} - sure.keys())
     k_neg = normalised(negative, machine.marks, machine.own)
-    lists = [r.units for r in witnesses]
-    every = sorted(set().union(*lists)) if lists else []
-    place = {u: i for i, u in enumerate(every)}
-    rows = [np.array([place[u] for u in units_], np.int64) for units_ in lists if units_]
-    value, floor = np.array([sure.get(u, 0) for u in every], float), 1.0
+    found = _best(bags.where("toxic = 1"), lambda pieces: [sure.get(u, 0.0) for u in pieces], 1.0)
     for _ in range(ROUNDS):
-        picked = np.array([r[np.argmax(value[r])] for r in rows if value[r].max() >= floor], np.int64)
-        k_pos = normalised([every[i] for i in picked], machine.marks, machine.own)
-        machine.train(np.concatenate([k_pos, k_neg]), np.r_[np.ones(len(picked)), np.zeros(len(negative))])
-        value, floor = machine.decide(every), 0.0
-    up = np.array([value[r].max() for r in rows])
-    sent = _scored(machine)
-    down = few.where("toxic = 0").select(F.struct("doc_id").alias("row"), "text").mapInArrow(sent, "row struct<doc_id long>, score double, f double").select("f").collect()
-    _calibrate(machine, up, np.array([r.f for r in down]), counts)
-    bags.unpersist()
+        k_pos = normalised([r.unit for r in found], machine.marks, machine.own)
+        machine.train(np.concatenate([k_pos, k_neg]), np.r_[np.ones(len(k_pos)), np.zeros(len(negative))])
+        found = _best(bags.where("toxic = 1"), machine.decide, 0.0)
+    every = bags.mapInArrow(_bests(machine.decide), "toxic int, unit string, value double").select("toxic", "value").collect()
+    up, down = (np.sort([r.value for r in every if r.toxic == k]) for k in (1, 0))
+    _calibrate(machine, up, down, counts)
     return machine
 
 
