@@ -1,4 +1,6 @@
-"""Queries over the given tables, with the DuckDB SQL that must give the same rows."""
+"""All queries over the given tables, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import structure_queries  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
