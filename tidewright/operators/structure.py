@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import kernels, verdicts
 from .prepare import assign_ticks, by_tick, sanitize
@@ -28,7 +29,7 @@ def powers(r: Column, n: int) -> list[Column]:
     return [reduce(lambda a, b: a * b, [s for k, s in enumerate(squares) if e >> k & 1], F.lit(1.0)) for e in range(n)]
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(ArrayType(LongType()))
 def box_sizes(n: pd.Series) -> pd.Series:
     """Box sizes of a series of n values: 12 steps from max(16, n/50) to n/4, without repeats.
 
@@ -37,7 +38,7 @@ def box_sizes(n: pd.Series) -> pd.Series:
     return n.map(kernels.box_sizes)
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(ArrayType(LongType()))
 def spectrum_box_sizes(n: pd.Series) -> pd.Series:
     """Eight steps for the generalized exponents."""
     return n.map(kernels.spectrum_box_sizes)
