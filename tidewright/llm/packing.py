@@ -8,8 +8,10 @@ exchanged over fewer partitions and packed again, until one partition has taken
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,24 @@ from .tokens import tokenizer
 SEQUENCE, PARTITION = 2048, 40_000
 #: Share of a partition's sequences that it gives up each round, besides those above its bound.
 SHARE = 0.02
-#: Words whose ids a worker remembers.
-WORDS = 300_000
+#: Words whose ids a worker remembers, through all its tasks.
+WORDS = 1_000_000
+#: Marks after an ASCII letter at a word's end are a pre-token of their own, so they count as a word.
+_TAIL = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=\s|\Z)")
 
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """Pieces of a text whose ids do not depend on their neighbours. A-Z are lower-cased, as the vocabulary has it."""
+    return _TAIL.sub(rb" \1", text.lower()).split()
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
 class WordIds:
     """Token ids word by word, for a tokenizer whose pre-tokens never hold white space: a text's
     ids are those of its words in turn. Each word is encoded once by the library."""
@@ -42,10 +56,10 @@ class WordIds:
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def learn(self, words: set[bytes]) -> None:
-        new = sorted(words.difference(self.place))
+        new = [w for w in words if w not in self.place]
         if len(self.place) + len(new) > WORDS and self.place:
             self.clear()
-            new = sorted(words)
+            new = list(words)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
@@ -71,9 +85,9 @@ class WordIds:
 
 def _cut(path: str, most: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path)
+        known = word_ids(path)
         for b in batches(rows, 256):
-            texts = [(t or b"").split() for t in b.column(1).to_pylist()]
+            texts = [words_of(t or b"") for t in b.column(1).to_pylist()]
             out: list[list] = [[] for _ in range(5)]
             known.learn(set().union(*texts))
             for i, words in zip(b.column(0).to_pylist(), texts):
