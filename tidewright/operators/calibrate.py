@@ -19,12 +19,15 @@ HORIZON, HIGH_SENSITIVITY, CUSUM_K = 1e6, 1e5, 1.0
 BLOCKS, BATCH, CLIP = 16, 32, 4.0
 EULER = 0.5772156649015329
 
-BY = Window.partitionBy(*ID).orderBy("tick")
+
+
+def by() -> Window:
+    return Window.partitionBy(*ID).orderBy("tick")
 
 
 def fit_ar1(df: DataFrame) -> DataFrame:
     """(asset, channel, a, b, sd) of x_t on x_(t-1); sd 1e-9 at least."""
-    pairs = df.select(*ID, F.col("value").alias("y"), F.lag("value").over(BY).alias("x")).where("x IS NOT NULL")
+    pairs = df.select(*ID, F.col("value").alias("y"), F.lag("value").over(by()).alias("x")).where("x IS NOT NULL")
     sums = pairs.groupBy(*ID).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.regr_sxx("y", "x").alias("sxx"), F.regr_sxy("y", "x").alias("sxy"))
     b = F.when(F.col("sxx") > 1e-12, F.col("sxy") / F.nullif("sxx", F.lit(0.0))).otherwise(0.0)
     fit = sums.select(*ID, b.alias("b"), (F.col("my") - b * F.col("mx")).alias("a"))
@@ -34,19 +37,19 @@ def fit_ar1(df: DataFrame) -> DataFrame:
 
 def ar1_residual_z(df: DataFrame, fit: DataFrame) -> DataFrame:
     """(asset, channel, tick, z) from the second tick on."""
-    before = df.withColumn("_p", F.lag("value").over(BY)).where("_p IS NOT NULL")
+    before = df.withColumn("_p", F.lag("value").over(by())).where("_p IS NOT NULL")
     return before.join(fit, ID).select(*ID, "tick", ((F.col("value") - (F.col("a") + F.col("b") * F.col("_p"))) / F.col("sd")).alias("z"))
 
 
 def rolling_mean_dev(df: DataFrame) -> DataFrame:
     """(asset, channel, tick, dev): distance of the last ROLL values' mean from the channel's, from tick ROLL on."""
     mean = df.groupBy(*ID).agg(F.avg("value").alias("_m"))
-    r = df.withColumn("_r", F.avg("value").over(BY.rowsBetween(-(ROLL - 1), 0)))
+    r = df.withColumn("_r", F.avg("value").over(by().rowsBetween(-(ROLL - 1), 0)))
     return r.where(F.col("tick") >= ROLL).join(mean, ID).select(*ID, "tick", F.abs(F.col("_r") - F.col("_m")).alias("dev"))
 
 
 def max_repeat_run(df: DataFrame) -> DataFrame:
-    runs = islands(df, ID, F.col("value") == F.lag("value").over(BY)).groupBy(*ID, "island").agg(F.count("*").alias("n"))
+    runs = islands(df, ID, F.col("value") == F.lag("value").over(by())).groupBy(*ID, "island").agg(F.count("*").alias("n"))
     out = runs.groupBy(*ID).agg(F.max("n").alias("max_run"))
     return out.withColumn("repeat_enabled", F.col("max_run") <= REPEAT_MARGIN)
 
@@ -76,7 +79,7 @@ def siegmund_threshold(k: float = CUSUM_K, horizon: float = HORIZON) -> float:
 
 def cusum_path(z: DataFrame, k: float = CUSUM_K) -> DataFrame:
     """(asset, channel, tick, pos, neg): both one-sided sums, reflected at 0: a running sum less its running minimum."""
-    up = BY.rowsBetween(Window.unboundedPreceding, 0)
+    up = by().rowsBetween(Window.unboundedPreceding, 0)
     walk = z.withColumn("_u", F.sum(F.col("z") - k).over(up)).withColumn("_d", F.sum(-F.col("z") - k).over(up))
     reflected = lambda c: F.col(c) - F.least(F.lit(0.0), F.min(c).over(up))
     return walk.select(*ID, "tick", reflected("_u").alias("pos"), reflected("_d").alias("neg"))
@@ -90,7 +93,7 @@ def channel_max(df: DataFrame, score: Column) -> DataFrame:
 
 def residual_scale(z: DataFrame) -> DataFrame:
     """(asset, channel, scale): root of the long-run variance ratio by batch means, if it is clearly over 1."""
-    i = F.row_number().over(BY) - 1
+    i = F.row_number().over(by()) - 1
     n = z.groupBy(*ID).agg(F.expr(f"count(*) div {BATCH}").alias("_b"))
     means = z.withColumn("_g", F.floor(i / BATCH)).join(n, ID).where("_g < _b").groupBy(*ID, "_b", "_g").agg(F.avg("z").alias("_m"))
     ratio = means.groupBy(*ID, "_b").agg((F.var_samp("_m") * BATCH).alias("_r"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .calibrate import BY, ID, REPEAT_MARGIN, ROLL
+from .calibrate import ID, REPEAT_MARGIN, ROLL, by
 from .prepare import islands
 
 RES_SPAN, ROLL_PERSIST, MISS_HITS, MISS_SPAN = 20, 10, 4, 32
@@ -18,13 +18,13 @@ RES_SPAN, ROLL_PERSIST, MISS_HITS, MISS_SPAN = 20, 10, 4, 32
 def twice_within(scores: DataFrame, threshold: DataFrame, leg: str, span: int = RES_SPAN) -> DataFrame:
     """Ticks of a score over its asset's threshold less than `span` after the hit before (residual and parity legs)."""
     hits = scores.join(threshold, "asset_id").where(F.abs("z") > F.col("threshold"))
-    gap = F.col("tick") - F.lag("tick").over(BY)
+    gap = F.col("tick") - F.lag("tick").over(by())
     return hits.withColumn("hit_gap", gap).where(F.col("hit_gap") < span).select(*ID, "tick", F.lit(leg).alias("leg"), F.abs("z").alias("observed"), "threshold", "hit_gap")
 
 
 def leg_repeated(df: DataFrame, runs: DataFrame) -> DataFrame:
     """Ticks at which a run of equal values is REPEAT_MARGIN longer than any healthy one, where the leg is on."""
-    run = islands(df, ID, F.col("value") == F.lag("value").over(BY))
+    run = islands(df, ID, F.col("value") == F.lag("value").over(by()))
     length = F.row_number().over(Window.partitionBy(*ID, "island").orderBy("tick"))
     long = run.withColumn("observed", length).join(runs.where("repeat_enabled"), ID)
     return long.where(F.col("observed") >= F.col("max_run") + REPEAT_MARGIN).select(*ID, "tick", F.lit("repeated").alias("leg"), F.col("observed").cast("double").alias("observed"), (F.col("max_run") + REPEAT_MARGIN).cast("double").alias("threshold"))
@@ -40,7 +40,7 @@ def persistent(df: DataFrame, hit: Column, n: int, keys: list[str] = ID) -> Data
 
 def leg_level_shift(df: DataFrame, mean: DataFrame, threshold: DataFrame) -> DataFrame:
     """Ticks at which the rolling mean has been off its channel's for ROLL_PERSIST ticks."""
-    roll = df.withColumn("_r", F.avg("value").over(BY.rowsBetween(-(ROLL - 1), 0))).where(F.col("tick") >= ROLL)
+    roll = df.withColumn("_r", F.avg("value").over(by().rowsBetween(-(ROLL - 1), 0))).where(F.col("tick") >= ROLL)
     dev = roll.join(mean, ID).join(threshold, ID).withColumn("observed", F.abs(F.col("_r") - F.col("mean")))
     out = persistent(dev, F.col("observed") > F.col("threshold"), ROLL_PERSIST)
     return out.select(*ID, "tick", F.lit("level_shift").alias("leg"), "observed", "threshold")
@@ -60,14 +60,14 @@ def leg_cusum(path: DataFrame, threshold: DataFrame) -> DataFrame:
 def leg_missing(df: DataFrame) -> DataFrame:
     """Ticks of a missing sample that is the fourth in under 32 ticks."""
     bad = df.where(~F.col("valid"))
-    far = F.col("tick") - F.lag("tick", MISS_HITS - 1).over(BY)
+    far = F.col("tick") - F.lag("tick", MISS_HITS - 1).over(by())
     return bad.withColumn("_g", far).where(F.col("_g") < MISS_SPAN).select(*ID, "tick", F.lit("missing").alias("leg"), F.lit(float(MISS_HITS)).alias("observed"), F.lit(float(MISS_HITS)).alias("threshold"))
 
 
 def window_statistic(name: str, v: str, window: int) -> Column:
     """One statistic of the last `window` values; null before there are so many."""
-    w = BY.rowsBetween(-(window - 1), 0)
-    x = F.row_number().over(BY).cast("double")
+    w = by().rowsBetween(-(window - 1), 0)
+    x = F.row_number().over(by()).cast("double")
     stat = {
         "mean": F.avg(v).over(w), "sd": F.stddev_pop(v).over(w), "max_abs": F.max(F.abs(v)).over(w), "range": F.max(v).over(w) - F.min(v).over(w),
         "slope": F.regr_slope(F.col(v), F.col("_x")).over(w),
@@ -79,7 +79,7 @@ def leg_grid(df: DataFrame, baseline: int, genes: list[tuple[str, str, int, int]
     """Legs of a detector grammar (source raw/diff/residual column, statistic, window, persistence): per gene and
     channel the mean and deviation of the statistic on the first `baseline` ticks, and the alarms after it at
     z over 4, evaluated at every second tick."""
-    base = df.withColumn("_x", F.col("tick").cast("double")).withColumn("raw", F.col("value")).withColumn("diff", F.coalesce(F.col("value") - F.lag("value").over(BY), F.lit(0.0)))
+    base = df.withColumn("_x", F.col("tick").cast("double")).withColumn("raw", F.col("value")).withColumn("diff", F.coalesce(F.col("value") - F.lag("value").over(by()), F.lit(0.0)))
     parts = None
     for source, stat, window, persist in genes:
         s = base.withColumn("stat", window_statistic(stat, source, window)).where("stat IS NOT NULL AND tick % 2 = 0")
