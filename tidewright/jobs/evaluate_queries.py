@@ -58,10 +58,10 @@ _PRED = "pr AS (SELECT 'a' || user_id % 7 AS asset_id, event_id - 15 AS start, e
 
 
 @query("eva6_sequence_detection", f"""WITH {LAB}, {_PRED}, h AS (SELECT *, EXISTS (SELECT 1 FROM pr WHERE pr.asset_id = lab.asset_id AND pr.start <= lab.end AND pr.end >= lab.start) AS hit FROM lab),
-f AS (SELECT asset_id AS g, count(*) AS false FROM pr WHERE NOT EXISTS (SELECT 1 FROM lab WHERE pr.asset_id = lab.asset_id AND pr.start <= lab.end AND pr.end >= lab.start) GROUP BY ROLLUP (asset_id)),
+f AS (SELECT asset_id AS g, count(*) AS fal FROM pr WHERE NOT EXISTS (SELECT 1 FROM lab WHERE pr.asset_id = lab.asset_id AND pr.start <= lab.end AND pr.end >= lab.start) GROUP BY ROLLUP (asset_id)),
 r AS (SELECT asset_id, category, count(*) AS labels, count(*) FILTER (hit) AS hits FROM h GROUP BY ROLLUP (asset_id, category)),
-p AS (SELECT r.*, coalesce(false, 0) AS false, hits / nullif(hits + coalesce(false, 0), 0) AS precision, hits / labels AS recall FROM r LEFT JOIN f ON r.asset_id IS NOT DISTINCT FROM f.g)
-SELECT asset_id, category, labels, hits, false, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / nullif(precision + recall, 0), 6) AS f1 FROM p""")
+p AS (SELECT r.*, coalesce(fal, 0) AS false_alarms, hits / nullif(hits + coalesce(fal, 0), 0) AS precision, hits / labels AS recall FROM r LEFT JOIN f ON r.asset_id IS NOT DISTINCT FROM f.g)
+SELECT asset_id, category, labels, hits, false_alarms, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / nullif(precision + recall, 0), 6) AS f1 FROM p""")
 def eva6(spark, sf):
     p = table(spark, sf, "events").where("event_type = 'view' AND event_id % 23 = 0").select(F.concat(F.lit("a"), (F.col("user_id") % 7).cast("string")).alias("asset_id"), (F.col("event_id") - 15).alias("start"), (F.col("event_id") + 15).alias("end"))
     return round_all(evaluate.sequence_detection(p, labels(spark, sf), "asset_id", ["asset_id", "category"]))

@@ -60,10 +60,10 @@ def sequence_detection(predicted: DataFrame, labels: DataFrame, key: str, groups
     hit = labels.join(predicted, over, "left_semi").select(key, "label_id").distinct().withColumn("_h", F.lit(1))
     each = labels.join(hit, [key, "label_id"], "left")
     found = each.rollup(*groups).agg(F.count("*").alias("labels"), F.count("_h").alias("hits"))
-    false = predicted.join(labels, over, "left_anti").rollup(groups[0]).agg(F.count("*").alias("false")).withColumnRenamed(groups[0], "_g")
-    out = found.join(false, F.col(groups[0]).eqNullSafe(F.col("_g")), "left").drop("_g").fillna({"false": 0})
-    precision, recall = F.col("hits") / F.nullif(F.col("hits") + F.col("false"), F.lit(0)), F.col("hits") / F.col("labels")
-    return out.select(*groups, "labels", "hits", "false", precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / F.nullif(precision + recall, F.lit(0.0))).alias("f1"))
+    false = predicted.join(labels, over, "left_anti").rollup(groups[0]).agg(F.count("*").alias("false_alarms")).withColumnRenamed(groups[0], "_g")
+    out = found.join(false, F.col(groups[0]).eqNullSafe(F.col("_g")), "left").drop("_g").fillna({"false_alarms": 0})
+    precision, recall = F.col("hits") / F.nullif(F.col("hits") + F.col("false_alarms"), F.lit(0)), F.col("hits") / F.col("labels")
+    return out.select(*groups, "labels", "hits", "false_alarms", precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / F.nullif(precision + recall, F.lit(0.0))).alias("f1"))
 
 
 def timestep_confusion(scores: DataFrame, threshold: float) -> DataFrame:
