@@ -195,9 +195,9 @@ def find_epsilon(errors: DataFrame, keys: list[str], z_min: float = 2.5) -> Data
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(int((12 - z_min) / 0.5))), lambda i: F.lit(z_min) + i * 0.5)).alias("z")
     d = errors.withColumn("_p", F.lag("e").over(by_tick(keys))).join(stats, keys).select(*keys, "e", "_p", "_m", "_s", grid).withColumn("eps", F.col("_m") + F.col("z") * F.col("_s"))
     above, under = F.col("e") >= F.col("eps"), F.when(F.col("e") < F.col("eps"), F.col("e"))
-    g = d.groupBy(*keys, "z", "eps", "_m", "_s").agg(F.count_if(above).alias("k"), F.count_if(above & (F.col("_p").isNull() | (F.col("_p") < F.col("eps")))).alias("r"), F.avg(under).alias("bm"), F.stddev_pop(under).alias("bs"))
-    score = ((F.col("_m") - F.col("bm")) / F.nullif("_m", F.lit(0.0)) + (F.col("_s") - F.col("bs")) / F.col("_s")) / F.nullif(F.col("k") + F.col("r") * F.col("r"), F.lit(0))
-    best = g.where("k > 0").withColumn("score", score).groupBy(*keys).agg(F.max(F.struct("score", -F.col("z"), "eps"))["eps"].alias("eps"))
+    g = d.groupBy(*keys, "z", "eps", "_m", "_s").agg(F.count_if(above).alias("_k"), F.count_if(above & (F.col("_p").isNull() | (F.col("_p") < F.col("eps")))).alias("_r"), F.avg(under).alias("bm"), F.stddev_pop(under).alias("bs"))
+    score = ((F.col("_m") - F.col("bm")) / F.nullif("_m", F.lit(0.0)) + (F.col("_s") - F.col("bs")) / F.col("_s")) / F.nullif(F.col("_k") + F.col("_r") * F.col("_r"), F.lit(0))
+    best = g.where("_k > 0").withColumn("score", score).groupBy(*keys).agg(F.max(F.struct("score", -F.col("z"), "eps"))["eps"].alias("eps"))
     return stats.join(best, keys, "left").select(*keys, F.coalesce("eps", F.col("_m") + 12 * F.col("_s")).alias("eps"))
 
 
