@@ -23,7 +23,7 @@ from .tokens import tokenizer
 
 SEQUENCE, PARTITION = 2048, 40_000
 #: Share of a partition's sequences that it gives up each round, besides those above its bound.
-SHARE = 0.02
+SHARE = 0.1
 #: Words whose ids a worker remembers, through all its tasks.
 WORDS = 1_000_000
 #: Marks after an ASCII letter at a word's end are a pre-token of their own, so they count as a word.
@@ -187,7 +187,8 @@ def pack(cut: DataFrame, most: int = SEQUENCE, partition: int = PARTITION) -> Da
         n = left.count()
         parts = max(1, -(-n // partition))
         last = parts == 1 or turn >= 12
-        dealt = left.repartition(parts, F.xxhash64("doc_id", "piece", F.lit(turn)))
+        # what one partition holds at most needs no exchange
+        dealt = left.coalesce(1) if parts == 1 else left.repartition(parts, F.xxhash64("doc_id", "piece", F.lit(turn)))
         packed = stored(dealt.mapInArrow(_packed(most, turn, last), f"{schema}, sequence_id long, offset long, open boolean"), f"packed-{turn}")
         done.append(packed.where("NOT open").drop("open"))
         if last:
