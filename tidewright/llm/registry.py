@@ -18,4 +18,5 @@ QUERIES = {
 ORACLE = {
     "op2_substring_dedup": substring.OP2_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
+    "op6_quotation_linking": quotes.OP6_SQL,
 }
