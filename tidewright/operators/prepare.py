@@ -36,7 +36,8 @@ def fill_gaps(df: DataFrame, keys: list[str]) -> DataFrame:
     """Forward fill; a leading gap takes the first valid value, a series without any is 0."""
     good = F.when(finite(F.col("value")), F.col("value"))
     before = F.last(good, ignorenulls=True).over(by_tick(keys).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(good, ignorenulls=True).over(by_tick(keys).rowsBetween(0, Window.unboundedFollowing))
+    # only a leading gap looks ahead, and then to the first valid value of all: one pass, no growing frames
+    after = F.first(good, ignorenulls=True).over(by_tick(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return df.withColumn("value", F.coalesce(before, after, F.lit(0.0)))
 
 
@@ -158,7 +159,7 @@ def align_channels(df: DataFrame, keys: list[str], rule: int) -> DataFrame:
     each = grid.join(df.select(*keys, "channel").distinct(), keys)
     full = each.join(df.select(*keys, "channel", "ts", "value"), [*keys, "channel", "ts"], "left")
     w = Window.partitionBy(*keys, "channel").orderBy("ts")
-    value = F.coalesce(F.last("value", ignorenulls=True).over(w), F.first("value", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    value = F.coalesce(F.last("value", ignorenulls=True).over(w), F.first("value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return full.select(*keys, "channel", "ts", value.alias("value"))
 
 

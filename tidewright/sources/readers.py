@@ -163,8 +163,8 @@ def rows_at(labels: DataFrame, recording: DataFrame, key: str) -> DataFrame:
     tables together per key, no pairs."""
     a = recording.select(key, F.col("ts").alias("_t"), F.lit(1).alias("_s"), F.col("tick").alias("_r"), F.lit(None).cast(labels.schema["id"].dataType).alias("id"))
     b = labels.select(key, F.col("at").alias("_t"), F.lit(0).alias("_s"), F.lit(None).cast("long").alias("_r"), "id")
-    w = Window.partitionBy(key).orderBy("_t", "_s", "_r")
-    after = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_s"), F.desc("_r"))
+    after = F.last("_r", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     last = F.max("_r").over(Window.partitionBy(key))
     both = a.unionByName(b).withColumn("row", F.coalesce(after, last))
     return both.where("_s = 0").select(key, "id", "row")
