@@ -113,9 +113,8 @@ def pre12(spark, sf):
 w AS (SELECT k, pos // 100 AS w, count(*) AS n, count(*) FILTER (base IN ('G', 'C')) AS gc, count(*) FILTER (base IN ('A', 'T')) AS ta FROM b GROUP BY ALL)
 SELECT k AS series_id, row_number() OVER (PARTITION BY k ORDER BY w) - 1 AS tick, round(gc / (gc + ta), 6) AS value FROM w WHERE n = 100 AND gc + ta > 0""")
 def pre14(spark, sf):
-    """Letters of short documents as a symbol stream."""
-    d = table(spark, sf, "documents").where("doc_id < 50 AND length(text) < 4000")
-    bases = d.select(F.col("doc_id").alias("series_id"), F.posexplode(F.split("text", "")).alias("pos", "base"))
+    """Letters of all documents that have an id as a symbol stream."""
+    bases = table(spark, sf, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("series_id"), F.posexplode(F.split("text", "")).alias("pos", "base"))
     return round_all(prepare.gc_windows(bases, K, 100))
 
 

@@ -18,7 +18,7 @@ q AS (SELECT *, r4 * r4 AS r8 FROM (SELECT *, r2 * r2 AS r4 FROM (SELECT *, r *
 SELECT DISTINCT n, s FROM (SELECT n, b, floor(a * unnest([1e0, r, r2, r * r2, r4, r * r4, r2 * r4, (r * r2) * r4, r8, r * r8, r2 * r8, (r * r2) * r8]))::BIGINT AS s FROM q) WHERE s <= b
 """)
 def dfa1(spark, sf):
-    n = table(spark, sf, "documents").where("doc_id < 2000").select((F.col("doc_id") + 60).alias("n")).distinct()
+    n = table(spark, sf, "documents").where("doc_id IS NOT NULL").select((F.col("doc_id") + 60).alias("n")).distinct()
     return n.select("n", F.explode(structure.box_sizes(F.col("n"))).alias("s"))
 
 
