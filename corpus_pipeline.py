@@ -41,7 +41,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold an item of the benchmark table."""
-    hit = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "th").distinct()
+    hit = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), least=1).select("doc_id", "th").distinct()
     marked = docs.withColumn("th", F.xxhash64("text"))
     return marked.join(hit, ["doc_id", "th"], "left_anti").select(*docs.columns)
 

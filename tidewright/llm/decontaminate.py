@@ -8,6 +8,8 @@ and a place counts if in some WINDOW tokens of the two enough are equal. DataFra
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,13 @@ from .common import shared_dir, stored, table
 
 #: Positions of the tokens that each mask looks at; of 13 tokens with two substitutions, one mask fits somewhere.
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
+#: Masks of shorter items by their number of tokens: one fits wherever the tokens that SHARE lets differ are.
+SHORT = {
+    1: ((0,),), 2: ((0, 1),), 3: ((0, 1, 2),), 4: ((0, 1, 2, 3),),
+    5: ((0, 1, 2), (0, 1, 3)), 6: ((0, 1, 2, 3), (0, 1, 3, 4)), 7: ((0, 1, 3, 4),),
+    8: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5)), 9: ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 5, 6)), 10: ((0, 1, 2, 3), (0, 1, 2, 4)),
+    11: ((0, 1, 2, 3, 5), (0, 1, 4, 7, 8)), 12: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5)),
+}
 SPAN, WINDOW, SHARE = 8, 13, 0.8
 #: Test hashes and hit documents up to these numbers are broadcast (24 bytes each); beyond, both sides are shuffled.
 BROADCAST_SEEDS, BROADCAST_HITS = 1_000_000, 500_000
@@ -25,40 +34,55 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def seeds(hashes: Column) -> Column:
-    """Array of (mask, at, h) over token hashes; texts under SPAN tokens have none."""
-    def of(k: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(hashes) - SPAN),
-            lambda i: F.struct(i.cast("int").alias("at"), F.xxhash64(F.lit(k), *[F.get(hashes, i + p) for p in mask]).alias("h")),
-        )
+def masks_of(n: int) -> tuple[tuple[int, ...], ...]:
+    """The masks that find items of n tokens."""
+    return SHORT.get(n, MASKS)
 
+
+def seeds(hashes: Column, masks: Iterable[tuple[int, ...]] = MASKS) -> Column:
+    """Array of (at, h) over token hashes; a mask wider than the text gives none."""
     none = F.array().cast("array<struct<at:int,h:bigint>>")
-    return F.when(F.size(hashes) >= SPAN, F.concat(*[of(k, m) for k, m in enumerate(MASKS)])).otherwise(none)
+
+    def of(mask: tuple[int, ...]) -> Column:
+        found = F.transform(
+            F.sequence(F.lit(0), F.size(hashes) - mask[-1] - 1),
+            lambda i: F.struct(i.cast("int").alias("at"), F.xxhash64(F.lit(str(mask)), *[F.get(hashes, i + p) for p in mask]).alias("h")),
+        )
+        return F.when(F.size(hashes) > mask[-1], found).otherwise(none)
+
+    return F.concat(none, *[of(m) for m in masks])
 
 
-def _seeded(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    hashed = rows.select(*keys, F.transform(tokens(F.col(text)), lambda w: F.xxhash64(w)).alias("hashes"))
-    return hashed.select(*keys, F.explode(seeds(F.col("hashes"))).alias("s")).select(*keys, "s.at", "s.h")
+def _seeded(rows: DataFrame, keys: list[str], masks: Callable[[Column], Column]) -> DataFrame:
+    hashed = rows.select(*keys, F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    return hashed.select(*keys, F.explode(masks(F.col("hashes"))).alias("s")).select(*keys, "s.at", "s.h")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = SPAN) -> DataFrame:
     """(doc_id, item_id, th, at, n_equal, overlap): the best place of each test item in each document that holds it.
 
     overlap is the largest share of equal tokens in `window` consecutive tokens of the two (fewer,
     if the item is shorter), `share` at least; at is the document's token number under the item's
     first; n_equal counts equal tokens along the whole item. th is xxhash64 of the text, to tell rows
-    of one id apart; rows that repeat give one. Null or short texts and items (under SPAN tokens)
-    match nothing. Only the named columns are read.
+    of one id apart; rows that repeat give one. Null texts and items, and items under `least` tokens,
+    match nothing. Masks are made for the lengths that the items have. Only the named columns are read.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where("text IS NOT NULL")
     items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
+    items = items.where(F.size(tokens(F.col("text"))) >= max(least, 1))
     item_tokens = items.select("item_id", tokens(F.col("text")).alias("item"))
-    tests = stored(_seeded(items, ["item_id"], "text").select("item_id", F.col("at").alias("item_at"), "h").distinct(), "test-seeds")
+    lengths = sorted(r[0] for r in item_tokens.select(F.least(F.size("item"), F.lit(WINDOW))).distinct().collect())
+    masks = sorted({m for n in lengths for m in masks_of(n)})
+
+    def own(hashes: Column) -> Column:
+        none = seeds(hashes, ())
+        return F.coalesce(*[F.when(F.least(F.size(hashes), F.lit(WINDOW)) == n, seeds(hashes, masks_of(n))) for n in lengths], none)
+
+    tests = stored(_seeded(items, ["item_id"], own).select("item_id", F.col("at").alias("item_at"), "h").distinct(), "test-seeds")
     few = tests.count() <= BROADCAST_SEEDS
-    train = _seeded(base, ["doc_id", "th"], "text")
+    train = _seeded(base, ["doc_id", "th"], lambda hashes: seeds(hashes, masks))
     met = train.join(F.broadcast(tests) if few else tests.hint("shuffle_merge"), "h")
     places = met.select("doc_id", "th", "item_id", (F.col("at") - F.col("item_at")).alias("at")).distinct()
     hits = stored(places, "seed-hits")
@@ -86,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, one row for each document and item."""
-    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=1)
     return found.select("doc_id", "item_id", F.col("at").cast("long").alias("at"), F.col("n_equal").cast("long").alias("n_equal"), F.round("overlap", 6).alias("overlap"))
 
 
