@@ -27,14 +27,17 @@ SHARE = 0.1
 #: Words whose ids a worker remembers, through all its tasks.
 WORDS = 1_000_000
 #: Marks after an ASCII letter at a word's end are a pre-token of their own, so they count as a word.
-_TAIL = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=\s|\Z)")
+_TAIL = re.compile(rb"(?<=[A-Za-z])([.,!?;:]+)(?=\s|\Z)")
 
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Pieces of a text whose ids do not depend on their neighbours. A-Z are lower-cased, as the vocabulary has it."""
-    return _TAIL.sub(rb" \1", text.lower()).split()
+    """Pieces of a text whose ids do not depend on their neighbours. A-Z are lower-cased, as the vocabulary has it,
+    but not in words with '<|': special tokens are matched as written, before the library lower-cases."""
+    if b"<|" not in text:
+        return _TAIL.sub(rb" \1", text.lower()).split()
+    return [w if b"<|" in w else w.lower() for w in _TAIL.sub(rb" \1", text).split()]
 
 
 @lru_cache(maxsize=2)
@@ -187,8 +190,9 @@ def pack(cut: DataFrame, most: int = SEQUENCE, partition: int = PARTITION) -> Da
         n = left.count()
         parts = max(1, -(-n // partition))
         last = parts == 1 or turn >= 12
-        # what one partition holds at most needs no exchange
-        dealt = left.coalesce(1) if parts == 1 else left.repartition(parts, F.xxhash64("doc_id", "piece", F.lit(turn)))
+        # what one partition holds at most needs no exchange; rows that repeat, or have no id, are dealt by their place in the stored table
+        salted = left.withColumn("_row", F.monotonically_increasing_id())
+        dealt = left.coalesce(1) if parts == 1 else salted.repartition(parts, F.xxhash64("doc_id", "piece", "length", "ids_crc32", "_row", F.lit(turn))).drop("_row")
         packed = stored(dealt.mapInArrow(_packed(most, turn, last), f"{schema}, sequence_id long, offset long, open boolean"), f"packed-{turn}")
         done.append(packed.where("NOT open").drop("open"))
         if last:
