@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, stored, table
 
 _MARK = r"^[ \t]*(?:>[ \t]?)+"
+_SAYS = r"(?i)^.{0,200}\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 
 
 def parsed(text: Column) -> Column:
@@ -35,30 +36,43 @@ def sentences(text: Column) -> Column:
 
 
 def _own(lines: Column) -> Column:
-    """The writer's own lines, without those that only announce a quotation ("... wrote:")."""
-    kept = F.filter(lines, lambda x: (x["level"] == 0) & ~x["body"].rlike(r"(?i)^.{0,200}\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"))
+    """The writer's own lines, without those that only announce a quotation ("... wrote:", a quoted line next, blank ones aside)."""
+    placed = F.transform(lines, lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), i.alias("at")))
+    solid = F.filter(placed, lambda x: (x["level"] > 0) | x["body"].rlike(r"\S"))
+    after = F.transform(solid, lambda x, i: F.struct(x["at"].alias("at"), ((x["level"] == 0) & x["body"].rlike(_SAYS) & (F.get(solid, i + 1)["level"] > 0)).alias("says")))
+    gone = F.transform(F.filter(after, lambda x: x["says"]), lambda x: x["at"])
+    kept = F.filter(lines, lambda x, i: (x["level"] == 0) & ~F.array_contains(gone, i))
     return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
 
 
+def _quoted(lines: Column) -> Column:
+    """Array of (level, s): the distinct sentences of each level's quoted lines."""
+    def of(level: Column) -> Column:
+        text = F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == level), lambda x: x["body"]), "\n")
+        return F.transform(sentences(text), lambda s: F.struct(level.alias("level"), s.alias("s")))
+
+    levels = F.array_distinct(F.filter(F.transform(lines, lambda x: x["level"]), lambda n: n > 0))
+    return F.flatten(F.transform(levels, of))
+
+
 def link_quotes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role") -> DataFrame:
     """One row per message: conv_id, turn, role, own_text, n_quoted, n_linked, parent, root, depth, reply_path.
 
-    n_quoted counts a message's distinct quoted sentences of the first level, n_linked those found
-    as an earlier message's own. parent is the turn of the message that the most of them come from
-    (ties: the latest); a sentence comes from the first message of the conversation that says it. Without
+    n_quoted counts a message's distinct quoted sentences of all levels, n_linked those found
+    as an earlier message's own. parent is the turn of the message that the most of those of the
+    shallowest level with a link come from (ties: the latest); a sentence comes from the first message of the conversation that says it. Without
     a link parent is null and the message is its own root. Sorting a conversation by reply_path
     gives each message after the one it answers. Null texts are empty; null ids link to nothing;
     rows that repeat a turn are linked alike. Other columns are not read.
     """
     shared_dir(turns.sparkSession)
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), parsed(F.col(text)).alias("lines"))
-    quoted = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 1), lambda x: x["body"]), "\n")
-    made = stored(rows.select("conv_id", "turn", "role", _own(F.col("lines")).alias("own_text"), sentences(quoted).alias("quoted")), "turns")
-    asked = made.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("s")).select("conv_id", "turn", F.xxhash64("s").alias("h"), "s").distinct()
+    made = stored(rows.select("conv_id", "turn", "role", _own(F.col("lines")).alias("own_text"), _quoted(F.col("lines")).alias("quoted")), "turns")
+    asked = made.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("q")).groupBy("conv_id", "turn", F.xxhash64("q.s").alias("h"), F.col("q.s").alias("s")).agg(F.min("q.level").alias("level"))
     said = made.select("conv_id", "turn", F.explode(sentences(F.col("own_text"))).alias("s")).groupBy("conv_id", F.xxhash64("s").alias("h"), "s").agg(F.min("turn").alias("by"))
     found = asked.join(said, ["conv_id", "h", "s"]).where("by < turn")
-    votes = found.groupBy("conv_id", "turn", "by").agg(F.count("*").alias("n"))
-    parent = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "by"))["by"].alias("parent"), F.sum("n").alias("n_linked"))
+    votes = found.groupBy("conv_id", "turn", "level", "by").agg(F.count("*").alias("n"))
+    parent = votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "n", "by"))["by"].alias("parent"), F.sum("n").alias("n_linked"))
     # climb: each round doubles the part of the way to the root that is known
     pad = lambda c: F.lpad(c.cast("string"), 12, "0")
     up = stored(parent.select("conv_id", "turn", "parent", F.col("parent").alias("top"), F.lit(1).cast("long").alias("depth"), F.concat(pad(F.col("parent")), F.lit("/"), pad(F.col("turn"))).alias("reply_path")), "replies")
@@ -71,7 +85,7 @@ def link_quotes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", tex
     linked = up.join(parent.select("conv_id", "turn", "n_linked"), ["conv_id", "turn"])
     out = made.join(linked, ["conv_id", "turn"], "left")
     return out.select(
-        "conv_id", "turn", "role", "own_text", F.size("quoted").cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+        "conv_id", "turn", "role", "own_text", F.size(F.array_distinct(F.transform("quoted", lambda q: q["s"]))).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         "parent", F.coalesce("top", "turn").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("reply_path", pad(F.col("turn"))).alias("reply_path"),
     )
 
