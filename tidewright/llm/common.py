@@ -35,6 +35,29 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of bounded rows and bytes, unless the session says how large they should be:
+    whole texts of very different lengths are in a batch, and both sides hold it whole."""
+    given = spark.sparkContext.getConf()
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1024), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        if not given.contains(key):
+            spark.conf.set(key, most)
+
+
+def with_text(docs: DataFrame, text_col: str, carry: list[str] | None, *more: Column) -> DataFrame:
+    """(row, more..., text): the struct `row` of the columns to carry, and the text beside it only if it is not one of them."""
+    small_batches(docs.sparkSession)
+    names = docs.columns if carry is None else carry
+    apart = [] if text_col in names else [F.col(text_col).alias("text")]
+    return docs.select(F.struct(*names).alias("row"), *more, *apart)
+
+
+def text_of(batch: pa.RecordBatch, text_col: str) -> pa.Array:
+    """The texts of a batch of `with_text` as bytes."""
+    here = batch.schema.get_field_index("text")
+    return (batch.column(here) if here >= 0 else batch.column(0).field(text_col)).cast(pa.binary())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

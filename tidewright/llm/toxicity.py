@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batches, held_out, shared_dir, stored, table
+from .common import batches, held_out, shared_dir, stored, table, text_of, with_text
 
 ORDER, DECAY = 3, 0.6
 WIDTH = 6
@@ -29,7 +30,7 @@ WIDTH = 6
 DOCS, LANDMARKS, CLEAN = 2500, 64, 8000
 ROUNDS, EPOCHS, RATE, PENALTY, SEED = 3, 40, 0.5, 1e-4, 5
 THRESHOLD = 0.3
-#: Least likelihood ratio of a unit that may be a landmark or a first witness.
+#: Least likelihood ratio of a unit that may be a landmark or a first witness; half the best unit's where that is less.
 SURE = 30.0
 CACHE = 400_000
 
@@ -38,16 +39,18 @@ _DROP = re.compile(r"[\W_]+")
 
 def words_of(text: str) -> set[str]:
     """Distinct words of a whole text, lower-cased, without anything but letters and digits; runs of
-    more than two pieces of at most two characters also make one word together."""
+    more than two words of at most two characters also make one word together."""
     out, run = set(), []
     for x in text.lower().split():
         w = x if x.isalnum() else _DROP.sub("", x)
+        if not w:
+            continue
+        out.add(w)
         if len(w) > 2:
-            out.add(w)
             if len(run) > 2:
                 out.add("".join(run))
             run = []
-        elif w:
+        else:
             run.append(w)
     if len(run) > 2:
         out.add("".join(run))
@@ -208,7 +211,7 @@ def _best(bags: DataFrame, value, floor: float) -> list:
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS) -> Machine | None:
     """Learn from about `per_label` documents of each label, chosen by a hash of the id. None
-    without both labels. Rows with null ids or labels are left out; ids labelled both ways count as toxic."""
+    without both labels, or if no unit is commoner in toxic documents. Rows with null ids or labels are left out; ids labelled both ways count as toxic."""
     shared_dir(docs.sparkSession)
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     apart = marked.where(~held_out(F.col("doc_id"), 4))
@@ -226,12 +229,14 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS) -> Machine
     # likelihood ratio of the labels of the documents that have the unit, against their usual proportion
     ratio = F.col("bad") * F.log(F.col("bad") / (n * share_bad)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share_bad) + 1e-9))).otherwise(0)
     marked_units = stats.where("bad >= 1").select("unit", "bad", "good", F.when(F.col("bad") > n * share_bad, 2 * ratio).otherwise(0.0).alias("g"))
-    toxic = marked_units.where(F.col("g") >= SURE).orderBy(F.desc("g"), "unit").limit(4 * LANDMARKS).collect()
+    best = marked_units.agg(F.max("g")).first()[0] or 0.0
+    sure_from = min(SURE, best / 2)
+    toxic = marked_units.where((F.col("g") >= sure_from) & (F.col("g") > 0)).orderBy(F.desc("g"), "unit").limit(4 * LANDMARKS).collect()
     clean = stats.where("good >= 1").orderBy(F.xxhash64("unit"), "unit").limit(CLEAN).collect()
     common = stats.where("good >= 1").orderBy(F.desc("good"), "unit").limit(CLEAN // 4).collect()
-    mixed = marked_units.where((F.col("good") >= 1) & (F.col("g") < SURE)).orderBy(F.desc("good"), "unit").limit(CLEAN).collect()
+    mixed = marked_units.where((F.col("good") >= 1) & (F.col("g") < max(sure_from, 1e-9))).orderBy(F.desc("good"), "unit").limit(CLEAN).collect()
     if len(size) < 2 or not toxic:
-            return None
+        return None
     half = LANDMARKS * 3 // 4
     # of look-alike toxic units only some become landmarks: each next one is the least like those before
     pool = [r.unit for r in toxic]
@@ -245,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS) -> Machine
     sure = {r.unit: r.g for r in toxic}
     negative = sorted({r.unit for r in [*clean, *common, *mixed]} - sure.keys())
     k_neg = normalised(negative, machine.marks, machine.own)
-    found = _best(bags.where("toxic = 1"), lambda pieces: [sure.get(u, 0.0) for u in pieces], 1.0)
+    found = _best(bags.where("toxic = 1"), lambda pieces: [sure.get(u, 0.0) for u in pieces], 1e-9)
     for _ in range(ROUNDS):
         k_pos = normalised([r.unit for r in found], machine.marks, machine.own)
         machine.train(np.concatenate([k_pos, k_neg]), np.r_[np.ones(len(k_pos)), np.zeros(len(negative))])
@@ -271,13 +276,13 @@ def _calibrate(machine: Machine, up: np.ndarray, down: np.ndarray, counts: dict)
     machine.slope, machine.shift = a, b
 
 
-def _scored(machine: Machine | None):
+def _scored(machine: Machine | None, text_col: str):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for b in batches(rows, 256):
             best = np.full(b.num_rows, -2.0)
             if machine is not None:
-                bags = [words_of(t or "") for t in b.column(1).to_pylist()]
+                bags = [words_of((t or b"").decode()) for t in text_of(b, text_col).to_pylist()]
                 new = set().union(*bags)
                 if len(known) + len(new) > CACHE:
                     known.clear()
@@ -296,16 +301,14 @@ def _scored(machine: Machine | None):
     return run
 
 
-def score_toxicity(docs: DataFrame, machine: Machine | None, text_col: str = "text") -> DataFrame:
-    """Each row's columns as the struct `row`, with score (0 to 1) and f, the machine's value.
+def score_toxicity(docs: DataFrame, machine: Machine | None, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns `carry` of each row (all, if not named) as the struct `row`, with score (0 to 1) and f, the machine's value.
 
     Null, empty and unit-less texts have the value of nothing toxic; without a machine (no
     labels) every score is 0. A row's score depends on its text alone.
     """
-    from pyspark.sql import types as T
-
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scored(machine), T.StructType([rows.schema["row"], *T._parse_datatype_string("score double, f double")]))
+    rows = with_text(docs, text_col, carry)
+    return rows.mapInArrow(_scored(machine, text_col), T.StructType([rows.schema["row"], *T._parse_datatype_string("score double, f double")]))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,6 +316,6 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     apart = held_out(F.col("doc_id"), 4)
     machine = train(docs.where(~apart), labels)
-    found = score_toxicity(docs, machine)
+    found = score_toxicity(docs, machine, carry=["doc_id"])
     score = F.col("score")
     return found.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id"), 4).alias("held_out"), "score", F.when(score >= THRESHOLD, 1).otherwise(0).alias("predicted"))
