@@ -12,19 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batches, held_out, table
+from .common import batches, held_out, small_batches, table, text_of, with_text
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 12, 192
-#: Bounds of the labelled sample: documents of a language (about), windows of a document.
-DOCS, WINDOWS = 300, 6
-#: The commonest labels that are learned.
-LANGUAGES = 256
+#: Bounds of the labelled sample: documents of a language (about), of all languages together, windows of a document.
+DOCS, SAMPLE, WINDOWS = 300, 60_000, 6
 EPOCHS, BATCH, RATE, SEED = 4, 128, 0.01, 11
-#: A text is rejected below this mean probability; four languages give at least 0.25.
-REJECT = 0.27
+#: A text is rejected if its mean probability lies above chance by less than this part of what is left to certainty.
+REJECT = 0.03
 
 
 class Network:
@@ -117,28 +116,39 @@ def _sampled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS) -> Network | None:
-    """Fit on about `per_lang` documents of each language, chosen by a hash of the id, and at most
-    WINDOWS windows of each, spread over the text. None if nothing is labelled."""
+    """Fit on about `per_lang` documents of each language, chosen by a hash of id and text, and at most
+    WINDOWS windows of each, spread over the text. Every label is learned; where they are so many that the
+    sample would exceed SAMPLE documents, each has fewer. Rows with a null id count like any other, rows that
+    repeat count once. None if nothing is labelled."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.where("lang IS NOT NULL").groupBy("lang").count().where(F.col("lang") != "und")
-    shares = counts.select("lang", (F.lit(1e9 * per_lang) / F.col("count")).alias("share"))
-    most = shares.orderBy("share", "lang").limit(LANGUAGES)
-    few = rows.where(F.length("text") > 0).join(F.broadcast(most), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(10**9)) < F.col("share"))
-    got = few.select("doc_id", "text", "lang").mapInArrow(_sampled, "doc_id long, lang string, part binary").collect()
-    if not got:
+    counts = rows.where("lang IS NOT NULL AND length(text) > 0").groupBy("lang").count()
+    labels = sorted(r.lang for r in counts.select("lang").collect())
+    if not labels:
         return None
+    each = min(per_lang, max(1, SAMPLE // len(labels)))
+    shares = counts.select("lang", (F.lit(1e9 * each) / F.col("count")).alias("share"))
+    pick = F.xxhash64("doc_id", "text")
+    few = rows.where(F.length("text") > 0).withColumn("pick", pick).join(F.broadcast(shares), "lang").where(F.pmod("pick", F.lit(10**9)) < F.col("share"))
+    once = few.groupBy("lang", "pick").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    got = once.select("pick", "text", "lang").mapInArrow(_sampled, "doc_id long, lang string, part binary").collect()
     got.sort(key=lambda r: (r.lang, r.doc_id, r.part))
     labels = sorted({r.lang for r in got})
     number = {lang: k for k, lang in enumerate(labels)}
-    return Network(labels).fit(np.stack([np.frombuffer(r.part, np.uint8) for r in got]), np.array([number[r.lang] for r in got]))
+    return Network(labels).fit(np.stack([np.frombuffer(r.part, np.uint8) for r in got]), np.array([number[r.lang] for r in got])) if got else None
 
 
-def _predict(net: Network | None):
+def certain(score: Column, net: Network | None, least: float = REJECT) -> Column:
+    """Whether a score lies above the chance of the network's labels by `least` of what is left; one label is always certain."""
+    chance = 1.0 / len(net.labels) if net else 1.0
+    return score >= F.lit(chance + least * (1.0 - chance))
+
+
+def _predict(net: Network | None, text_col: str):
     tables = net.compiled() if net else ()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows, 512):
-            texts = [t if ok and t else b"" for t, ok in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            texts = [t if ok and t else b"" for t, ok in zip(text_of(b, text_col).to_pylist(), b.column(1).to_pylist())]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             sizes = np.array([-(-len(t) // WINDOW) for t in texts])
             if net and sizes.sum():
@@ -155,22 +165,19 @@ def _predict(net: Network | None):
     return run
 
 
-def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's columns as the struct `row`, with lang_pred and score.
+def identify(docs: DataFrame, net: Network | None, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns `carry` of each row (all, if not named) as the struct `row`, with lang_pred and score.
 
     lang_pred is `und` with score 0 where the text is null or has no letter, or nothing was
     learned. Rows are predicted alone: repeated rows get the same prediction, and no column but
     the text is looked at, whatever others there are.
     """
-    from pyspark.sql import types as T
-
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("binary").alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("ok"))
-    out = T.StructType([rows.schema["row"], *T._parse_datatype_string("lang_pred string, score double")])
-    return rows.mapInArrow(_predict(net), out)
+    rows = with_text(docs, text_col, carry, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("ok"))
+    return rows.mapInArrow(_predict(net, text_col), T.StructType([rows.schema["row"], *T._parse_datatype_string("lang_pred string, score double")]))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = train(docs.where(~held_out(F.col("doc_id"), 4)))
-    found = identify(docs.select("doc_id", "text"), net)
+    found = identify(docs, net, carry=["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id"), 4).alias("held_out"), "lang_pred", "score")
