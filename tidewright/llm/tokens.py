@@ -4,8 +4,8 @@ A document of more than CHUNK characters is encoded as chunks that overlap. Pre-
 cut from left to right with a bounded look-ahead, so a pre-token boundary that lies far enough
 before the end of a chunk whose own start is true is a boundary of the whole text; where the
 next chunk has a boundary at the same character, both continue alike from there. The chunks
-are spliced at such a place. If an overlap has none, the left chunk is widened, twice as far
-each time, until it has one or has swallowed the right chunk.
+are spliced at such a place. If an overlap has none, the left chunk and the overlap are made
+twice as large, until there is one or the chunk reaches the end of the text.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, table
+from .common import batches, table, text_of, with_text
 
 CHUNK, OVERLAP, LIMIT = 32768, 512, 1024
 #: Characters of look-ahead that a boundary may depend on, besides special tokens.
@@ -57,40 +57,30 @@ def spliced_count(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, ma
     if len(text) <= chunk or overlap <= 2 * margin or chunk <= 2 * overlap:
         return len(tok.encode(text, add_special_tokens=False))
     encode = lambda a, b: tok.encode(text[a:b], add_special_tokens=False)
-    starts = list(range(0, len(text), chunk - overlap))
-    ends = [min(len(text), s + chunk) for s in starts]
-    while len(starts) > 1 and ends[-2] == len(text):
-        starts.pop()
-        ends.pop()
-    total, k, left = 0, 0, encode(0, ends[0])
-    begin, first, at = 0, 0, 0  # of the chunk at hand: its start; its first token that counts, and that token's place
-    end = ends[0]
-    while True:
-        if end == len(text):
-            return total + len(left) - first
-        start, stop = starts[k + 1], ends[k + 1]
+    total, begin, end, wide = 0, 0, chunk, overlap
+    left, first, at = encode(0, end), 0, 0  # the chunk at hand; its first token that counts, and that token's place
+    while end < len(text):
+        start = end - wide
+        stop = min(len(text), start + max(chunk, 2 * wide))
         right = encode(start, stop)
         mine = {begin + p: t for p, t in boundaries(left).items() if max(start, at) <= begin + p <= end - margin}
         shared = [(start + p, t) for p, t in boundaries(right).items() if start + p in mine]
-        wide = overlap
-        while not shared and end < stop:
-            end, wide = min(stop, end + wide), wide * 2
+        if shared:
+            at, into = min(shared)
+            total += mine[at] - first
+            begin, end, left, first, wide = start, stop, right, into, overlap
+        else:  # chunk and overlap double, so that all attempts together cost no more than the last one twice
+            end = min(len(text), begin + 2 * (end - begin))
+            wide = min(2 * wide, (end - begin) // 2)
             left = encode(begin, end)
-            mine = {begin + p: t for p, t in boundaries(left).items() if max(start, at) <= begin + p <= end - margin}
-            shared = [(start + p, t) for p, t in boundaries(right).items() if start + p in mine]
-        k += 1
-        if not shared:  # the left chunk now covers the right one
-            continue
-        at, into = min(shared)
-        total += mine[at] - first
-        begin, first, left, end = start, into, right, stop
+    return total + len(left) - first
 
 
-def _counted(path: str, chunk: int, overlap: int):
+def _counted(path: str, chunk: int, overlap: int, text_col: str = "text"):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for b in batches(rows, 128):
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            texts = [(t or b"").decode() for t in text_of(b, text_col).to_pylist()]
             small = [k for k, t in enumerate(texts) if len(t) <= chunk]
             counts = [0] * len(texts)
             for k, e in zip(small, tok.encode_batch_fast([texts[k] for k in small], add_special_tokens=False)):
@@ -103,18 +93,16 @@ def _counted(path: str, chunk: int, overlap: int):
     return run
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Each row's columns as the struct `row`, with n_tokens: the length of the library's encoding
+def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, carry: list[str] | None = None) -> DataFrame:
+    """The columns `carry` of each row (all, if not named) as the struct `row`, with n_tokens: the length of the library's encoding
     of the whole text without added begin, end or padding. Null and empty texts have none; special
     strings inside a text count as the library's default has it. Rows are counted alone."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_counted(vocabulary, chunk, overlap), T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType())]))
+    rows = with_text(docs, text_col, carry)
+    return rows.mapInArrow(_counted(vocabulary, chunk, overlap, text_col), T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType())]))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # only the id and the length go along with the text
-    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    slim = rows.select(F.struct("doc_id", "n_bytes").alias("row"), "text")
-    counted = slim.mapInArrow(_counted(vocabulary, CHUNK, OVERLAP), T.StructType([slim.schema["row"], T.StructField("n_tokens", T.LongType())]))
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    counted = count_tokens(sized, vocabulary, carry=["doc_id", "n_bytes"])
     return counted.select("row.doc_id", "row.n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
