@@ -1,13 +1,16 @@
 """Operator 10: best-fit packing with certified bounds.
 
 Partitions of bounded size pack their pieces by best-fit decreasing and hold the number of
-their sequences against lower bounds from dual-feasible functions. Then each gives up its
-least filled sequences, more of them the further it is above its bound; what is given up is
-exchanged over fewer partitions and packed again, until one partition has taken the last of it.
+their sequences against lower bounds from dual-feasible functions. A partition that meets its
+bound is certified and only passes on its least filled sequence, as bounds of several
+partitions are rounded up apart. Each of the others gives up its least filled sequences, more
+of them the further it is above its bound; what is given up is exchanged over fewer partitions
+and packed again, until one partition has taken the last of it.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,20 +21,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, stored, table
+from .common import batches, small_batches, stored, table
 from .tokens import tokenizer
 
 SEQUENCE, PARTITION = 2048, 40_000
-#: Share of a partition's sequences that it gives up each round, besides those above its bound.
+#: Share of its sequences that a partition above its bound gives up each round, besides those above the bound.
 SHARE = 0.1
 #: Words whose ids a worker remembers, through all its tasks.
 WORDS = 1_000_000
 #: Marks after an ASCII letter at a word's end are a pre-token of their own, so they count as a word.
 _TAIL = re.compile(rb"(?<=[A-Za-z])([.,!?;:]+)(?=\s|\Z)")
 
+#: Normalizer and pre-tokenizer (fixed values of the vocabulary file) for which words_of is proven; texts for others are encoded whole.
+PROVEN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+}
+
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
+def by_words(tok) -> bool:
+    """Whether a text's ids are those of `words_of` it: nothing joins over white space, A-Z are lower-cased,
+    runs of letters and of marks are pre-tokens of their own, and special tokens begin with '<|'."""
+    said = json.loads(tok.to_str())
+    first = ((said["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    split = first.get("type") == "Split" and first.get("pattern") == {"Regex": PROVEN["pattern"]} and first.get("behavior") == "Removed" and first.get("invert") is True
+    special = all(t["content"].startswith("<|") and not t["normalized"] for t in said["added_tokens"])
+    return split and said["normalizer"] == PROVEN["normalizer"] and special
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Pieces of a text whose ids do not depend on their neighbours. A-Z are lower-cased, as the vocabulary has it,
     but not in words with '<|': special tokens are matched as written, before the library lower-cases."""
@@ -51,8 +70,19 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         self.tok, self.place = tokenizer(path), {}
+        self.apart = by_words(self.tok)
         self.clear()
 
+    def texts(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text, and the closing 0."""
+        if self.apart:
+            words = [words_of(t) for t in texts]
+            self.learn(set().union(*words))
+            yield from map(self.encode, words)
+        else:
+            for t in texts:
+                yield np.array([*self.tok.encode(t.decode(), add_special_tokens=False).ids, 0], np.uint32)
+
     def clear(self) -> None:
         self.place.clear()
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
@@ -90,11 +120,9 @@ def _cut(path: str, most: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(path)
         for b in batches(rows, 256):
-            texts = [words_of(t or b"") for t in b.column(1).to_pylist()]
             out: list[list] = [[] for _ in range(5)]
-            known.learn(set().union(*texts))
-            for i, words in zip(b.column(0).to_pylist(), texts):
-                ids = known.encode(words).astype("<u4")
+            for i, ids in zip(b.column(0).to_pylist(), known.texts([t or b"" for t in b.column(1).to_pylist()])):
+                ids = ids.astype("<u4", copy=False)
                 for piece, at in enumerate(range(0, len(ids), most)):
                     part = ids[at : at + most]
                     for col, v in zip(out, (i, piece, at, len(part), zlib.crc32(part.tobytes()))):
@@ -108,6 +136,7 @@ def _cut(path: str, most: int):
 def pieces(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids, then 0, cut into pieces of at most `most` ids. A null text is empty: one piece with the 0."""
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(_cut(vocabulary, most), PIECE.format(id=kind))
 
 
@@ -165,39 +194,48 @@ def _packed(most: int, turn: int, last: bool):
         lengths = t.column("length").to_numpy()
         where, offset = best_fit(lengths, most)
         n = int(where.max()) + 1
-        gap = n - bound(np.bincount(lengths, minlength=most + 1), most)
+        least = bound(np.bincount(lengths, minlength=most + 1), most)
+        gap = n - least
         free = np.zeros(n, bool)
         if not last:
             fill = np.bincount(where, lengths, minlength=n)
-            free[np.argsort(fill, kind="stable")[: min(n, 1 + gap + int(SHARE * n))]] = True
+            given = 1 + gap + int(SHARE * n) if gap > 0 else 1
+            free[np.argsort(fill, kind="stable")[: min(n, given)]] = True
         number = (turn << 50) + (TaskContext.get().partitionId() << 25) + where
-        out = t.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset)).append_column("open", pa.array(free[where]))
+        out = t.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
+        for name, value in (("made", n), ("bound", least)):
+            out = out.append_column(name, pa.array(np.full(len(lengths), value, np.int64)))
+        out = out.append_column("open", pa.array(free[where]))
         yield from out.to_batches(max_chunksize=8192)
 
     return run
 
 
 def pack(cut: DataFrame, most: int = SEQUENCE, partition: int = PARTITION) -> DataFrame:
-    """Pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+    """Pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset, and the certificate of the
+    partition that packed them last: the sequences that it made, and the bound below which it could not.
 
     Every piece lies in one sequence, gapless from 0, in sequences of at most `most` ids. Ties
     go by id, piece and checksum; equal rows are packed each. Partitions hold about `partition`
-    pieces, whatever the input; the rounds fall off by SHARE. No pieces give no rows.
+    pieces, whatever the input. What a round passes on falls off by SHARE, so that the twelfth has next to
+    nothing left to pass on and keeps it. No pieces give no rows.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
     left, done, turn = stored(cut, "pieces"), [], 0
     while True:
         n = left.count()
+        if not n and done:
+            break
         parts = max(1, -(-n // partition))
         last = parts == 1 or turn >= 12
         # what one partition holds at most needs no exchange; rows that repeat, or have no id, are dealt by their place in the stored table
         salted = left.withColumn("_row", F.monotonically_increasing_id())
         dealt = left.coalesce(1) if parts == 1 else salted.repartition(parts, F.xxhash64("doc_id", "piece", "length", "ids_crc32", "_row", F.lit(turn))).drop("_row")
-        packed = stored(dealt.mapInArrow(_packed(most, turn, last), f"{schema}, sequence_id long, offset long, open boolean"), f"packed-{turn}")
+        packed = stored(dealt.mapInArrow(_packed(most, turn, last), f"{schema}, sequence_id long, offset long, made long, bound long, open boolean"), f"packed-{turn}")
         done.append(packed.where("NOT open").drop("open"))
         if last:
             break
-        left, turn = packed.where("open").drop("open", "sequence_id", "offset"), turn + 1
+        left, turn = packed.where("open").select(*cut.columns), turn + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
