@@ -119,12 +119,12 @@ WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
 dt AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d),
 bt AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM b),
-eq AS (SELECT doc_id, item_id, n, dt.p - bt.p AS at, bt.p AS k FROM dt JOIN bt USING (w)),
-many AS (SELECT doc_id, item_id, at FROM eq GROUP BY ALL HAVING count(*) >= 8),
-c AS (SELECT doc_id, item_id, n, at, count(*) OVER (PARTITION BY doc_id, item_id, at ORDER BY k RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS c,
-             count(*) OVER (PARTITION BY doc_id, item_id, at) AS n_equal
-      FROM eq SEMI JOIN many USING (doc_id, item_id, at)),
-p AS (SELECT doc_id, item_id, at, max(n_equal) AS n_equal, max(c) / least(13, max(n)) AS overlap FROM c GROUP BY doc_id, item_id, at),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, n_equal DESC, at) AS k FROM p WHERE overlap >= 0.8)
-SELECT doc_id, item_id, at::BIGINT AS at, n_equal::BIGINT AS n_equal, round(overlap, 6) AS overlap FROM r WHERE k = 1
+eq AS (SELECT doc_id, item_id, n, dt.p - bt.p AS place, bt.p AS k FROM dt JOIN bt USING (w)),
+many AS (SELECT doc_id, item_id, place FROM eq GROUP BY ALL HAVING count(*) >= 0.8 * least(13, max(n))),
+c AS (SELECT doc_id, item_id, n, place, count(*) OVER (PARTITION BY doc_id, item_id, place ORDER BY k RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS c,
+             count(*) OVER (PARTITION BY doc_id, item_id, place) AS n_equal
+      FROM eq SEMI JOIN many USING (doc_id, item_id, place)),
+p AS (SELECT doc_id, item_id, place, max(n_equal) AS n_equal, max(c) / least(13, max(n)) AS overlap FROM c GROUP BY doc_id, item_id, place),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, n_equal DESC, place) AS k FROM p WHERE overlap >= 0.8)
+SELECT doc_id, item_id, place::BIGINT AS "at", n_equal::BIGINT AS n_equal, round(overlap, 6) AS overlap FROM r WHERE k = 1
 """
