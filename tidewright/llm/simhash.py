@@ -1,17 +1,21 @@
 """Operator 1: near-duplicates by SimHash, found with a Gray-order hierarchical index.
 
-Fingerprints are rotated so that each of four 16-bit fields comes first once: two
-fingerprints with at most three differing bits agree in one field at least. In each rotation
-the distinct fingerprints are sorted by Gray rank, so all that share the leading field (an
-upper node: mask and pattern of 16 bits) are neighbours. Runs of a node become leaf blocks,
-which keep the mask of the bits that all their members share and those bits' pattern. A
-search goes down pairs of blocks, then pairs of 32-member nodes inside them, and leaves out a
-whole pair once the differing bits counted in the common masks exceed the limit.
+The 64 bits are cut into fields, and put in order so that each choice of all but three fields
+leads once: two fingerprints with at most three differing bits agree in one such choice at
+least. Four fields of 16 bits do while an upper node (a mask and pattern of the leading
+fields) has about a thousand members; more fingerprints take five fields (25 leading bits or
+more, ten orders) or six (31, twenty). In each order the distinct fingerprints are sorted by
+Gray rank, so all that share the leading fields are neighbours. Runs of a node become leaf
+blocks, which keep the mask of the bits that all their members share and those bits' pattern.
+A search goes down pairs of blocks, then pairs of 32-member nodes inside them, and leaves out
+a whole pair once the differing bits counted in the common masks exceed the limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +23,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, spanning, stored, table
+from .common import shared_dir, small_batches, spanning, stored, table
 from .graph import components
 
 SEED, SHINGLE, MAX_DIFF = 42, 3, 3
-FIELDS = (0, 16, 32, 48)
+#: Members that an upper node should have at most, on average; blocks of a node that one task meets at once.
+CROWD, GROUP = 1024, 64
 BLOCK, NODE = 512, 32
-FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A fingerprint of more rows than this gets its class by a broadcast, or of a hundred-thousandth of all rows where that
+#: is more: at most 100,000 fingerprints.
+HOT = 1000
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -55,12 +62,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def rotated(fp: Column, by: Column) -> Column:
-    left = F.call_function("shiftleft", fp, by)
-    return F.when(by == 0, fp).otherwise(left.bitwiseOR(F.call_function("shiftrightunsigned", fp, 64 - by)))
+def orders(n: int, k: int | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The orders of k fields, by default as many as n fingerprints take: (leading bits, fields in order as (first bit from the top, width))."""
+    k = k or next((k for k, lead in ((4, 16), (5, 25)) if n <= CROWD << lead), 6)
+    widths = [64 // k + (i < 64 % k) for i in range(k)]
+    fields = [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+    out = []
+    for chosen in combinations(range(k), k - 3):
+        out.append((sum(widths[i] for i in chosen), [fields[i] for i in chosen] + [fields[i] for i in range(k) if i not in chosen]))
+    return out
+
+
+def arranged(fp: Column, fields: list[tuple[int, int]]) -> Column:
+    """The bits of fp with its fields in another order."""
+    parts, at = [], 64
+    for first, width in fields:
+        at -= width
+        part = F.shiftrightunsigned(fp, 64 - first - width).bitwiseAND(F.lit((1 << width) - 1))
+        parts.append(F.call_function("shiftleft", part, F.lit(at)))
+    return reduce(Column.bitwiseOR, parts)
+
+
+def restored(bits: np.ndarray, fields: list[tuple[int, int]]) -> np.ndarray:
+    """The fingerprints whose bits were arranged."""
+    out, at = np.zeros(len(bits), np.uint64), 64
+    for first, width in fields:
+        at -= width
+        out |= ((bits >> np.uint64(at)) & np.uint64((1 << width) - 1)) << np.uint64(64 - first - width)
+    return out
 
 
 def gray_rank(bits: Column) -> Column:
@@ -99,10 +132,11 @@ def close_pairs(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np
     return i[real], j[real]
 
 
+#: field: number of the order of fields; top: the leading bits.
 _LEAF = "kind int, a long, b long, field int, top long, block string, mask long, pattern long, members binary"
 
 
-def _leaves(most: int):
+def _leaves(most: int, fields: list[list[tuple[int, int]]]):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in the order (field, Gray rank). Yields links inside a block, and the blocks
         of each upper node that has several or may go on in a neighbouring partition."""
@@ -116,8 +150,7 @@ def _leaves(most: int):
             nonlocal serial
             i, j = close_pairs(members, members, most)
             c, r = spanning(i[i < j], j[i < j], len(members))
-            back = np.uint64((64 - key[0]) % 64), np.uint64(key[0])
-            turned = members if not key[0] else (members << back[0]) | (members >> back[1])
+            turned = restored(members, fields[key[0]])
             edges.append((turned[c].view(np.int64), turned[r].view(np.int64)))
             mask, pattern = shared_bits(members)
             serial += 1
@@ -172,22 +205,28 @@ def links(distinct: DataFrame, most: int = MAX_DIFF) -> DataFrame:
 
     Exact: nothing is sampled or capped, an upper node of any size is split into blocks over
     the range partitions, and block pairs are met by an equi-join on the node with the masked
-    difference as its condition. Each block or pair of blocks gives a spanning forest of its
-    links, so that thousands of near copies give thousands of edges and not their square.
+    difference as its condition. A node of more than GROUP blocks is dealt to groups, each of which
+    meets all its blocks in a task of its own. Each block or pair of blocks gives a spanning forest of
+    its links, so that thousands of near copies give thousands of edges and not their square.
     """
     if most > 3:
-        raise ValueError("four fields find up to three differing bits")
-    field = F.explode(F.array(*[F.lit(f) for f in FIELDS])).alias("field")
-    turned = distinct.select("fp", field).select("field", rotated(F.col("fp"), F.col("field")).alias("bits"))
-    ranked = turned.select("field", F.shiftrightunsigned("bits", 48).alias("top"), "bits", gray_rank(F.col("bits")).alias("rank"))
+        raise ValueError("all but three fields find up to three differing bits")
+    ways = orders(distinct.count())
+    fields = [f for _, f in ways]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.lit(64 - lead).alias("rest"), arranged(F.col("fp"), f).alias("bits")) for k, (lead, f) in enumerate(ways)])).alias("w")
+    turned = distinct.select(each).select("w.field", "w.rest", "w.bits")
+    ranked = turned.select("field", F.call_function("shiftrightunsigned", F.col("bits"), F.col("rest")).alias("top"), "bits", gray_rank(F.col("bits")).alias("rank"))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = ranked.repartitionByRange(n, "field", "rank").sortWithinPartitions("field", "rank").select("field", "top", "bits")
-    leaves = stored(ordered.mapInArrow(_leaves(most), _LEAF), "simhash-leaves")
+    leaves = stored(ordered.mapInArrow(_leaves(most, fields), _LEAF), "simhash-leaves")
     near = leaves.where("kind = 1").select("a", "b")
     blocks = leaves.where("kind = 2").select("field", "top", "block", "mask", "pattern", "members")
-    x, y = blocks.alias("x"), blocks.alias("y")
+    sizes = blocks.groupBy("field", "top").count().where(F.col("count") > 1).withColumn("groups", F.ceil(F.col("count") / GROUP).cast("int")).drop("count")
+    dealt = blocks.join(sizes, ["field", "top"]).withColumn("own", F.pmod(F.xxhash64("block"), F.col("groups")).cast("int"))
+    x = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).alias("x")
+    y = dealt.withColumn("to", F.col("own")).alias("y")
     pruned = F.bit_count(F.expr("(x.pattern ^ y.pattern) & x.mask & y.mask")) <= most
-    met = x.join(y, (F.col("x.field") == F.col("y.field")) & (F.col("x.top") == F.col("y.top")) & (F.col("x.block") < F.col("y.block")) & pruned)
+    met = x.join(y, (F.col("x.field") == F.col("y.field")) & (F.col("x.top") == F.col("y.top")) & (F.col("x.to") == F.col("y.to")) & (F.col("x.block") < F.col("y.block")) & pruned)
 
     def across(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -195,10 +234,8 @@ def links(distinct: DataFrame, most: int = MAX_DIFF) -> DataFrame:
                 f, one, two = (b.column(c)[k].as_py() for c in range(3))
                 p, q = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
                 i, j = close_pairs(p, q, most)
-                both = np.concatenate([p, q])
+                both = restored(np.concatenate([p, q]), fields[f])
                 c, r = spanning(i, j + len(p), len(both))
-                if f:
-                    both = (both << np.uint64(64 - f)) | (both >> np.uint64(f))
                 yield pa.RecordBatch.from_arrays([pa.array(both[c].view(np.int64)), pa.array(both[r].view(np.int64))], ["a", "b"])
 
     far = met.select("x.field", F.col("x.members"), F.col("y.members").alias("others")).mapInArrow(across, "a long, b long")
@@ -215,12 +252,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     shared_dir(docs.sparkSession)
     fps = stored(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-distinct")
     star = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
     group = star.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("of_root"))
     named = star.join(group, "root").select("fp", "of_root")
-    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = stored(distinct.join(named, "fp", "left").select("fp", "rows", F.coalesce("of_root", "least").alias("component_id")), "simhash-classes")
+    # the few fingerprints of very many rows do not meet their rows by a shuffle
+    many = F.col("rows") > max(HOT, fps.count() // 100_000)
+    marked = fps.join(F.broadcast(classes.where(many).select("fp", "component_id", F.lit(True).alias("hot"))), "fp", "left")
+    rest = marked.where("hot IS NULL").select("doc_id", "fp").join(classes.where(~many).select("fp", "component_id"), "fp")
+    found = marked.where("hot").select("doc_id", "fp", "component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
