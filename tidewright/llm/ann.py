@@ -3,10 +3,11 @@
 Unit vectors are projected to AXES random directions, once for each of CURVES curves; every
 curve has directions and a shift of its own. Coordinates become ranks in a bounded sample,
 then BITS bits, then the place on a Hilbert curve. Spark range-partitions all vectors by curve
-and place and packs neighbours into chunks; a query looks at the chunks of its key window on
-every curve, and the windows' best candidates are merged and scored again on the original
-vectors. How wide the windows must be depends on the data alone: the fit measures, on the
-sample, the share of a curve's order within which true neighbours lie.
+and place and packs neighbours into chunks of bounded size, numbered along their curve; a query
+looks at the chunks of its window on every curve, and the windows' best candidates are merged
+and scored again on the original vectors. How wide the windows must be is measured: a bounded
+number of trial vectors is held against all rows in one pass, and the window is the least that
+reaches the aimed share of their true neighbours in the index as it is.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import batches, shared_dir, stored, table
 
 CURVES, AXES, BITS, TOP = 6, 5, 8, 5
-#: Bounds of the fit: vectors in the sample, queries among them; recall that its windows must have there.
+#: Bounds of the fit: vectors in the sample, trial vectors; share of the trials' true neighbours that lie in the windows.
 SAMPLE, TRIALS, AIM = 4096, 256, 0.97
-#: Cells of a curve, of equal share in the sample; vectors of a chunk; copies of a vector that can matter.
-CELLS, CHUNK, SEED = 64, 1024, 17
+#: Vectors of a chunk.
+CHUNK, SEED = 1024, 17
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -56,7 +57,7 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Directions, shifts, rank tables and cell borders of all curves, and the window found by the fit."""
+    """Directions, shifts and rank tables of all curves."""
 
     def __init__(self, sample: np.ndarray) -> None:
         """sample: (n, d) unit vectors."""
@@ -66,37 +67,22 @@ class Curves:
         self.directions = [np.linalg.qr(rng.normal(size=(d, d)))[0][:, : self.axes] for _ in range(CURVES)]
         self.ranks = [np.sort(sample @ w, axis=0) for w in self.directions]
         self.shifts = rng.uniform(0, 1, (CURVES, self.axes))
-        keys = [self.keys(sample, c) for c in range(CURVES)]
-        self.borders = [np.unique(np.sort(k)[np.arange(1, CELLS) * len(k) // CELLS]) for k in keys]
-        cells = np.stack([self.cells(k, c) for c, k in enumerate(keys)])
-        self.window = self._window(sample, cells)
 
     def keys(self, unit: np.ndarray, c: int) -> np.ndarray:
         p, n = unit @ self.directions[c], len(self.ranks[c])
         share = np.stack([np.searchsorted(self.ranks[c][:, a], p[:, a]) / n for a in range(self.axes)], 1)
         return hilbert(((share + self.shifts[c]) / 2 * (1 << BITS)).astype(np.int64).clip(0, (1 << BITS) - 1), BITS)
 
-    def cells(self, keys: np.ndarray, c: int) -> np.ndarray:
-        return np.searchsorted(self.borders[c], keys, "right")
-
-    def _window(self, sample: np.ndarray, cells: np.ndarray) -> int:
-        """Cells to each side, so that the nearest lie in some curve's window for AIM of the sample's pairs."""
-        some = np.arange(0, len(sample), max(1, len(sample) // TRIALS))
-        near = sample[some] @ sample.T
-        near[np.arange(len(some)), some] = -np.inf
-        top = np.argsort(-near, axis=1)[:, : min(TOP, len(sample) - 1)]
-        if not top.size:
-            return CELLS
-        gap = np.abs(cells[:, some][:, :, None] - cells[:, top]).min(0).ravel()
-        return int(np.sort(gap)[min(len(gap) - 1, int(np.ceil(AIM * len(gap))))])
-
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): rows whose vector is not null, not zero and without null or non-finite components."""
+    """(vec_id, v): rows whose vector is not null, not zero, without null or non-finite components, and of the length
+    that most such rows have (of two, the shorter)."""
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
+    good = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
+    usual = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return good.where(F.size("v") == (usual.d if usual else 0))
 
 
 def matrix(column) -> np.ndarray:
@@ -123,58 +109,62 @@ def _keyed(curves: Curves):
             unit = x / np.sqrt((x * x).sum(1))[:, None]
             for c in range(CURVES):
                 k = curves.keys(unit, c)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), c, np.int32)), pa.array(curves.cells(k, c).astype(np.int32)), pa.array(k), b.column(0), b.column(1)], ["curve", "cell", "key", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), c, np.int32)), pa.array(k), *b.columns], ["curve", "key", "vec_id", "v", "asked"])
 
     return run
 
 
 def _chunked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows -> one row for each chunk: its curve, cell, ids and vectors as bytes."""
+    """Sorted rows -> one row for each chunk: its curve, partition and number there, ids and vectors as bytes, and the
+    places of those that are asked for."""
     from pyspark import TaskContext
 
-    at, ids, parts, serial = None, [], [], 0
+    part, at, serial, held = TaskContext.get().partitionId(), None, 0, []
 
     def chunk():
-        nonlocal serial
+        nonlocal serial, held
+        i, x, asked = (np.concatenate(c) for c in zip(*held))
+        held = []
         serial += 1
-        i, x = np.concatenate(ids), np.concatenate(parts)
-        ids.clear()
-        parts.clear()
-        name = (TaskContext.get().partitionId() << 24) + serial
-        return pa.RecordBatch.from_pydict({"curve": pa.array([at[0]], pa.int32()), "cell": pa.array([at[1]], pa.int32()), "chunk": [name], "ids": [i.tobytes()], "vectors": [x.tobytes()]})
+        return pa.RecordBatch.from_pydict({"curve": pa.array([at], pa.int32()), "part": pa.array([part], pa.int32()), "serial": pa.array([serial - 1], pa.int64()), "ids": [i.tobytes()], "vectors": [x.tobytes()], "asked": [np.flatnonzero(asked).astype(np.int32).tobytes()]})
 
     for b in batches(rows, CHUNK):
-        curve, cell = (b.column(k).to_numpy() for k in range(2))
-        i, x = b.column(2).to_numpy(), matrix(b.column(3))
-        cut = np.flatnonzero((np.diff(curve) != 0) | (np.diff(cell) != 0)) + 1
+        curve, i, x, asked = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2)), b.column(3).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.diff(curve) != 0) + 1
         for s, e in zip([0, *cut], [*cut, len(i)]):
-            if ids and (at != (int(curve[s]), int(cell[s])) or sum(map(len, ids)) + e - s > CHUNK):
+            if held and (at != int(curve[s]) or sum(len(h[0]) for h in held) + e - s > CHUNK):
                 yield chunk()
-            at = int(curve[s]), int(cell[s])
-            ids.append(i[s:e])
-            parts.append(x[s:e])
-    if ids:
+            if at != int(curve[s]):
+                at, serial = int(curve[s]), 0
+            held.append((i[s:e], x[s:e], asked[s:e]))
+    if held:
         yield chunk()
 
 
 def chunks(rows: DataFrame, curves: Curves) -> DataFrame:
+    """(curve, place, ids, vectors, asked): chunks numbered along each curve, over the borders of partitions."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.select("vec_id", "v").mapInArrow(_keyed(curves), "curve int, cell int, key long, vec_id long, v array<double>")
+    keyed = rows.select("vec_id", "v", "asked").mapInArrow(_keyed(curves), "curve int, key long, vec_id long, v array<double>, asked boolean")
     ordered = keyed.repartitionByRange(n, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
-    return ordered.select("curve", "cell", "vec_id", "v").mapInArrow(_chunked, "curve int, cell int, chunk long, ids binary, vectors binary")
+    packed = stored(ordered.select("curve", "vec_id", "v", "asked").mapInArrow(_chunked, "curve int, part int, serial long, ids binary, vectors binary, asked binary"), "chunks")
+    # one row a partition and curve: how many chunks lie before its own
+    counts = packed.groupBy("curve", "part").count()
+    before = F.sum("count").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("curve", "part", F.coalesce(before, F.lit(0)).alias("start"))
+    placed = packed.join(F.broadcast(starts), ["curve", "part"])
+    return placed.select("curve", (F.col("start") + F.col("serial")).alias("place"), "ids", "vectors", "asked")
 
 
 def best_pairs(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, vector ids, cosines): for each query at least its `top` nearest among x but itself.
+    """(query ids, vector ids, cosines): for each query at least its `top` nearest among x, itself too if it is there.
     Products find them; the value is then computed pair by pair, so that equal vectors score the same anywhere."""
     qn, xn = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
     near = (q / qn[:, None]) @ (x / xn[:, None]).T
-    near[qi[:, None] == xi[None]] = -np.inf
     if near.shape[1] > top:
         least = -np.partition(-near, top - 1, axis=1)[:, top - 1]
     else:
         least = np.full(len(q), -2.0)
-    i, j = np.nonzero(near >= np.maximum(least - 1e-12, -2)[:, None])
+    i, j = np.nonzero(near >= (least - 1e-12)[:, None])
     score = (q[i] * x[j]).sum(1) / (qn[i] * xn[j])
     order = np.lexsort((xi[j], -score, i))
     i, j, score = i[order], j[order], score[order]
@@ -183,25 +173,84 @@ def best_pairs(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray, top
     return qi[i[keep]], xi[j[keep]], score[keep]
 
 
+def _held(batch: pa.RecordBatch, k: int, ids: int, vectors: int) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(batch.column(ids)[k].as_py(), np.int64)
+    return i, np.frombuffer(batch.column(vectors)[k].as_py(), float).reshape(len(i), -1)
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
 def _searched(top: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for k in range(b.num_rows):
-                qi, q, xi, x = (np.frombuffer(b.column(c)[k].as_py(), t) for c, t in enumerate((np.int64, float, np.int64, float)))
-                a, v, s = best_pairs(q.reshape(len(qi), -1), x.reshape(len(xi), -1), qi, xi, top)
+                (qi, q), (xi, x) = _held(b, k, 0, 1), _held(b, k, 2, 3)
+                a, v, s = best_pairs(q, x, qi, xi, top)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
     return run
 
 
+def _against_all(qi: np.ndarray, q: np.ndarray, top: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nearest of a partition's vectors for each of a few queries: one row each at the end."""
+        a, v, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for b in rows:
+            for k in range(b.num_rows):
+                xi, x = _held(b, k, 0, 1)
+                found = best_pairs(q, x, qi, xi, top)
+                a, v, s = (np.concatenate(c) for c in zip((a, v, s), found))
+                order = np.lexsort((v, -s, a))
+                a, v, s = a[order], v[order], s[order]
+                keep = np.arange(len(a)) - np.searchsorted(a, a, "left") < top
+                a, v, s = a[keep], v[keep], s[keep]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _where(ids: np.ndarray):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(curve, place, vec_id) of a few vectors."""
+        for b in rows:
+            for k in range(b.num_rows):
+                here = np.intersect1d(np.frombuffer(b.column(2)[k].as_py(), np.int64), ids)
+                if len(here):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), b.column(0)[k].as_py(), np.int32)), pa.array(np.full(len(here), b.column(1)[k].as_py(), np.int64)), pa.array(here)], ["curve", "place", "vec_id"])
+
+    return run
+
+
+def window(index: DataFrame, some: DataFrame, top: int, aim: float = AIM) -> int:
+    """Chunks to each side that the index must be searched, so that `aim` of the true neighbours of `some` vectors
+    (vec_id, v; at most TRIALS) lie in some curve's window. All rows are compared with them, in one pass."""
+    few = some.limit(TRIALS).collect()
+    if not few:
+        return 0
+    qi, q = np.array([r.vec_id for r in few], np.int64), np.array([r.v for r in few])
+    order = np.argsort(qi)
+    true = index.where("curve = 0").select("ids", "vectors").mapInArrow(_against_all(qi[order], q[order], top), FOUND)
+    ranked = true.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("k") <= top)
+    pairs = [(r.query_id, r.vec_id) for r in ranked.collect()]  # TRIALS * top at most
+    ids = np.unique(np.array(pairs, np.int64))
+    at = {}
+    for r in index.select("curve", "place", "ids").mapInArrow(_where(ids), "curve int, place long, vec_id long").collect():
+        at.setdefault(r.vec_id, {})[r.curve] = r.place
+    gaps = sorted(min(abs(at[a][c] - at[b][c]) for c in range(CURVES)) for a, b in pairs)
+    return int(gaps[min(len(gaps) - 1, int(np.ceil(aim * len(gaps))))])
+
+
 def nearest(vectors: DataFrame, every: int, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of the rows whose id `every` divides.
 
     All rows but the query's own are candidates. Nearness is the cosine of the original vectors in
     double precision, ties to the smaller id; with fewer candidates in the windows there are fewer
-    rows. Rows with a null id, or whose vector is null, zero or not finite, take no part. Of
-    equal vectors the top + 1 with the smallest ids are indexed: the others could only tie behind
-    them. All vectors must have one length; rows that repeat an id count once.
+    rows. Rows with a null id, or whose vector is null, zero or not finite, take no part, nor do rows of
+    another length than most. Of equal vectors the top + 1 with the smallest ids are indexed: the others could
+    only tie behind them; the first of them is searched for, and all queries with that vector share what it finds.
+    Rows that repeat an id count once.
     """
     spark = vectors.sparkSession
     shared_dir(spark)
@@ -212,16 +261,33 @@ def nearest(vectors: DataFrame, every: int, top: int = TOP, id_col: str = "vec_i
     # a hot vector's copies are thinned in two steps, the first one dealt out by the id
     salted = Window.partitionBy("v", F.pmod("vec_id", F.lit(64))).orderBy("vec_id")
     some = good.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= top + 1)
+    queries = good.where(F.col("vec_id") % every == 0)
+    wanted = queries.select("v").distinct().withColumn("q", F.lit(True))
     few = some.withColumn("k", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("k") <= top + 1)
-    index = stored(chunks(few, curves), "index")
-    asked = chunks(good.where(F.col("vec_id") % every == 0), curves).select("curve", "cell", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    w = curves.window
-    reach = asked.select("curve", F.explode(F.sequence(F.col("cell") - w, F.col("cell") + w)).alias("cell"), "q_ids", "q_vectors")
-    met = reach.join(index.hint("shuffle_merge"), ["curve", "cell"]).select("q_ids", "q_vectors", "ids", "vectors")
-    found = met.mapInArrow(_searched(top), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    flagged = few.join(wanted, "v", "left").select("vec_id", "v", (F.col("q").isNotNull() & (F.col("k") == 1)).alias("asked"))
+    marked = stored(flagged, "marked")
+    index = stored(chunks(marked, curves), "index")
+    heads = marked.where("asked")
+    w = window(index, heads.orderBy(F.xxhash64("vec_id", F.lit(SEED))).select("vec_id", "v"), top + 1)
+
+    def asking(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for k in range(b.num_rows):
+                i, x = _held(b, k, 2, 3)
+                at = np.frombuffer(b.column(4)[k].as_py(), np.int32)
+                yield pa.RecordBatch.from_pydict({"curve": pa.array([b.column(0)[k].as_py()], pa.int32()), "place": pa.array([b.column(1)[k].as_py()], pa.int64()), "q_ids": [i[at].tobytes()], "q_vectors": [x[at].tobytes()]})
+
+    asked = index.where(F.length("asked") > 0).mapInArrow(asking, "curve int, place long, q_ids binary, q_vectors binary")
+    reach = asked.select("curve", F.explode(F.sequence(F.col("place") - w, F.col("place") + w)).alias("place"), "q_ids", "q_vectors")
+    met = reach.join(index.select("curve", "place", "ids", "vectors").hint("shuffle_merge"), ["curve", "place"]).select("q_ids", "q_vectors", "ids", "vectors")
+    found = met.mapInArrow(_searched(top + 1), FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = found.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("k") <= top + 1)
+    lists = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("k", "vec_id", "score"))).alias("list"))
+    # every query has the list of its vector's first copy, without itself
+    shared = heads.join(lists, heads["vec_id"] == lists["query_id"]).select("v", "list")
+    own = queries.join(shared, "v").select(F.col("vec_id").alias("query_id"), F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("vec_id")), 1, top).alias("list"))
+    each = own.select("query_id", F.posexplode("list").alias("rank", "x"))
+    return each.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
