@@ -9,6 +9,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_quotation_linking": quotes.op6_quotation_linking,
+    "quoted_replies": quotes.quoted_replies,
     "op7_lm_scoring": hmm.op7_lm_scoring,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_language_id": langid.op9_language_id,
@@ -19,4 +20,5 @@ ORACLE = {
     "op2_substring_dedup": substring.OP2_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
     "op6_quotation_linking": quotes.OP6_SQL,
+    "quoted_replies": quotes.QUOTED_SQL,
 }
