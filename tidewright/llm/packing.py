@@ -1,11 +1,12 @@
 """Operator 10: best-fit packing with certified bounds.
 
 Partitions of bounded size pack their pieces by best-fit decreasing and hold the number of
-their sequences against lower bounds from dual-feasible functions. A partition that meets its
-bound is certified and only passes on its least filled sequence, as bounds of several
-partitions are rounded up apart. Each of the others gives up its least filled sequences, more
-of them the further it is above its bound; what is given up is exchanged over fewer partitions
-and packed again, until one partition has taken the last of it.
+their sequences against lower bounds from dual-feasible functions. If all together meet the
+bound of the whole, nothing can be better and the packing is done. Otherwise partitions with a
+gap (more sequences than their ids would fill) give up their least filled sequences, more of
+them the further they are above their own bound, and the others pass on their remainder only;
+what is given up is exchanged over fewer partitions and packed again, until one partition has
+taken the last of it.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from .common import batches, small_batches, stored, table
 from .tokens import tokenizer
 
 SEQUENCE, PARTITION = 2048, 40_000
-#: Share of its sequences that a partition above its bound gives up each round, besides those above the bound.
+#: Share of its sequences that a partition with a gap gives up each round, besides those above its bound.
 SHARE = 0.1
 #: Words whose ids a worker remembers, through all its tasks.
 WORDS = 1_000_000
@@ -51,6 +53,17 @@ def by_words(tok) -> bool:
     return split and said["normalizer"] == PROVEN["normalizer"] and special
 
 
+def word_lists(texts: pa.Array) -> pa.ListArray:
+    """The words of `words_of` for an array of strings, by Arrow's kernels; empty strings may stand among them."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    marked = pc.match_substring(texts, "<|")
+    plain = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=r"([a-z])([.,!?;:]+)([\x09-\x0D ]|\z)", replacement=r"\1 \2\3")
+    if pc.any(marked).as_py():
+        special = [b" ".join(words_of(t.as_py().encode())).decode() for t in texts.filter(marked)]
+        plain = pc.replace_with_mask(plain, marked, pa.array(special, pa.string()))
+    return pc.ascii_split_whitespace(plain)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Pieces of a text whose ids do not depend on their neighbours. A-Z are lower-cased, as the vocabulary has it,
     but not in words with '<|': special tokens are matched as written, before the library lower-cases."""
@@ -73,55 +86,58 @@ class WordIds:
         self.apart = by_words(self.tok)
         self.clear()
 
-    def texts(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+    def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, and the closing 0."""
-        if self.apart:
-            words = [words_of(t) for t in texts]
-            self.learn(set().union(*words))
-            yield from map(self.encode, words)
-        else:
+        if not self.apart:
             for t in texts:
-                yield np.array([*self.tok.encode(t.decode(), add_special_tokens=False).ids, 0], np.uint32)
+                yield np.array([*self.tok.encode(t.as_py() or "", add_special_tokens=False).ids, 0], np.uint32)
+            return
+        lists = word_lists(texts)
+        coded = lists.flatten().dictionary_encode()
+        number = self.learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        size = self.size[number]
+        ends = np.r_[0, np.cumsum(size)]
+        ids = self.ids[np.repeat(self.start[number] - ends[:-1], size) + np.arange(ends[-1])]
+        at = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield np.append(ids[s:e], np.uint32(0))
+
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        """The ids of words in turn, and the closing 0."""
+        number = self.learn(words)
+        return np.concatenate([*(self.ids[a : a + n] for a, n in zip(self.start[number], self.size[number])), np.zeros(1, np.uint32)])
 
     def clear(self) -> None:
         self.place.clear()
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.place]
-        if len(self.place) + len(new) > WORDS and self.place:
+    def learn(self, words: Iterable[str | bytes]) -> np.ndarray:
+        """The numbers of words, those of new ones after they were encoded."""
+        place, words = self.place, [w.decode() if isinstance(w, bytes) else w for w in words]
+        new = list(dict.fromkeys(w for w in words if w not in place))
+        if len(place) + len(new) > WORDS and place:
             self.clear()
-            new = list(words)
+            new = list(dict.fromkeys(words))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                ids, k = e.ids, len(self.place)
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                ids, k = e.ids, len(place)
                 while self.used + len(ids) > len(self.ids):
                     self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
                 if k >= len(self.start):
                     self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
                 self.ids[self.used : self.used + len(ids)] = ids
-                self.place[w], self.start[k], self.size[k] = k, self.used, len(ids)
+                place[w], self.start[k], self.size[k] = k, self.used, len(ids)
                 self.used += len(ids)
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        """Ids of words that were learned, and the closing 0."""
-        k = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        size = self.size[k]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        out = np.zeros(total + 1, np.uint32)
-        out[:total] = self.ids[np.repeat(self.start[k] - (ends - size), size) + np.arange(total)]
-        return out
-
+        return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
 
 def _cut(path: str, most: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(path)
-        for b in batches(rows, 256):
+        for b in batches(rows, 1024):
             out: list[list] = [[] for _ in range(5)]
-            for i, ids in zip(b.column(0).to_pylist(), known.texts([t or b"" for t in b.column(1).to_pylist()])):
+            for i, ids in zip(b.column(0).to_pylist(), known.texts(b.column(1))):
                 ids = ids.astype("<u4", copy=False)
                 for piece, at in enumerate(range(0, len(ids), most)):
                     part = ids[at : at + most]
@@ -137,7 +153,7 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = SEQUENCE, id_col: str =
     """Each document's ids, then 0, cut into pieces of at most `most` ids. A null text is empty: one piece with the 0."""
     kind = docs.schema[id_col].dataType.simpleString()
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(_cut(vocabulary, most), PIECE.format(id=kind))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(_cut(vocabulary, most), PIECE.format(id=kind))
 
 
 def best_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,11 +211,10 @@ def _packed(most: int, turn: int, last: bool):
         where, offset = best_fit(lengths, most)
         n = int(where.max()) + 1
         least = bound(np.bincount(lengths, minlength=most + 1), most)
-        gap = n - least
         free = np.zeros(n, bool)
         if not last:
             fill = np.bincount(where, lengths, minlength=n)
-            given = 1 + gap + int(SHARE * n) if gap > 0 else 1
+            given = 1 + (n - least) + int(SHARE * n) if n * most - int(lengths.sum()) >= most else 1
             free[np.argsort(fill, kind="stable")[: min(n, given)]] = True
         number = (turn << 50) + (TaskContext.get().partitionId() << 25) + where
         out = t.append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
@@ -222,6 +237,7 @@ def pack(cut: DataFrame, most: int = SEQUENCE, partition: int = PARTITION) -> Da
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
     left, done, turn = stored(cut, "pieces"), [], 0
+    least, made = _bound_of(left, most), 0
     while True:
         n = left.count()
         if not n and done:
@@ -232,9 +248,13 @@ def pack(cut: DataFrame, most: int = SEQUENCE, partition: int = PARTITION) -> Da
         salted = left.withColumn("_row", F.monotonically_increasing_id())
         dealt = left.coalesce(1) if parts == 1 else salted.repartition(parts, F.xxhash64("doc_id", "piece", "length", "ids_crc32", "_row", F.lit(turn))).drop("_row")
         packed = stored(dealt.mapInArrow(_packed(most, turn, last), f"{schema}, sequence_id long, offset long, made long, bound long, open boolean"), f"packed-{turn}")
-        done.append(packed.where("NOT open").drop("open"))
-        if last:
+        # a sequence begins at offset 0 and is open or closed as a whole
+        count = dict(packed.where("offset = 0").groupBy("open").count().collect())
+        if last or made + sum(count.values()) <= least:
+            done.append(packed.drop("open"))
             break
+        done.append(packed.where("NOT open").drop("open"))
+        made += count.get(False, 0)
         left, turn = packed.where("open").select(*cut.columns), turn + 1
     out = done[0]
     for d in done[1:]:
@@ -242,12 +262,17 @@ def pack(cut: DataFrame, most: int = SEQUENCE, partition: int = PARTITION) -> Da
     return out
 
 
-def certificate(packed: DataFrame, most: int = SEQUENCE) -> tuple[int, int]:
-    """(sequences, lower bound) of a whole packing, from the histogram of at most `most` lengths."""
+def _bound_of(pieces: DataFrame, most: int) -> int:
+    """The lower bound of all pieces, from the histogram of at most `most` lengths."""
     histogram = np.zeros(most + 1, np.int64)
-    for r in packed.groupBy("length").count().collect():
+    for r in pieces.groupBy("length").count().collect():
         histogram[r[0]] = r[1]
-    return packed.select("sequence_id").distinct().count(), bound(histogram, most)
+    return bound(histogram, most)
+
+
+def certificate(packed: DataFrame, most: int = SEQUENCE) -> tuple[int, int]:
+    """(sequences, lower bound) of a whole packing."""
+    return packed.where("offset = 0").count(), _bound_of(packed, most)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
