@@ -116,25 +116,24 @@ def _sampled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS) -> Network | None:
-    """Fit on about `per_lang` documents of each language, chosen by a hash of id and text, and at most
+    """Fit on about `per_lang` documents of each language, chosen by a hash of id and text, one at least, and at most
     WINDOWS windows of each, spread over the text. Every label is learned; where they are so many that the
     sample would exceed SAMPLE documents, each has fewer. Rows with a null id count like any other, rows that
     repeat count once. None if nothing is labelled."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.where("lang IS NOT NULL AND length(text) > 0").groupBy("lang").count()
-    labels = sorted(r.lang for r in counts.select("lang").collect())
-    if not labels:
+    rows = rows.where("lang IS NOT NULL AND length(text) > 0").withColumn("pick", F.xxhash64("doc_id", "text"))
+    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("pick").alias("n"), F.min("pick").alias("first")).collect()  # one row a label
+    if not kinds:
         return None
-    each = min(per_lang, max(1, SAMPLE // len(labels)))
-    shares = counts.select("lang", (F.lit(1e9 * each) / F.col("count")).alias("share"))
-    pick = F.xxhash64("doc_id", "text")
-    few = rows.where(F.length("text") > 0).withColumn("pick", pick).join(F.broadcast(shares), "lang").where(F.pmod("pick", F.lit(10**9)) < F.col("share"))
+    each = min(per_lang, max(1, SAMPLE // len(kinds)))
+    shares = docs.sparkSession.createDataFrame([(r.lang, 1e9 * each / max(1, r.n), r.first) for r in kinds], "lang string, share double, first long")
+    few = rows.join(F.broadcast(shares), "lang").where((F.pmod("pick", F.lit(10**9)) < F.col("share")) | (F.col("pick") == F.col("first")))
     once = few.groupBy("lang", "pick").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     got = once.select("pick", "text", "lang").mapInArrow(_sampled, "doc_id long, lang string, part binary").collect()
     got.sort(key=lambda r: (r.lang, r.doc_id, r.part))
     labels = sorted({r.lang for r in got})
     number = {lang: k for k, lang in enumerate(labels)}
-    return Network(labels).fit(np.stack([np.frombuffer(r.part, np.uint8) for r in got]), np.array([number[r.lang] for r in got])) if got else None
+    return Network(labels).fit(np.stack([np.frombuffer(r.part, np.uint8) for r in got]), np.array([number[r.lang] for r in got]))
 
 
 def certain(score: Column, net: Network | None, least: float = REJECT) -> Column:
