@@ -14,11 +14,11 @@ VOCABULARY = "word_bpe_49k.json"
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language the network names with some certainty; `und` and doubtful ones
-    go. lang becomes the prediction where it was null."""
-    named = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    found = langid.identify(named, langid.train(named))
-    sure = found.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.REJECT))
-    return sure.select("row.doc_id", "row.text", F.coalesce("row.lang", "lang_pred").alias("lang"), "row.source", "row.n_chars")
+    go. lang becomes the prediction where it was null. All columns of docs stay."""
+    net = langid.train(docs)
+    found = langid.identify(docs, net)
+    sure = found.where((F.col("lang_pred") != "und") & langid.certain(F.col("score"), net))
+    return sure.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +31,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out spans of 50 words and more that an earlier document has; documents with nothing left
-    go, those that lost nothing keep their text as it was."""
-    cut = substring.substring_dedup(docs)
+    go, those that lost nothing keep their text as it was. Columns but text and n_chars stay as they are."""
+    cut = substring.substring_dedup(docs, only_cut=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
     left = cut.where(F.col("n_removed") < F.greatest("n_words", F.lit(1)))
     n = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
-    return left.select("row.doc_id", text.alias("text"), "row.lang", "row.source", n.alias("n_chars"))
+    new = {"text": text, "n_chars": n}
+    return left.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold an item of the benchmark table."""
-    hit = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), least=1).select("doc_id", "th").distinct()
-    marked = docs.withColumn("th", F.xxhash64("text"))
-    return marked.join(hit, ["doc_id", "th"], "left_anti").select(*docs.columns)
+    hit = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), least=1).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    same = docs["doc_id"].eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"]) == hit["_th"])
+    return docs.join(hit, same, "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,10 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """The folder that driver and executors share; one of this machine only where a local session names none."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jdir.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = jdir.get() if jdir.isDefined() else "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -27,10 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables below the shared one; it is deleted when the driver ends."""
+    where = f"{shared_dir(spark)}/tidewright-{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(where)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return where
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and
     the table survives the loss of any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -65,11 +65,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     if the item is shorter), `share` at least; at is the document's token number under the item's
     first; n_equal counts equal tokens along the whole item. th is xxhash64 of the text, to tell rows
     of one id apart; rows that repeat give one. Null texts and items, and items under `least` tokens,
-    match nothing. Masks are made for the lengths that the items have. Only the named columns are read.
+    match nothing; a null id is kept. Masks are made for the lengths that the items have. Only the named columns are read.
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where("text IS NOT NULL")
+    # within a struct a null id is a value like any other
+    base = docs.select(F.struct("doc_id").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("text IS NOT NULL")
     items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
     items = items.where(F.size(tokens(F.col("text"))) >= max(least, 1))
     item_tokens = items.select("item_id", tokens(F.col("text")).alias("item"))
@@ -105,7 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     good = scored.where(F.col("overlap") >= share)
     top = F.max(F.struct("overlap", "n_equal", (-F.col("at")).alias("back"))).alias("b")
     one = good.groupBy("doc_id", "th", "item_id").agg(top)
-    return one.select("doc_id", "item_id", "th", (-F.col("b.back")).alias("at"), F.col("b.n_equal").alias("n_equal"), F.col("b.overlap").alias("overlap"))
+    return one.select("doc_id.doc_id", "item_id", "th", (-F.col("b.back")).alias("at"), F.col("b.n_equal").alias("n_equal"), F.col("b.overlap").alias("overlap"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
