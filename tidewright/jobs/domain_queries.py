@@ -8,7 +8,7 @@ from ..functions import verdicts
 from ..operators import domains, grouped, prepare, structure, windows
 from ..sources import sinks
 from .prepare_queries import _TIMES, event_times
-from .registry import DAY, DFA, EV, HEALTH, LAW, SIGNAL, SU, US, daily_orders, event_series, query, round_all, supplier_series, table
+from .registry import DAY, DFA, DFA_SHORT, EV, HEALTH, LAW, SIGNAL, SU, US, daily_orders, event_series, query, round_all, supplier_series, table
 
 K = ["series_id"]
 
@@ -20,7 +20,8 @@ def dfa2_grouped(spark, sf):
 
 @query("dfa12_prove_structure")
 def dfa12(spark, sf):
-    return round_all(grouped.prove_structure(event_series(spark, sf), K))
+    """The fixed shuffle walks a series from its end, so a series is one array: users' series, which are short."""
+    return round_all(grouped.prove_structure(event_series(spark, sf, "user_id"), K))
 
 
 @query("dfa12_prove_structure_by_hash", f"WITH {EV}, {DFA('ev', 'd')} SELECT k AS series_id, round(alpha, 6) AS alpha, true AS shuffled FROM d")
@@ -55,13 +56,25 @@ def snk6(spark, sf):
     return round_all(sinks.report_table(structure.analyze(event_series(spark, sf, "user_id"), K), "series_id"))
 
 
-@query("pre13_sentence_lengths")
+#: Sentence lengths: candidates are folded so that no sentence is under three characters.
+_SL = r"""sl0 AS (SELECT doc_id AS k, replace(coalesce(text, ''), chr(13), '') AS t FROM documents),
+sl1 AS (SELECT k, length(t) AS n, string_split(t, '') AS c FROM sl0),
+sl2 AS (SELECT k, n, list_filter(range(1, n + 1), lambda i: c[i] IN ('.', '!', '?') AND (i = n OR c[i + 1] IN ('"', chr(39)) OR regexp_full_match(c[i + 1], '[\s\x0B\x85\p{Z}]'))) AS ends FROM sl1),
+sl3 AS (SELECT k, n, list_reduce(list_concat([[0::BIGINT]], list_transform(ends, lambda x: [x])), lambda a, x: CASE WHEN x[1] - a[len(a)] >= 3 THEN list_concat(a, x) ELSE a END) AS e FROM sl2),
+sl4 AS (SELECT k, CASE WHEN n - e[len(e)] >= 10 THEN list_append(e, n) ELSE e END AS e FROM sl3),
+sl AS (SELECT k, i - 1 AS t, (e[i + 1] - e[i])::DOUBLE AS v FROM (SELECT k, e, unnest(range(1, len(e))) AS i FROM sl4))"""
+
+
+TEXT_TAG = "CASE WHEN c >= 64 AND r2 > 0.5 THEN CASE WHEN alpha > 0.7 THEN 'strong' WHEN alpha > 0.55 THEN 'moderate' ELSE 'uniform' END END"
+
+
+@query("pre13_sentence_lengths", f"WITH {_SL} SELECT k AS doc_id, count(*) AS sentences, sum(v)::BIGINT AS characters, max(v)::BIGINT AS longest FROM sl GROUP BY k")
 def pre13(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(domains.sentence_lengths("text")).alias("tick", "length"))
     return d.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("length").alias("characters"), F.max("length").alias("longest"))
 
 
-@query("dom1_text_structure")
+@query("dom1_text_structure", f"WITH {_SL}, {DFA('sl', 'd')}, m AS (SELECT k, count(*) AS c, avg(v) AS m FROM sl GROUP BY k), j AS (SELECT doc_id, coalesce(c, 0) AS c, coalesce(m, 0) AS m, coalesce(alpha, 0.5) AS alpha, coalesce(r2, 0) AS r2 FROM documents LEFT JOIN m ON m.k = doc_id LEFT JOIN d ON d.k = doc_id) SELECT doc_id, c AS sentences, round(m, 6) AS mean_length, round(alpha, 6) AS alpha, round(r2, 6) AS r2, {TEXT_TAG} AS tag FROM j")
 def dom1(spark, sf):
     return round_all(domains.text_structure(table(spark, sf, "documents"), "doc_id", "text"))
 
@@ -107,7 +120,7 @@ def dom7(spark, sf):
     return h.where("alpha1 IS NOT NULL OR alpha2 IS NULL OR alpha2 IS NOT NULL").select("series_id", *[F.round(c, 4).alias(c) for c in ("mean", "sdnn", "rmssd")])
 
 
-@query("dom7_hrv_exponents")
+@query("dom7_hrv_exponents", f"WITH {SU}, sb AS (SELECT k || '|' || t // 64 AS k, t % 64 AS t, v FROM su), lb AS (SELECT k || '|' || t // 256 AS k, t % 256 AS t, v FROM su), {DFA_SHORT('sb', 'ds')}, {DFA('lb', 'dl')}, a AS (SELECT split_part(k, '|', 1)::BIGINT AS k, median(alpha) AS a FROM ds WHERE n = 64 GROUP BY 1), b AS (SELECT split_part(k, '|', 1)::BIGINT AS k, median(alpha) AS b FROM dl WHERE n = 256 GROUP BY 1) SELECT k AS series_id, round(a, 6) AS alpha1, round(b, 6) AS alpha2 FROM (SELECT DISTINCT k FROM su) LEFT JOIN a USING (k) LEFT JOIN b USING (k)")
 def dom7_exponents(spark, sf):
     return round_all(domains.hrv_features(supplier_series(spark, sf), K, 64, 256).select("series_id", "alpha1", "alpha2"))
 
@@ -125,8 +138,7 @@ def dom8(spark, sf):
 e AS (SELECT id, label, to_, value, s, c, (label = to_)::INT AS o FROM r JOIN s USING (dim)), f AS (SELECT id, label, to_, round(sum(pow(value - (s - o * value) / (c - o), 2)), 9) AS d FROM e WHERE c - o > 0 GROUP BY ALL),
 n AS (SELECT id, label, to_, row_number() OVER (PARTITION BY id ORDER BY d, to_) AS q, max((label = to_)::INT) OVER (PARTITION BY id) AS k FROM f) SELECT label AS truth, to_ AS predicted, count(*) AS n FROM n WHERE q = 1 AND k = 1 GROUP BY ALL""")
 def dom9(spark, sf):
-    r = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
-    return domains.nearest_centroid_holdout(r)
+    return domains.nearest_centroid_holdout(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("values")))
 
 
 @query("dom10_signal_quality", f"WITH {SU}, {LAW('su', 'w')} SELECT k AS series_id, CASE WHEN alpha > 0.7 THEN 'structured' ELSE 'degraded' END AS signal FROM w")
@@ -150,14 +162,14 @@ def src5(spark, sf):
 
 
 @query("src8_label_rows", """WITH r AS (SELECT event_type AS channel, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS tick, floor(epoch(ts))::BIGINT AS ts FROM events),
-l AS (SELECT event_id AS id, event_type AS channel, floor(epoch(ts))::BIGINT + 5 AS a FROM events WHERE event_id % 211 = 0), z AS (SELECT channel, max(tick) AS z FROM r GROUP BY 1)
+l AS (SELECT event_id AS id, event_type AS channel, floor(epoch(ts))::BIGINT + 5 AS a FROM events WHERE value > 150), z AS (SELECT channel, max(tick) AS z FROM r GROUP BY 1)
 SELECT l.id, l.channel, coalesce((SELECT min(tick) FROM r WHERE r.channel = l.channel AND r.ts >= l.a), z) AS start_row FROM l JOIN z USING (channel)""")
 def src8(spark, sf):
     from ..sources import readers
 
     e = table(spark, sf, "events").select(F.col("event_type").alias("channel"), F.unix_timestamp("ts").alias("sec"), "ts", "event_id")
     rec = prepare.assign_ticks(e, ["channel"], ["ts", "event_id"]).select("channel", "tick", F.col("sec").alias("ts"))
-    lab = table(spark, sf, "events").where("event_id % 211 = 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("channel"), (F.unix_timestamp("ts") + 5).alias("at"))
+    lab = table(spark, sf, "events").where("value > 150").select(F.col("event_id").alias("id"), F.col("event_type").alias("channel"), (F.unix_timestamp("ts") + 5).alias("at"))
     return readers.rows_at(lab, rec, "channel").select("id", "channel", F.col("row").alias("start_row"))
 
 
@@ -167,23 +179,23 @@ def src14(spark, sf):
     return round_all(domains.recording_rms(e))
 
 
-@query("str2_baseline_tracker", f"""WITH {EV}, n AS (SELECT k, count(*) AS n FROM ev GROUP BY k), wi AS (SELECT k, unnest(range(0, n - 255, 32)) // 32 AS w FROM n WHERE n >= 256), wr AS (SELECT ev.k || '|' || w AS k, t - w * 32 AS t, v FROM ev JOIN wi ON ev.k = wi.k AND t BETWEEN w * 32 AND w * 32 + 255), {DFA('wr', 'd')},
-r AS (SELECT split_part(k, '|', 1) AS k, split_part(k, '|', 2)::BIGINT * 32 + 255 AS e, alpha, r2 FROM d), b AS (SELECT k, max_by(alpha, e) AS b FROM r WHERE e < 1000 AND r2 > 0.7 GROUP BY k)
+@query("str2_baseline_tracker", f"""WITH {EV}, n AS (SELECT k, count(*) AS n FROM ev GROUP BY k), wi AS (SELECT k, unnest(range(0, n - 255)) AS w FROM n WHERE n >= 256), wr AS (SELECT ev.k || '|' || w AS k, t - w AS t, v FROM ev JOIN wi ON ev.k = wi.k AND t BETWEEN w AND w + 255), {DFA('wr', 'd')},
+r AS (SELECT split_part(k, '|', 1) AS k, split_part(k, '|', 2)::BIGINT + 255 AS e, alpha, r2 FROM d), b AS (SELECT k, max_by(alpha, e) AS b FROM r WHERE e < 1000 AND r2 > 0.7 GROUP BY k)
 SELECT k AS series_id, e AS end_tick, round(alpha, 6) AS alpha, round(alpha - b, 6) AS shift, {HEALTH.format('(alpha - b)')} AS verdict FROM r JOIN b USING (k) WHERE e >= 1000""")
 def str2(spark, sf):
-    """Batch twin of the streaming tracker, evaluated at every 32nd sample."""
-    r = windows.rolling_alpha_fast(event_series(spark, sf), K, 256, 32)
+    """Batch twin of the streaming tracker, evaluated at every sample."""
+    r = windows.rolling_alpha_fast(event_series(spark, sf), K, 256, 1)
     base = r.where("end_tick < 1000 AND r2 > 0.7").groupBy("series_id").agg(F.max_by("alpha", "end_tick").alias("_b"))
     shift = F.col("alpha") - F.col("_b")
     return round_all(r.where("end_tick >= 1000").join(base, K).select("series_id", "end_tick", "alpha", shift.alias("shift"), verdicts.health(shift).alias("verdict")))
 
 
-@query("str4_pipe", f"""WITH {EV}, n AS (SELECT k, count(*) AS n FROM ev GROUP BY k), wi AS (SELECT k, unnest(range(0, n - 255, 64)) // 64 AS w FROM n WHERE n >= 256), wr AS (SELECT ev.k || '|' || w AS k, t - w * 64 AS t, v FROM ev JOIN wi ON ev.k = wi.k AND t BETWEEN w * 64 AND w * 64 + 255), {DFA('wr', 'd')},
-r AS (SELECT split_part(k, '|', 1) AS k, split_part(k, '|', 2)::BIGINT * 64 + 255 AS e, alpha, r2 FROM d), s AS (SELECT *, alpha - first_value(alpha) OVER (PARTITION BY k ORDER BY e) AS s FROM r)
+@query("str4_pipe", f"""WITH {EV}, n AS (SELECT k, count(*) AS n FROM ev GROUP BY k), wi AS (SELECT k, unnest(range(0, n - 255)) AS w FROM n WHERE n >= 256), wr AS (SELECT ev.k || '|' || w AS k, t - w AS t, v FROM ev JOIN wi ON ev.k = wi.k AND t BETWEEN w AND w + 255), {DFA('wr', 'd')},
+r AS (SELECT split_part(k, '|', 1) AS k, split_part(k, '|', 2)::BIGINT + 255 AS e, alpha, r2 FROM d), s AS (SELECT *, alpha - first_value(alpha) OVER (PARTITION BY k ORDER BY e) AS s FROM r)
 SELECT k AS series_id, e AS end_tick, round(alpha, 6) AS alpha, round(r2, 6) AS r2, round(s, 6) AS shift, {HEALTH.format('s')} AS verdict FROM s""")
 def str4(spark, sf):
     from pyspark.sql import Window
 
-    r = windows.rolling_alpha_fast(event_series(spark, sf), K, 256, 64)
+    r = windows.rolling_alpha_fast(event_series(spark, sf), K, 256, 1)
     shift = F.col("alpha") - F.first("alpha").over(Window.partitionBy("series_id").orderBy("end_tick"))
     return round_all(r.select("series_id", "end_tick", "alpha", "r2", shift.alias("shift"), verdicts.health(shift).alias("verdict")))

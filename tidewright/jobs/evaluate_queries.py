@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, forecast, guard, legs, prepare
 from .monitor_queries import ALARMS, alarms, frames
-from .registry import EV, event_series, query, recording, round_all, table
+from .registry import EV, event_series, fleet, query, round_all, table
 
-#: Labelled windows made from error events: asset, label, [start, end], category.
-LAB = "lab AS (SELECT 'a' || user_id % 7 AS asset_id, event_id AS label_id, event_id AS start, event_id + 40 AS end, 'c' || event_id % 3 AS category FROM events WHERE event_type = 'error' AND event_id % 29 = 0)"
+#: Labelled windows made from the error events of a high value: asset, label, [start, end], category.
+LAB = "lab AS (SELECT 'a' || user_id % 7 AS asset_id, event_id AS label_id, event_id AS start, event_id + 40 AS end, 'c' || event_id % 3 AS category FROM events WHERE event_type = 'error' AND value > 150)"
 SMP = "smp AS (SELECT 'a' || user_id % 7 AS asset_id, 'c' || (user_id % 7) % 2 AS category, count(*) AS n FROM events GROUP BY ALL)"
 K = ["asset_id"]
 
 
 def labels(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'error' AND event_id % 29 = 0")
+    e = table(spark, sf, "events").where("event_type = 'error' AND value > 150")
     return e.select(F.concat(F.lit("a"), (F.col("user_id") % 7).cast("string")).alias("asset_id"), F.col("event_id").alias("label_id"), F.col("event_id").alias("start"), (F.col("event_id") + 40).alias("end"), F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("category"))
 
 
@@ -54,7 +54,7 @@ def eva5(spark, sf):
     return evaluate.top_false_alarm_series(alarms(spark, sf).where("leg = 'dfa'"), "asset_id")
 
 
-_PRED = "pr AS (SELECT 'a' || user_id % 7 AS asset_id, event_id - 15 AS start, event_id + 15 AS end FROM events WHERE event_type = 'view' AND event_id % 23 = 0)"
+_PRED = "pr AS (SELECT 'a' || user_id % 7 AS asset_id, event_id - 15 AS start, event_id + 15 AS end FROM events WHERE event_type = 'view' AND value > 120)"
 
 
 @query("eva6_sequence_detection", f"""WITH {LAB}, {_PRED}, h AS (SELECT *, EXISTS (SELECT 1 FROM pr WHERE pr.asset_id = lab.asset_id AND pr.start <= lab.end AND pr.end >= lab.start) AS hit FROM lab),
@@ -63,7 +63,7 @@ r AS (SELECT asset_id, category, count(*) AS labels, count(*) FILTER (hit) AS hi
 p AS (SELECT r.*, coalesce(fal, 0) AS false_alarms, hits / nullif(hits + coalesce(fal, 0), 0) AS precision, hits / labels AS recall FROM r LEFT JOIN f ON r.asset_id IS NOT DISTINCT FROM f.g)
 SELECT asset_id, category, labels, hits, false_alarms, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / nullif(precision + recall, 0), 6) AS f1 FROM p""")
 def eva6(spark, sf):
-    p = table(spark, sf, "events").where("event_type = 'view' AND event_id % 23 = 0").select(F.concat(F.lit("a"), (F.col("user_id") % 7).cast("string")).alias("asset_id"), (F.col("event_id") - 15).alias("start"), (F.col("event_id") + 15).alias("end"))
+    p = table(spark, sf, "events").where("event_type = 'view' AND value > 120").select(F.concat(F.lit("a"), (F.col("user_id") % 7).cast("string")).alias("asset_id"), (F.col("event_id") - 15).alias("start"), (F.col("event_id") + 15).alias("end"))
     return round_all(evaluate.sequence_detection(p, labels(spark, sf), "asset_id", ["asset_id", "category"]))
 
 
@@ -167,13 +167,12 @@ def eva20(spark, sf):
 
 @query("eva21_policy_search")
 def eva21(spark, sf):
-    """Three policies on the half-hour recording and on a copy with a shifted channel."""
-    r = prepare.fill_gaps(recording(spark, sf, 30), ["asset_id", "channel"]).drop("asset_id").withColumn("baseline", F.lit(480))
-    clean = r.withColumn("window_id", F.lit("clean")).withColumn("onset", F.lit(None).cast("long"))
-    moved = F.when((F.col("tick") >= 900) & (F.col("channel") == "error"), F.col("value") + 60).otherwise(F.col("value"))
-    bad = r.withColumn("value", moved).withColumn("window_id", F.lit("shifted")).withColumn("onset", F.lit(900).cast("long"))
-    policies = spark.createDataFrame([("default", 1e6, 1.0), ("sensitive", 1e5, 1.0), ("slack", 1e6, 0.5)], "policy string, horizon double, cusum_k double")
-    return evaluate.policy_search(clean.unionByName(bad), policies)
+    """Three policies on every asset of the fleet: those with a planted fault have an onset, the others are clean."""
+    r = fleet(spark, sf)
+    last = r.groupBy("asset_id").agg((F.max("tick") + 1).alias("_n"))
+    faulty = F.substring("asset_id", 2, 20).cast("long") % 4 < 2
+    w = r.join(last, "asset_id").select(F.col("asset_id").alias("window_id"), "channel", "tick", "value", F.when(faulty, F.ceil(F.col("_n") * 3 / 4)).cast("long").alias("onset"), F.lit(192).alias("baseline"))
+    return evaluate.policy_search(w, [("default", 1e6, 1.0), ("sensitive", 1e5, 1.0), ("slack", 1e6, 0.5)])
 
 
 @query("eva22_detector_comparison")
@@ -206,18 +205,32 @@ def ar1(spark, sf):
     return round_all(m.select("series_id", "p", "bias", F.posexplode("weights").alias("lag", "weight")))
 
 
+_AR3 = f"""{EV}, tr AS (SELECT * FROM ev WHERE t < 1000), st AS (SELECT k, count(*) AS n, avg(v) AS m, greatest(stddev_pop(v), 1e-9) AS s FROM tr GROUP BY k),
+lg AS (SELECT k, t, (v - m) / s AS y, lag((v - m) / s, 1) OVER o AS x1, lag((v - m) / s, 2) OVER o AS x2, lag((v - m) / s, 3) OVER o AS x3 FROM tr JOIN st USING (k) WINDOW o AS (PARTITION BY k ORDER BY t)),
+g AS (SELECT k, sum(x1 * x1) + 1e-4 * count(*) AS a, sum(x1 * x2) AS b, sum(x1 * x3) AS c, sum(x2 * x2) + 1e-4 * count(*) AS d, sum(x2 * x3) AS e, sum(x3 * x3) + 1e-4 * count(*) AS f, sum(x1 * y) AS p, sum(x2 * y) AS q, sum(x3 * y) AS r FROM lg WHERE t >= 3 GROUP BY k),
+dt AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM g),
+ar AS (SELECT k, (p * (d * f - e * e) - b * (q * f - r * e) + c * (q * e - r * d)) / det AS w1, (a * (q * f - r * e) - p * (b * f - c * e) + c * (b * r - c * q)) / det AS w2, (a * (d * r - e * q) - b * (b * r - c * q) + p * (b * e - c * d)) / det AS w3 FROM dt),
+am AS (SELECT k, w1, w2, w3, m * (1 - w1 - w2 - w3) AS bias FROM ar JOIN st USING (k) WHERE n >= 19)"""
+
+
+@query("ar1_fit_ar_ridge_3", f"WITH {_AR3} SELECT k AS series_id, 3 AS p, round(bias, 6) AS bias, unnest([0, 1, 2]) AS lag, round(unnest([w1, w2, w3]), 6) AS weight FROM am")
+def ar1_three(spark, sf):
+    m = forecast.ar_models(event_series(spark, sf).where("tick < 1000"), S, 3)
+    return round_all(m.select("series_id", "p", "bias", F.posexplode("weights").alias("lag", "weight")))
+
+
 @query("ar2_select_ar_order")
 def ar2(spark, sf):
     return forecast.ar_models(event_series(spark, sf).where("tick < 1000"), S).select("series_id", "p")
 
 
-@query("ar3_ar_residuals")
+@query("ar3_ar_residuals", f"WITH {_AR3}, al AS (SELECT k, t, v, lag(v, 1) OVER o AS x1, lag(v, 2) OVER o AS x2, lag(v, 3) OVER o AS x3 FROM ev WINDOW o AS (PARTITION BY k ORDER BY t)) SELECT k AS series_id, t AS tick, round(CASE WHEN t < 3 THEN 0 ELSE abs(v - (bias + w1 * x1 + w2 * x2 + w3 * x3)) END, 6) AS e FROM al JOIN am USING (k)")
 def ar3(spark, sf):
     s = event_series(spark, sf)
     return round_all(forecast.ar_residuals(s, forecast.ar_models(s.where("tick < 1000"), S, 3), S, 3))
 
 
-@query("ar4_ewma")
+@query("ar4_ewma", f"WITH RECURSIVE {_ERR}, w AS (SELECT k, t, e FROM er WHERE t = 0 UNION ALL SELECT er.k, er.t, er.e * 2 / 31 + w.e * 29 / 31 FROM w JOIN er ON er.k = w.k AND er.t = w.t + 1) SELECT k AS series_id, t AS tick, round(e, 6) AS e FROM w")
 def ar4(spark, sf):
     return round_all(forecast.ewma(errors(spark, sf), S, 30))
 
@@ -230,7 +243,7 @@ def ar5(spark, sf):
 _EPS = """st AS (SELECT k, avg(e) AS m, greatest(stddev_pop(e), 1e-12) AS s FROM er GROUP BY k), gr AS (SELECT 1e0 + i * 0.5 AS z FROM (SELECT unnest(range(23)) AS i)),
 cd AS (SELECT er.k, z, m + z * s AS eps, m, s, e, lag(e) OVER (PARTITION BY er.k, z ORDER BY t) AS p FROM er JOIN st USING (k) CROSS JOIN gr),
 ag AS (SELECT k, z, eps, m, s, count(*) FILTER (e >= eps) AS n, count(*) FILTER (e >= eps AND (p IS NULL OR p < eps)) AS r, avg(e) FILTER (e < eps) AS bm, stddev_pop(e) FILTER (e < eps) AS bs FROM cd GROUP BY k, z, eps, m, s),
-bs AS (SELECT k, eps FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ((m - bm) / m + (s - bs) / s) / (n + r * r) DESC, z) AS q FROM ag WHERE n > 0) WHERE q = 1), ep AS (SELECT st.k, coalesce(eps, m + 12 * s) AS eps FROM st LEFT JOIN bs USING (k))"""
+bs AS (SELECT k, eps FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(((m - bm) / m + (s - bs) / s) / (n + r * r), 9) DESC, z) AS q FROM ag WHERE n > 0) WHERE q = 1), ep AS (SELECT st.k, coalesce(eps, m + 12 * s) AS eps FROM st LEFT JOIN bs USING (k))"""
 
 
 @query("ar6_find_epsilon", f"WITH {_ERR}, {_EPS} SELECT k AS series_id, round(eps, 6) AS eps FROM ep")

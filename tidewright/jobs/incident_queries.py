@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import guard, incidents, prepare, replay
+from ..operators import guard, incidents, replay
 from .monitor_queries import frames
-from .registry import query, recording, round_all, table
+from .registry import fleet, query, recording, round_all, table
 
 ID = ["asset_id", "channel"]
 #: Alarm and policy events made from the events table: five assets, ticks from the event numbers.
@@ -99,49 +99,47 @@ def inc10(spark, sf):
 
 @query("inc11_diff_calibration")
 def inc11(spark, sf):
-    r = recording(spark, sf)
+    r = fleet(spark, sf)
     return round_all(incidents.diff_calibration(guard.calibrate(r), guard.calibrate(r, lambda n: max(192, n // 4))))
 
 
 @query("inc7_investigate")
 def inc7(spark, sf):
-    """Incidents of the half-hour recording, whose first 480 ticks are the baseline."""
-    r = prepare.fill_gaps(recording(spark, sf, 30), ID)
-    return replay.investigate(r, 480)["incidents"].withColumn("channels", F.array_join("channels", ","))
+    """Incidents of the fleet; each asset's first 192 ticks are its baseline."""
+    return replay.investigate(fleet(spark, sf), 192)["incidents"].withColumn("channels", F.array_join("channels", ","))
 
 
 @query("leg10_hybrid_monitor")
 def leg10(spark, sf):
-    return round_all(guard.hybrid_monitor(recording(spark, sf, 30)))
+    return round_all(guard.hybrid_monitor(fleet(spark, sf)))
 
 
 @query("leg11_multi_rate_monitor")
 def leg11(spark, sf):
-    r = recording(spark, sf, 30)
-    base = r.where("tick < 480")
-    rest = r.where("tick >= 480 AND value IS NOT NULL").withColumn("tick", F.col("tick"))
-    return round_all(guard.multi_rate_monitor(rest, base))
+    """Every reading alone, in the order that it comes in; missing ones never come."""
+    r = fleet(spark, sf)
+    return round_all(guard.multi_rate_monitor(r.where("tick >= 192 AND value IS NOT NULL"), r.where("tick < 192")))
 
 
 @query("leg12_autopilot")
 def leg12(spark, sf):
-    return round_all(guard.autopilot(recording(spark, sf, 30)))
+    return round_all(guard.autopilot(fleet(spark, sf)))
 
 
 @query("leg15_guard")
 def leg15(spark, sf):
-    return guard.guard(recording(spark, sf, 30))[1]
+    return guard.guard(fleet(spark, sf))[1]
 
 
 @query("cal12_calibrate")
 def cal12(spark, sf):
-    return round_all(guard.calibrate(recording(spark, sf)))
+    return round_all(guard.calibrate(fleet(spark, sf)))
 
 
 @query("cal13_self_check")
 def cal13(spark, sf):
-    """On ten-minute buckets, whose prefix is long enough for two halves of 768."""
-    return guard.self_check(recording(spark, sf, 10), lambda n: min(n, 1600))
+    """Assets whose prefix is too short for two halves of 768 are not checked, and say so."""
+    return guard.self_check(fleet(spark, sf), lambda n: min(n, 1600))
 
 
 @query("leg19_ewma_chart")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import verdicts
 from ..operators import calibrate as cal
 from ..operators import legs, prepare, windows
-from .registry import DFA, REC, query, recording, round_all, table
+from .registry import DFA, REC, fleet, query, recording, round_all, table
 
 ID = ["asset_id", "channel"]
 A = "'events' AS asset_id"
@@ -39,7 +39,11 @@ def GUMBEL(src: str, o: str, keys: str, horizon: str) -> str:  # noqa: N802
 
 def frames(spark, sf, minutes: int = 60):
     """(filled, prefix, rest): the recording without gaps, its healthy prefix and what follows, ticks from 0."""
-    r = prepare.fill_gaps(recording(spark, sf, minutes), ID)
+    return parts(prepare.fill_gaps(recording(spark, sf, minutes), ID))
+
+
+def parts(r):
+    """(r, prefix, rest) of a recording without gaps."""
     n = r.groupBy("asset_id").agg(prepare.calibration_length(F.max("tick") + 1).alias("_m"))
     cut = r.join(n, "asset_id")
     prefix = cut.where("tick < _m").drop("_m")
@@ -248,7 +252,8 @@ def leg6(spark, sf):
 
 @query("leg7_parity")
 def leg7(spark, sf):
-    _, p, m = frames(spark, sf)
+    """On the fleet, where a delivery's price goes with its quantity until a fault parts them."""
+    _, p, m = parts(prepare.fill_gaps(fleet(spark, sf), ID))
     recon = cal.fit_reconstructors(p)
     top = cal.gumbel_return_level(cal.channel_max(cal.parity_z(p, recon), F.col("z")), ["asset_id"], cal.HORIZON).withColumn("threshold", F.col("threshold") / 2)
     return round_all(legs.twice_within(cal.parity_z(m, recon), top, "parity"))
@@ -273,12 +278,12 @@ def leg8(spark, sf):
     return legs.leg_grid(r, n, GENES).select("asset_id", "channel", "alarms", "first", "gene")
 
 
-ALARMS = "am AS (SELECT 'a' || user_id % 7 AS asset_id, event_type AS channel, event_id AS tick, ['residual', 'parity', 'repeated', 'dfa', 'cusum', 'level_shift', 'missing'][event_id % 7 + 1] AS leg, value AS observed, 40e0 AS threshold, event_id % 13 AS hit_gap FROM events WHERE value IS NOT NULL AND event_id % 3 = 0)"
+ALARMS = "am AS (SELECT 'a' || user_id % 7 AS asset_id, event_type AS channel, event_id AS tick, ['residual', 'parity', 'repeated', 'dfa', 'cusum', 'level_shift', 'missing'][event_id % 7 + 1] AS leg, value AS observed, 40e0 AS threshold, event_id % 13 AS hit_gap FROM events WHERE value > 40)"
 
 
 def alarms(spark, sf):
-    """A table of alarms made from events, to join and group."""
-    e = table(spark, sf, "events").where("value IS NOT NULL AND event_id % 3 = 0")
+    """A table of alarms: the events whose value lies above a threshold of 40."""
+    e = table(spark, sf, "events").where("value > 40")
     leg = F.element_at(F.array(*[F.lit(x) for x in ("residual", "parity", "repeated", "dfa", "cusum", "level_shift", "missing")]), (F.col("event_id") % 7 + 1).cast("int"))
     return e.select(F.concat(F.lit("a"), (F.col("user_id") % 7).cast("string")).alias("asset_id"), F.col("event_type").alias("channel"), F.col("event_id").alias("tick"), leg.alias("leg"), F.col("value").alias("observed"), F.lit(40.0).alias("threshold"), (F.col("event_id") % 13).alias("hit_gap"))
 

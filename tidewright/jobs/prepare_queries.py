@@ -134,11 +134,11 @@ def pre15(spark, sf):
     return round_all(prepare.resample_hold(seconds(spark, sf), K, 3600))
 
 
-@query("pre16_apply_interval_labels", f"""WITH {_HOLD}, lab AS (SELECT event_type AS k, floor(epoch(ts))::BIGINT AS a, floor(epoch(ts))::BIGINT + 7200 AS b, event_id AS o, (event_id % 3 + 1)::INT AS code FROM events WHERE event_id % 97 = 0),
+@query("pre16_apply_interval_labels", f"""WITH {_HOLD}, lab AS (SELECT event_type AS k, floor(epoch(ts))::BIGINT AS a, floor(epoch(ts))::BIGINT + 7200 AS b, event_id AS o, (event_id % 3 + 1)::INT AS code FROM events WHERE value > 150),
 h AS (SELECT u.k, u.ts, max_by(code, o) AS code FROM u JOIN lab ON u.k = lab.k AND u.ts BETWEEN a AND b GROUP BY ALL)
 SELECT u.k AS series_id, u.ts, coalesce(code, 0) AS code FROM u LEFT JOIN h ON u.k = h.k AND u.ts = h.ts""")
 def pre16(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 97 = 0")
+    e = table(spark, sf, "events").where("value > 150")
     lab = e.select(F.col("event_type").alias("series_id"), F.unix_timestamp("ts").alias("start"), (F.unix_timestamp("ts") + 7200).alias("end"), F.col("event_id").alias("label_order"), (F.col("event_id") % 3 + 1).cast("int").alias("code"))
     return prepare.apply_interval_labels(seconds(spark, sf).select("series_id", "ts"), lab, K).select("series_id", "ts", "code")
 

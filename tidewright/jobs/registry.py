@@ -61,6 +61,21 @@ def recording(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
     return full.select(F.lit("events").alias("asset_id"), "channel", (F.col("b") - F.col("a")).alias("tick"), "value")
 
 
+def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many assets of four channels: every supplier's deliveries in the order of shipping. A price under 5000 is a missing
+    sample. Faults are planted in the last quarter: every fourth supplier's quantity stays at one value, every other
+    fourth's price moves up."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    r = assign_ticks(rows, ["s"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
+    late = F.col("tick") >= F.col("_n") * 3 / 4
+    n = r.groupBy("s").agg(F.count("*").alias("_n"))
+    quantity = F.when(late & (F.col("s") % 4 == 0), 7.0).otherwise(F.col("l_quantity"))
+    price = F.when(F.col("l_extendedprice") >= 5000, F.col("l_extendedprice") + F.when(late & (F.col("s") % 4 == 1), 60000.0).otherwise(0.0))
+    named = [("quantity", quantity), ("price", price), ("discount", F.col("l_discount")), ("tax", F.col("l_tax"))]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), v.alias("value")) for c, v in named])).alias("x")
+    return r.join(n, "s").select(F.concat(F.lit("s"), F.col("s").cast("string")).alias("asset_id"), "tick", each).select("asset_id", "x.channel", "tick", "x.value")
+
+
 def days(c: str) -> Column:
     return F.datediff(F.to_date(c), F.lit("1970-01-01"))
 
@@ -69,6 +84,8 @@ def days(c: str) -> Column:
 EV = "ev AS (SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, value AS v FROM events WHERE value IS NOT NULL)"
 US = "us AS (SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS v FROM events WHERE value IS NOT NULL)"
 SU = "su AS (SELECT l_suppkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS t, l_extendedprice AS v FROM lineitem)"
+FLEET = """f0 AS (SELECT l_suppkey AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS t, count(*) OVER (PARTITION BY l_suppkey) AS n, * FROM lineitem),
+fl AS (SELECT 's' || s AS k, unnest(['quantity', 'price', 'discount', 'tax']) AS c, t, unnest([CASE WHEN t >= n * 0.75 AND s % 4 = 0 THEN 7 ELSE l_quantity END, CASE WHEN l_extendedprice >= 5000 THEN l_extendedprice + CASE WHEN t >= n * 0.75 AND s % 4 = 1 THEN 60000 ELSE 0 END END, l_discount, l_tax]) AS v FROM f0)"""
 DAY = "od AS (SELECT 'orders' AS k, row_number() OVER (ORDER BY day) - 1 AS t, v FROM (SELECT o_orderdate::DATE AS day, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1))"
 
 

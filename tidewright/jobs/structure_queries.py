@@ -12,7 +12,7 @@ K = ["series_id"]
 
 
 @query("dfa1_box_sizes", f"""
-WITH n AS (SELECT DISTINCT doc_id + 60 AS n FROM documents WHERE doc_id < 2000),
+WITH n AS (SELECT DISTINCT doc_id + 60 AS n FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT n, greatest(16, n // 50) AS a, n // 4 AS b FROM n), r AS (SELECT *, pow(b / a, 1e0 / 11e0) AS r FROM g WHERE a < b),
 q AS (SELECT *, r4 * r4 AS r8 FROM (SELECT *, r2 * r2 AS r4 FROM (SELECT *, r * r AS r2 FROM r)))
 SELECT DISTINCT n, s FROM (SELECT n, b, floor(a * unnest([1e0, r, r2, r * r2, r4, r * r4, r2 * r4, (r * r2) * r4, r8, r * r8, r2 * r8, (r * r2) * r8]))::BIGINT AS s FROM q) WHERE s <= b
@@ -129,15 +129,19 @@ FROM f a JOIN f b ON a.k < b.k)"""
 _SIM = "CASE WHEN d < 0.05 THEN 'near-identical' WHEN d < 0.2 THEN 'similar' ELSE 'different' END"
 
 
-@query("dfa11_fingerprint_distance", f"WITH {EV}, {FP('ev', 'f')}, {_DIST} SELECT a, b, round(d, 6) AS distance, {_SIM} AS verdict FROM p")
+@query("dfa11_fingerprint_distance", f"WITH {EV}, rb AS (SELECT * FROM ev WHERE t < 700), rc AS (SELECT k, t - 700 AS t, v FROM ev WHERE t >= 700), {FP('rb', 'x')}, {FP('rc', 'f')}, p AS (SELECT a.k AS a, b.k AS b, sqrt(pow(a.alpha - b.alpha, 2) + pow(a.width - b.width, 2) + 0.1 * pow((a.kurtosis - b.kurtosis) / greatest(a.kurtosis, b.kurtosis, 1), 2) + pow(a.hurst - b.hurst, 2)) AS d FROM f a JOIN x b ON a.k = b.k) SELECT a, b, round(d, 6) AS distance, {_SIM} AS verdict FROM p")
 def dfa11(spark, sf):
-    return round_all(structure.fingerprint_distances(structure.fingerprint(event_series(spark, sf), K), "series_id"))
+    """What a series is now against what it was in its first 700 values."""
+    s = event_series(spark, sf)
+    was = structure.fingerprint(s.where("tick < 700"), K)
+    now = structure.fingerprint(s.where("tick >= 700").withColumn("tick", F.col("tick") - 700), K)
+    return round_all(structure.fingerprint_distances(now, was, "series_id"))
 
 
 @query("dfa11_similar_fingerprints", f"WITH {SU}, {FP('su', 'f')}, {_DIST} SELECT a, b, round(d, 6) AS distance, {_SIM} AS verdict FROM p WHERE d < 0.2")
 def dfa11_near(spark, sf):
     """Pairs that are similar at least, met in bands of the exponent instead of all pairs."""
-    return round_all(structure.fingerprint_distances(structure.fingerprint(supplier_series(spark, sf), K), "series_id", near=0.2))
+    return round_all(structure.similar_fingerprints(structure.fingerprint(supplier_series(spark, sf), K), "series_id", 0.2))
 
 
 @query("dfa13_alpha_interval", f"""WITH {EV}, w AS (SELECT k, count(*) AS n, least(greatest(count(*) // 4, 64), count(*)) AS m FROM ev GROUP BY k),

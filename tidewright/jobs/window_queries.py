@@ -92,22 +92,22 @@ def win8(spark, sf):
     return round_all(windows.score_changepoints(points, truth, K))
 
 
-@query("win9_shared_changepoints", """WITH p AS (SELECT 'a' AS asset, event_type AS c, event_id * 13 AS location FROM events WHERE event_id % 41 = 0),
+@query("win9_shared_changepoints", """WITH p AS (SELECT 'a' AS asset, event_type AS c, event_id * 60 AS location FROM events WHERE value > 150),
 w AS (SELECT *, CASE WHEN location - lag(location) OVER (ORDER BY location, c) > 1024 THEN 1 WHEN lag(location) OVER (ORDER BY location, c) IS NULL THEN 1 ELSE 0 END AS s FROM p),
 g AS (SELECT *, sum(s) OVER (ORDER BY location, c ROWS UNBOUNDED PRECEDING) AS i FROM w)
 SELECT asset AS asset_id, min(location) AS start, max(location) AS end, count(DISTINCT c) AS channels FROM g GROUP BY asset, i HAVING count(DISTINCT c) >= 2""")
 def win9(spark, sf):
     from .registry import table
 
-    p = table(spark, sf, "events").where("event_id % 41 = 0").select(F.lit("a").alias("asset_id"), F.col("event_type").alias("channel"), (F.col("event_id") * 13).alias("location"))
+    p = table(spark, sf, "events").where("value > 150").select(F.lit("a").alias("asset_id"), F.col("event_type").alias("channel"), (F.col("event_id") * 60).alias("location"))
     return windows.shared_changepoints(p, "asset_id", "channel")
 
 
 @query("win10_regime_windows", f"""WITH {DAY}, re AS (SELECT k, t - 1 AS t, CASE WHEN p > 0 THEN ln(v / p) ELSE 0 END AS v FROM (SELECT k, t, v, lag(v) OVER (ORDER BY t) AS p FROM od) WHERE t > 0),
-n AS (SELECT count(*) AS n FROM re), wi AS (SELECT unnest(range(0, n - 127, 16)) // 16 AS w FROM n), wr AS (SELECT w AS k, t - w * 16 AS t, v FROM re JOIN wi ON t BETWEEN w * 16 AND w * 16 + 127), {DFA('wr', 'd')}
+n AS (SELECT count(*) AS n FROM re), wi AS (SELECT unnest(range(0, n - 127)) AS w FROM n), wr AS (SELECT w AS k, t - w AS t, v FROM re JOIN wi ON t BETWEEN w AND w + 127), {DFA('wr', 'd')}
 SELECT 'orders' AS series_id, k AS w, round(alpha, 6) AS alpha, CASE WHEN alpha > 0.6 THEN 'Trending' WHEN alpha < 0.45 THEN 'MeanReverting' ELSE 'RandomWalk' END AS regime FROM d""")
 def win10(spark, sf):
-    r = windows.rolling_alpha_fast(prepare.log_returns(daily_orders(spark, sf), K), K, 128, 16)
+    r = windows.rolling_alpha_fast(prepare.log_returns(daily_orders(spark, sf), K), K, 128, 1)
     return round_all(r.select("series_id", "w", "alpha", verdicts.regime(F.col("alpha")).alias("regime")))
 
 

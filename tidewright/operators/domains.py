@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import verdicts
+from .grouped import dfa_of
 from .prepare import inter_event_intervals, log_returns
 from .structure import dfa, dfa_short, halves, time_to_threshold
 from .windows import rolling_alpha
 
 
 def sentence_ends(text: str) -> list[int]:
-    """Lengths of sentences in characters. A sentence ends at . ! or ? before white space, a quote or the end,
-    once it has three characters; what is left counts from ten on. Carriage returns do not count."""
+    """The lengths that `sentence_lengths` gives for one text, character by character."""
     t, out, since = text.replace("\r", ""), [], 0
     for i, c in enumerate(t):
         since += 1
@@ -26,20 +23,27 @@ def sentence_ends(text: str) -> list[int]:
     return out + [since] if since >= 10 else out
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def sentence_lengths(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: sentence_ends(t or ""))
+#: The shortest sentence has three characters and ends at a mark before white space, a quote or the end.
+_SENTENCE = r"""(?sU).{2,}?[.!?](?=[\s"']|\z)"""
+
+
+def sentence_lengths(text: Column | str) -> Column:
+    """Lengths of sentences in characters. A sentence ends at . ! or ? before white space, a quote or the end,
+    once it has three characters; what is left counts from ten on. Carriage returns do not count."""
+    t = F.replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit("\r"), F.lit(""))
+    lens = F.transform(F.regexp_extract_all(t, F.lit(_SENTENCE), F.lit(0)), lambda s: F.length(s).cast("long"))
+    rest = F.length(t) - F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(rest >= 10, F.array_append(lens, rest.cast("long"))).otherwise(lens)
 
 
 def text_structure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, sentences, mean_length, alpha, r2, tag) of each document."""
+    """(id, sentences, mean_length, alpha, r2, tag) of each document. A document's sentences are one short series, so
+    its exponent is a column function of it and nothing is shuffled."""
     lens = docs.select(id_col, sentence_lengths(text_col).alias("_l"))
-    rows = lens.select(id_col, F.posexplode("_l").alias("tick", "value")).select(id_col, F.col("tick").cast("long").alias("tick"), F.col("value").cast("double").alias("value"))
-    fit = dfa(rows, [id_col]).drop("n")
+    fit = lens.select(id_col, "_l", dfa_of(F.transform("_l", lambda x: x.cast("double"))).alias("_d"))
     mean = F.when(F.size("_l") > 0, F.aggregate("_l", F.lit(0).cast("bigint"), lambda a, x: a + x) / F.size("_l")).otherwise(0.0)
-    out = lens.select(id_col, F.size("_l").cast("long").alias("sentences"), mean.alias("mean_length")).join(fit, id_col, "left")
-    alpha, r2 = F.coalesce("alpha", F.lit(0.5)), F.coalesce("r2", F.lit(0.0))
-    return out.select(id_col, "sentences", "mean_length", alpha.alias("alpha"), r2.alias("r2"), verdicts.text_tag(alpha, r2, F.col("sentences")).alias("tag"))
+    out = fit.select(id_col, F.size("_l").cast("long").alias("sentences"), mean.alias("mean_length"), F.col("_d.alpha").alias("alpha"), F.col("_d.r2").alias("r2"))
+    return out.withColumn("tag", verdicts.text_tag(F.col("alpha"), F.col("r2"), F.col("sentences")))
 
 
 def market_regime(prices: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,17 +101,24 @@ def class_separation(vectors: DataFrame, label: str, leg: str, value: str) -> Da
 
 
 def nearest_centroid_holdout(rows: DataFrame, classes: int = 1000) -> DataFrame:
-    """(truth, predicted, n) leaving one row out: rows (id, label, dim, value). A class's centroid is its sums less the
-    row's own part; a class of one row cannot be assessed and is only met by others. At most `classes` classes."""
-    sums = rows.groupBy("label", "dim").agg(F.sum("value").alias("s"), F.count("*").alias("c"))
-    if sums.select("label").distinct().limit(classes + 1).count() > classes:
-        raise ValueError(f"over {classes} classes")
-    each = rows.join(sums.select(F.col("label").alias("to"), "dim", "s", "c"), "dim")
-    own = (F.col("label") == F.col("to")).cast("int")
-    n = F.col("c") - own
-    far = each.where(n > 0).select("id", "label", "to", F.pow(F.col("value") - (F.col("s") - own * F.col("value")) / n, F.lit(2)).alias("d"))
-    total = far.groupBy("id", "label", "to").agg(F.round(F.sum("d"), 9).alias("d"))
-    near = total.groupBy("id", "label").agg(F.min(F.struct("d", "to"))["to"].alias("predicted"), F.max((F.col("label") == F.col("to")).cast("int")).alias("_k")).where("_k = 1")
+    """(truth, predicted, n) leaving one row out: rows (id, label, values). A class's centroid is its sums less the
+    row's own part; a class of one row cannot be assessed and is only met by others. The sums of all classes are one
+    row, which goes to every task, while they are `classes` at most; more of them go there in blocks."""
+    sums = rows.select("label", F.posexplode("values").alias("dim", "value")).groupBy("label", "dim").agg(F.sum(F.col("value").cast("double")).alias("s"), F.count("*").alias("c"))
+    one = sums.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "s"))).alias("s"), F.max("c").alias("c"))
+    order = Window.orderBy("label")
+    blocks = one.select(F.struct(F.col("label").alias("to"), F.transform("s", lambda x: x["s"]).alias("s"), "c").alias("k"), F.floor((F.row_number().over(order) - 1) / classes).alias("_b"))
+    packed = blocks.groupBy("_b").agg(F.collect_list("k").alias("ks"))  # as many rows as there are blocks
+
+    def far(k: Column) -> Column:
+        own = (F.col("label") == k["to"]).cast("int")
+        n = k["c"] - own
+        gap = F.zip_with(F.transform("values", lambda v: v.cast("double")), k["s"], lambda v, s: F.pow(v - (s - own * v) / n, F.lit(2)))
+        return F.when(n > 0, F.struct(F.round(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x), 9).alias("d"), k["to"].alias("to")))
+
+    each = rows.crossJoin(F.broadcast(packed))
+    best = each.select("id", "label", F.array_min(F.filter(F.transform("ks", far), lambda x: x.isNotNull())).alias("near"), F.exists("ks", lambda k: (k["to"] == F.col("label")) & (k["c"] > 1)).alias("_k"))
+    near = best.groupBy("id", "label").agg(F.min("near")["to"].alias("predicted"), F.bool_or("_k").alias("_k")).where("_k")
     return near.groupBy(F.col("label").alias("truth"), "predicted").agg(F.count("*").alias("n"))
 
 

@@ -17,15 +17,18 @@ def alarm_episodes(alarms: DataFrame, keys: list[str], gap: int = 50) -> DataFra
 
 
 def refractory_alarms(alarms: DataFrame, keys: list[str], gap: int = 100) -> DataFrame:
-    """(keys, tick): alarms `gap` or more after the last one kept. The fold walks each key's sorted ticks."""
-    ticks = alarms.groupBy(*keys).agg(F.sort_array(F.collect_set("tick")).alias("t"))
+    """(keys, tick): alarms `gap` or more after the last one kept. An alarm that far behind the alarm before it is kept
+    in any case, so ticks are folded only between such places."""
+    w = Window.partitionBy(*keys).orderBy("tick")
+    apart = alarms.select(*keys, "tick").distinct().withColumn("_n", F.coalesce((F.col("tick") - F.lag("tick").over(w) >= gap).cast("int"), F.lit(1)))
+    runs = apart.withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_g").agg(F.sort_array(F.collect_list("tick")).alias("t"))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
     def fold(acc, x):
         take = acc["last"].isNull() | (x - acc["last"] >= gap)
         return F.struct(F.when(take, x).otherwise(acc["last"]).alias("last"), F.when(take, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"))
 
-    return ticks.select(*keys, F.explode(F.aggregate("t", start, fold)["kept"]).alias("tick"))
+    return runs.select(*keys, F.explode(F.aggregate("t", start, fold)["kept"]).alias("tick"))
 
 
 def window_detection(alarms: DataFrame, windows: DataFrame, samples: DataFrame, key: str) -> DataFrame:
@@ -168,9 +171,13 @@ def shift_p_value(scores: DataFrame) -> DataFrame:
 
 def delay_stats(df: DataFrame) -> DataFrame:
     """(early, detected, median_delay) of rows (first_alarm or null, change); the median is the upper one."""
-    d = df.withColumn("delay", F.col("first_alarm") - F.col("change"))
-    late = F.sort_array(F.collect_list(F.when(F.col("delay") >= 0, F.col("delay"))))
-    return d.agg(F.count_if(F.col("delay") < 0).alias("early"), F.count_if(F.col("delay") >= 0).alias("detected"), F.get(late, F.expr("cast(count_if(delay >= 0) div 2 as int)")).alias("median_delay"))
+    delays = df.select((F.col("first_alarm") - F.col("change")).alias("delay"))
+    n = delays.where("delay >= 0").count()
+    rank = (n // 2 + 0.5) / max(1, n)  # of the value with n div 2 others below it
+    late = F.when(F.col("delay") >= 0, F.col("delay"))
+    median = F.expr(f"percentile_disc({rank!r}D) WITHIN GROUP (ORDER BY late)")
+    out = delays.withColumn("late", late).agg(F.count_if(F.col("delay") < 0).alias("early"), F.count("late").alias("detected"), median.alias("median_delay"))
+    return out.withColumn("median_delay", F.col("median_delay").cast(df.schema["change"].dataType))
 
 
 def isolation_score(alarms: DataFrame, truth: DataFrame) -> DataFrame:
@@ -198,31 +205,31 @@ def detector_comparison(alarms: DataFrame, windows: DataFrame, samples: DataFram
     return out.withColumn("per_1000", 1000.0 * F.col("false_alarms") / n)
 
 
-def policy_search(windows: DataFrame, policies: DataFrame) -> DataFrame:
-    """(policy, detected, clean_alarms): each policy (policy, horizon, cusum_k) on each labelled stretch.
+def policy_search(windows: DataFrame, policies: list[tuple[str, float, float]]) -> DataFrame:
+    """(policy, detected, clean_alarms): each policy (name, horizon, cusum_k) on each labelled stretch.
 
-    windows: window_id, channel, tick, value, onset (null on clean stretches), baseline. Few policies meet all
-    stretches by a broadcast of at most 1000 of them."""
-    few = policies.limit(1001)
-    if few.count() > 1000:
-        raise ValueError("over 1000 policies: search in parts")
+    windows: window_id, channel, tick, value, onset (null on clean stretches), baseline. A stretch is one task's
+    work, under all policies: it is read and put in order once."""
     from ..functions import monitor as mon
     from .guard import filled, matrix
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, x = matrix(pdf)
-        one = pdf.iloc[0]
-        n, cal = int(one["baseline"]), None
-        cal = mon.Calibration.of(filled(x[:, :n]), mon.Config(float(one["horizon"]), float(one["cusum_k"])))
-        clean, hit = 0, False
-        if cal is not None:
-            m = mon.Monitor(cal)
-            for t in range(n, x.shape[1]):
-                if m.push(x[:, t].tolist(), [bool(v == v) for v in x[:, t]]):
-                    late = pd.notna(one["onset"]) and t >= one["onset"]
-                    hit, clean = hit or late, clean + (not late)
-                    m.clear()
-        return pd.DataFrame([(one["policy"], one["window_id"], bool(hit), clean)], columns=["policy", "window_id", "hit", "clean"])
-
-    each = windows.join(F.broadcast(few)).groupBy("policy", "window_id").applyInPandas(run, "policy string, window_id string, hit boolean, clean long")
+        one, rows = pdf.iloc[0], []
+        n = int(one["baseline"])
+        healthy = filled(x[:, :n])
+        for policy, horizon, cusum_k in policies:
+            cal = mon.Calibration.of(healthy, mon.Config(float(horizon), float(cusum_k)))
+            clean, hit = 0, False
+            if cal is not None:
+                m = mon.Monitor(cal)
+                for t in range(n, x.shape[1]):
+                    if m.push(x[:, t].tolist(), [bool(v == v) for v in x[:, t]]):
+                        late = pd.notna(one["onset"]) and t >= one["onset"]
+                        hit, clean = hit or late, clean + (not late)
+                        m.clear()
+            rows.append((policy, one["window_id"], bool(hit), clean))
+        return pd.DataFrame(rows, columns=["policy", "window_id", "hit", "clean"])
+
+    each = windows.groupBy("window_id").applyInPandas(run, "policy string, window_id string, hit boolean, clean long")
     return each.groupBy("policy").agg(F.count_if("hit").alias("detected"), F.sum("clean").alias("clean_alarms"))

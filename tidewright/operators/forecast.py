@@ -68,6 +68,7 @@ def epsilon(e: np.ndarray, z_min: float = 2.5) -> float:
             below = e[~above]
             runs = int((above & ~np.r_[False, above[:-1]]).sum())
             score = ((mean - below.mean()) / mean + (sd - below.std()) / sd) / (k + runs * runs)
+            score = round(score, 9)  # equal candidates must tie, whatever the order of their sums
             if score > best[0]:
                 best = (score, eps)
     return best[1]
@@ -179,7 +180,7 @@ def ewma(df: DataFrame, keys: list[str], span: int, value: str = "e") -> DataFra
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tick")
-        return pd.DataFrame({**{k: [v] * len(pdf) for k, v in zip(keys, key)}, "tick": pdf["tick"].to_numpy(), "e": smoothed(pdf[value].to_numpy(float), span)})
+        return pd.DataFrame({**{k: pd.Series([v] * len(pdf), dtype=object) for k, v in zip(keys, key)}, "tick": pdf["tick"].to_numpy(), "e": smoothed(pdf[value].to_numpy(float), span)})
 
     return df.groupBy(*keys).applyInPandas(run, schema)
 
@@ -190,14 +191,15 @@ def rolling_variance(df: DataFrame, keys: list[str], width: int) -> DataFrame:
 
 
 def find_epsilon(errors: DataFrame, keys: list[str], z_min: float = 2.5) -> DataFrame:
-    """(keys, eps): the grid is exploded, every candidate is one group of conditional aggregates."""
+    """(keys, eps): the grid is exploded, every candidate is one group of conditional aggregates. Scores that agree
+    in nine decimals tie, and the least z wins."""
     stats = errors.groupBy(*keys).agg(F.avg("e").alias("_m"), F.greatest(F.stddev_pop("e"), F.lit(1e-12)).alias("_s"))
     grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(int((12 - z_min) / 0.5))), lambda i: F.lit(z_min) + i * 0.5)).alias("z")
     d = errors.withColumn("_p", F.lag("e").over(by_tick(keys))).join(stats, keys).select(*keys, "e", "_p", "_m", "_s", grid).withColumn("eps", F.col("_m") + F.col("z") * F.col("_s"))
     above, under = F.col("e") >= F.col("eps"), F.when(F.col("e") < F.col("eps"), F.col("e"))
     g = d.groupBy(*keys, "z", "eps", "_m", "_s").agg(F.count_if(above).alias("_k"), F.count_if(above & (F.col("_p").isNull() | (F.col("_p") < F.col("eps")))).alias("_r"), F.avg(under).alias("bm"), F.stddev_pop(under).alias("bs"))
     score = ((F.col("_m") - F.col("bm")) / F.nullif("_m", F.lit(0.0)) + (F.col("_s") - F.col("bs")) / F.col("_s")) / F.nullif(F.col("_k") + F.col("_r") * F.col("_r"), F.lit(0))
-    best = g.where("_k > 0").withColumn("score", score).groupBy(*keys).agg(F.max(F.struct("score", -F.col("z"), "eps"))["eps"].alias("eps"))
+    best = g.where("_k > 0").withColumn("score", F.round(score, 9)).groupBy(*keys).agg(F.max(F.struct("score", -F.col("z"), "eps"))["eps"].alias("eps"))
     return stats.join(best, keys, "left").select(*keys, F.coalesce("eps", F.col("_m") + 12 * F.col("_s")).alias("eps"))
 
 

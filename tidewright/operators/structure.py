@@ -99,11 +99,22 @@ def _exponent(sizes: DataFrame, prof: DataFrame, keys: list[str]) -> DataFrame:
 def dfa(df: DataFrame, keys: list[str], chunk: int | None = None) -> DataFrame:
     """(keys, n, alpha, r2): scaling exponent of each series.
 
-    Under 64 values, or with under three usable box sizes, the placeholder 0.5 with r2 0."""
-    prof = profile(df, keys, chunk)
-    f2 = _boxes(prof, df, keys, box_sizes).groupBy(*keys, "s").agg(F.avg("f2").alias("f2"))
-    fit = _exponent(f2, prof, keys)
+    Under 64 values, or with under three usable box sizes, the placeholder 0.5 with r2 0. Without `chunk` a series is
+    put in order once, and all that is known of it (number, mean, floor, boxes) comes from that one partitioning."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    if chunk is None:
+        whole = Window.partitionBy(*keys)
+        moved = df.select(*keys, "tick", F.count("*").over(whole).alias("n"), (F.col("value") - F.avg("value").over(whole)).alias("_d"))
+        summed = moved.select(*keys, "tick", "n", F.sum("_d").over(by_tick(keys).rowsBetween(Window.unboundedPreceding, 0)).alias("y"))
+        prof = summed.withColumn("_q", F.avg(F.col("y") * F.col("y")).over(whole) * 1e-24)
+        laid = prof.join(sizes.select(*keys, box_sizes(F.col("n")).alias("_sizes")), keys)
+        each = laid.select(*keys, "tick", "n", "y", "_q", F.explode("_sizes").alias("s")).where("tick < s * (n div s)")
+        boxes = each.groupBy(*keys, "s", F.expr("tick div s").alias("box")).agg((residual("y", "tick") / F.first("s")).alias("f2"), F.first("_q").alias("_q"))
+        f2 = boxes.groupBy(*keys, "s").agg(F.avg("f2").alias("f2"), F.first("_q").alias("_q")).where("f2 > _q")
+        fit = fitted(f2.select(*keys, F.ln("s").alias("ls"), F.ln(F.sqrt("f2")).alias("lf")), keys, "ls", "lf")
+    else:
+        prof = profile(df, keys, chunk)
+        fit = _exponent(_boxes(prof, df, keys, box_sizes).groupBy(*keys, "s").agg(F.avg("f2").alias("f2")), prof, keys)
     good = (F.col("n") >= 64) & (F.coalesce("pts", F.lit(0)) >= 3)
     return sizes.join(fit, keys, "left").select(*keys, "n", F.when(good, F.col("slope")).otherwise(0.5).alias("alpha"), F.when(good, F.col("r2")).otherwise(0.0).alias("r2"))
 
@@ -197,26 +208,38 @@ def fingerprint(df: DataFrame, keys: list[str]) -> DataFrame:
     return law.join(mf, keys).select(*keys, "n", "alpha", "r2", "hurst", "kurtosis", "width", "multifractal", verdicts.signal_class(F.col("alpha"), F.col("r2")).alias("signal"))
 
 
-def fingerprint_distances(fps: DataFrame, key: str, near: float | None = None) -> DataFrame:
-    """(a, b, distance, verdict) of pairs of fingerprints. With `near`, only pairs below it: an
-    exponent apart by more rules a pair out, so pairs meet in bands of that width."""
-    cols = ["alpha", "width", "kurtosis", "hurst"]
-    a, b = (fps.select(F.col(key).alias(side), *[F.col(c).alias(f"{side}_{c}") for c in cols]) for side in ("a", "b"))
-    if near is None:
-        pairs = a.join(b, F.col("a") < F.col("b"))
-    else:
-        band = F.floor(F.col("a_alpha") / near)
-        left = a.select("*", F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
-        pairs = left.join(b.withColumn("_band", F.floor(F.col("b_alpha") / near)), "_band").where("a < b").drop("_band")
-    gap = {c: F.col(f"a_{c}") - F.col(f"b_{c}") for c in cols}
+def _distance(pairs: DataFrame) -> DataFrame:
+    """(a, b, distance, verdict) of rows with both fingerprints' measures under a_ and b_."""
+    gap = {c: F.col(f"a_{c}") - F.col(f"b_{c}") for c in MEASURES}
     dk = gap["kurtosis"] / F.greatest("a_kurtosis", "b_kurtosis", F.lit(1.0))
     d = F.sqrt(gap["alpha"] * gap["alpha"] + gap["width"] * gap["width"] + 0.1 * dk * dk + gap["hurst"] * gap["hurst"])
     out = pairs.select("a", "b", d.alias("distance"))
-    if near is not None:
-        out = out.where(F.col("distance") < near)
     return out.withColumn("verdict", verdicts.bands(F.col("distance"), [(0.05, "near-identical"), (0.2, "similar")], "different"))
 
 
+MEASURES = ["alpha", "width", "kurtosis", "hurst"]
+
+
+def _side(fps: DataFrame, key: str, side: str) -> DataFrame:
+    return fps.select(F.col(key).alias(side), *[F.col(c).alias(f"{side}_{c}") for c in MEASURES])
+
+
+def fingerprint_distances(fps: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """(a, b, distance, verdict): each fingerprint and the one that `others` holds under the same key."""
+    a, b = _side(fps, key, "a"), _side(others, key, "b")
+    return _distance(a.join(b, F.col("a") == F.col("b")))
+
+
+def similar_fingerprints(fps: DataFrame, key: str, near: float) -> DataFrame:
+    """(a, b, distance, verdict) of all pairs nearer than `near`: an exponent apart by more rules a pair out, so pairs
+    meet in bands of that width."""
+    a, b = _side(fps, key, "a"), _side(fps, key, "b")
+    band = F.floor(F.col("a_alpha") / near)
+    left = a.select("*", F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
+    pairs = left.join(b.withColumn("_band", F.floor(F.col("b_alpha") / near)), "_band").where("a < b").drop("_band")
+    return _distance(pairs).where(F.col("distance") < near)
+
+
 def subsample_windows(df: DataFrame, keys: list[str], resamples: int) -> DataFrame:
     """Series of contiguous windows: keys and `_w`, ticks from 0."""
     k = max(resamples, 2)

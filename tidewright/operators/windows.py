@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from .grouped import dfa_by_key
 from .structure import autocorrelations, dfa, fitted
 
 BLOCK = 1024
+#: Ticks of a stretch that one task analyses.
+CHUNK = 8192
 
 
 def window_rows(df: DataFrame, keys: list[str], window: int, step: int) -> DataFrame:
@@ -28,17 +31,25 @@ def rolling_alpha(df: DataFrame, keys: list[str], window: int, step: int) -> Dat
     return dfa(window_rows(df, keys, window, step), [*keys, "w"]).select(*keys, "w", (F.col("w") * step + window - 1).alias("end_tick"), "alpha", "r2")
 
 
-def rolling_alpha_fast(df: DataFrame, keys: list[str], window: int, step: int) -> DataFrame:
-    """The same by a numpy kernel per key, for steps that would repeat each row very often."""
+def rolling_alpha_fast(df: DataFrame, keys: list[str], window: int, step: int, chunk: int = CHUNK) -> DataFrame:
+    """The same by a numpy kernel, for steps that would repeat each row very often. A series is cut into stretches of
+    about `chunk` ticks that overlap by a window, so that no task holds a whole series; ticks run from 0 without gaps.
+    A series shorter than the window gives no rows."""
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", w long, end_tick long, alpha double, r2 double"
+    each = max(1, chunk // step)  # windows of a stretch
+    span = each * step
+    # a row belongs to the stretches whose windows begin at most window - 1 ticks before it
+    first = F.expr(f"greatest(0, (tick - {window - 1} + {step - 1}) div {span})")
+    placed = df.select(*keys, "tick", "value", F.explode(F.sequence(first, F.expr(f"tick div {span}"))).alias("_c"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("tick")["value"].to_numpy()
         alpha, r2 = kernels.rolling_alpha(x, window, step)
-        w = range(len(alpha))
-        return pd.DataFrame({**{k: [v] * len(alpha) for k, v in zip(keys, key)}, "w": w, "end_tick": [i * step + window - 1 for i in w], "alpha": alpha, "r2": r2})
+        alpha, r2, w = alpha[:each], r2[:each], key[-1] * each + np.arange(min(len(alpha), each))
+        same = {k: pd.Series([v] * len(w), dtype=object) for k, v in zip(keys, key)}
+        return pd.DataFrame({**same, "w": w, "end_tick": w * step + window - 1, "alpha": alpha, "r2": r2})
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return placed.groupBy(*keys, "_c").applyInPandas(run, schema)
 
 
 def anomaly_scores(rolled: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -71,9 +82,10 @@ def alpha_trend(rolled: DataFrame, keys: list[str], step: int) -> DataFrame:
 
 
 def block_alphas(df: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
-    """(keys, block, alpha, r2) of full blocks with r2 over 0.3. A series of any length: blocks are keys."""
+    """(keys, block, alpha, r2) of full blocks with r2 over 0.3. A series of any length: blocks are keys, and a block is
+    an array of `block` values at most."""
     cut = df.select(*keys, F.expr(f"tick div {block}").alias("block"), F.expr(f"tick % {block}").alias("tick"), "value")
-    return dfa(cut, [*keys, "block"]).where(f"n = {block} AND r2 > 0.3").drop("n")
+    return dfa_by_key(cut, [*keys, "block"]).where(f"n = {block} AND r2 > 0.3").drop("n")
 
 
 def find_changepoint(blocks: DataFrame, keys: list[str], min_segment: int = 3 * BLOCK, block: int = BLOCK) -> DataFrame:

@@ -13,10 +13,10 @@ def number(c: Column) -> Column:
     return F.trim(c).try_cast("double")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, place, value): text lines in the order of their file. Places order, they do not count."""
-    raw = spark.read.text(path).select("value", F.col(_FILE).alias("file"), F.monotonically_increasing_id().alias("place"))
-    return raw
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select("value", F.col(_FILE).alias("file"), place.alias("place"))
 
 
 def numbered(df: DataFrame, keys: list[str], order: str = "place") -> DataFrame:
@@ -24,32 +24,38 @@ def numbered(df: DataFrame, keys: list[str], order: str = "place") -> DataFrame:
     return df.withColumn("tick", (F.row_number().over(w) - 1).cast("long"))
 
 
+def cells(line: Column, sep: str) -> Column:
+    """The cells of a CSV line: a separator between double quotes does not part, quotes around a cell go."""
+    parts = F.split(line, rf"\Q{sep}\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", -1)
+    return F.transform(parts, lambda c: F.regexp_replace(F.regexp_replace(c, r'^\s*"(.*)"\s*$', "$1"), '""', '"'))
+
+
 def read_series(spark: SparkSession, path: str, col: int | str | None = None, sep: str = ",") -> DataFrame:
     """(series_id, tick, value) of one column of CSV files: blank lines and those with # are skipped, the column is a
     0-based number or a header's name in any case, the last one by default; cells that are no numbers are dropped."""
     rows = lines(spark, path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
-    cells = F.split("value", sep)
+    parts = cells(F.col("value"), sep)
     if isinstance(col, str):
         first = rows.groupBy("file").agg(F.min_by("value", "place").alias("_h"))
-        at = first.select("file", F.array_position(F.transform(F.split("_h", sep), lambda c: F.lower(F.trim(c))), col.lower()).alias("_at"))
+        at = first.select("file", F.array_position(F.transform(cells(F.col("_h"), sep), lambda c: F.lower(F.trim(c))), col.lower()).alias("_at"))
         rows = rows.join(at, "file")
-        cell = F.when(F.col("_at") > 0, F.try_element_at(cells, F.col("_at").cast("int")))
+        cell = F.when(F.col("_at") > 0, F.try_element_at(parts, F.col("_at").cast("int")))
     else:
-        cell = F.try_element_at(cells, F.lit(-1 if col is None else col + 1))
+        cell = F.try_element_at(parts, F.lit(-1 if col is None else col + 1))
     good = rows.select(F.col("file").alias("series_id"), "place", number(cell).alias("value")).where("value IS NOT NULL AND NOT isnan(value)")
     return numbered(good, ["series_id"]).select("series_id", "tick", "value")
 
 
-def sniff(spark: SparkSession, path: str) -> tuple[str, list[str] | None, list[int]]:
-    """(separator, header or None, numeric columns) from the first two filled lines of the first file: a few rows decide,
+def sniff(few: list[str]) -> tuple[str, list[str] | None, list[int]]:
+    """(separator, header or None, numeric columns) from the first two filled lines of a file: a few rows decide,
     as they do for a reader of one file."""
-    few = [r.value.lstrip("﻿") for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    import csv
+
+    few = [x.lstrip("\ufeff") for x in few]
     if not few:
         return ",", None, []
     sep = next((s for s in ("\t", ";") if s in few[0]), ",")
-    import csv
-
-    cells = [next(csv.reader([x], delimiter=sep)) for x in few]
+    rows = [next(csv.reader([x], delimiter=sep)) for x in few]
 
     def numeric(c: str) -> bool:
         try:
@@ -57,8 +63,8 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, list[str] | None, list[i
         except ValueError:
             return False
 
-    header = cells[0] if not any(map(numeric, cells[0])) else None
-    data = cells[-1] if header is not None and len(cells) > 1 else cells[0]
+    header = rows[0] if not any(map(numeric, rows[0])) else None
+    data = rows[-1] if header is not None and len(rows) > 1 else rows[0]
     mask = [i for i, c in enumerate(data) if not c.strip() or numeric(c)]
     return sep, header, mask
 
@@ -66,14 +72,31 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, list[str] | None, list[i
 def read_telemetry(spark: SparkSession, path: str, mostly: float | None = None) -> DataFrame:
     """(asset_id, tick, channel, value) of wide CSV files: separator and header are sniffed, columns that are numeric in
     the first data row stay (with `mostly`, those with at least that share of numbers), cells that are no numbers are
-    null, rows without any number go. Channels are named by the header, or numbered."""
-    sep, header, mask = sniff(spark, path)
-    if not mask:
+    null, rows without any number go. Channels are named by the header, or numbered. Files with the same first line are
+    read together; headerless ones are together if they have as many cells. So each header orders only its own files."""
+    filled = lines(spark, path).where(F.trim("value") != "")
+    first = filled.groupBy("file").agg(F.min_by("value", "place").alias("head"))
+    bare = F.split(F.col("head"), "[,;\t]")
+    kind = F.when(F.exists(bare, lambda c: number(c).isNotNull()), F.size(bare).cast("string")).otherwise(F.col("head"))
+    groups: dict[str, list[str]] = {}
+    for r in first.select(kind.alias("kind"), "file").orderBy("kind", "file").collect():  # names of files, as many as the driver lists anyway
+        groups.setdefault(r["kind"], []).append(r["file"])
+    out = spark.createDataFrame([], "asset_id string, tick long, channel string, value double")
+    for files in groups.values():
+        out = out.unionByName(_telemetry(spark, files, mostly))
+    return out
+
+
+def _telemetry(spark: SparkSession, files: list[str], mostly: float | None) -> DataFrame:
+    top = lines(spark, files[0]).where(F.trim("value") != "").orderBy("place").limit(2).collect()
+    sep, header, mask = sniff([r.value for r in top])
+    if not mask and mostly is None:
         return spark.createDataFrame([], "asset_id string, tick long, channel string, value double")
-    width = max([*mask, *(range(len(header)) if header else [])]) + 1
+    width = max([-1, *mask, *(range(len(header)) if header else [])]) + 1
     schema = ", ".join(f"c{i} string" for i in range(width))
-    raw = spark.read.schema(schema).csv(path, sep=sep, header=header is not None, enforceSchema=True, mode="PERMISSIVE")
-    raw = raw.select("*", F.col(_FILE).alias("asset_id"), F.monotonically_increasing_id().alias("place"))
+    raw = spark.read.schema(schema).csv(files, sep=sep, header=header is not None, enforceSchema=True, mode="PERMISSIVE", escape='"')
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    raw = raw.select("*", F.col(_FILE).alias("asset_id"), place.alias("place"))
     cols = list(range(width)) if mostly is not None else mask
     if mostly is not None:
         share = raw.agg(*[(F.count(number(F.col(f"c{i}"))) / F.count("*")).alias(f"c{i}") for i in cols]).first()
@@ -81,8 +104,8 @@ def read_telemetry(spark: SparkSession, path: str, mostly: float | None = None)
     names = {i: header[i].strip() if header and i < len(header) else f"ch{i}" for i in cols}
     wide = raw.select("asset_id", "place", *[number(F.col(f"c{i}")).alias(f"v{i}") for i in cols])
     wide = numbered(wide.where(F.coalesce(*[f"v{i}" for i in cols]).isNotNull()), ["asset_id"])
-    cells = F.explode(F.array(*[F.struct(F.lit(names[i]).alias("channel"), F.col(f"v{i}").alias("value")) for i in cols])).alias("x")
-    return wide.select("asset_id", "tick", cells).select("asset_id", "tick", "x.channel", "x.value")
+    each = F.explode(F.array(*[F.struct(F.lit(names[i]).alias("channel"), F.col(f"v{i}").alias("value")) for i in cols])).alias("x")
+    return wide.select("asset_id", "tick", each).select("asset_id", "tick", "x.channel", "x.value")
 
 
 def read_strict_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",", header: bool = True) -> DataFrame:
@@ -92,7 +115,7 @@ def read_strict_csv(spark: SparkSession, path: str, columns: list[str], sep: str
     ranked = numbered(rows, ["file"])
     if header:
         ranked = ranked.where("tick > 0").withColumn("tick", F.col("tick") - 1)
-    parts = F.split("value", sep, -1)
+    parts = cells(F.col("value"), sep)
     wrong = F.size(parts) != len(columns)
     values = [F.when(~wrong, number(F.get(parts, i))).alias(c) for i, c in enumerate(columns)]
     return ranked.select("file", "tick", *values, wrong.alias("invalid_row"))
@@ -143,7 +166,7 @@ def dropped_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def read_context(spark: SparkSession, path: str, tick_col: int = 0, kind_col: int = 1, value_col: int = 2) -> DataFrame:
     """(tick, kind, value, order) of a sidecar CSV with a header; a short row or a bad tick is an error."""
     rows = numbered(lines(spark, path).where(F.trim("value") != ""), ["file"]).where("tick > 0")
-    parts = F.split("value", ",", -1)
+    parts = cells(F.col("value"), ",")
     out = rows.select(F.trim(F.get(parts, tick_col)).try_cast("long").alias("t"), F.trim(F.get(parts, kind_col)).alias("kind"), F.trim(F.get(parts, value_col)).alias("value"), F.col("tick").alias("order"))
     bad = out.where(F.col("t").isNull() | F.col("kind").isNull() | F.col("value").isNull()).count()
     if bad:
@@ -196,10 +219,10 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
 def read_archive_series(spark: SparkSession, path: str) -> DataFrame:
     """(series_id, tick, value, train_end, begin, end): values between white space; the last three numbers of a file's
-    name are where training, and the anomaly, begin and end."""
+    name, or of the name of the folder that holds its parts, are where training ends and the anomaly begins and ends."""
     rows = lines(spark, path).select("file", "place", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("i", "x"))
     w = Window.partitionBy("file").orderBy("place", "i")
-    name = r"_(\d+)_(\d+)_(\d+)\.[^./]*$"
+    name = r"_(\d+)_(\d+)_(\d+)\.[^./]*(?:/[^/]*)?$"
     parts = [F.regexp_extract("file", name, k).cast("long").alias(n) for k, n in ((1, "train_end"), (2, "begin"), (3, "end"))]
     good = rows.withColumn("value", number(F.col("x"))).where("value IS NOT NULL")
     return good.select(F.col("file").alias("series_id"), (F.row_number().over(w) - 1).alias("tick"), "value", *parts)
