@@ -217,14 +217,14 @@ def policy_search(windows: DataFrame, policies: list[tuple[str, float, float]])
         _, _, x = matrix(pdf)
         one, rows = pdf.iloc[0], []
         n = int(one["baseline"])
-        healthy = filled(x[:, :n])
+        healthy, ahead = filled(x[:, :n]), mon.Ahead(x[:, n:])
         for policy, horizon, cusum_k in policies:
             cal = mon.Calibration.of(healthy, mon.Config(float(horizon), float(cusum_k)))
             clean, hit = 0, False
             if cal is not None:
-                m = mon.Monitor(cal)
-                for t in range(n, x.shape[1]):
-                    if m.push(x[:, t].tolist(), [bool(v == v) for v in x[:, t]]):
+                m = mon.Monitor(cal, ahead=ahead)
+                for t, (sample, valid) in enumerate(mon.ticks(x, n), n):
+                    if m.push(sample, valid, t - n):
                         late = pd.notna(one["onset"]) and t >= one["onset"]
                         hit, clean = hit or late, clean + (not late)
                         m.clear()

@@ -17,8 +17,11 @@ EVENTS = "asset_id {id}, tick long, kind string, channel string, leg string, obs
 
 def matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(channels, ticks, values (channels, ticks)) of one asset's long rows."""
-    wide = pdf.pivot_table(index="channel", columns="tick", values="value", aggfunc="last", dropna=False)
-    return [str(c) for c in wide.index], wide.columns.to_numpy(), wide.to_numpy(float)
+    channels, row = np.unique(pdf["channel"].to_numpy(str), return_inverse=True)
+    ticks, col = np.unique(pdf["tick"].to_numpy(), return_inverse=True)
+    x = np.full((len(channels), len(ticks)), np.nan)
+    x[row, col] = pdf["value"].to_numpy(float)
+    return channels.tolist(), ticks, x
 
 
 def filled(x: np.ndarray) -> np.ndarray:
@@ -77,11 +80,11 @@ def hybrid_monitor(df: DataFrame, baseline: Callable[[int], int] = default_basel
         n = baseline(x.shape[1])
         cal, rows = mon.Calibration.of(filled(x[:, :n]), config), []
         if cal is not None:
-            m = mon.Monitor(cal, legs)
-            for k in range(n, x.shape[1]):
-                alarm = m.push(x[:, k].tolist(), np.isfinite(x[:, k]).tolist())
+            m = mon.Monitor(cal, legs, mon.Ahead(x[:, n:]))
+            for k, (sample, valid) in enumerate(mon.ticks(x, n)):
+                alarm = m.push(sample, valid, k)
                 if alarm:
-                    rows = _rows(pdf["asset_id"].iloc[0], int(ticks[k]), channels, [("alarm", alarm, alarm.channel, alarm.fault)])
+                    rows = _rows(pdf["asset_id"].iloc[0], int(ticks[n + k]), channels, [("alarm", alarm, alarm.channel, alarm.fault)])
                     break
         return _frame(rows, [p.split()[0] for p in EVENTS.split(", ")])
 
@@ -121,9 +124,10 @@ def autopilot(df: DataFrame, baseline: Callable[[int], int] = default_baseline,
         n = baseline(x.shape[1])
         cal, rows = mon.Calibration.of(filled(x[:, :n]), config), []
         if cal is not None:
-            g = mon.Guard(cal, carry_config)
-            for k in range(n, x.shape[1]):
-                rows += _rows(pdf["asset_id"].iloc[0], int(ticks[k]), channels, g.push(x[:, k].tolist(), np.isfinite(x[:, k]).tolist()))
+            g = mon.Guard(cal, carry_config, mon.Ahead(x[:, n:]))
+            for k, (sample, valid) in enumerate(mon.ticks(x, n)):
+                if events := g.push(sample, valid):
+                    rows += _rows(pdf["asset_id"].iloc[0], int(ticks[n + k]), channels, events)
         return _frame(rows, [p.split()[0] for p in EVENTS.split(", ")])
 
     return _per_asset(df, run, EVENTS)
