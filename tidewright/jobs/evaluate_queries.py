@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, forecast, guard, legs, prepare
-from .monitor_queries import ALARMS, alarms, frames
+from .incident_queries import CHARTS
+from .monitor_queries import ALARMS, LIMIT, alarms, frames
 from .registry import EV, event_series, fleet, query, round_all, table
 
 #: Labelled windows made from the error events of a high value: asset, label, [start, end], category.
@@ -175,7 +176,10 @@ def eva21(spark, sf):
     return evaluate.policy_search(w, [("default", 1e6, 1.0), ("sensitive", 1e5, 1.0), ("slack", 1e6, 0.5)])
 
 
-@query("eva22_detector_comparison")
+@query("eva22_detector_comparison", f"""WITH RECURSIVE {CHARTS}, {LIMIT}, b AS (SELECT 'ewma' AS detector, c, t FROM ewh UNION ALL SELECT 'cusum', c, t FROM cuh UNION ALL SELECT 'limit', c, t FROM lr WHERE r >= 3),
+ep AS (SELECT detector, c, t FROM (SELECT *, t - lag(t) OVER (PARTITION BY detector, c ORDER BY t) AS g FROM b) WHERE g IS NULL OR g >= 50), w AS (SELECT c, max(t) // 2 - 40 AS s, max(t) // 2 + 40 AS e FROM mf GROUP BY c),
+x AS (SELECT detector, ep.c, t BETWEEN s AND e AS inside FROM ep JOIN w USING (c)), ca AS (SELECT detector, count(DISTINCT c) FILTER (inside) AS caught, count(*) FILTER (NOT inside) AS f FROM x GROUP BY detector)
+SELECT detector, coalesce(caught, 0) AS caught, coalesce(f, 0) AS false_alarms, round(1000 * coalesce(f, 0) / (SELECT count(*) FROM mf), 6) AS per_1000 FROM (SELECT DISTINCT detector FROM b) LEFT JOIN ca USING (detector)""")
 def eva22(spark, sf):
     _, p, m = frames(spark, sf)
     parts = {"limit": legs.limit_check(m, p), "ewma": guard.ewma_chart(m, p), "cusum": guard.cusum_chart(m, p)}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import guard, incidents, replay
-from .monitor_queries import frames
-from .registry import fleet, query, recording, round_all, table
+from ..operators.calibrate import siegmund_threshold
+from .monitor_queries import _PTHR, FC, GUMBEL, R, frames
+from .registry import DFA, fleet, query, recording, round_all, table
 
 ID = ["asset_id", "channel"]
 #: Alarm and policy events made from the events table: five assets, ticks from the event numbers.
@@ -131,7 +132,24 @@ def leg15(spark, sf):
     return guard.guard(fleet(spark, sf))[1]
 
 
-@query("cal12_calibrate")
+_CAL12 = f"""WITH {FC}, {_PTHR}, fp AS (SELECT k, c, t, v AS y, lag(v) OVER (PARTITION BY k, c ORDER BY t) AS x FROM pf),
+fa0 AS (SELECT k, c, CASE WHEN regr_sxx(y, x) > 1e-12 THEN regr_sxy(y, x) / regr_sxx(y, x) ELSE 0 END AS b, avg(x) AS mx, avg(y) AS my FROM fp WHERE x IS NOT NULL GROUP BY k, c),
+fa AS (SELECT k, c, b, my - b * mx AS a, greatest(sqrt(avg(pow(y - (my - b * mx + b * x), 2))), 1e-9) AS sd FROM fp JOIN fa0 USING (k, c) WHERE x IS NOT NULL GROUP BY k, c, b, mx, my),
+fr AS (SELECT k, c, t, (y - (a + b * x)) / sd AS z FROM fp JOIN fa USING (k, c) WHERE x IS NOT NULL),
+aw AS (SELECT k, unnest(range(0, m - 95, 2)) // 2 AS w FROM fm), ax AS (SELECT pf.k || '|' || c || '|' || w AS k, t - w * 2 AS t, v FROM pf JOIN aw ON pf.k = aw.k AND t BETWEEN w * 2 AND w * 2 + 95), {DFA('ax', 'ad')},
+al AS (SELECT split_part(k, '|', 1) AS k, split_part(k, '|', 2) AS c, split_part(k, '|', 3)::BIGINT AS w, alpha FROM ad), ast AS (SELECT k, c, avg(alpha) AS am, greatest(stddev_pop(alpha), 1e-6) AS asd FROM al GROUP BY k, c),
+rd AS (SELECT k, c, t - 96 AS i, abs(r - m) AS score FROM (SELECT k, c, t, avg(v) OVER (PARTITION BY k, c ORDER BY t ROWS BETWEEN 95 PRECEDING AND CURRENT ROW) AS r FROM pf) JOIN fst USING (k, c) WHERE t >= 96), {GUMBEL('rd', 'rt', 'k, c', '1e6')},
+ri AS (SELECT k, c, sum(CASE WHEN v = p THEN 0 ELSE 1 END) OVER (PARTITION BY k, c ORDER BY t) AS i FROM (SELECT k, c, t, v, lag(v) OVER (PARTITION BY k, c ORDER BY t) AS p FROM pf)), rn AS (SELECT k, c, max(n) AS max_run FROM (SELECT k, c, i, count(*) AS n FROM ri GROUP BY k, c, i) GROUP BY k, c),
+zx AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS i, max(abs(z)) AS score FROM fr GROUP BY k, t), {GUMBEL('zx', 'zt', 'k', '1e6')},
+cw AS (SELECT k, c, t, sum(z - 1) OVER w AS u, sum(-z - 1) OVER w AS d FROM fr WINDOW w AS (PARTITION BY k, c ORDER BY t)), cp AS (SELECT k, c, t, greatest(u - least(0, min(u) OVER w), d - least(0, min(d) OVER w)) AS s FROM cw WINDOW w AS (PARTITION BY k, c ORDER BY t)),
+cx AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS i, max(s) AS score FROM cp GROUP BY k, t), {GUMBEL('cx', 'ct', 'k', '1e6')},
+dx AS (SELECT k, w AS i, max(abs(alpha - am) / asd) AS score FROM al JOIN ast USING (k, c) GROUP BY k, w), {GUMBEL('dx', 'dt', 'k', '5e5')}
+SELECT k AS asset_id, c AS channel, round(a, 6) AS ar_a, round(b, 6) AS ar_b, round(fa.sd, 6) AS ar_sd, round(am, 6) AS alpha_mean, round(asd, 6) AS alpha_sd, round(fst.m, 6) AS mean, round(greatest(rt.threshold, 1e-9), 6) AS roll_thr, max_run, max_run <= 4 AS repeat_enabled,
+round(frs.sd, 6) AS recon_sd, round(r2, 6) AS recon_r2, round(zt.threshold, 6) AS res_thr, round(greatest(ct.threshold, {siegmund_threshold()!r}), 6) AS cusum_thr, round(dt.threshold, 6) AS dfa_thr, round(fpt.threshold, 6) AS parity_thr
+FROM fa JOIN ast USING (k, c) JOIN fst USING (k, c) JOIN rt USING (k, c) JOIN rn USING (k, c) JOIN frs USING (k, c) JOIN zt USING (k) JOIN ct USING (k) JOIN dt USING (k) JOIN fpt USING (k)"""
+
+
+@query("cal12_calibrate", _CAL12)
 def cal12(spark, sf):
     return round_all(guard.calibrate(fleet(spark, sf)))
 
@@ -142,13 +160,22 @@ def cal13(spark, sf):
     return guard.self_check(fleet(spark, sf), lambda n: min(n, 1600))
 
 
-@query("leg19_ewma_chart")
+#: Both charts over the rest mx(c, t, v, m, sd), value by value.
+CHARTS = f"""{R}, mx AS MATERIALIZED (SELECT c, t, v, m, sd FROM mf JOIN (SELECT c, avg(v) AS m, stddev_pop(v) AS sd FROM pf GROUP BY c) USING (c)),
+ew AS (SELECT c, t, 0.2 * v + 0.8 * m AS z FROM mx WHERE t = 0 UNION ALL SELECT mx.c, mx.t, 0.2 * v + 0.8 * z FROM ew JOIN mx ON mx.c = ew.c AND mx.t = ew.t + 1),
+ewh AS (SELECT c, t FROM ew JOIN mx USING (c, t) WHERE abs(z - m) > 3 * sd * sqrt(0.2 / 1.8)),
+cu AS (SELECT c, t, greatest(0, v - m - 0.5 * sd) AS u, greatest(0, m - v - 0.5 * sd) AS d, 5 * sd AS h FROM mx WHERE t = 0 UNION ALL
+SELECT mx.c, mx.t, greatest(0, CASE WHEN greatest(u, d) > h THEN 0 ELSE u END + v - m - 0.5 * sd), greatest(0, CASE WHEN greatest(u, d) > h THEN 0 ELSE d END + m - v - 0.5 * sd), h FROM cu JOIN mx ON mx.c = cu.c AND mx.t = cu.t + 1),
+cuh AS (SELECT c, t FROM cu WHERE greatest(u, d) > h)"""
+
+
+@query("leg19_ewma_chart", f"WITH RECURSIVE {CHARTS} SELECT 'events' AS asset_id, c AS channel, t AS tick, 'ewma' AS leg FROM ewh")
 def leg19(spark, sf):
     _, p, m = frames(spark, sf)
     return guard.ewma_chart(m, p)
 
 
-@query("leg20_cusum_chart")
+@query("leg20_cusum_chart", f"WITH RECURSIVE {CHARTS} SELECT 'events' AS asset_id, c AS channel, t AS tick, 'cusum_chart' AS leg FROM cuh")
 def leg20(spark, sf):
     _, p, m = frames(spark, sf)
     return guard.cusum_chart(m, p)

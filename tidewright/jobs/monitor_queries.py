@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import verdicts
 from ..operators import calibrate as cal
 from ..operators import legs, prepare, windows
-from .registry import DFA, REC, fleet, query, recording, round_all, table
+from .registry import DFA, FLEET, REC, fleet, query, recording, round_all, table
 
 ID = ["asset_id", "channel"]
 A = "'events' AS asset_id"
@@ -50,6 +50,34 @@ def parts(r):
     rest = cut.where("tick >= _m").withColumn("tick", F.col("tick") - F.col("_m")).drop("_m")
     return r, prefix, rest
 
+_SOURCES = "CASE c WHEN 'discount' THEN ['price', 'quantity', 'tax'] WHEN 'price' THEN ['discount', 'quantity', 'tax'] WHEN 'quantity' THEN ['discount', 'price', 'tax'] ELSE ['discount', 'price', 'quantity'] END"
+#: The fleet (k, c, t, v): prefix pf and rest mf without gaps; AR(1) fits, residuals and CUSUM paths by channel, and each channel
+#: rebuilt from the other three: fst (mean, deviation), fwr (raw weights), frs (bias, sd, r2).
+FC = f"""{FLEET}, fm AS (SELECT k, least(n, greatest(least(n // 3, 100000), 192)) AS m FROM (SELECT k, max(t) + 1 AS n FROM fl GROUP BY k)),
+fq AS (SELECT k, c, t, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY k, c ORDER BY t), first_value(v IGNORE NULLS) OVER (PARTITION BY k, c ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS v FROM fl),
+pf AS MATERIALIZED (SELECT k, c, t, v FROM fq JOIN fm USING (k) WHERE t < m), mf AS MATERIALIZED (SELECT k, c, t - m AS t, v FROM fq JOIN fm USING (k) WHERE t >= m),
+fst AS (SELECT k, c, avg(v) AS m, greatest(stddev_pop(v), 1e-12) AS s FROM pf GROUP BY k, c),
+fz AS (SELECT k, t, max((v - m) / s) FILTER (c = 'discount') AS d, max((v - m) / s) FILTER (c = 'price') AS p, max((v - m) / s) FILTER (c = 'quantity') AS q, max((v - m) / s) FILTER (c = 'tax') AS x FROM pf JOIN fst USING (k, c) GROUP BY k, t),
+fu AS MATERIALIZED (SELECT k, t, 'discount' AS c, d AS y, p AS x1, q AS x2, x AS x3 FROM fz UNION ALL SELECT k, t, 'price', p, d, q, x FROM fz UNION ALL SELECT k, t, 'quantity', q, d, p, x FROM fz UNION ALL SELECT k, t, 'tax', x, d, p, q FROM fz),
+fg AS (SELECT k, c, sum(x1 * x1) + 1e-4 * count(*) AS g1, sum(x1 * x2) AS g2, sum(x1 * x3) AS g3, sum(x2 * x2) + 1e-4 * count(*) AS g4, sum(x2 * x3) AS g5, sum(x3 * x3) + 1e-4 * count(*) AS g6, sum(x1 * y) AS h1, sum(x2 * y) AS h2, sum(x3 * y) AS h3 FROM fu GROUP BY k, c),
+fd AS (SELECT *, g1 * (g4 * g6 - g5 * g5) - g2 * (g2 * g6 - g3 * g5) + g3 * (g2 * g5 - g3 * g4) AS det FROM fg),
+fw AS (SELECT k, c, (h1 * (g4 * g6 - g5 * g5) - g2 * (h2 * g6 - h3 * g5) + g3 * (h2 * g5 - h3 * g4)) / det AS w1, (g1 * (h2 * g6 - h3 * g5) - h1 * (g2 * g6 - g3 * g5) + g3 * (g2 * h3 - g3 * h2)) / det AS w2, (g1 * (g4 * h3 - g5 * h2) - g2 * (g2 * h3 - g3 * h2) + h1 * (g2 * g5 - g3 * g4)) / det AS w3 FROM fd),
+fe AS (SELECT k, c, count(*) AS n, sum(pow(y - w1 * x1 - w2 * x2 - w3 * x3, 2)) AS rss, sum(y * y) AS tss FROM fu JOIN fw USING (k, c) GROUP BY k, c),
+fwr AS (SELECT f.k, f.c, src, a.s * w / b.s AS weight, b.m AS mean FROM (SELECT k, c, unnest({_SOURCES}) AS src, unnest([w1, w2, w3]) AS w FROM fw) f JOIN fst a ON a.k = f.k AND a.c = f.c JOIN fst b ON b.k = f.k AND b.c = f.src),
+frs AS (SELECT k, c, a.m - b.moved AS bias, greatest(sqrt(rss / n) * a.s, 1e-9) AS sd, 1 - rss / tss AS r2 FROM fe JOIN fst a USING (k, c) JOIN (SELECT k, c, sum(weight * mean) AS moved FROM fwr GROUP BY k, c) b USING (k, c))"""
+
+
+def PARITY(src: str, o: str) -> str:  # noqa: N802
+    """o(k, c, t, predicted, z): what the other channels say of src, and how far off it is."""
+    return f"{o} AS MATERIALIZED (SELECT r.k, r.c, y.t, r.bias + s.said AS predicted, abs(y.v - r.bias - s.said) / r.sd AS z FROM frs r JOIN {src} y ON y.k = r.k AND y.c = r.c JOIN (SELECT w.k, w.c, x.t, sum(w.weight * x.v) AS said FROM fwr w JOIN {src} x ON x.k = w.k AND x.c = w.src GROUP BY ALL) s ON s.k = r.k AND s.c = r.c AND s.t = y.t)"
+
+
+_PTHR = f"{PARITY('pf', 'fpp')}, fpx AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS i, max(z) AS score FROM fpp GROUP BY k, t), {GUMBEL('fpx', 'fpt', 'k', '1e6')}"
+
+
+def fleet_parts(spark, sf):
+    return parts(prepare.fill_gaps(fleet(spark, sf), ID))
+
 
 @query("cal1_fit_ar1", f"WITH {R} SELECT {A}, c AS channel, round(a, 6) AS a, round(b, 6) AS b, round(sd, 6) AS sd FROM ar")
 def cal1(spark, sf):
@@ -130,14 +158,14 @@ def cal10_gram(spark, sf):
     return round_all(cal.gram(frames(spark, sf)[1]), 5)
 
 
-@query("cal10_fit_reconstructor")
+@query("cal10_fit_reconstructor", f"WITH {FC} SELECT k AS asset_id, c AS channel, src AS source, round(weight, 6) AS weight, round(bias, 6) AS bias, round(sd, 6) AS sd, round(r2, 6) AS r2 FROM fwr JOIN frs USING (k, c)")
 def cal10(spark, sf):
-    return round_all(cal.fit_reconstructors(frames(spark, sf)[1]))
+    return round_all(cal.fit_reconstructors(fleet_parts(spark, sf)[1]))
 
 
-@query("cal11_parity_z")
+@query("cal11_parity_z", f"WITH {FC}, {PARITY('mf', 'fpm')} SELECT k AS asset_id, c AS channel, t AS tick, round(predicted, 6) AS predicted, round(z, 6) AS z FROM fpm")
 def cal11(spark, sf):
-    _, p, rest = frames(spark, sf)
+    _, p, rest = fleet_parts(spark, sf)
     return round_all(cal.parity_z(rest, cal.fit_reconstructors(p)))
 
 
@@ -250,10 +278,10 @@ def leg6(spark, sf):
     return legs.leg_missing(prepare.validity(recording(spark, sf, 20)))
 
 
-@query("leg7_parity")
+@query("leg7_parity", f"WITH {FC}, {_PTHR}, {PARITY('mf', 'fpm')}, hi AS (SELECT k, c, t, z, threshold / 2 AS th FROM fpm JOIN fpt USING (k) WHERE z > threshold / 2), hg AS (SELECT *, t - lag(t) OVER (PARTITION BY k, c ORDER BY t) AS g FROM hi) SELECT k AS asset_id, c AS channel, t AS tick, 'parity' AS leg, round(z, 6) AS observed, round(th, 6) AS threshold, g AS hit_gap FROM hg WHERE g < 20")
 def leg7(spark, sf):
     """On the fleet, where a delivery's price goes with its quantity until a fault parts them."""
-    _, p, m = parts(prepare.fill_gaps(fleet(spark, sf), ID))
+    _, p, m = fleet_parts(spark, sf)
     recon = cal.fit_reconstructors(p)
     top = cal.gumbel_return_level(cal.channel_max(cal.parity_z(p, recon), F.col("z")), ["asset_id"], cal.HORIZON).withColumn("threshold", F.col("threshold") / 2)
     return round_all(legs.twice_within(cal.parity_z(m, recon), top, "parity"))
@@ -294,9 +322,9 @@ def leg9(spark, sf):
     return alarms(spark, sf).select("asset_id", "channel", "tick", "leg", verdicts.alarm_class(F.col("leg"), F.col("observed"), F.col("threshold"), F.col("hit_gap")).alias("class"))
 
 
-@query("leg13_virtual_values")
+@query("leg13_virtual_values", f"WITH {FC}, {PARITY('mf', 'fpm')} SELECT k AS asset_id, c AS channel, t AS tick, round(predicted, 6) AS predicted, round(sd, 6) AS sd, round(r2, 6) AS r2 FROM fpm JOIN frs USING (k, c)")
 def leg13(spark, sf):
-    _, p, m = frames(spark, sf)
+    _, p, m = fleet_parts(spark, sf)
     recon = cal.fit_reconstructors(p)
     return round_all(legs.virtual_values(cal.parity_z(m, recon), recon))
 
@@ -306,10 +334,12 @@ def leg14(spark, sf):
     return legs.dedupe_alarms(alarms(spark, sf), 500).select("asset_id", "channel", "tick", "leg")
 
 
-@query("leg16_limit_check", f"""WITH {R}, md AS (SELECT c, v AS med FROM (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY v) AS r, count(*) OVER (PARTITION BY c) AS n FROM pf) WHERE r = n // 2 + 1),
+LIMIT = """md AS (SELECT c, v AS med FROM (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY v) AS r, count(*) OVER (PARTITION BY c) AS n FROM pf) WHERE r = n // 2 + 1),
 dv AS (SELECT c, abs(v - med) AS d FROM pf JOIN md USING (c)), p9 AS (SELECT c, d AS p FROM (SELECT c, d, row_number() OVER (PARTITION BY c ORDER BY d) AS r, count(*) OVER (PARTITION BY c) AS n FROM dv) WHERE r = greatest(ceil(n * 0.95) - 1, 0) + 1),
-h AS (SELECT c, t, t - row_number() OVER (PARTITION BY c ORDER BY t) AS g FROM mf JOIN md USING (c) JOIN p9 USING (c) WHERE abs(v - med) > 1.5 * p), r AS (SELECT c, t, row_number() OVER (PARTITION BY c, g ORDER BY t) AS r FROM h)
-SELECT {A}, c AS channel, t AS tick, 'limit' AS leg FROM r WHERE r >= 2""")
+lh AS (SELECT c, t, t - row_number() OVER (PARTITION BY c ORDER BY t) AS g FROM mf JOIN md USING (c) JOIN p9 USING (c) WHERE abs(v - med) > 1.5 * p), lr AS (SELECT c, t, row_number() OVER (PARTITION BY c, g ORDER BY t) AS r FROM lh), lmh AS (SELECT c, t FROM lr WHERE r >= 2)"""
+
+
+@query("leg16_limit_check", f"WITH {R}, {LIMIT} SELECT {A}, c AS channel, t AS tick, 'limit' AS leg FROM lmh")
 def leg16(spark, sf):
     _, p, m = frames(spark, sf)
     return legs.limit_check(m, p, 2)

@@ -31,14 +31,38 @@ def refractory_alarms(alarms: DataFrame, keys: list[str], gap: int = 100) -> Dat
     return runs.select(*keys, F.explode(F.aggregate("t", start, fold)["kept"]).alias("tick"))
 
 
+#: Ticks of a band: points and intervals of one series meet within bands, so a hot series is spread over many keys.
+BAND = 1024
+
+
+def banded(intervals: DataFrame) -> DataFrame:
+    """Each interval [start, end] once for every band that it reaches into; ends before starts reach nowhere."""
+    return intervals.where("start <= end").withColumn("_band", F.explode(F.sequence(F.expr(f"start div {BAND}"), F.expr(f"end div {BAND}"))))
+
+
+def inside(points: DataFrame, windows: DataFrame, key: str, how: str) -> DataFrame:
+    """Points (key, tick, ...) semi or anti joined with the windows (key, start, end) of their series."""
+    w = banded(windows.select(F.col(key).alias("_k"), "start", "end"))
+    p = points.withColumn("_b", F.expr(f"tick div {BAND}"))
+    on = (p[key] == w["_k"]) & (p["_b"] == w["_band"]) & p["tick"].between(w["start"], w["end"])
+    return p.join(w, on, how).drop("_b")
+
+
+def caught_windows(windows: DataFrame, points: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """(keys, key, label_id): windows in which a point lies, once each; keys are columns of the points."""
+    p = points.select(*keys, F.col(key).alias("_k"), F.col("tick").alias("_t"), F.expr(f"tick div {BAND}").alias("_b"))
+    w = banded(windows.select(key, "label_id", "start", "end"))
+    on = (w[key] == p["_k"]) & (w["_band"] == p["_b"]) & p["_t"].between(w["start"], w["end"])
+    return w.join(p, on).select(*keys, key, "label_id").distinct()
+
+
 def window_detection(alarms: DataFrame, windows: DataFrame, samples: DataFrame, key: str) -> DataFrame:
     """(category, series, windows, caught, false_alarms, per_1000): by category, with the total (null category).
 
     windows: key, label_id, start, end. samples: key, category, n. Both ends count."""
-    joined = lambda how: windows.join(alarms, (windows[key] == alarms[key]) & alarms["tick"].between(windows["start"], windows["end"]), how)
-    caught = joined("left_semi").groupBy(key).agg(F.count("*").alias("caught"))
+    caught = caught_windows(windows, alarms, [], key).groupBy(key).agg(F.count("*").alias("caught"))
     total = windows.groupBy(key).agg(F.count("*").alias("windows"))
-    false = alarms.join(windows, (windows[key] == alarms[key]) & alarms["tick"].between(windows["start"], windows["end"]), "left_anti").groupBy(key).agg(F.count("*").alias("false"))
+    false = inside(alarms, windows, key, "left_anti").groupBy(key).agg(F.count("*").alias("false"))
     per = samples.join(total, key, "left").join(caught, key, "left").join(false, key, "left").fillna(0)
     rolled = per.rollup("category").agg(F.count("*").alias("series"), F.sum("windows").alias("windows"), F.sum("caught").alias("caught"), F.sum("false").alias("false_alarms"), (1000 * F.sum("false") / F.sum("n")).alias("per_1000"))
     return rolled
@@ -46,8 +70,7 @@ def window_detection(alarms: DataFrame, windows: DataFrame, samples: DataFrame,
 
 def leg_breakdown(alarms: DataFrame, windows: DataFrame, key: str) -> DataFrame:
     """(leg, alarms, false_alarms)."""
-    inside = alarms.join(windows.select(F.col(key).alias("_k"), "start", "end"), (F.col(key) == F.col("_k")) & F.col("tick").between(F.col("start"), F.col("end")), "left_anti")
-    false = inside.groupBy("leg").agg(F.count("*").alias("false_alarms"))
+    false = inside(alarms, windows, key, "left_anti").groupBy("leg").agg(F.count("*").alias("false_alarms"))
     return alarms.groupBy("leg").agg(F.count("*").alias("alarms")).join(false, "leg", "left").fillna(0)
 
 
@@ -59,11 +82,14 @@ def top_false_alarm_series(false: DataFrame, key: str, k: int = 5) -> DataFrame:
 def sequence_detection(predicted: DataFrame, labels: DataFrame, key: str, groups: list[str]) -> DataFrame:
     """Interval overlap: labels hit, predictions that hit none, precision, recall, F1, rolled up over `groups` of the
     labels (the first group also belongs to the predictions)."""
-    over = (labels[key] == predicted[key]) & (predicted["start"] <= labels["end"]) & (predicted["end"] >= labels["start"])
-    hit = labels.join(predicted, over, "left_semi").select(key, "label_id").distinct().withColumn("_h", F.lit(1))
+    p = banded(predicted.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), "start", "end")).select("_k", "_s", "_e", F.col("_band").alias("_b"))
+    w = banded(labels.select(key, "label_id", "start", "end"))
+    met = w.join(p, (w[key] == p["_k"]) & (w["_band"] == p["_b"]) & (p["_s"] <= w["end"]) & (p["_e"] >= w["start"]))
+    hit = met.select(key, "label_id").distinct().withColumn("_h", F.lit(1))
+    right = met.select(F.col("_k").alias(key), F.col("_s").alias("start"), F.col("_e").alias("end")).distinct()
     each = labels.join(hit, [key, "label_id"], "left")
     found = each.rollup(*groups).agg(F.count("*").alias("labels"), F.count("_h").alias("hits"))
-    false = predicted.join(labels, over, "left_anti").rollup(groups[0]).agg(F.count("*").alias("false_alarms")).withColumnRenamed(groups[0], "_g")
+    false = predicted.join(right, [key, "start", "end"], "left_anti").rollup(groups[0]).agg(F.count("*").alias("false_alarms")).withColumnRenamed(groups[0], "_g")
     out = found.join(false, F.col(groups[0]).eqNullSafe(F.col("_g")), "left").drop("_g").fillna({"false_alarms": 0})
     precision, recall = F.col("hits") / F.nullif(F.col("hits") + F.col("false_alarms"), F.lit(0)), F.col("hits") / F.col("labels")
     return out.select(*groups, "labels", "hits", "false_alarms", precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / F.nullif(precision + recall, F.lit(0.0))).alias("f1"))
@@ -196,10 +222,8 @@ def self_check_table(checks: DataFrame, labels: DataFrame) -> DataFrame:
 def detector_comparison(alarms: DataFrame, windows: DataFrame, samples: DataFrame, key: str, gap: int = 50) -> DataFrame:
     """(detector, caught, false_alarms, per_1000): the same episodes and windows for each detector."""
     eps = alarm_episodes(alarms, ["detector", key], gap)
-    w = windows.select(F.col(key).alias("_k"), "label_id", "start", "end")
-    on = (F.col(key) == F.col("_k")) & F.col("tick").between(F.col("start"), F.col("end"))
-    caught = eps.join(w, on).select("detector", key, "label_id").distinct().groupBy("detector").agg(F.count("*").alias("caught"))
-    false = eps.join(w, on, "left_anti").groupBy("detector").agg(F.count("*").alias("false_alarms"))
+    caught = caught_windows(windows, eps, ["detector"], key).groupBy("detector").agg(F.count("*").alias("caught"))
+    false = inside(eps, windows, key, "left_anti").groupBy("detector").agg(F.count("*").alias("false_alarms"))
     n = samples.agg(F.sum("n")).first()[0]
     out = alarms.select("detector").distinct().join(caught, "detector", "left").join(false, "detector", "left").fillna(0)
     return out.withColumn("per_1000", 1000.0 * F.col("false_alarms") / n)

@@ -84,7 +84,8 @@ def incident_report(evidence: DataFrame, names: DataFrame) -> DataFrame:
 
 def report_totals(incidents: DataFrame, folded: DataFrame) -> DataFrame:
     """(asset_id, incidents, channels, unresolved)."""
-    i = incidents.groupBy("asset_id").agg(F.count("*").alias("incidents"), F.size(F.array_distinct(F.flatten(F.collect_list("channels")))).cast("long").alias("channels"))
+    c = incidents.select("asset_id", F.explode("channels").alias("c")).groupBy("asset_id").agg(F.count_distinct("c").alias("channels"))
+    i = incidents.groupBy("asset_id").agg(F.count("*").alias("incidents")).join(c, "asset_id", "left").fillna({"channels": 0})
     u = folded.groupBy("asset_id").agg(F.sum("unresolved").alias("unresolved"))
     return i.join(u, "asset_id", "left").fillna({"unresolved": 0})
 
