@@ -8,7 +8,7 @@ from ..functions import verdicts
 from ..operators import domains, grouped, prepare, structure, windows
 from ..sources import sinks
 from .prepare_queries import _TIMES, event_times
-from .registry import DAY, DFA, DFA_SHORT, EV, HEALTH, LAW, SIGNAL, SU, US, daily_orders, event_series, query, round_all, supplier_series, table
+from .registry import DAY, DFA, DFA_SHORT, EV, RSS, HEALTH, LAW, SIGNAL, SU, US, daily_orders, event_series, query, round_all, supplier_series, table
 
 K = ["series_id"]
 
@@ -146,7 +146,11 @@ def dom10(spark, sf):
     return domains.signal_quality(structure.analyze(supplier_series(spark, sf), K)).select("series_id", "signal")
 
 
-@query("dom11_run_to_failure")
+@query("dom11_run_to_failure", f"""WITH {SU}, h AS (SELECT k, t, v / 10000 + pow(t / 120e0, 2) AS v FROM su), b AS (SELECT k, avg(v) AS base FROM h WHERE t < 50 GROUP BY k), o AS (SELECT k, base, min(t) AS failure FROM h JOIN b USING (k) WHERE v > 4 * base GROUP BY k, base),
+sh AS (SELECT *, unnest([0.5e0, 0.75e0, 0.9e0]) AS share FROM o), pt AS (SELECT k, share, v / (4 * base) AS v, 8 - row_number() OVER (PARTITION BY k, share ORDER BY t DESC) AS x, count(*) OVER (PARTITION BY k, share) AS n FROM h JOIN sh USING (k) WHERE t <= floor(failure * share)),
+f AS (SELECT k, share, regr_slope(v, x) AS b, regr_intercept(v, x) AS a, {RSS('v', 'x')} AS ss, regr_sxx(v, x) AS sxx FROM pt WHERE x >= 0 AND n >= 8 GROUP BY k, share),
+e AS (SELECT k, share, CASE WHEN abs(b) > sqrt(ss / 6 / greatest(sxx, 1e-12)) AND sign(1 - (a + b * 7)) = sign(b) THEN (1 - (a + b * 7)) / b END AS eta FROM f)
+SELECT sh.k AS series_id, round(base, 6) AS base, round(4 * base, 6) AS level, failure, share, round(eta, 6) AS eta, round(eta - (failure - floor(failure * share)), 6) AS error FROM sh LEFT JOIN e USING (k, share)""")
 def dom11(spark, sf):
     """A growing wear added to supplier series."""
     s = supplier_series(spark, sf).withColumn("value", F.col("value") / 10000 + F.pow(F.col("tick") / 120.0, F.lit(2)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import guard, incidents, replay
@@ -87,12 +89,31 @@ def _again(spark, sf):
     return e.withColumn("tick", F.col("tick") + F.when(F.col("tick") % 7 == 0, 1).otherwise(0)).withColumn("observed", F.col("observed") * F.when(F.col("tick") % 5 == 0, 1.1).otherwise(1.0))
 
 
-@query("inc9_diff_incidents")
+def _second_run(sql: str) -> str:
+    """The CTEs of GRP behind evt, over ev2 and under names of their own."""
+    return re.sub(r"\b(evt|ge|gs|gl|evi|inc)\b", r"\g<1>2", sql[len(EVT) + 2 :])
+
+
+EV2 = "evt2 AS (SELECT asset_id, t AS tick, kind, channel, leg, observed * CASE WHEN t % 5 = 0 THEN 1.1e0 ELSE 1 END AS observed, threshold FROM (SELECT *, tick + CASE WHEN tick % 7 = 0 THEN 1 ELSE 0 END AS t FROM evt WHERE tick % 19 <> 0))"
+#: Pairs of incidents: saved ones in turn take the nearest that is not taken; used holds what is.
+PAIRS = f"""{GRP}, {EV2}, {_second_run(GRP)},
+cand AS MATERIALIZED (SELECT a.asset_id, a.incident_id AS saved_id, b.incident_id AS fresh_id, b.start_tick - a.start_tick AS delta FROM inc a JOIN inc2 b ON a.asset_id = b.asset_id AND abs(b.start_tick - a.start_tick) <= 5 AND list_has_any(a.channels, b.channels)),
+sv AS MATERIALIZED (SELECT asset_id, saved_id, row_number() OVER (PARTITION BY asset_id ORDER BY saved_id) AS r FROM (SELECT DISTINCT asset_id, saved_id FROM cand)),
+tk AS (SELECT DISTINCT asset_id, 0::BIGINT AS r, []::BIGINT[] AS used, NULL::BIGINT AS saved_id, NULL::BIGINT AS fresh_id, NULL::BIGINT AS delta FROM cand UNION ALL
+SELECT asset_id, r, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.f) END, saved_id, b.f, b.d FROM (SELECT tk.asset_id, sv.r, tk.used, sv.saved_id, min({{'a': abs(c.delta), 'f': c.fresh_id, 'd': c.delta}}) FILTER (NOT list_contains(tk.used, c.fresh_id)) AS b
+FROM tk JOIN sv ON sv.asset_id = tk.asset_id AND sv.r = tk.r + 1 JOIN cand c ON c.asset_id = sv.asset_id AND c.saved_id = sv.saved_id GROUP BY tk.asset_id, sv.r, tk.used, sv.saved_id)),
+pr AS (SELECT asset_id, saved_id, fresh_id, delta FROM tk WHERE fresh_id IS NOT NULL)"""
+
+
+@query("inc9_diff_incidents", f"WITH RECURSIVE {PAIRS} SELECT i.asset_id, i.incident_id AS saved_id, fresh_id, delta FROM inc i LEFT JOIN pr ON pr.asset_id = i.asset_id AND pr.saved_id = i.incident_id UNION ALL SELECT asset_id, NULL, incident_id, NULL FROM inc2 WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.asset_id = inc2.asset_id AND pr.fresh_id = inc2.incident_id)")
 def inc9(spark, sf):
     return incidents.diff_incidents(_found(spark, sf)[1], incidents.spans(incidents.group_incidents(_again(spark, sf))))
 
 
-@query("inc10_diff_evidence")
+@query("inc10_diff_evidence", f"""WITH RECURSIVE {PAIRS}, ea AS (SELECT e.asset_id, p.saved_id, channel, leg, tick, observed, threshold FROM evi e JOIN pr p ON p.asset_id = e.asset_id AND p.saved_id = e.incident_id), eb AS (SELECT e.asset_id, p.saved_id, channel, leg, tick, observed, threshold FROM evi2 e JOIN pr p ON p.asset_id = e.asset_id AND p.fresh_id = e.incident_id),
+j AS (SELECT asset_id, saved_id, channel, ea.observed IS NULL AS n, eb.observed IS NULL AS o, abs(ea.observed - eb.observed) > 1e-6 * greatest(abs(ea.observed), abs(eb.observed), 1) AS d FROM ea FULL JOIN eb USING (asset_id, saved_id, channel, leg, tick)),
+g AS (SELECT asset_id, saved_id, channel, count(*) FILTER (n) AS added, count(*) FILTER (o) AS removed, count(*) FILTER (NOT n AND NOT o AND d) AS changed, count(*) FILTER (NOT n) AS a FROM j GROUP BY ALL)
+SELECT asset_id, saved_id, sum(added)::BIGINT AS added, sum(removed)::BIGINT AS removed, sum(changed)::BIGINT AS changed, count(*) FILTER (a = 0) AS new_channels FROM g GROUP BY ALL""")
 def inc10(spark, sf):
     a, b = incidents.group_incidents(events(spark, sf)), incidents.group_incidents(_again(spark, sf))
     return incidents.diff_evidence(incidents.diff_incidents(incidents.spans(a), incidents.spans(b)), a, b)
