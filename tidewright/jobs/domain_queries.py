@@ -114,6 +114,37 @@ def dom6(spark, sf):
     return round_all(domains.half_split_shift(supplier_series(spark, sf), K))
 
 
+@query("dom6_train_test_shift", f"WITH {SU}, n AS (SELECT k, count(*) AS n FROM su GROUP BY k), tr AS (SELECT su.* FROM su JOIN n USING (k) WHERE t < n // 2 + 20), te AS (SELECT k, t - (n // 2 + 20) AS t, v FROM su JOIN n USING (k) WHERE t >= n // 2 + 20), {DFA('tr', 'a')}, {DFA('te', 'b')} SELECT a.k AS series_id, a.n AS train_n, b.n AS test_n, round(a.alpha, 6) AS a, round(b.alpha, 6) AS b, round(abs(b.alpha - a.alpha), 6) AS shift, {HEALTH.format('(b.alpha - a.alpha)')} AS verdict FROM a JOIN b USING (k) WHERE a.n >= 256 AND b.n >= 256 ORDER BY abs(b.alpha - a.alpha) DESC, a.k LIMIT 10")
+def dom6_train_test(spark, sf):
+    s = supplier_series(spark, sf)
+    cut = s.groupBy(*K).agg((F.expr("count(*) div 2") + 20).alias("_c"))
+    both = s.join(cut, K)
+    test = both.where("tick >= _c").select("series_id", (F.col("tick") - F.col("_c")).alias("tick"), "value")
+    return round_all(domains.train_test_shift(both.where("tick < _c").drop("_c"), test, K))
+
+
+_WEEKS = f"""sm AS (SELECT event_type AS leg, floor(epoch(ts))::BIGINT // 604800 AS w, row_number() OVER (PARTITION BY event_type, floor(epoch(ts))::BIGINT // 604800 ORDER BY floor(epoch(ts)), event_id) - 1 AS i, value AS v FROM events WHERE value IS NOT NULL),
+sb AS (SELECT leg || '|' || w || '|' || i // 128 AS k, i % 128 AS t, v FROM sm), {DFA('sb', 'sd')}, tb AS (SELECT split_part(k, '|', 1) AS leg, split_part(k, '|', 2)::BIGINT AS segment, split_part(k, '|', 2)::BIGINT % 2 AS label, split_part(k, '|', 3)::BIGINT AS block, alpha, r2 FROM sd WHERE n = 128)"""
+
+
+def _week_blocks(spark, sf):
+    """Event values in weeks, odd and even ones as two classes, in blocks of 128."""
+    e = table(spark, sf, "events").where("value IS NOT NULL").select(F.col("event_type").alias("leg"), F.unix_timestamp("ts").alias("ts"), F.col("event_id").alias("order"), "value")
+    week = F.expr("ts div 604800")
+    weeks = e.select("leg", week.alias("segment")).distinct()
+    return domains.terrain_blocks(e, weeks.select("leg", "segment", (F.col("segment") * 604800).alias("start"), (F.col("segment") * 604800 + 604799).alias("end"), (F.col("segment") % 2).alias("label")), "leg", 128)
+
+
+@query("dom8_terrain_blocks", f"WITH {_WEEKS} SELECT leg, label, count(*) AS blocks, round(avg(alpha), 6) AS mean, round(stddev_samp(alpha), 6) AS sd FROM tb GROUP BY ALL")
+def dom8_blocks(spark, sf):
+    return round_all(_week_blocks(spark, sf).groupBy("leg", "label").agg(F.count("*").alias("blocks"), F.avg("alpha").alias("mean"), F.stddev_samp("alpha").alias("sd")))
+
+
+@query("dom8_block_separation", f"WITH {_WEEKS}, s AS (SELECT leg, label, count(*) AS n, avg(alpha) AS m, var_samp(alpha) AS q FROM tb GROUP BY ALL) SELECT a.leg, a.label AS a, b.label AS b, round((a.m - b.m) / sqrt(((a.n - 1) * a.q + (b.n - 1) * b.q) / (a.n + b.n - 2)), 6) AS d FROM s a JOIN s b ON a.leg = b.leg AND a.label < b.label")
+def dom8_separation(spark, sf):
+    return round_all(domains.class_separation(_week_blocks(spark, sf), "label", "leg", "alpha"))
+
+
 @query("dom7_hrv_features", f"WITH {SU}, d AS (SELECT k, v, v - lag(v) OVER (PARTITION BY k ORDER BY t) AS d FROM su) SELECT k AS series_id, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS sdnn, round(sqrt(avg(d * d)), 4) AS rmssd FROM d GROUP BY k")
 def dom7(spark, sf):
     h = domains.hrv_features(supplier_series(spark, sf), K, 64, 256)

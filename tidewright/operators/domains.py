@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import verdicts
-from .grouped import dfa_of
-from .prepare import inter_event_intervals, log_returns
+from .evaluate import BAND, banded
+from .grouped import dfa_by_key, dfa_of
+from .prepare import assign_ticks, inter_event_intervals, log_returns, sanitize
 from .structure import dfa, dfa_short, halves, time_to_threshold
 from .windows import rolling_alpha
 
@@ -79,6 +80,26 @@ def half_split_shift(df: DataFrame, keys: list[str], top: int = 10) -> DataFrame
     return pair.select(*keys, "a", "b", shift.alias("shift"), verdicts.health(shift).alias("verdict")).orderBy(F.desc("shift"), *keys).limit(top)
 
 
+def train_test_shift(train: DataFrame, test: DataFrame, keys: list[str], top: int = 10) -> DataFrame:
+    """(keys, train_n, test_n, a, b, shift, verdict): the `top` series of 256 finite values and more on both sides whose
+    exponents differ most."""
+    one = lambda d, n, c: dfa(d, keys).where("n >= 256").select(*keys, F.col("n").alias(n), F.col("alpha").alias(c))
+    pair = one(sanitize(train, keys), "train_n", "a").join(one(sanitize(test, keys), "test_n", "b"), keys)
+    shift = F.abs(F.col("b") - F.col("a"))
+    return pair.select(*keys, "train_n", "test_n", "a", "b", shift.alias("shift"), verdicts.health(shift).alias("verdict")).orderBy(F.desc("shift"), *keys).limit(top)
+
+
+def terrain_blocks(samples: DataFrame, segments: DataFrame, leg: str, block: int = 1024) -> DataFrame:
+    """(leg, segment, label, block, alpha, r2): full blocks of the samples (leg, ts, order, value) in each labelled time
+    segment (leg, segment, start, end, label); both ends count, times are whole numbers."""
+    s = samples.select(F.col(leg).alias("_k"), "ts", "order", "value", F.expr(f"ts div {BAND}").alias("_b"))
+    g = banded(segments.select(leg, "segment", "start", "end", "label"))
+    met = g.join(s, (g[leg] == s["_k"]) & (g["_band"] == s["_b"]) & s["ts"].between(g["start"], g["end"]))
+    placed = assign_ticks(met.select(leg, "segment", "label", "ts", "order", "value"), [leg, "segment", "label"], ["ts", "order"])
+    cut = placed.select(leg, "segment", "label", F.expr(f"tick div {block}").alias("block"), F.expr(f"tick % {block}").alias("tick"), "value")
+    return dfa_by_key(cut, [leg, "segment", "label", "block"]).where(F.col("n") == block).drop("n")
+
+
 def hrv_features(nn: DataFrame, keys: list[str], short: int = 64, long: int = 2048) -> DataFrame:
     """(keys, alpha1, alpha2, mean, sdnn, rmssd) of beat intervals: medians of the exponents of full blocks."""
     def blocks(n: int, fit) -> DataFrame:
