@@ -109,7 +109,7 @@ def pre12(spark, sf):
     return round_all(prepare.first_difference(event_series(spark, sf), K))
 
 
-@query("pre14_gc_windows", """WITH b AS (SELECT doc_id AS k, unnest(range(length(text))) AS pos, upper(unnest(string_split(text, ''))) AS base FROM documents WHERE doc_id < 50 AND length(text) < 4000),
+@query("pre14_gc_windows", """WITH b AS (SELECT doc_id AS k, unnest(range(length(text))) AS pos, upper(unnest(string_split(text, ''))) AS base FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 w AS (SELECT k, pos // 100 AS w, count(*) AS n, count(*) FILTER (base IN ('G', 'C')) AS gc, count(*) FILTER (base IN ('A', 'T')) AS ta FROM b GROUP BY ALL)
 SELECT k AS series_id, row_number() OVER (PARTITION BY k ORDER BY w) - 1 AS tick, round(gc / (gc + ta), 6) AS value FROM w WHERE n = 100 AND gc + ta > 0""")
 def pre14(spark, sf):
