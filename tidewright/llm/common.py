@@ -65,10 +65,10 @@ def with_text(docs: DataFrame, text_col: str, carry: list[str] | None, *more: Co
     return docs.select(F.struct(*names).alias("row"), *more, *apart)
 
 
-def text_of(batch: pa.RecordBatch, text_col: str) -> pa.Array:
-    """The texts of a batch of `with_text` as bytes."""
+def text_of(batch: pa.RecordBatch, text_col: str, kind: pa.DataType = pa.binary()) -> pa.Array:
+    """The texts of a batch of `with_text`, as bytes if not said otherwise."""
     here = batch.schema.get_field_index("text")
-    return (batch.column(here) if here >= 0 else batch.column(0).field(text_col)).cast(pa.binary())
+    return (batch.column(here) if here >= 0 else batch.column(0).field(text_col)).cast(kind)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -80,7 +80,7 @@ def _counted(path: str, chunk: int, overlap: int, text_col: str = "text"):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for b in batches(rows, 128):
-            texts = [(t or b"").decode() for t in text_of(b, text_col).to_pylist()]
+            texts = [t or "" for t in text_of(b, text_col, pa.string()).to_pylist()]
             small = [k for k, t in enumerate(texts) if len(t) <= chunk]
             counts = [0] * len(texts)
             for k, e in zip(small, tok.encode_batch_fast([texts[k] for k in small], add_special_tokens=False)):

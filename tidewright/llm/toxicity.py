@@ -282,7 +282,7 @@ def _scored(machine: Machine | None, text_col: str):
         for b in batches(rows, 256):
             best = np.full(b.num_rows, -2.0)
             if machine is not None:
-                bags = [words_of((t or b"").decode()) for t in text_of(b, text_col).to_pylist()]
+                bags = [words_of(t or "") for t in text_of(b, text_col, pa.string()).to_pylist()]
                 new = set().union(*bags)
                 if len(known) + len(new) > CACHE:
                     known.clear()
