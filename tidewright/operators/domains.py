@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import verdicts
 from .evaluate import BAND, banded
@@ -25,16 +29,22 @@ def sentence_ends(text: str) -> list[int]:
 
 
 #: The shortest sentence has three characters and ends at a mark before white space, a quote or the end.
-_SENTENCE = r"""(?sU).{2,}?[.!?](?=[\s"']|\z)"""
+_SENTENCE = re.compile(r"""(?s).{2,}?[.!?](?=[\s"']|\Z)""")
+
+
+def sentences_of(text: str | None) -> list[int]:
+    t = (text or "").replace("\r", "")
+    lens = [m.end() - m.start() for m in _SENTENCE.finditer(t)]
+    rest = len(t) - sum(lens)
+    return lens + [rest] if rest >= 10 else lens
 
 
-def sentence_lengths(text: Column | str) -> Column:
+@F.pandas_udf(ArrayType(LongType()))
+def sentence_lengths(text: pd.Series) -> pd.Series:
     """Lengths of sentences in characters. A sentence ends at . ! or ? before white space, a quote or the end,
-    once it has three characters; what is left counts from ten on. Carriage returns do not count."""
-    t = F.replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit("\r"), F.lit(""))
-    lens = F.transform(F.regexp_extract_all(t, F.lit(_SENTENCE), F.lit(0)), lambda s: F.length(s).cast("long"))
-    rest = F.length(t) - F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.when(rest >= 10, F.array_append(lens, rest.cast("long"))).otherwise(lens)
+    once it has three characters; what is left counts from ten on. Carriage returns do not count. A batch of texts
+    is searched at once in Python: Java's search for the same pattern takes several times as long."""
+    return text.map(sentences_of)
 
 
 def text_structure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
