@@ -28,15 +28,17 @@ def sentence_ends(text: str) -> list[int]:
     return out + [since] if since >= 10 else out
 
 
-#: The shortest sentence has three characters and ends at a mark before white space, a quote or the end.
-_SENTENCE = re.compile(r"""(?s).{2,}?[.!?](?=[\s"']|\Z)""")
+#: A sentence ends at a mark before white space, a quote or the end.
+_MARK = re.compile(r"""[.!?](?=[\s"']|\Z)""")
 
 
 def sentences_of(text: str | None) -> list[int]:
-    t = (text or "").replace("\r", "")
-    lens = [m.end() - m.start() for m in _SENTENCE.finditer(t)]
-    rest = len(t) - sum(lens)
-    return lens + [rest] if rest >= 10 else lens
+    t, lens, last = (text or "").replace("\r", ""), [], 0
+    for m in _MARK.finditer(t):
+        if m.end() - last >= 3:
+            lens.append(m.end() - last)
+            last = m.end()
+    return lens + [len(t) - last] if len(t) - last >= 10 else lens
 
 
 @F.pandas_udf(ArrayType(LongType()))
