@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +75,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once a row, also where `use` reads it within its own lambdas: an expression that
+    stands in a lambda is evaluated again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def held_out(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text leaves 2 when divided by folds; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 2, F.lit(False))

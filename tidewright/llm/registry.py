@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can say it, their DuckDB SQL."""
 
-from . import ann, decontaminate, hmm, langid, packing, quotes, simhash, substring, tokens, toxicity
+from . import ann, decontaminate, hmm, langid, licenses, packing, quotes, simhash, substring, tokens, toxicity
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -14,9 +14,11 @@ QUERIES = {
     "op8_token_counts": tokens.op8_token_counts,
     "op9_language_id": langid.op9_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_license_scan": licenses.op11_license_scan,
 }
 
 ORACLE = {
+    "op11_license_scan": licenses.OP11_SQL,
     "op2_substring_dedup": substring.OP2_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
     "op6_quotation_linking": quotes.OP6_SQL,
