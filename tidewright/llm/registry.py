@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can say it, their DuckDB SQL."""
 
-from . import ann, decontaminate, hmm, langid, licenses, packing, periods, quotes, simhash, substring, tokens, toxicity
+from . import ann, decontaminate, hardneg, hmm, langid, licenses, packing, periods, quotes, simhash, substring, tokens, toxicity
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_license_scan": licenses.op11_license_scan,
+    "op12_hard_negatives": hardneg.op12_hard_negatives,
     "op13_periodic_runs": periods.op13_periodic_runs,
 }
 
 ORACLE = {
+    "op12_hard_negatives": hardneg.OP12_SQL,
     "op11_license_scan": licenses.OP11_SQL,
     "op2_substring_dedup": substring.OP2_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
