@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import let, shared_dir, stored, table
 
 _MARK = r"^[ \t]*(?:>[ \t]?)+"
 _SAYS = r"(?i)^.*\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
@@ -37,22 +37,39 @@ def sentences(text: Column) -> Column:
 
 def _own(lines: Column) -> Column:
     """The writer's own lines, without those that only announce a quotation ("... wrote:", a quoted line next, blank ones aside)."""
-    placed = F.transform(lines, lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), i.alias("at")))
-    solid = F.filter(placed, lambda x: (x["level"] > 0) | x["body"].rlike(r"\S"))
-    after = F.transform(solid, lambda x, i: F.struct(x["at"].alias("at"), ((x["level"] == 0) & x["body"].rlike(_SAYS) & (F.get(solid, i + 1)["level"] > 0)).alias("says")))
-    gone = F.transform(F.filter(after, lambda x: x["says"]), lambda x: x["at"])
-    kept = F.filter(lines, lambda x, i: (x["level"] == 0) & ~F.array_contains(gone, i))
-    return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
+    says = lambda x: (x["level"] == 0) & x["body"].rlike(_SAYS)
+    placed = F.transform(lines, lambda x, i: F.struct(x["level"].alias("level"), says(x).alias("says"), ((x["level"] > 0) | x["body"].rlike(r"\S")).alias("solid"), i.alias("at")))
+
+    def gone(solid: Column) -> Column:
+        """Numbers of the announcing lines: each solid line beside the next."""
+        both = F.zip_with(solid, F.slice(solid, 2, F.greatest(F.size(solid) - 1, F.lit(0))), lambda x, y: F.when(x["says"] & (y["level"] > 0), x["at"]))
+        return F.array_compact(both)
+
+    def kept(given: Column) -> Column:
+        # the stretches between announcements, each cut out once
+        cuts = let(F.filter(placed, lambda x: x["solid"]), gone)
+        ends = F.arrays_zip(F.concat(F.array(F.lit(-1)), cuts).alias("a"), F.concat(cuts, F.array(F.size(given))).alias("b"))
+        parts = F.transform(ends, lambda e: F.slice(given, e["a"] + 2, F.greatest(e["b"] - e["a"] - 1, F.lit(0))))
+        return F.filter(F.flatten(parts), lambda x: x["level"] == 0)
+
+    own = let(lines, kept)
+    return F.regexp_replace(F.array_join(F.transform(own, lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
 
 
 def _quoted(lines: Column) -> Column:
     """Array of (level, s): the distinct sentences of each level's quoted lines."""
-    def of(level: Column) -> Column:
-        text = F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == level), lambda x: x["body"]), "\n")
-        return F.transform(sentences(text), lambda s: F.struct(level.alias("level"), s.alias("s")))
+    placed = F.transform(lines, lambda x, i: F.struct(x["level"].alias("level"), i.alias("at"), x["body"].alias("body")))
+    by_level = F.array_sort(F.filter(placed, lambda x: x["level"] > 0))
+
+    def levels(q: Column) -> Column:
+        starts = F.filter(F.transform(q, lambda x, i: F.when((i == 0) | (F.get(q, i - 1)["level"] != x["level"]), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.zip_with(at, F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.filter(F.array(F.size(q)), lambda n: n > 0)), lambda a, b: said(F.get(q, a)["level"], F.slice(q, a + 1, b - a))))
+
+    def said(level: Column, part: Column) -> Column:
+        text = F.array_join(F.transform(part, lambda x: x["body"]), "\n")
+        return let(level, lambda n: F.transform(sentences(text), lambda s: F.struct(n.alias("level"), s.alias("s"))))
 
-    levels = F.array_distinct(F.filter(F.transform(lines, lambda x: x["level"]), lambda n: n > 0))
-    return F.flatten(F.transform(levels, of))
+    return F.flatten(let(by_level, levels))
 
 
 def link_quotes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role") -> DataFrame:
@@ -63,7 +80,8 @@ def link_quotes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", tex
     shallowest level with a link come from (ties: the latest); a sentence comes from the first message of the conversation that says it. Without
     a link parent is null and the message is its own root. Sorting a conversation by reply_path
     gives each message after the one it answers. Null texts are empty; null ids link to nothing;
-    rows that repeat a turn are linked alike. Other columns are not read.
+    rows that repeat a turn are linked alike; work is linear in a message's lines and
+    levels, up to sorting. Other columns, whatever their names, are not read.
     """
     shared_dir(turns.sparkSession)
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), parsed(F.col(text)).alias("lines"))
