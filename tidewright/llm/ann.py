@@ -5,9 +5,10 @@ curve has directions and a shift of its own. Coordinates become ranks in a bound
 then BITS bits, then the place on a Hilbert curve. Spark range-partitions all vectors by curve
 and place and packs neighbours into chunks of bounded size, numbered along their curve; a query
 looks at the chunks of its window on every curve, and the windows' best candidates are merged
-and scored again on the original vectors. How wide the windows must be is measured: a bounded
-number of trial vectors is held against all rows in one pass, and the window is the least that
-reaches the aimed share of their true neighbours in the index as it is.
+and scored again. How wide the windows must be, and on how many of the curves, is measured: a bounded
+number of trial vectors is held against all rows in one pass, which tells the least window that
+reaches the aimed share of their true neighbours for each number of curves; the number that reads
+the fewest chunks is searched. Vectors are scaled by powers of two first, which changes no cosine.
 """
 
 from __future__ import annotations
@@ -85,10 +86,15 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return good.where(F.size("v") == (usual.d if usual else 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by the power of two that brings the largest component to between 1/2 and 1: squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def matrix(column) -> np.ndarray:
-    """A record batch's list column as rows of doubles."""
+    """A record batch's list column as scaled rows of doubles."""
     lists = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return lists.reshape(len(column), -1)
+    return scaled(lists.reshape(len(column), -1)) if len(lists) else lists.reshape(len(column), 0)
 
 
 def fit(rows: DataFrame) -> Curves | None:
@@ -98,7 +104,7 @@ def fit(rows: DataFrame) -> Curves | None:
         few = rows.orderBy("vec_id").limit(SAMPLE).collect()
     if not few:
         return None
-    x = np.array([r.v for r in few])
+    x = scaled(np.array([r.v for r in few], float))
     return Curves(x / np.linalg.norm(x, axis=1, keepdims=True))
 
 
@@ -223,23 +229,58 @@ def _where(ids: np.ndarray):
     return run
 
 
-def window(index: DataFrame, some: DataFrame, top: int, aim: float = AIM) -> int:
-    """Chunks to each side that the index must be searched, so that `aim` of the true neighbours of `some` vectors
-    (vec_id, v; at most TRIALS) lie in some curve's window. All rows are compared with them, in one pass."""
+class Trials:
+    """Where trial vectors and their true neighbours lie: chunks between each pair on every curve, the trials'
+    own chunks, and the number of chunks of each curve."""
+
+    def __init__(self, gaps: np.ndarray, own: np.ndarray, chunks: np.ndarray) -> None:
+        self.gaps, self.own, self.chunks = gaps, own, chunks
+
+    def read(self, curves: int, w: int) -> float:
+        """Chunks that a query reads on the first `curves` curves, on average."""
+        at, last = self.own[:, :curves], self.chunks[:curves] - 1
+        return float((np.minimum(at + w, last) - np.maximum(at - w, 0) + 1).sum(1).mean())
+
+
+def trials(index: DataFrame, some: DataFrame, top: int) -> Trials | None:
+    """What the index has of the `top` true neighbours of `some` vectors (vec_id, v; at most TRIALS). All rows are
+    compared with them, in one pass."""
     few = some.limit(TRIALS).collect()
     if not few:
-        return 0
-    qi, q = np.array([r.vec_id for r in few], np.int64), np.array([r.v for r in few])
+        return None
+    qi, q = np.array([r.vec_id for r in few], np.int64), scaled(np.array([r.v for r in few], float))
     order = np.argsort(qi)
     true = index.where("curve = 0").select("ids", "vectors").mapInArrow(_against_all(qi[order], q[order], top), FOUND)
     ranked = true.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("k") <= top)
-    pairs = [(r.query_id, r.vec_id) for r in ranked.collect()]  # TRIALS * top at most
-    ids = np.unique(np.array(pairs, np.int64))
+    pairs = np.array([(r.query_id, r.vec_id) for r in ranked.collect()], np.int64).reshape(-1, 2)  # TRIALS * top at most
     at = {}
-    for r in index.select("curve", "place", "ids").mapInArrow(_where(ids), "curve int, place long, vec_id long").collect():
-        at.setdefault(r.vec_id, {})[r.curve] = r.place
-    gaps = sorted(min(abs(at[a][c] - at[b][c]) for c in range(CURVES)) for a, b in pairs)
-    return int(gaps[min(len(gaps) - 1, int(np.ceil(aim * len(gaps))))])
+    for r in index.select("curve", "place", "ids").mapInArrow(_where(np.unique(pairs)), "curve int, place long, vec_id long").collect():
+        at.setdefault(r.vec_id, [0] * CURVES)[r.curve] = r.place
+    chunks = {r.curve: r["count"] for r in index.groupBy("curve").count().collect()}
+    places = {i: np.array(p) for i, p in at.items()}
+    gaps = np.array([np.abs(places[a] - places[b]) for a, b in pairs.tolist()])
+    return Trials(gaps, np.array([places[i] for i in qi.tolist() if i in places]), np.array([chunks[c] for c in range(CURVES)]))
+
+
+def _least(known: Trials, curves: int, aim: float) -> int:
+    near = np.sort(known.gaps[:, :curves].min(1))
+    return int(near[min(len(near) - 1, int(np.ceil(aim * len(near))))])
+
+
+def window(known: Trials | None, curves: int, aim: float = AIM) -> int:
+    """Chunks to each side that must be searched, so that `aim` of the trials' neighbours lie in a window of the
+    first `curves` curves."""
+    if known is None:
+        return 0
+    return _least(known, curves, aim)
+
+
+def cheapest(known: Trials | None) -> int:
+    """The number of curves whose windows read the fewest chunks; one curve's window never reads more than all chunks."""
+    if known is None:
+        return 1
+    at = range(1, CURVES + 1)
+    return min(at, key=lambda c: known.read(c, _least(known, c, AIM)))
 
 
 def nearest(vectors: DataFrame, every: int, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -248,7 +289,7 @@ def nearest(vectors: DataFrame, every: int, top: int = TOP, id_col: str = "vec_i
     All rows but the query's own are candidates. Nearness is the cosine of the original vectors in
     double precision, ties to the smaller id; with fewer candidates in the windows there are fewer
     rows. Rows with a null id, or whose vector is null, zero or not finite, take no part, nor do rows of
-    another length than most. Of equal vectors the top + 1 with the smallest ids are indexed: the others could
+    another length than most: a cosine needs two of one length. Finite components of any size give their cosine. Of equal vectors the top + 1 with the smallest ids are indexed: the others could
     only tie behind them; the first of them is searched for, and all queries with that vector share what it finds.
     Rows that repeat an id count once.
     """
@@ -268,7 +309,10 @@ def nearest(vectors: DataFrame, every: int, top: int = TOP, id_col: str = "vec_i
     marked = stored(flagged, "marked")
     index = stored(chunks(marked, curves), "index")
     heads = marked.where("asked")
-    w = window(index, heads.orderBy(F.xxhash64("vec_id", F.lit(SEED))).select("vec_id", "v"), top + 1)
+    known = trials(index, heads.orderBy(F.xxhash64("vec_id", F.lit(SEED))).select("vec_id", "v"), top + 1)
+    used = cheapest(known)
+    w = window(known, used)
+    index = index.where(F.col("curve") < used)
 
     def asking(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
