@@ -56,13 +56,23 @@ def profiles(x: np.ndarray) -> np.ndarray:
     return np.cumsum(x - x.mean(axis=-1, keepdims=True), axis=-1)
 
 
+#: A residual under this share of the variation it is the rest of may be rounding: it is summed again, point by point.
+REFINE = 1e-9
+
+
 def box_rss(boxes: np.ndarray) -> np.ndarray:
     """Residual sums of squares of linear fits along the last axis."""
     s = boxes.shape[-1]
     t = np.arange(s) - (s - 1) / 2
     centred = boxes - boxes.mean(axis=-1, keepdims=True)
     slope = centred @ t
-    return np.maximum((centred * centred).sum(axis=-1) - slope * slope / (t @ t), 0.0)
+    syy = (centred * centred).sum(axis=-1)
+    rss = syy - slope * slope / (t @ t)
+    doubtful = rss <= REFINE * syy
+    if doubtful.any():
+        left = centred[doubtful] - (slope[doubtful] / (t @ t))[:, None] * t
+        rss[doubtful] = (left * left).sum(axis=-1)
+    return rss
 
 
 def line(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

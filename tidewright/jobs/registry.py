@@ -107,6 +107,12 @@ def RSS(y: str, t: str) -> str:  # noqa: N802
     return f"greatest(regr_syy({y}, {t}) - regr_sxy({y}, {t}) * regr_sxy({y}, {t}) / regr_sxx({y}, {t}), 0)"
 
 
+def BOXES(rows: str, by: str) -> str:  # noqa: N802
+    """(by, f2): mean squared residual of the linear fit of each group of rows (s, y, t), each point's own residual summed."""
+    return f"""SELECT {by}, sum((y - ym - b * (t - tm)) * (y - ym - b * (t - tm))) / any_value(s) AS f2
+      FROM (SELECT *, avg(y) OVER g AS ym, avg(t) OVER g AS tm, regr_slope(y, t) OVER g AS b FROM ({rows}) WINDOW g AS (PARTITION BY {by})) GROUP BY {by}"""
+
+
 _POWERS = "[1e0, r, r2, r * r2, r4, r * r4, r2 * r4, (r * r2) * r4, r8, r * r8, r2 * r8, (r * r2) * r8]"
 
 
@@ -122,7 +128,7 @@ def DFA(src: str, o: str) -> str:  # noqa: N802
 {o}_r AS (SELECT *, pow(b / a, 1e0 / 11e0) AS r FROM (SELECT k, n, greatest(16, n // 50) AS a, n // 4 AS b FROM {o}_n) WHERE a < b),
 {o}_q AS (SELECT *, r4 * r4 AS r8 FROM (SELECT *, r2 * r2 AS r4 FROM (SELECT *, r * r AS r2 FROM {o}_r))),
 {o}_s AS (SELECT DISTINCT k, n, s FROM (SELECT k, n, b, floor(a * unnest({_POWERS}))::BIGINT AS s FROM {o}_q) WHERE s <= b),
-{o}_b AS (SELECT k, s, t // s AS box, {RSS('y', 't')} / s AS f2 FROM {o}_p JOIN {o}_s USING (k, n) WHERE t < s * (n // s) GROUP BY k, s, box),
+{o}_b AS ({BOXES(f"SELECT k, s, t // s AS box, t, y FROM {o}_p JOIN {o}_s USING (k, n) WHERE t < s * (n // s)", "k, s, box")}),
 {o}_f AS (SELECT k, s, avg(f2) AS f2 FROM {o}_b GROUP BY k, s),
 {o}_l AS (SELECT k, avg(y * y) * 1e-24 AS q FROM {o}_p GROUP BY k),
 {o}_t AS (SELECT k, {FIT('ls', 'lf')} FROM (SELECT k, ln(s) AS ls, ln(sqrt(f2)) AS lf FROM {o}_f JOIN {o}_l USING (k) WHERE f2 > q) GROUP BY k),
@@ -136,7 +142,7 @@ def DFA_SHORT(src: str, o: str) -> str:  # noqa: N802
 {o}_q AS (SELECT *, r4 * r4 AS r8 FROM (SELECT *, r2 * r2 AS r4 FROM (SELECT *, r * r AS r2 FROM {o}_r))),
 {o}_s AS (SELECT DISTINCT k, n, s FROM (SELECT k, n, b, floor(unnest({_POWERS.replace(', r2 * r8, (r * r2) * r8', '')}) * 4e0 + 1e-9)::BIGINT AS s FROM {o}_q) WHERE s BETWEEN 4 AND b),
 {o}_w AS (SELECT k, s, n, y, t, 0 AS way, t AS x FROM {o}_p JOIN {o}_s USING (k, n) UNION ALL SELECT k, s, n, y, t, 1, n - 1 - t FROM {o}_p JOIN {o}_s USING (k, n)),
-{o}_b AS (SELECT k, s, way, x // s AS box, {RSS('y', 't')} / s AS f2 FROM {o}_w WHERE x < s * (n // s) GROUP BY k, s, way, box),
+{o}_b AS ({BOXES(f"SELECT k, s, way, x // s AS box, t, y FROM {o}_w WHERE x < s * (n // s)", "k, s, way, box")}),
 {o}_f AS (SELECT k, s, avg(f2) AS f2 FROM {o}_b GROUP BY k, s),
 {o}_l AS (SELECT k, avg(y * y) * 1e-24 AS q FROM {o}_p GROUP BY k),
 {o}_t AS (SELECT k, {FIT('ls', 'lf')} FROM (SELECT k, ln(s) AS ls, ln(sqrt(f2)) AS lf FROM {o}_f JOIN {o}_l USING (k) WHERE f2 > q) GROUP BY k),

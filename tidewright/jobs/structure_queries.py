@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import verdicts
 from ..operators import prepare, structure
-from .registry import ACR, DAY, DFA, DFA_SHORT, EV, FIT, HEALTH, LAW, PROFILE, REC, RSS, SIGNAL, SU, US, daily_orders, event_series, query, recording, round_all, supplier_series, table  # noqa: F401
+from .registry import ACR, BOXES, DAY, DFA, DFA_SHORT, EV, FIT, FLEET, HEALTH, LAW, PROFILE, REC, RSS, SIGNAL, SU, US, daily_orders, event_series, fleet, query, recording, round_all, supplier_series, table  # noqa: F401
 
 K = ["series_id"]
 
@@ -83,7 +83,8 @@ def MF(src: str, o: str) -> str:  # noqa: N802
     return f"""{PROFILE(src, o)},
 {o}_r AS (SELECT *, pow(b / a, 1e0 / 7e0) AS r FROM (SELECT k, n, greatest(16, n // 50) AS a, n // 4 AS b FROM {o}_n) WHERE a < b),
 {o}_s AS (SELECT DISTINCT k, n, s FROM (SELECT k, n, b, floor(a * pow(r, unnest([0e0, 1e0, 2e0, 3e0, 4e0, 5e0, 6e0, 7e0])))::BIGINT AS s FROM {o}_r) WHERE s <= b),
-{o}_b AS (SELECT k, s, t // s AS box, greatest({RSS('y', 't')} / s, 1e-30) AS f2 FROM {o}_p JOIN {o}_s USING (k, n) WHERE t < s * (n // s) GROUP BY k, s, box),
+{o}_l AS (SELECT k, greatest(avg(y * y) * 1e-24, 1e-30) AS lowest FROM {o}_p GROUP BY k),
+{o}_b AS (SELECT k, s, CASE WHEN f2 > lowest THEN f2 ELSE 1e-30 END AS f2 FROM ({BOXES(f"SELECT k, s, t // s AS box, t, y FROM {o}_p JOIN {o}_s USING (k, n) WHERE t < s * (n // s)", "k, s, box")}) JOIN {o}_l USING (k)),
 {o}_g AS (SELECT unnest([-3e0, -1e0, 0e0, 1e0, 2e0, 3e0]) AS q),
 {o}_f AS (SELECT k, q, s, avg(CASE WHEN q = 0 THEN ln(f2) / 2 ELSE pow(f2, q / 2) END) AS m FROM {o}_b CROSS JOIN {o}_g GROUP BY k, q, s),
 {o}_h AS (SELECT k, q, s, CASE WHEN q = 0 THEN exp(m) ELSE pow(m, 1 / CASE WHEN q <> 0 THEN q END) END AS fq FROM {o}_f),
@@ -229,3 +230,10 @@ SELECT k AS series_id, round(CASE WHEN ok THEN rest / b END, 4) AS eta, round(CA
 def dfa22(spark, sf):
     t = structure.time_to_threshold(event_series(spark, sf), K, 500, 200.0)
     return t.select("series_id", *[F.round(c, 4).alias(c) for c in ("eta", "eta_low", "eta_high")], F.round("slope", 6).alias("slope"))
+
+
+@query("dfa2_dfa_refined", f"WITH {FLEET}, sq AS (SELECT k, t, v FROM fl WHERE c = 'quantity'), {DFA('sq', 'x')} SELECT k AS asset_id, n, round(alpha, 6) AS alpha, round(r2, 6) AS r2 FROM x")
+def dfa2_refined(spark, sf):
+    """Deliveries of every supplier, of which a fourth stay at one value from some tick on."""
+    stuck = fleet(spark, sf).where("channel = 'quantity'").select("asset_id", "tick", "value")
+    return round_all(structure.dfa(stuck, ["asset_id"], refine=True))

@@ -53,21 +53,21 @@ def short_box_sizes(n: Column) -> Column:
 
 
 def profile(df: DataFrame, keys: list[str], chunk: int | None = None) -> DataFrame:
-    """(keys, tick, n, y): cumulative sum of the values' distances from their mean.
+    """(keys, tick, n, d, y): the values' distances from their mean, and their cumulative sum.
 
     With `chunk`, a series is summed in pieces of so many ticks, and the pieces' totals are
     summed before them: a series of any length is spread over the cluster."""
     stats = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("_m"))
     moved = df.join(stats, keys).select(*keys, "tick", "n", (F.col("value") - F.col("_m")).alias("_d"))
     if chunk is None:
-        return moved.select(*keys, "tick", "n", F.sum("_d").over(by_tick(keys).rowsBetween(Window.unboundedPreceding, 0)).alias("y"))
+        return moved.select(*keys, "tick", "n", F.col("_d").alias("d"), F.sum("_d").over(by_tick(keys).rowsBetween(Window.unboundedPreceding, 0)).alias("y"))
     piece = F.expr(f"tick div {chunk}")
     moved = moved.withColumn("_c", piece)
     totals = moved.groupBy(*keys, "_c").agg(F.sum("_d").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_c", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_o"))
     inner = F.sum("_d").over(Window.partitionBy(*keys, "_c").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0))
-    return moved.withColumn("_y", inner).join(offsets, [*keys, "_c"]).select(*keys, "tick", "n", (F.col("_y") + F.col("_o")).alias("y"))
+    return moved.withColumn("_y", inner).join(offsets, [*keys, "_c"]).select(*keys, "tick", "n", F.col("_d").alias("d"), (F.col("_y") + F.col("_o")).alias("y"))
 
 
 def residual(y: str, t: str) -> Column:
@@ -76,62 +76,115 @@ def residual(y: str, t: str) -> Column:
     return F.greatest(syy - sxy * sxy / F.nullif(sxx, F.lit(0.0)), F.lit(0.0))
 
 
-def fitted(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """(keys, pts, slope, r2) of y on x; r2 against a variation of at least 1e-15."""
+def fitted(points: DataFrame, keys: list[str], x: str, y: str, *more: Column) -> DataFrame:
+    """(keys, pts, slope, r2, more...) of y on x; r2 against a variation of at least 1e-15. Points without x or y do not count."""
     left = F.regr_syy(y, x) - F.regr_sxy(y, x) * F.regr_sxy(y, x) / F.nullif(F.regr_sxx(y, x), F.lit(0.0))
-    return points.groupBy(*keys).agg(F.count("*").alias("pts"), F.regr_slope(y, x).alias("slope"), (1 - left / F.greatest(F.regr_syy(y, x), F.lit(1e-15))).alias("r2"))
+    return points.groupBy(*keys).agg(F.count(F.when(F.col(y).isNotNull(), F.col(x))).alias("pts"), F.regr_slope(y, x).alias("slope"), (1 - left / F.greatest(F.regr_syy(y, x), F.lit(1e-15))).alias("r2"), *more)
+
+
+def _squares(each: DataFrame, keys: list[str], within: str, exact: bool, *more: Column) -> DataFrame:
+    """(keys, f2, doubtful, more...) of boxes: rows (keys, s, y, d, tick) -> mean squared residual of each group. `within`
+    says whether a row's step from the one before lies in its box.
+
+    One pass takes what the fit explains off the variation, which says nothing where next to nothing is left. Steps that are
+    all equal make a line, with nothing left; other boxes of that kind are doubtful. The exact form sums each point's own
+    residual in a second pass."""
+    if not exact:
+        step = F.when(F.expr(within), F.col("d"))
+        rss = F.when(F.min(step) < F.max(step), residual("y", "tick")).otherwise(0.0)
+        doubtful = (F.min(step) < F.max(step)) & (residual("y", "tick") <= kernels.REFINE * F.regr_syy("y", "tick"))
+        return each.groupBy(*keys).agg((rss / F.first("s")).alias("f2"), doubtful.alias("doubtful"), *more)
+    fit = each.groupBy(*keys).agg(F.avg("y").alias("_ym"), F.avg("tick").alias("_tm"), F.regr_slope("y", "tick").alias("_b"))
+    left = F.col("y") - F.col("_ym") - F.col("_b") * (F.col("tick") - F.col("_tm"))
+    return each.join(fit, keys).groupBy(*keys).agg((F.sum(left * left) / F.first("s")).alias("f2"), F.lit(False).alias("doubtful"), *more)
+
+
+def _settled(df: DataFrame, keys: list[str], refine: bool, measure) -> DataFrame:
+    """measure(df, exact) for every series: in one pass, and if asked to refine, again exactly for the series with a
+    doubtful box. For that the first result is exchanged by an expression of the keys, so that it is computed once for both
+    uses (an exchange by the keys themselves would be left out)."""
+    if not refine:
+        return measure(df, False).drop("doubtful")
+    held = measure(df, False).repartition(F.xxhash64(*keys))
+    columns = [c for c in held.columns if c not in (*keys, "doubtful")]
+    # the whole row is unfolded, which keeps both uses of the exchange alike
+    doubtful = held.select(F.inline(F.filter(F.array(F.struct(*held.columns)), lambda x: x["doubtful"]))).select(*keys).repartition(*keys)
+    again = measure(df.join(doubtful, keys, "left_semi"), True).select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
+    return held.join(again, keys, "left").select(*keys, *[F.when(F.col("doubtful"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+
+
+def _boxes(prof: DataFrame, df: DataFrame, keys: list[str], sizes, exact: bool = False) -> DataFrame:
+    """(keys, s, box, f2, doubtful): mean squared residual of each box. sizes: of the number of values, once per series."""
+    laid = df.groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, sizes(F.col("_n")).alias("_sizes"))
+    each = prof.join(laid, keys).select(*keys, "tick", "n", "d", "y", F.explode("_sizes").alias("s")).where("tick < s * (n div s)")
+    return _squares(each.withColumn("box", F.expr("tick div s")), [*keys, "s", "box"], "tick % s > 0", exact)
 
 
-def _boxes(prof: DataFrame, df: DataFrame, keys: list[str], sizes) -> DataFrame:
-    """(keys, s, box, f2): mean squared residual of each box. sizes: of the number of values, once per series."""
-    laid = df.groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, sizes(F.col("_n")).alias("_sizes"))
-    each = prof.join(laid, keys).select(*keys, "tick", "n", "y", F.explode("_sizes").alias("s")).where("tick < s * (n div s)")
-    return each.groupBy(*keys, "s", F.expr("tick div s").alias("box")).agg((residual("y", "tick") / F.first("s")).alias("f2"))
+def _exponent(sizes: DataFrame, floor: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pts, slope, r2, doubtful): fit of ln F on ln s over the sizes whose F2 is above the flat floor."""
+    return _fit_of(sizes.join(floor, keys), keys)
+
 
+def _fit_of(f2: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pts, slope, r2, doubtful) of rows (keys, s, f2, doubtful, _q): a size at the floor gives no point, but its
+    doubt counts."""
+    above = F.col("f2") > F.col("_q")
+    x, y = F.when(above, F.ln("s")), F.when(above, F.ln(F.sqrt("f2")))
+    return fitted(f2.select(*keys, x.alias("ls"), y.alias("lf"), "doubtful"), keys, "ls", "lf", F.bool_or("doubtful").alias("doubtful"))
 
-def _exponent(sizes: DataFrame, prof: DataFrame, keys: list[str]) -> DataFrame:
-    """Fit of ln F on ln s over the sizes whose F2 is above the flat floor."""
-    floor = prof.groupBy(*keys).agg((F.avg(F.col("y") * F.col("y")) * 1e-24).alias("_q"))
-    kept = sizes.join(floor, keys).where("f2 > _q")
-    return fitted(kept.select(*keys, F.ln("s").alias("ls"), F.ln(F.sqrt("f2")).alias("lf")), keys, "ls", "lf")
 
+def _floor(prof: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _q): the mean square of the profile under which a box is flat."""
+    return prof.groupBy(*keys).agg((F.avg(F.col("y") * F.col("y")) * 1e-24).alias("_q"))
 
-def dfa(df: DataFrame, keys: list[str], chunk: int | None = None) -> DataFrame:
+
+def dfa(df: DataFrame, keys: list[str], chunk: int | None = None, refine: bool = False) -> DataFrame:
     """(keys, n, alpha, r2): scaling exponent of each series.
 
     Under 64 values, or with under three usable box sizes, the placeholder 0.5 with r2 0. Without `chunk` a series is
-    put in order once, and all that is known of it (number, mean, floor, boxes) comes from that one partitioning."""
+    put in order once, and all that is known of it (number, mean, floor, boxes) comes from that one partitioning. Boxes
+    within a run of equal values have no residual. What is left of boxes that are lines but for a 10^9th is summed point by
+    point with `refine`, at twice the cost; without it, it is exact to about 10^-16 of the box's variation."""
+    return _settled(df, keys, refine, lambda some, exact: _dfa(some, keys, chunk, exact))
+
+
+def _dfa(df: DataFrame, keys: list[str], chunk: int | None, exact: bool) -> DataFrame:
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
     if chunk is None:
         whole = Window.partitionBy(*keys)
         moved = df.select(*keys, "tick", F.count("*").over(whole).alias("n"), (F.col("value") - F.avg("value").over(whole)).alias("_d"))
-        summed = moved.select(*keys, "tick", "n", F.sum("_d").over(by_tick(keys).rowsBetween(Window.unboundedPreceding, 0)).alias("y"))
+        summed = moved.select(*keys, "tick", "n", F.col("_d").alias("d"), F.sum("_d").over(by_tick(keys).rowsBetween(Window.unboundedPreceding, 0)).alias("y"))
         prof = summed.withColumn("_q", F.avg(F.col("y") * F.col("y")).over(whole) * 1e-24)
         laid = prof.join(sizes.select(*keys, box_sizes(F.col("n")).alias("_sizes")), keys)
-        each = laid.select(*keys, "tick", "n", "y", "_q", F.explode("_sizes").alias("s")).where("tick < s * (n div s)")
-        boxes = each.groupBy(*keys, "s", F.expr("tick div s").alias("box")).agg((residual("y", "tick") / F.first("s")).alias("f2"), F.first("_q").alias("_q"))
-        f2 = boxes.groupBy(*keys, "s").agg(F.avg("f2").alias("f2"), F.first("_q").alias("_q")).where("f2 > _q")
-        fit = fitted(f2.select(*keys, F.ln("s").alias("ls"), F.ln(F.sqrt("f2")).alias("lf")), keys, "ls", "lf")
+        each = laid.select(*keys, "tick", "n", "d", "y", "_q", F.explode("_sizes").alias("s")).where("tick < s * (n div s)")
+        boxes = _squares(each.withColumn("box", F.expr("tick div s")), [*keys, "s", "box"], "tick % s > 0", exact, F.first("_q").alias("_q"))
+        fit = _fit_of(boxes.groupBy(*keys, "s").agg(F.avg("f2").alias("f2"), F.bool_or("doubtful").alias("doubtful"), F.first("_q").alias("_q")), keys)
     else:
         prof = profile(df, keys, chunk)
-        fit = _exponent(_boxes(prof, df, keys, box_sizes).groupBy(*keys, "s").agg(F.avg("f2").alias("f2")), prof, keys)
+        fit = _exponent(_boxes(prof, df, keys, box_sizes, exact).groupBy(*keys, "s").agg(F.avg("f2").alias("f2"), F.bool_or("doubtful").alias("doubtful")), _floor(prof, keys), keys)
     good = (F.col("n") >= 64) & (F.coalesce("pts", F.lit(0)) >= 3)
-    return sizes.join(fit, keys, "left").select(*keys, "n", F.when(good, F.col("slope")).otherwise(0.5).alias("alpha"), F.when(good, F.col("r2")).otherwise(0.0).alias("r2"))
+    doubt = (F.col("n") >= 64) & F.coalesce("doubtful", F.lit(False))
+    return sizes.join(fit, keys, "left").select(*keys, "n", F.when(good, F.col("slope")).otherwise(0.5).alias("alpha"), F.when(good, F.col("r2")).otherwise(0.0).alias("r2"), doubt.alias("doubtful"))
 
 
-def dfa_short(df: DataFrame, keys: list[str]) -> DataFrame:
+def dfa_short(df: DataFrame, keys: list[str], refine: bool = False) -> DataFrame:
     """(keys, n, alpha, r2) from small boxes laid from both ends; null under 16 values, for constant
-    series and with under three usable sizes."""
+    series and with under three usable sizes. `refine` as in dfa."""
+    return _settled(df, keys, refine, lambda some, exact: _dfa_short(some, keys, exact))
+
+
+def _dfa_short(df: DataFrame, keys: list[str], exact: bool) -> DataFrame:
     prof = profile(df, keys)
-    each = prof.select(*keys, "tick", "n", "y", F.explode(short_box_sizes(F.col("n"))).alias("s"))
+    each = prof.select(*keys, "tick", "n", "d", "y", F.explode(short_box_sizes(F.col("n"))).alias("s"))
     ways = each.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"))
     at = F.when(F.col("way") == 0, F.col("tick")).otherwise(F.col("n") - 1 - F.col("tick"))
-    boxed = ways.withColumn("_t", at).where("_t < s * (n div s)").groupBy(*keys, "s", "way", F.expr("_t div s").alias("box")).agg((residual("y", "tick") / F.first("s")).alias("f2"))
-    f2 = boxed.groupBy(*keys, "s").agg(F.avg("f2").alias("f2"))
-    fit = _exponent(f2, prof, keys)
+    boxed = _squares(ways.withColumn("_t", at).where("_t < s * (n div s)").withColumn("box", F.expr("_t div s")), [*keys, "s", "way", "box"], "_t % s <> CASE WHEN way = 0 THEN 0 ELSE s - 1 END", exact)
+    f2 = boxed.groupBy(*keys, "s").agg(F.avg("f2").alias("f2"), F.bool_or("doubtful").alias("doubtful"))
+    fit = _exponent(f2, _floor(prof, keys), keys)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("_a"), F.max("value").alias("_b"))
-    good = (F.col("n") >= 16) & (F.col("_a") < F.col("_b")) & (F.col("pts") >= 3)
-    return sizes.join(fit, keys, "left").select(*keys, "n", F.when(good, F.col("slope")).alias("alpha"), F.when(good, F.col("r2")).alias("r2"))
+    long = (F.col("n") >= 16) & (F.col("_a") < F.col("_b"))
+    good = long & (F.col("pts") >= 3)
+    return sizes.join(fit, keys, "left").select(*keys, "n", F.when(good, F.col("slope")).alias("alpha"), F.when(good, F.col("r2")).alias("r2"), (long & F.coalesce("doubtful", F.lit(False))).alias("doubtful"))
 
 
 def autocorrelations(df: DataFrame, keys: list[str], lags: tuple[int, ...]) -> DataFrame:
@@ -182,14 +235,19 @@ def analyze(df: DataFrame, keys: list[str]) -> DataFrame:
     return law.withColumn("hurst", hurst).withColumn("quality", words).drop("_few", "_flat")
 
 
-def multifractal_points(df: DataFrame, keys: list[str], qs: tuple[float, ...]) -> DataFrame:
-    """(keys, q, h, r2): generalized exponents; (0.5, 0) with under three sizes."""
-    prof = profile(df, keys)
-    boxes = _boxes(prof, df, keys, spectrum_box_sizes).withColumn("f2", F.greatest("f2", F.lit(1e-30)))
-    each = boxes.select(*keys, "s", "f2", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-    mean = F.avg(F.when(F.col("q") == 0, F.ln("f2") / 2).otherwise(F.pow("f2", F.col("q") / 2)))
-    fq = each.groupBy(*keys, "q", "s").agg(mean.alias("_m")).withColumn("fq", F.when(F.col("q") == 0, F.exp("_m")).otherwise(F.pow("_m", 1 / F.when(F.col("q") != 0, F.col("q")))))
-    fit = fitted(fq.where("fq > 0").select(*keys, "q", F.ln("s").alias("x"), F.ln("fq").alias("y")), [*keys, "q"], "x", "y")
+def multifractal_points(df: DataFrame, keys: list[str], qs: tuple[float, ...], refine: bool = False) -> DataFrame:
+    """(keys, q, h, r2): generalized exponents; (0.5, 0) with under three sizes. A box at the flat floor counts as 1e-30."""
+    def run(some: DataFrame, exact: bool) -> DataFrame:
+        """(keys, points, doubtful): all points of a series in one row."""
+        prof = profile(some, keys)
+        boxes = _boxes(prof, some, keys, spectrum_box_sizes, exact).join(_floor(prof, keys), keys)
+        each = boxes.select(*keys, "s", "doubtful", F.when(F.col("f2") > F.greatest("_q", F.lit(1e-30)), F.col("f2")).otherwise(1e-30).alias("f2"), F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+        mean = F.avg(F.when(F.col("q") == 0, F.ln("f2") / 2).otherwise(F.pow("f2", F.col("q") / 2)))
+        fq = each.groupBy(*keys, "q", "s").agg(mean.alias("_m"), F.bool_or("doubtful").alias("doubtful")).withColumn("fq", F.when(F.col("q") == 0, F.exp("_m")).otherwise(F.pow("_m", 1 / F.when(F.col("q") != 0, F.col("q")))))
+        fit = fitted(fq.where("fq > 0").select(*keys, "q", F.ln("s").alias("x"), F.ln("fq").alias("y"), "doubtful"), [*keys, "q"], "x", "y", F.bool_or("doubtful").alias("doubtful"))
+        return fit.groupBy(*keys).agg(F.collect_list(F.struct("q", "pts", "slope", "r2")).alias("points"), F.bool_or("doubtful").alias("doubtful"))
+
+    fit = _settled(df, keys, refine, run).select(*keys, F.inline("points"))
     every = df.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
     good = F.coalesce("pts", F.lit(0)) >= 3
     return every.join(fit, [*keys, "q"], "left").select(*keys, "q", F.when(good, F.col("slope")).otherwise(0.5).alias("h"), F.when(good, F.col("r2")).otherwise(0.0).alias("r2"))
