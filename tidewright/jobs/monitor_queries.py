@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import verdicts
 from ..operators import calibrate as cal
-from ..operators import legs, prepare, windows
+from ..operators import grammar, legs, prepare, windows
 from .registry import DFA, FLEET, REC, fleet, query, recording, round_all, table
 
 ID = ["asset_id", "channel"]
@@ -306,6 +306,42 @@ def leg8(spark, sf):
     return legs.leg_grid(r, n, GENES).select("asset_id", "channel", "alarms", "first", "gene")
 
 
+#: The whole grammar on the fleet in SQL: gr (k, c, source, statistic, w, persistence, threshold, alarms, first, last); of stretches pf and mf (k, c, t, v).
+def GRAMMAR(head: str) -> str:  # noqa: N802
+    frame = "(PARTITION BY k, c, part, source ORDER BY t ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+    stats = " UNION ALL ".join(
+        f"SELECT k, c, part, source, t, r, {w} AS w, unnest(['mean', 'sd', 'max_abs', 'range', 'slope']) AS statistic, unnest([avg(v) OVER f, stddev_pop(v) OVER f, max(abs(v)) OVER f, max(v) OVER f - min(v) OVER f, regr_slope(v, r) OVER f]) AS x FROM gsr WINDOW f AS {frame.format(w - 1)}"
+        for w in grammar.WINDOWS)
+    persist = " UNION ALL ".join(f"SELECT k, c, source, statistic, w, {p} AS persistence, any_value(threshold) AS threshold, count(*) FILTER (run >= {p}) AS alarms, min(t) FILTER (run >= {p}) AS first, max(t) FILTER (run >= {p}) AS last FROM gru GROUP BY ALL" for p in grammar.PERSISTENCE)
+    return f"""{head},
+gba AS (SELECT *, lag(v) OVER (PARTITION BY k, c, part ORDER BY t) AS p FROM (SELECT k, c, 0 AS part, t, v FROM pf UNION ALL SELECT k, c, 1, t, v FROM mf)),
+gf0 AS (SELECT k, c, CASE WHEN regr_sxx(v, p) > 1e-12 THEN regr_sxy(v, p) / regr_sxx(v, p) ELSE 0 END AS b, avg(p) AS mx, avg(v) AS my FROM gba WHERE part = 0 AND p IS NOT NULL GROUP BY k, c),
+gar AS (SELECT k, c, b, my - b * mx AS a, greatest(sqrt(avg(pow(v - (my - b * mx + b * p), 2))), 1e-9) AS sd FROM gba JOIN gf0 USING (k, c) WHERE part = 0 AND p IS NOT NULL GROUP BY k, c, b, mx, my),
+gsr AS MATERIALIZED (SELECT k, c, part, t, t + 1 AS r, unnest(['raw', 'residual', 'diff']) AS source, unnest([v, coalesce((v - (a + b * p)) / sd, 0), coalesce(v - p, 0)]) AS v FROM gba JOIN gar USING (k, c)),
+gce AS MATERIALIZED (SELECT *, (r - w) // 2 AS i FROM ({stats}) WHERE r >= w AND r % 2 = 0),
+gcm AS (SELECT k, c, source, statistic, w, avg(x) AS m, greatest(stddev_pop(x), 1e-9) AS sd FROM gce WHERE part = 0 GROUP BY ALL HAVING max(r) >= 4 * w),
+gcz AS MATERIALIZED (SELECT gce.*, abs(x - m) / sd AS score FROM gce JOIN gcm USING (k, c, source, statistic, w)),
+gc0 AS (SELECT k, c, source, statistic, w, i, score FROM gcz WHERE part = 0), {GUMBEL('gc0', 'gth', 'k, c, source, statistic, w', '1e6')},
+gru AS MATERIALIZED (SELECT k, c, source, statistic, w, t, threshold, i - coalesce(max(CASE WHEN score <= threshold THEN i END) OVER (PARTITION BY k, c, source, statistic, w ORDER BY i), -1) AS run FROM gcz JOIN gth USING (k, c, source, statistic, w) WHERE part = 1),
+gr AS ({persist})"""
+
+
+_FLEET_PARTS = FC.split("fst AS")[0].rstrip().rstrip(",")
+
+
+def with_baseline(r):
+    """A recording with the length of its healthy prefix beside each row."""
+    n = F.max("tick").over(Window.partitionBy(*ID)) + 1
+    return r.withColumn("baseline", prepare.calibration_length(n))
+
+
+@query("leg8_leg_grammar", f"WITH {GRAMMAR(_FLEET_PARTS)} SELECT k AS asset_id, c AS channel, source, statistic, w AS \"window\", persistence, round(threshold, 4) AS threshold, alarms, first FROM gr WHERE alarms > 0")
+def leg8_grammar(spark, sf):
+    """Every gene that alarms on a channel of the fleet."""
+    r = with_baseline(prepare.fill_gaps(fleet(spark, sf), ID))
+    return grammar.leg_grammar(r).where("alarms > 0").select(*ID, "source", "statistic", "window", "persistence", F.round("threshold", 4).alias("threshold"), "alarms", "first")
+
+
 ALARMS = "am AS (SELECT 'a' || user_id % 7 AS asset_id, event_type AS channel, event_id AS tick, ['residual', 'parity', 'repeated', 'dfa', 'cusum', 'level_shift', 'missing'][event_id % 7 + 1] AS leg, value AS observed, 40e0 AS threshold, event_id % 13 AS hit_gap FROM events WHERE value > 40)"
 
 
