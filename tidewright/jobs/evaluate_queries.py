@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, forecast, guard, legs, prepare
+from ..operators import evaluate, forecast, grammar, guard, legs, prepare
+from ..sources.shared import stored
 from .incident_queries import CHARTS
-from .monitor_queries import ALARMS, LIMIT, alarms, frames
-from .registry import EV, event_series, fleet, query, round_all, table
+from .monitor_queries import ALARMS, GRAMMAR, LIMIT, alarms, frames
+from .registry import EV, FLEET, event_series, fleet, query, round_all, table
 
 #: Labelled windows made from the error events of a high value: asset, label, [start, end], category.
 LAB = "lab AS (SELECT 'a' || user_id % 7 AS asset_id, event_id AS label_id, event_id AS start, event_id + 40 AS end, 'c' || event_id % 3 AS category FROM events WHERE event_type = 'error' AND value > 150)"
@@ -176,6 +177,46 @@ def eva21(spark, sf):
     return evaluate.policy_search(w, [("default", 1e6, 1.0), ("sensitive", 1e5, 1.0), ("slack", 1e6, 0.5)])
 
 
+def fault_stretches(spark, sf):
+    """Every asset of the fleet without gaps: labelled from three quarters on if a fault is planted there, else clean."""
+    r = prepare.fill_gaps(fleet(spark, sf), ["asset_id", "channel"])
+    n = F.max("tick").over(Window.partitionBy("asset_id", "channel")) + 1
+    onset = F.ceil(n * 3 / 4).cast("long")
+    faulty = F.substring("asset_id", 2, 20).cast("long") % 4 < 2
+    return r.select("asset_id", "channel", "tick", "value", F.when(faulty, onset).alias("onset"), onset.alias("baseline"))
+
+
+def fired_legs(w):
+    """Which genes alarm on which of the stretches."""
+    labelled = w.groupBy(F.col("asset_id").alias("window_id")).agg((F.count("onset") > 0).alias("labelled"))
+    return stored(grammar.fired_on(grammar.leg_grammar(w), labelled))
+
+
+def _LEG_ROUNDS(rounds: int) -> str:  # noqa: N802
+    parts = [f"g{k} AS (SELECT gene, count(*) AS n FROM h WHERE " + (" AND ".join(f"id NOT IN (SELECT id FROM h JOIN g{j} USING (gene))" for j in range(k)) or "true") + " GROUP BY gene ORDER BY n DESC, gene LIMIT 1)" for k in range(rounds)]
+    return ", ".join(parts) + ", al AS (" + " UNION ALL ".join(f"SELECT {k} AS round, gene, n FROM g{k}" for k in range(rounds)) + ")"
+
+
+_STRETCHES = f"""{FLEET}, fm AS (SELECT k, ceil(n * 0.75)::BIGINT AS m FROM (SELECT k, max(t) + 1 AS n FROM fl GROUP BY k)),
+fq AS (SELECT k, c, t, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY k, c ORDER BY t), first_value(v IGNORE NULLS) OVER (PARTITION BY k, c ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS v FROM fl),
+pf AS MATERIALIZED (SELECT k, c, t, v FROM fq JOIN fm USING (k) WHERE t < m), mf AS MATERIALIZED (SELECT k, c, t - m AS t, v FROM fq JOIN fm USING (k) WHERE t >= m)"""
+
+
+@query("eva21_leg_search", f"""WITH {GRAMMAR(_STRETCHES)}, fi AS (SELECT source || '/' || statistic || '/' || w || '/' || persistence AS gene, k AS id, substr(k, 2)::BIGINT % 4 < 2 AS labelled, bool_or(alarms > 0) AS a FROM gr GROUP BY ALL),
+h AS (SELECT gene, id FROM fi WHERE labelled AND a AND gene NOT IN (SELECT gene FROM fi WHERE NOT labelled AND a)), {_LEG_ROUNDS(3)}
+SELECT round, gene, (sum(n) OVER (ORDER BY round))::BIGINT AS detected, n AS gained, round((sum(n) OVER (ORDER BY round)) / (SELECT count(DISTINCT id) FROM fi WHERE labelled), 6) AS coverage FROM al""")
+def eva21_legs(spark, sf):
+    """Three rounds of legs that find planted faults and are quiet on clean assets."""
+    return round_all(grammar.leg_search(fired_legs(fault_stretches(spark, sf)), 3))
+
+
+@query("eva21_policy_rounds")
+def eva21_rounds(spark, sf):
+    """Two rounds of settings and legs on the same stretches."""
+    w = fault_stretches(spark, sf)
+    return round_all(evaluate.policy_rounds(w.withColumnRenamed("asset_id", "window_id"), fired_legs(w), rounds=2, mutations=3))
+
+
 @query("eva22_detector_comparison", f"""WITH RECURSIVE {CHARTS}, {LIMIT}, b AS (SELECT 'ewma' AS detector, c, t FROM ewh UNION ALL SELECT 'cusum', c, t FROM cuh UNION ALL SELECT 'limit', c, t FROM lr WHERE r >= 3),
 ep AS (SELECT detector, c, t FROM (SELECT *, t - lag(t) OVER (PARTITION BY detector, c ORDER BY t) AS g FROM b) WHERE g IS NULL OR g >= 50), w AS (SELECT c, max(t) // 2 - 40 AS s, max(t) // 2 + 40 AS e FROM mf GROUP BY c),
 x AS (SELECT detector, ep.c, t BETWEEN s AND e AS inside FROM ep JOIN w USING (c)), ca AS (SELECT detector, count(DISTINCT c) FILTER (inside) AS caught, count(*) FILTER (NOT inside) AS f FROM x GROUP BY detector)

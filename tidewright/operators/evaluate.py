@@ -229,11 +229,12 @@ def detector_comparison(alarms: DataFrame, windows: DataFrame, samples: DataFram
     return out.withColumn("per_1000", 1000.0 * F.col("false_alarms") / n)
 
 
-def policy_search(windows: DataFrame, policies: list[tuple[str, float, float]]) -> DataFrame:
-    """(policy, detected, clean_alarms): each policy (name, horizon, cusum_k) on each labelled stretch.
+def scored_settings(windows: DataFrame, settings: list) -> DataFrame:
+    """(candidate, window_id, hit, clean): the monitor under each of the settings (their number is `candidate`) on every stretch.
 
-    windows: window_id, channel, tick, value, onset (null on clean stretches), baseline. A stretch is one task's
-    work, under all policies: it is read and put in order once."""
+    windows: window_id, channel, tick, value, onset (null on clean stretches), baseline. hit: an alarm from the onset on;
+    clean: alarms before it, or at all on a clean stretch. A stretch is one task's work under all settings: it is read and put in
+    order once. One that is too short to calibrate on has no hit and no alarm."""
     from ..functions import monitor as mon
     from .guard import filled, matrix
 
@@ -242,8 +243,8 @@ def policy_search(windows: DataFrame, policies: list[tuple[str, float, float]])
         one, rows = pdf.iloc[0], []
         n = int(one["baseline"])
         healthy, ahead = filled(x[:, :n]), mon.Ahead(x[:, n:])
-        for policy, horizon, cusum_k in policies:
-            cal = mon.Calibration.of(healthy, mon.Config(float(horizon), float(cusum_k)))
+        for number, config in enumerate(settings):
+            cal = mon.Calibration.of(healthy, config)
             clean, hit = 0, False
             if cal is not None:
                 m = mon.Monitor(cal, ahead=ahead)
@@ -252,8 +253,77 @@ def policy_search(windows: DataFrame, policies: list[tuple[str, float, float]])
                         late = pd.notna(one["onset"]) and t >= one["onset"]
                         hit, clean = hit or late, clean + (not late)
                         m.clear()
-            rows.append((policy, one["window_id"], bool(hit), clean))
-        return pd.DataFrame(rows, columns=["policy", "window_id", "hit", "clean"])
+            rows.append((number, one["window_id"], bool(hit), clean))
+        return pd.DataFrame(rows, columns=["candidate", "window_id", "hit", "clean"])
+
+    return windows.groupBy("window_id").applyInPandas(run, "candidate int, window_id string, hit boolean, clean long")
+
+
+def policy_search(windows: DataFrame, policies: list[tuple[str, float, float]]) -> DataFrame:
+    """(policy, detected, clean_alarms): each policy (name, horizon, cusum_k) on each labelled stretch of `scored_settings`."""
+    from ..functions import monitor as mon
+
+    each = scored_settings(windows, [mon.Config(float(horizon), float(k)) for _, horizon, k in policies])
+    named = F.element_at(F.array(*[F.lit(name) for name, _, _ in policies]), F.col("candidate") + 1)
+    return each.groupBy(named.alias("policy")).agg(F.count_if("hit").alias("detected"), F.sum("clean").alias("clean_alarms"))
+
 
-    each = windows.groupBy("window_id").applyInPandas(run, "policy string, window_id string, hit boolean, clean long")
-    return each.groupBy("policy").agg(F.count_if("hit").alias("detected"), F.sum("clean").alias("clean_alarms"))
+def mutated(config, rng):
+    """One setting of a policy changed by a random factor, within its bounds."""
+    from dataclasses import replace
+
+    u = rng.random()
+    k = int(u * 5)
+    if k == 0:
+        return replace(config, res_span=max(4, round(config.res_span * (0.6 + u))))
+    if k == 1:
+        return replace(config, dfa_persist=max(1, round(config.dfa_persist * (0.6 + u))))
+    if k == 2:
+        return replace(config, roll_persist=max(1, round(config.roll_persist * (0.6 + u))))
+    if k == 3:
+        return replace(config, cusum_k=min(3.0, max(0.4, config.cusum_k * (0.7 + 0.6 * u))))
+    return replace(config, horizon=min(1e8, max(1e4, config.horizon * (0.25 + 1.5 * u))))
+
+
+def better(detected: int, clean: int, best: tuple[int, int]) -> bool:
+    """More stretches at no more clean alarms, or no fewer stretches at fewer."""
+    return (detected > best[0] and clean <= best[1]) or (detected >= best[0] and clean < best[1])
+
+
+def policy_rounds(windows: DataFrame, fired: DataFrame, rounds: int = 3, mutations: int = 4, seed: int = 42) -> DataFrame:
+    """(round, candidate, detected, clean_alarms, accepted, coverage): a search over settings of the monitor and added legs.
+
+    Each round scores the settings in force and `mutations` changes of them on all stretches at once, takes every one that is
+    better than the best before it, and then the leg of the grammar that finds most stretches still missed and never alarms
+    on a clean one. windows as for `scored_settings`; fired (gene, window_id, labelled, hit, early) as for
+    `grammar.leg_search`. A stretch counts as detected by the monitor or by a taken leg; coverage is the share of labelled stretches.
+    Stretches stay where they are: a round brings one small row a candidate, and one for its leg, to the driver."""
+    import random
+
+    from ..functions import monitor as mon
+    from ..sources.shared import stored
+    from .grammar import fresh_hits
+
+    spark, rng = windows.sparkSession, random.Random(seed)
+    labelled = windows.where("onset IS NOT NULL").select("window_id").distinct()
+    total = labelled.count()
+    inforce, taken, out = mon.Config(), [], []
+    for k in range(rounds):
+        candidates = [inforce] + [mutated(inforce, rng) for _ in range(mutations)]
+        scored = stored(scored_settings(windows, candidates))
+        by_leg = fired.where(F.col("gene").isin(taken) & F.col("hit")).select("window_id").distinct().withColumn("_leg", F.lit(True))
+        found = scored.join(by_leg, "window_id", "left").withColumn("hit", F.col("hit") | F.coalesce("_leg", F.lit(False)))
+        counts = {r.candidate: (r.detected, r.clean) for r in found.groupBy("candidate").agg(F.count_if("hit").alias("detected"), F.sum("clean").alias("clean")).collect()}
+        best, at = counts.get(0, (0, 0)), 0
+        for number, config in enumerate(candidates):
+            detected, clean = counts.get(number, (0, 0))
+            accepted = number > 0 and better(detected, clean, best)
+            if accepted:
+                best, at, inforce = (detected, clean), number, config
+            out.append((k, "in force" if number == 0 else f"{config.res_span}/{config.dfa_persist}/{config.roll_persist}/{config.cusum_k:.4f}/{config.horizon:.0f}", detected, clean, accepted, detected / max(total, 1)))
+        missed = labelled.join(found.where((F.col("candidate") == at) & F.col("hit")).select("window_id"), "window_id", "left_anti")
+        leg = fresh_hits(fired, missed).first()
+        if leg is not None:
+            taken.append(leg.gene)
+            out.append((k, leg.gene, best[0] + leg.n, best[1], True, (best[0] + leg.n) / max(total, 1)))
+    return spark.createDataFrame(out, "round int, candidate string, detected long, clean_alarms long, accepted boolean, coverage double")
