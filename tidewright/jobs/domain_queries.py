@@ -103,6 +103,13 @@ def dom4(spark, sf):
     return round_all(domains.genome_structure(prepare.gc_windows(bases, K, 20), K)[0])
 
 
+@query("dom4_genome_profile", f"WITH {_GC}, wn AS (SELECT k, count(*) AS n FROM gs GROUP BY k HAVING count(*) > 128), ws AS (SELECT k || '|' || w AS k, t - w * 64 AS t, v FROM (SELECT gs.k, t, v, n, unnest(range(greatest(t - 64, 0) // 64, t // 64 + 1)) AS w FROM gs JOIN wn USING (k)) WHERE t >= w * 64 AND t < w * 64 + 128 AND w * 64 + 128 <= n), {DFA('ws', 'd')} SELECT split_part(k, '|', 1)::BIGINT AS series_id, split_part(k, '|', 2)::BIGINT AS w, split_part(k, '|', 2)::BIGINT * 64 + 127 AS end_tick, round(alpha, 6) AS alpha, round(r2, 6) AS r2 FROM d")
+def dom4_profile(spark, sf):
+    """Exponents of half-overlapping blocks of 128 windows, of pages with more windows than that."""
+    bases = table(spark, sf, "pages").select(F.col("page_id").alias("series_id"), F.posexplode(F.split("html", "")).alias("pos", "base"))
+    return round_all(domains.genome_structure(prepare.gc_windows(bases, K, 20), K, 128)[1])
+
+
 @query("dom5_multi_channel_health", f"WITH {EV}, {DFA('ev', 'd')} SELECT k AS series_id, round(alpha, 6) AS alpha, round(alpha - 0.45, 6) AS shift, {HEALTH.format('(alpha - 0.45)')} AS verdict, CASE WHEN abs(alpha - 0.45) < 0.08 * 0.375 THEN 'Healthy' WHEN abs(alpha - 0.45) < 0.08 THEN 'Watch' WHEN abs(alpha - 0.45) < 0.08 * 1.875 THEN 'Warning' ELSE 'Critical' END AS scaled FROM d")
 def dom5(spark, sf):
     d = structure.dfa(event_series(spark, sf), K)
@@ -172,6 +179,37 @@ def dom9(spark, sf):
     return domains.nearest_centroid_holdout(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("values")))
 
 
+LEGS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_orderkey"]
+
+
+def leg_vectors(spark, sf):
+    """(id, group, label, values): the exponents of six columns over every full block of 128 deliveries of a supplier; the
+    supplier is the group, its nation's region the class."""
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_linenumber", *LEGS)
+    placed = prepare.assign_ticks(rows, ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("leg"), F.col(c).cast("double").alias("value")) for i, c in enumerate(LEGS)])).alias("x")
+    cut = placed.select("l_suppkey", F.expr("tick div 128").alias("block"), F.expr("tick % 128").alias("tick"), each).select("l_suppkey", "block", "tick", "x.leg", "x.value")
+    alphas = grouped.dfa_by_key(cut, ["l_suppkey", "block", "leg"]).where("n = 128")
+    vectors = alphas.groupBy("l_suppkey", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("leg", "alpha"))), lambda x: F.round(x["alpha"], 6)).alias("values"))
+    regions = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("label"))
+    return vectors.join(regions, "l_suppkey").select(F.concat_ws("/", "l_suppkey", "block").alias("id"), F.col("l_suppkey").alias("group"), "label", "values")
+
+
+_LEGS = "lg AS (SELECT l_suppkey || '/' || t // 128 || '/' || leg AS k, t % 128 AS t, v FROM (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS t, unnest(range(6)) AS leg, unnest([l_quantity, l_extendedprice, l_discount, l_tax, l_partkey, l_orderkey])::DOUBLE AS v FROM lineitem))"
+
+
+@query("dom9_group_holdout", f"""WITH {_LEGS}, {DFA('lg', 'd')}, al AS (SELECT split_part(k, '/', 1)::BIGINT AS g, split_part(k, '/', 2)::BIGINT AS b, split_part(k, '/', 3)::BIGINT AS dim, round(alpha, 6) AS x FROM d WHERE n = 128),
+rw AS (SELECT g, b, dim, x, n_regionkey AS y FROM al JOIN supplier ON g = s_suppkey JOIN nation ON s_nationkey = n_nationkey), tt AS (SELECT y AS z, dim, sum(x) AS s, count(*) AS c FROM rw GROUP BY ALL), ow AS (SELECT g, y AS z, dim, sum(x) AS s, count(*) AS c FROM rw GROUP BY ALL),
+ce AS (SELECT gg.g, tt.z, tt.dim, (tt.s - coalesce(ow.s, 0)) / (tt.c - coalesce(ow.c, 0)) AS m FROM (SELECT DISTINCT g FROM rw) gg CROSS JOIN tt LEFT JOIN ow ON ow.g = gg.g AND ow.z = tt.z AND ow.dim = tt.dim WHERE tt.c > coalesce(ow.c, 0)),
+fa AS (SELECT rw.g, b, y, z, round(sum(pow(x - m, 2)), 9) AS far FROM rw JOIN ce ON ce.g = rw.g AND ce.dim = rw.dim GROUP BY ALL), ne AS (SELECT g, b, y, min_by(z, (far, z)) AS p, bool_or(z = y) AS ok FROM fa GROUP BY ALL),
+co AS (SELECT y, count(*) FILTER (ok AND p = y) AS r, count(*) FILTER (ok) AS a, count(*) FILTER (NOT ok) AS u FROM ne GROUP BY y)
+SELECT y AS truth, r AS "right", a AS assessed, u AS unassessable, CASE WHEN a > 0 THEN round(greatest((r / a + 1.96 * 1.96 / (2 * a)) / (1 + 1.96 * 1.96 / a) - 1.96 * sqrt(r / a * (1 - r / a) / a + 1.96 * 1.96 / (4 * a * a)) / (1 + 1.96 * 1.96 / a), 0), 6) END AS low,
+CASE WHEN a > 0 THEN round(least((r / a + 1.96 * 1.96 / (2 * a)) / (1 + 1.96 * 1.96 / a) + 1.96 * sqrt(r / a * (1 - r / a) / a + 1.96 * 1.96 / (4 * a * a)) / (1 + 1.96 * 1.96 / a), 1), 6) END AS high FROM co""")
+def dom9_groups(spark, sf):
+    """Which region a supplier is of, by the exponents of its deliveries, from the other suppliers alone."""
+    return round_all(domains.holdout_report(domains.group_holdout(leg_vectors(spark, sf))))
+
+
 @query("dom10_signal_quality", f"WITH {SU}, {LAW('su', 'w')} SELECT k AS series_id, CASE WHEN alpha > 0.7 THEN 'structured' ELSE 'degraded' END AS signal FROM w")
 def dom10(spark, sf):
     return domains.signal_quality(structure.analyze(supplier_series(spark, sf), K)).select("series_id", "signal")

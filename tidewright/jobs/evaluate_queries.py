@@ -112,6 +112,27 @@ def eva12(spark, sf):
     return round_all(evaluate.bootstrap_auc(scored(spark, sf), ["quality"]))
 
 
+def _AUC(src: str, by: str, score: str) -> str:  # noqa: N802
+    return f"SELECT {by}, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {by} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT {by}, {score} AS s, sum(label * w) AS pos, sum((1 - label) * w) AS neg FROM {src} GROUP BY ALL)) GROUP BY {by}"
+
+
+_DRAWS = " + ".join(f"(u >= {int(c * 2**32)})::INT" for c in evaluate.POISSON)
+
+
+@query("eva12_paired_bootstrap", f"""WITH sc AS (SELECT doc_id AS id, n_chars::DOUBLE AS score_a, len(text) - len(replace(text, ' ', ''))::DOUBLE AS score_b, toxic AS label, quality FROM labels JOIN documents USING (doc_id)),
+dr AS (SELECT *, {_DRAWS} AS w FROM (SELECT *, ('0x' || substr(md5('42|' || rep || '|' || id), 1, 8))::BIGINT AS u FROM sc, (SELECT unnest(range(1, 201)) AS rep))),
+ra AS ({_AUC("(SELECT * FROM dr WHERE w > 0)", "quality, rep", "score_a")}), rb AS ({_AUC("(SELECT * FROM dr WHERE w > 0)", "quality, rep", "score_b")}),
+rd AS (SELECT quality, ra.auc - rb.auc AS d FROM ra JOIN rb USING (quality, rep) WHERE ra.auc IS NOT NULL AND rb.auc IS NOT NULL),
+iv AS (SELECT quality, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, count(*) AS used FROM rd GROUP BY quality),
+wa AS ({_AUC("(SELECT *, 1 AS w FROM sc)", "quality", "score_a")}), wb AS ({_AUC("(SELECT *, 1 AS w FROM sc)", "quality", "score_b")})
+SELECT quality, round(wa.auc, 6) AS a, round(wb.auc, 6) AS b, round(wa.auc - wb.auc, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high, coalesce(used, 0) AS used FROM wa JOIN wb USING (quality) LEFT JOIN iv USING (quality) WHERE wa.auc IS NOT NULL AND wb.auc IS NOT NULL""")
+def eva12_paired(spark, sf):
+    """Which tells toxic documents better: their length or their number of blanks."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score_a"), (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).cast("double").alias("score_b"))
+    rows = table(spark, sf, "labels").join(d, "doc_id").select(F.col("doc_id").alias("id"), "score_a", "score_b", F.col("toxic").alias("label"), "quality")
+    return round_all(evaluate.bootstrap_difference(rows, ["quality"]))
+
+
 @query("eva13_group_medians_corr", f"WITH {_SCORED} SELECT quality, label, round(median(score), 6) AS median, round(corr(score, id), 6) AS r FROM sc GROUP BY ALL")
 def eva13(spark, sf):
     return round_all(scored(spark, sf).groupBy("quality", "label").agg(F.median("score").alias("median"), F.corr("score", "id").alias("r")))

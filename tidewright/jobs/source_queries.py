@@ -200,6 +200,18 @@ def inc12_other(spark: SparkSession, sf: str) -> DataFrame:
     return replay.replay(spark, path, 256)["pairs"]
 
 
+@query("inc12_replay_other_settings")
+def inc12_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """The same case with a gap of 60 ticks and a longer horizon: how many of each asset's incidents are found again, are one
+    with another now, or are new."""
+    r = fleet(spark, sf)
+    path = shared_folder(spark)
+    replay.save_case(path, r, replay.investigate(r, 192), 192)
+    pairs = replay.replay(spark, path, config={"gap": 60, "horizon": 2e6})["pairs"]
+    found = F.when(F.col("fresh_id").isNull(), "missed").when(F.col("saved_id").isNull(), "new").otherwise("matched")
+    return pairs.groupBy("asset_id", found.alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query("snk5_write_row_scores", "SELECT printf('%.6f', value) AS value, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
 def snk5(spark: SparkSession, sf: str) -> DataFrame:
     where = shared_folder(spark)

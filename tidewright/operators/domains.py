@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import re
 
 import pandas as pd
@@ -70,11 +72,13 @@ def event_rhythm(times: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def genome_structure(windows: DataFrame, keys: list[str], block: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Per sequence windows, mean GC, alpha, r2 (zeros under 64 windows); and the profile of half-overlapping blocks."""
+    """Per sequence windows, mean GC, alpha, r2 (zeros under 64 windows); and the profile (keys, w, end_tick, alpha, r2) of
+    half-overlapping blocks, for sequences of more windows than a block."""
     mean = windows.groupBy(*keys).agg(F.avg("value").alias("mean_gc"))
     few = F.col("n") < 64
     whole = dfa(windows, keys).join(mean, keys).select(*keys, F.col("n").alias("windows"), "mean_gc", F.when(few, 0.0).otherwise(F.col("alpha")).alias("alpha"), F.when(few, 0.0).otherwise(F.col("r2")).alias("r2"))
-    return whole, rolling_alpha(windows, keys, block, max(1, block // 2))
+    long = windows.join(windows.groupBy(*keys).count().where(F.col("count") > block).select(*keys), keys, "left_semi")
+    return whole, rolling_alpha(long, keys, block, max(1, block // 2))
 
 
 def multi_channel_health(laws: DataFrame, baselines: DataFrame, key: str, threshold: float) -> DataFrame:
@@ -133,15 +137,28 @@ def class_separation(vectors: DataFrame, label: str, leg: str, value: str) -> Da
     return a.join(b, leg).where("a < b").select(leg, "a", "b", ((F.col("a_m") - F.col("b_m")) / F.nullif(pooled, F.lit(0.0))).alias("d"))
 
 
+def _class_sums(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, s, c): each group's sums of vectors, dimension by dimension, and its rows."""
+    sums = rows.select(*by, F.posexplode("values").alias("dim", "value")).groupBy(*by, "dim").agg(F.sum(F.col("value").cast("double")).alias("s"), F.count("*").alias("c"))
+    return sums.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))), lambda x: x["s"]).alias("s"), F.max("c").alias("c"))
+
+
+def _blocks_of(one: DataFrame, label: str, classes: int) -> tuple[DataFrame, int]:
+    """Classes dealt to blocks (`_b`) of about `classes`, and the number of blocks."""
+    blocks = max(1, math.ceil(one.select(label).distinct().count() / classes))
+    return one.withColumn("_b", F.pmod(F.xxhash64(label), F.lit(blocks))), blocks
+
+
+def _in_every_block(rows: DataFrame, blocks: int) -> DataFrame:
+    return rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+
 def nearest_centroid_holdout(rows: DataFrame, classes: int = 1000) -> DataFrame:
     """(truth, predicted, n) leaving one row out: rows (id, label, values). A class's centroid is its sums less the
-    row's own part; a class of one row cannot be assessed and is only met by others. The sums of all classes are one
-    row, which goes to every task, while they are `classes` at most; more of them go there in blocks."""
-    sums = rows.select("label", F.posexplode("values").alias("dim", "value")).groupBy("label", "dim").agg(F.sum(F.col("value").cast("double")).alias("s"), F.count("*").alias("c"))
-    one = sums.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "s"))).alias("s"), F.max("c").alias("c"))
-    order = Window.orderBy("label")
-    blocks = one.select(F.struct(F.col("label").alias("to"), F.transform("s", lambda x: x["s"]).alias("s"), "c").alias("k"), F.floor((F.row_number().over(order) - 1) / classes).alias("_b"))
-    packed = blocks.groupBy("_b").agg(F.collect_list("k").alias("ks"))  # as many rows as there are blocks
+    row's own part; a class of one row cannot be assessed and is only met by others. Rows meet the classes in blocks of
+    about `classes`, by an equal join on the block."""
+    one, blocks = _blocks_of(_class_sums(rows, ["label"]), "label", classes)
+    packed = one.groupBy("_b").agg(F.collect_list(F.struct(F.col("label").alias("to"), "s", "c")).alias("ks"))
 
     def far(k: Column) -> Column:
         own = (F.col("label") == k["to"]).cast("int")
@@ -149,12 +166,46 @@ def nearest_centroid_holdout(rows: DataFrame, classes: int = 1000) -> DataFrame:
         gap = F.zip_with(F.transform("values", lambda v: v.cast("double")), k["s"], lambda v, s: F.pow(v - (s - own * v) / n, F.lit(2)))
         return F.when(n > 0, F.struct(F.round(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x), 9).alias("d"), k["to"].alias("to")))
 
-    each = rows.crossJoin(F.broadcast(packed))
+    each = _in_every_block(rows, blocks).join(packed, "_b")
     best = each.select("id", "label", F.array_min(F.filter(F.transform("ks", far), lambda x: x.isNotNull())).alias("near"), F.exists("ks", lambda k: (k["to"] == F.col("label")) & (k["c"] > 1)).alias("_k"))
     near = best.groupBy("id", "label").agg(F.min("near")["to"].alias("predicted"), F.bool_or("_k").alias("_k")).where("_k")
     return near.groupBy(F.col("label").alias("truth"), "predicted").agg(F.count("*").alias("n"))
 
 
+def group_holdout(rows: DataFrame, classes: int = 1000) -> DataFrame:
+    """(id, truth, predicted, assessable) leaving out whole groups: rows (id, group, label, values).
+
+    A row is put to the nearest centroid of the classes as they are without its group: each class's sums less what the group
+    adds to them; of equal distances (to 9 digits) the smallest label. A class that no other group has cannot be
+    assessed: its rows get a prediction, but are not counted as right or wrong; predicted is null where no other group
+    has any class. Each group's centroids are made once and meet its rows in blocks of about `classes` of them."""
+    total, blocks = _blocks_of(_class_sums(rows, ["label"]), "label", classes)
+    own = _class_sums(rows, ["group", "label"]).select("group", F.col("label").alias("to"), F.col("s").alias("_os"), F.col("c").alias("_oc"))
+    groups = _in_every_block(rows.select("group").distinct(), blocks)
+    pairs = groups.join(total.withColumnRenamed("label", "to"), "_b").join(own, ["group", "to"], "left")
+    n = F.col("c") - F.coalesce("_oc", F.lit(0))
+    rest = F.when(F.col("_os").isNull(), F.col("s")).otherwise(F.zip_with("s", "_os", lambda a, b: a - b))
+    left = pairs.withColumn("_n", n).where("_n > 0").select("group", "_b", F.struct("to", F.transform(rest, lambda x: x / F.col("_n")).alias("at")).alias("k"))
+    packed = left.groupBy("group", "_b").agg(F.collect_list("k").alias("ks"))
+
+    def far(k: Column) -> Column:
+        gap = F.zip_with(F.transform("values", lambda v: v.cast("double")), k["at"], lambda v, m: F.pow(v - m, F.lit(2)))
+        return F.struct(F.round(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x), 9).alias("d"), k["to"].alias("to"))
+
+    each = _in_every_block(rows, blocks).join(packed, ["group", "_b"], "left")
+    best = each.select("id", "label", F.array_min(F.transform("ks", far)).alias("near"), F.coalesce(F.exists("ks", lambda k: k["to"] == F.col("label")), F.lit(False)).alias("_k"))
+    return best.groupBy("id", F.col("label").alias("truth")).agg(F.min("near")["to"].alias("predicted"), F.bool_or("_k").alias("assessable"))
+
+
+def holdout_report(found: DataFrame, z: float = 1.96) -> DataFrame:
+    """(truth, right, assessed, unassessable, low, high) of `group_holdout`: Wilson's interval of each class's share of
+    right rows, null for a class without assessed rows."""
+    some = F.col("assessable")
+    by = found.groupBy("truth").agg(F.count_if(some & (F.col("predicted") == F.col("truth"))).alias("right"), F.count_if(some).alias("assessed"), F.count_if(~some).alias("unassessable"))
+    low, high = wilson(F.col("right"), F.nullif("assessed", F.lit(0)), z)
+    return by.select("truth", "right", "assessed", "unassessable", F.greatest(low, F.when(F.col("assessed") > 0, 0.0)).alias("low"), F.least(high, F.when(F.col("assessed") > 0, 1.0)).alias("high"))
+
+
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     p, q = k / n, z * z
     mid, half = (p + q / (2 * n)) / (1 + q / n), z * F.sqrt(p * (1 - p) / n + q / (4 * n * n)) / (1 + q / n)

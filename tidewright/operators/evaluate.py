@@ -162,6 +162,40 @@ def bootstrap_auc(df: DataFrame, keys: list[str], replicates: int = 200, seed: i
     return auc.groupBy(*keys).agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"), F.count("*").alias("used"))
 
 
+#: Steps of the Poisson(1) distribution function that a draw of 32 bits can tell apart.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12))
+
+
+def drawn(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Every row (with an id) in every replicate (`rep` from 1) it is drawn for, `w` times: Poisson(1) of the first 32
+    bits of md5(seed|rep|id), which any engine can compute. Rows that share an id are drawn together."""
+    each = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
+    weight = sum((F.when(F.col("_u") >= int(c * 2**32), 1).otherwise(0) for c in POISSON), F.lit(0))
+    return each.withColumn("_u", u).withColumn("w", weight).where("w > 0").drop("_u")
+
+
+def weighted_auc(rows: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """(keys, auc) of rows (label 0 or 1, weight w): ties count half; null without both labels."""
+    s = rows.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(F.col("label") * F.col("w")).alias("pos"), F.sum((1 - F.col("label")) * F.col("w")).alias("neg"))
+    below = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_b", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    return s.groupBy(*keys).agg((F.sum(F.col("pos") * (F.col("_b") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+
+
+def bootstrap_difference(df: DataFrame, keys: list[str], replicates: int = 200, seed: int = 42) -> DataFrame:
+    """(keys, a, b, difference, low, high, used): AUC of two scores (score_a, score_b) of the same rows (id, label), and the
+    95 % percentile interval of a - b over resamples in which both scores see the same draw; only resamples with both
+    labels count. A replicate is counts of labels by score, not rows."""
+    def both(rows: DataFrame, by: list[str]) -> DataFrame:
+        a, b = weighted_auc(rows, by, "score_a").withColumnRenamed("auc", "a"), weighted_auc(rows, by, "score_b").withColumnRenamed("auc", "b")
+        return a.join(b, by).where("a IS NOT NULL AND b IS NOT NULL").withColumn("difference", F.col("a") - F.col("b"))
+
+    each = both(drawn(df, replicates, seed), [*keys, "rep"])
+    interval = each.groupBy(*keys).agg(F.percentile("difference", 0.025).alias("low"), F.percentile("difference", 0.975).alias("high"), F.count("*").alias("used"))
+    return both(df.withColumn("w", F.lit(1)), keys).join(interval, keys, "left").fillna({"used": 0})
+
+
 def location_hit(predicted: DataFrame, truth: DataFrame, key: str, tolerance: int = 100) -> DataFrame:
     """(series, hits, none, accuracy, by_chance): locations within `tolerance` rows of [begin, end] (1-based)."""
     j = truth.join(predicted, key, "left")
