@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from . import recursions
 from .prepare import by_tick, islands
 
 ORDERS, RIDGE, LOCAL, LEAST = (3, 5, 10, 25, 50), 1e-4, 2100, 200
@@ -153,17 +154,13 @@ def detect_forecast_anomalies(train: DataFrame, test: DataFrame, keys: list[str]
     return train.groupBy(*keys).cogroup(test.groupBy(*keys)).applyInPandas(run, schema)
 
 
-def ar_models(train: DataFrame, keys: list[str], p: int = 0) -> DataFrame:
-    """(keys, p, bias, weights) per channel; p 0 selects the order. Channels too short for it give no row."""
-    schema = ", ".join(f"{k} {train.schema[k].dataType.simpleString()}" for k in keys) + ", p int, bias double, weights array<double>"
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("tick")["value"].to_numpy(float)
-        order = p or select_order(x)
-        fit = fit_ar(x, order)
-        return pd.DataFrame([(*key, order, float(fit[1]), fit[0].tolist())] if fit else [], columns=[*keys, "p", "bias", "weights"])
-
-    return train.groupBy(*keys).applyInPandas(run, schema)
+def ar_models(train: DataFrame, keys: list[str], p: int = 0, chunk: int = recursions.CHUNK) -> DataFrame:
+    """(keys, p, bias, weights) per channel; p 0 selects the order. Channels too short for it give no row. Blocks of a
+    channel add up its normal equations, so that no task holds it whole; ticks run from 0 without gaps."""
+    if p:
+        return recursions.normal_equations(train, keys, [p], RIDGE, chunk).select(*keys, "p", "bias", "weights")
+    chosen = recursions.best_order(train, keys, ORDERS, RIDGE, 5, chunk)
+    return recursions.normal_equations(train, keys, ORDERS, RIDGE, chunk).join(chosen, [*keys, "p"]).select(*keys, "p", "bias", "weights")
 
 
 def ar_residuals(df: DataFrame, models: DataFrame, keys: list[str], p: int) -> DataFrame:
@@ -175,14 +172,9 @@ def ar_residuals(df: DataFrame, models: DataFrame, keys: list[str], p: int) -> D
     return d.select(*keys, "tick", F.when(F.col("tick") < p, 0.0).otherwise(F.abs(F.col("value") - said)).alias("e"))
 
 
-def ewma(df: DataFrame, keys: list[str], span: int, value: str = "e") -> DataFrame:
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", tick long, e double"
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tick")
-        return pd.DataFrame({**{k: pd.Series([v] * len(pdf), dtype=object) for k, v in zip(keys, key)}, "tick": pdf["tick"].to_numpy(), "e": smoothed(pdf[value].to_numpy(float), span)})
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+def ewma(df: DataFrame, keys: list[str], span: int, value: str = "e", chunk: int = recursions.CHUNK) -> DataFrame:
+    """(keys, tick, e): exponentially weighted means from the first value on, in blocks of ticks."""
+    return recursions.smoothed(df, keys, value, 2 / (span + 1), chunk=chunk).withColumnRenamed("y", "e")
 
 
 def rolling_variance(df: DataFrame, keys: list[str], width: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import monitor as mon
+from . import recursions
 from .legs import dedupe_alarms
 
 EVENTS = "asset_id {id}, tick long, kind string, channel string, leg string, observed double, threshold double, hit_gap long, class string"
@@ -160,40 +161,20 @@ def guard(df: DataFrame, sensitivity: str = "default", quiet: int = 50, baseline
     return kept, out.withColumn("verdict", F.when(F.col("alarms") == 0, "healthy").otherwise("alarms"))
 
 
-def _sequential(df: DataFrame, healthy: DataFrame, step: Callable, leg: str) -> DataFrame:
-    """Alarms of a chart that carries state from value to value, per asset and channel."""
-    both = healthy.select("asset_id", "channel", "tick", "value", F.lit(0).alias("part")).unionByName(df.select("asset_id", "channel", "tick", "value", F.lit(1).alias("part")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, d = (pdf[pdf["part"] == k].sort_values("tick") for k in (0, 1))
-        hits = step(d["value"].to_numpy(float), float(h["value"].mean()), float(h["value"].std(ddof=0))) if len(h) and len(d) else []
-        return pd.DataFrame({"asset_id": d["asset_id"].to_numpy()[hits], "channel": d["channel"].to_numpy()[hits], "tick": d["tick"].to_numpy()[hits], "leg": leg}) if len(hits) else pd.DataFrame(columns=["asset_id", "channel", "tick", "leg"])
-
-    kind = df.schema["asset_id"].dataType.simpleString()
-    return both.groupBy("asset_id", "channel").applyInPandas(run, f"asset_id {kind}, channel string, tick long, leg string")
+def _healthy(df: DataFrame, healthy: DataFrame) -> DataFrame:
+    """Rows with the mean and deviation of their channel's healthy values; channels without any are left out."""
+    known = healthy.groupBy("asset_id", "channel").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
+    return df.select("asset_id", "channel", "tick", "value").join(known, ["asset_id", "channel"])
 
 
-def ewma_chart(df: DataFrame, healthy: DataFrame, weight: float = 0.2) -> DataFrame:
-    def step(x: np.ndarray, mean: float, sd: float) -> list[int]:
-        z, limit, out = mean, 3 * sd * (weight / (2 - weight)) ** 0.5, []
-        for i, v in enumerate(x):
-            z = weight * v + (1 - weight) * z
-            if abs(z - mean) > limit:
-                out.append(i)
-        return out
-
-    return _sequential(df, healthy, step, "ewma")
+def ewma_chart(df: DataFrame, healthy: DataFrame, weight: float = 0.2, chunk: int = recursions.CHUNK) -> DataFrame:
+    """(asset, channel, tick, leg) where the weighted mean, from the healthy mean on, is further than three of its deviations off."""
+    rows, keys = _healthy(df, healthy), ["asset_id", "channel"]
+    path = recursions.smoothed(rows, keys, "value", weight, "_mean", chunk)
+    limits = rows.groupBy(*keys).agg(F.first("_mean").alias("_mean"), (3 * F.first("_sd") * (weight / (2 - weight)) ** 0.5).alias("_limit"))
+    return path.join(limits, keys).where(F.abs(F.col("y") - F.col("_mean")) > F.col("_limit")).select(*keys, "tick", F.lit("ewma").alias("leg"))
 
 
-def cusum_chart(df: DataFrame, healthy: DataFrame) -> DataFrame:
-    def step(x: np.ndarray, mean: float, sd: float) -> list[int]:
-        up = down = 0.0
-        out = []
-        for i, v in enumerate(x):
-            up, down = max(0.0, up + v - mean - 0.5 * sd), max(0.0, down + mean - v - 0.5 * sd)
-            if max(up, down) > 5 * sd:
-                out.append(i)
-                up = down = 0.0
-        return out
-
-    return _sequential(df, healthy, step, "cusum_chart")
+def cusum_chart(df: DataFrame, healthy: DataFrame, chunk: int = recursions.CHUNK) -> DataFrame:
+    """(asset, channel, tick, leg) of a two-sided sum with slack half a healthy deviation and limit five, begun again after each alarm."""
+    return recursions.cusum_alarms(_healthy(df, healthy), ["asset_id", "channel"], "_mean", "_sd", chunk).withColumn("leg", F.lit("cusum_chart"))
