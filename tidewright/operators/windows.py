@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..sources.shared import stored
 from .grouped import dfa_by_key
 from .structure import autocorrelations, dfa, fitted
 
@@ -106,45 +109,25 @@ def find_changepoint(blocks: DataFrame, keys: list[str], min_segment: int = 3 *
     return best.select(*keys, "x.location", "x.z", "x.before", "x.after")
 
 
-def _split(alphas: list[float], lo: int, hi: int, least: int) -> tuple[int, float, float, float] | None:
-    a = np.array(alphas[lo:hi])
-    n = len(a)
-    if n < 2 * least:
-        return None
-    sigma = max(float(np.median(np.abs(np.diff(a)))) / 0.6745 / 2**0.5, 0.02)
-    left = np.arange(least, n - least + 1)
-    total = np.cumsum(a)
-    before, after = total[left - 1] / left, (total[-1] - total[left - 1]) / (n - left)
-    z = np.abs(after - before) / (sigma * np.sqrt(1 / left + 1 / (n - left)))
-    z = np.where(np.abs(after - before) >= 0.10, z, 0)
-    k = int(np.argmax(z))
-    return (lo + int(left[k]), float(z[k]), float(before[k]), float(after[k])) if z[k] > 4 else None
-
-
 def find_changepoints(blocks: DataFrame, keys: list[str], min_segment: int = 3 * BLOCK, max_points: int = 10, block: int = BLOCK) -> DataFrame:
-    """Binary splitting, left part first, until nothing splits or `max_points` are found; the block
-    table of a key is small, so a key is one task's work."""
-    schema = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys) + ", location long, z double, before double, after double"
-    least = max(3, -(-min_segment // block))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        alphas, places, found = pdf["alpha"].tolist(), pdf["block"].tolist(), []
-
-        def split(lo: int, hi: int) -> None:
-            if len(found) >= max_points or (hi - lo) * block < 6 * block:
-                return
-            cut = _split(alphas, lo, hi, least)
-            if cut:
-                found.append((places[cut[0]] * block, *cut[1:]))
-                split(lo, cut[0])
-                split(cut[0], hi)
-
-        split(0, len(alphas))
-        found.sort()
-        return pd.DataFrame([(*key, *f) for f in found], columns=[*keys, "location", "z", "before", "after"])
-
-    return blocks.groupBy(*keys).applyInPandas(run, schema)
+    """(keys, location, z, before, after): binary splitting, left part first, until nothing splits or `max_points` are found.
+
+    All open segments of all series are split at once, round by round; a segment is named by its way down (0 left, 1 right), whose
+    order is that of a search that goes left first, so the cap takes the same points as if it had stopped there. A round
+    is windows over the block table by series and segment; a series that splits no more is not read again."""
+    by = [*keys, "_seg"]
+    open_ = stored(blocks.select(*keys, "block", "alpha", F.lit("").alias("_seg")))
+    found = []
+    while True:
+        cut = stored(find_changepoint(open_, by, min_segment, block))
+        if not cut.limit(1).count():
+            break
+        found.append(cut)
+        side = F.concat("_seg", F.when(F.col("block") * block < F.col("location"), "0").otherwise("1"))
+        open_ = stored(open_.join(cut.select(*by, "location"), by).select(*keys, "block", "alpha", side.alias("_seg")))
+    points = reduce(DataFrame.unionByName, found) if found else cut
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("_seg"))
+    return points.withColumn("_r", order).where(F.col("_r") <= max_points).select(*keys, "location", "z", "before", "after")
 
 
 def score_changepoints(points: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
