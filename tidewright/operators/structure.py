@@ -289,12 +289,16 @@ def fingerprint_distances(fps: DataFrame, others: DataFrame, key: str) -> DataFr
 
 
 def similar_fingerprints(fps: DataFrame, key: str, near: float) -> DataFrame:
-    """(a, b, distance, verdict) of all pairs nearer than `near`: an exponent apart by more rules a pair out, so pairs
-    meet in bands of that width."""
+    """(a, b, distance, verdict) of all pairs nearer than `near`: exponents, widths or hurst values apart by more rule a pair
+    out, so pairs meet in cells of that width in all three; exponents alone lie too close to one another."""
     a, b = _side(fps, key, "a"), _side(fps, key, "b")
-    band = F.floor(F.col("a_alpha") / near)
-    left = a.select("*", F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
-    pairs = left.join(b.withColumn("_band", F.floor(F.col("b_alpha") / near)), "_band").where("a < b").drop("_band")
+    axes = ("alpha", "width", "hurst")
+    left, right = a, b
+    for c in axes:
+        at = F.floor(F.col(f"a_{c}") / near)
+        left = left.withColumn(f"_{c}", F.explode(F.array(at - 1, at, at + 1)))
+        right = right.withColumn(f"_{c}", F.floor(F.col(f"b_{c}") / near))
+    pairs = left.join(right, [f"_{c}" for c in axes]).where("a < b").drop(*[f"_{c}" for c in axes])
     return _distance(pairs).where(F.col("distance") < near)
 
 
