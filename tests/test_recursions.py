@@ -68,3 +68,15 @@ def test_autoregressions(spark, chunk):
 def test_blocks_shorter_than_the_order_are_an_error(spark, values):
     with pytest.raises(ValueError):
         recursions.normal_equations(frame(spark, values), ["asset_id", "channel"], [10], 1e-4, 5)
+
+
+def test_alpha_anomalies_against_the_kernel(spark):
+    rng = np.random.default_rng(8)
+    train = {k: rng.normal(size=n) for k, n in (("a", 900), ("b", 900), ("short", 200), ("c", 900))}
+    test = {k: rng.normal(size=700) for k in train}
+    test["a"][300:460] = np.cumsum(rng.normal(size=160))
+    test["b"][500:] = np.cumsum(rng.normal(size=200))
+    test["c"] = test["c"][:90]
+    a, b = (frame(spark, x) for x in (train, test))
+    got = sorted((r.asset_id, r.start, r.end) for r in forecast.detect_alpha_anomalies(a, b, ["asset_id", "channel"]).collect())
+    assert got == sorted((k, s, t) for k in train for s, t in forecast.detect_alpha(train[k], test[k])) and len(got) >= 2

@@ -9,7 +9,7 @@ from ..operators import evaluate, forecast, grammar, guard, legs, prepare
 from ..sources.shared import stored
 from .incident_queries import CHARTS
 from .monitor_queries import ALARMS, GRAMMAR, LIMIT, alarms, frames
-from .registry import EV, FLEET, event_series, fleet, query, round_all, table
+from .registry import DFA, EV, FLEET, event_series, fleet, query, round_all, table
 
 #: Labelled windows made from the error events of a high value: asset, label, [start, end], category.
 LAB = "lab AS (SELECT 'a' || user_id % 7 AS asset_id, event_id AS label_id, event_id AS start, event_id + 40 AS end, 'c' || event_id % 3 AS category FROM events WHERE event_type = 'error' AND value > 150)"
@@ -328,9 +328,12 @@ def ar7(spark, sf):
     return forecast.anomaly_sequences(e, forecast.find_epsilon(e, S, 1.0), S, 5)
 
 
-@query("ar8_prune_sequences", f"""WITH {_ERR}, {_EPS}, {_SEQ}, tp AS (SELECT sq.k, s, sq.e AS z, max(er.e) AS top FROM sq JOIN er ON er.k = sq.k AND t BETWEEN s AND sq.e GROUP BY 1, 2, 3),
+_CUT = """tp AS (SELECT sq.k, s, sq.e AS z, max(er.e) AS top FROM sq JOIN er ON er.k = sq.k AND t BETWEEN s AND sq.e GROUP BY 1, 2, 3),
 ou AS (SELECT er.k, max(er.e) AS o FROM er WHERE NOT EXISTS (SELECT 1 FROM sq WHERE sq.k = er.k AND t BETWEEN s AND sq.e) GROUP BY 1), nx AS (SELECT *, coalesce(lead(top) OVER (PARTITION BY k ORDER BY top DESC, s), greatest(o, 0), 0) AS nxt FROM tp LEFT JOIN ou USING (k)),
-cu AS (SELECT *, max((CASE WHEN top > 1e-12 THEN (top - nxt) / top ELSE 0 END < 0.03)::INT) OVER (PARTITION BY k ORDER BY top DESC, s ROWS UNBOUNDED PRECEDING) AS c FROM nx) SELECT k AS series_id, s AS start, z AS end, round(top, 6) AS top FROM cu WHERE c = 0""")
+cu AS (SELECT *, max((CASE WHEN top > 1e-12 THEN (top - nxt) / top ELSE 0 END < 0.03)::INT) OVER (PARTITION BY k ORDER BY top DESC, s ROWS UNBOUNDED PRECEDING) AS c FROM nx)"""
+
+
+@query("ar8_prune_sequences", f"WITH {_ERR}, {_EPS}, {_SEQ}, {_CUT} SELECT k AS series_id, s AS start, z AS end, round(top, 6) AS top FROM cu WHERE c = 0")
 def ar8(spark, sf):
     e = errors(spark, sf)
     return round_all(forecast.prune_sequences(e, forecast.anomaly_sequences(e, forecast.find_epsilon(e, S, 1.0), S, 5), S, 0.03))
@@ -347,6 +350,14 @@ def ar9(spark, sf):
     return forecast.detect_forecast_anomalies(*_train_test(spark, sf), S)
 
 
-@query("ar10_detect_alpha_anomalies")
+#: Exponents of the last 96 values every 8 ticks, of both parts, as distances er(k, t, e) of the second from the first.
+_ALPHAS = f"""{EV}, pa AS (SELECT 'a' AS p, k, t, v FROM ev WHERE t < 1000 UNION ALL SELECT 'b', k, t - 1000, CASE WHEN t BETWEEN 1500 AND 1560 THEN v + 150 ELSE v END FROM ev WHERE t >= 1000),
+pn AS (SELECT p, k, count(*) AS n FROM pa GROUP BY ALL), pw AS (SELECT p, k, unnest(range(0, n - 95, 8)) // 8 AS w FROM pn WHERE n >= CASE p WHEN 'a' THEN 288 ELSE 96 END),
+wr AS (SELECT p || '|' || k || '|' || w AS k, t - w * 8 AS t, v FROM pa JOIN pw USING (p, k) WHERE t BETWEEN w * 8 AND w * 8 + 95), {DFA('wr', 'd')},
+al AS (SELECT split_part(k, '|', 1) AS p, split_part(k, '|', 2) AS k, split_part(k, '|', 3)::BIGINT AS w, alpha FROM d), kn AS (SELECT k, avg(alpha) AS m, greatest(stddev_pop(alpha), 1e-6) AS s FROM al WHERE p = 'a' GROUP BY k),
+er AS MATERIALIZED (SELECT k, w AS t, abs(alpha - m) / s AS e FROM al JOIN kn USING (k) WHERE p = 'b')"""
+
+
+@query("ar10_detect_alpha_anomalies", f"WITH {_ALPHAS}, {_EPS.replace('1e0 + i', '4e0 + i').replace('range(23)', 'range(17)')}, {_SEQ.replace('s - 5', 's - 6').replace('e + 5', 'e + 6')}, {_CUT.replace('< 0.03', '< 0.13')} SELECT cu.k AS series_id, s * 8 AS start, least(z * 8 + 95, n - 1) AS end FROM cu JOIN pn ON pn.k = cu.k AND p = 'b' WHERE c = 0")
 def ar10(spark, sf):
-    return forecast.detect_forecast_anomalies(*_train_test(spark, sf), S, method="alpha")
+    return forecast.detect_alpha_anomalies(*_train_test(spark, sf), S)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from . import recursions
+from . import recursions, windows
 from .prepare import by_tick, islands
 
 ORDERS, RIDGE, LOCAL, LEAST = (3, 5, 10, 25, 50), 1e-4, 2100, 200
@@ -219,3 +219,15 @@ def prune_sequences(errors: DataFrame, seqs: DataFrame, keys: list[str], share:
     drop = F.when(F.col("top") > 1e-12, (F.col("top") - F.col("_next")) / F.nullif("top", F.lit(0.0))).otherwise(0.0)
     low = F.max((drop < share).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return r.withColumn("_cut", low).where("_cut = 0").select(*keys, "start", "end", "top")
+
+
+def detect_alpha_anomalies(train: DataFrame, test: DataFrame, keys: list[str], window: int = 96, step: int = 8, z_min: float = 4.0, buffer: int = 50, share: float = 0.13) -> DataFrame:
+    """(keys, start, end) in rows of test: sequences of its trailing exponents, every `step` ticks, far from the mean of train's in their
+    deviations. Series with a train of under 3 windows, or a test of under one, give none. Exponents are measured in stretches, all else is
+    windows over one row an exponent."""
+    long = train.groupBy(*keys).count().where(F.col("count") >= 3 * window).select(*keys)
+    known = windows.rolling_alpha_fast(train.join(long, keys, "left_semi"), keys, window, step).groupBy(*keys).agg(F.avg("alpha").alias("_m"), F.greatest(F.stddev_pop("alpha"), F.lit(1e-6)).alias("_s"))
+    z = windows.rolling_alpha_fast(test, keys, window, step).join(known, keys).select(*keys, F.col("w").alias("tick"), (F.abs(F.col("alpha") - F.col("_m")) / F.col("_s")).alias("e"))
+    found = anomaly_sequences(z, find_epsilon(z, keys, z_min), keys, buffer // step)
+    kept = prune_sequences(z, found, keys, share).join(test.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    return kept.select(*keys, (F.col("start") * step).alias("start"), F.least(F.col("end") * step + window - 1, F.col("_n") - 1).alias("end"))
