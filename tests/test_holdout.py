@@ -138,3 +138,15 @@ def test_settings_travel_with_the_case(spark, tmp_path):
 def test_settings_that_do_not_parse(wrong):
     with pytest.raises(ValueError):
         replay.Settings.of(wrong)
+
+
+def test_portable_fingerprint(spark):
+    rows = [("a", 0, 1.5), ("a", 1, 2.0), ("a", 2, None)]
+    of = lambda r: tuple(replay.portable_fingerprint(spark.createDataFrame(r, "k string, tick long, value double"), ["k"]).first())
+    cells = ["0|1500000", "1|2000000", "2|none"]
+    h = [hashlib.md5(c.encode()).hexdigest() for c in cells]
+    mixed = 0
+    for x in h:
+        mixed ^= int(x[8:16], 16)
+    assert of(rows) == ("a", 3, sum(int(x[:8], 16) for x in h), mixed) == of(rows[::-1])
+    assert of([("a", 0, 2.0), ("a", 1, 1.5), ("a", 2, None)])[2:] != of(rows)[2:]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import guard, incidents, replay
 from ..operators.calibrate import siegmund_threshold
 from .monitor_queries import _PTHR, FC, GUMBEL, R, frames
-from .registry import DFA, fleet, query, recording, round_all, table
+from .registry import DFA, EV, event_series, fleet, query, recording, round_all, table
 
 ID = ["asset_id", "channel"]
 #: Alarm and policy events made from the events table: five assets, ticks from the event numbers.
@@ -119,12 +119,6 @@ def inc10(spark, sf):
     return incidents.diff_evidence(incidents.diff_incidents(incidents.spans(a), incidents.spans(b)), a, b)
 
 
-@query("inc11_diff_calibration")
-def inc11(spark, sf):
-    r = fleet(spark, sf)
-    return round_all(incidents.diff_calibration(guard.calibrate(r), guard.calibrate(r, lambda n: max(192, n // 4))))
-
-
 @query("inc7_investigate")
 def inc7(spark, sf):
     """Incidents of the fleet; each asset's first 192 ticks are its baseline."""
@@ -175,6 +169,25 @@ def cal12(spark, sf):
     return round_all(guard.calibrate(fleet(spark, sf)))
 
 
+_FIELDS = ["ar_a", "ar_b", "ar_sd", "alpha_mean", "alpha_sd", "mean", "roll_thr", "max_run", "recon_sd", "recon_r2", "res_thr", "cusum_thr", "dfa_thr", "parity_thr"]
+
+
+def _UNPIVOTED(source: str) -> str:  # noqa: N802
+    return f"SELECT asset_id, channel, unnest([{', '.join(repr(f) for f in _FIELDS)}]) AS field, unnest([{', '.join(f + '::DOUBLE' for f in _FIELDS)}]) AS v FROM ({source})"
+
+
+_EXACT = _CAL12.replace(", 6) AS", ", 15) AS")
+_QUARTER = _EXACT.replace("least(n, greatest(least(n // 3, 100000), 192)) AS m", "least(n, greatest(192, n // 4)) AS m")
+
+
+@query("inc11_diff_calibration", f"""WITH sa AS ({_UNPIVOTED(_EXACT)}), fh AS ({_UNPIVOTED(_QUARTER)})
+SELECT asset_id, channel, field, round(sa.v, 6) AS saved, round(fh.v, 6) AS fresh FROM sa FULL JOIN fh USING (asset_id, channel, field) WHERE (sa.v IS NULL) <> (fh.v IS NULL) OR abs(sa.v - fh.v) > 1e-6 * greatest(abs(sa.v), abs(fh.v), 1)""")
+def inc11(spark, sf):
+    """The fleet calibrated on a third of each asset, against a quarter."""
+    r = fleet(spark, sf)
+    return round_all(incidents.diff_calibration(guard.calibrate(r), guard.calibrate(r, lambda n: max(192, n // 4))))
+
+
 @query("cal13_self_check")
 def cal13(spark, sf):
     """Assets whose prefix is too short for two halves of 768 are not checked, and say so."""
@@ -212,3 +225,9 @@ def snk1(spark, sf):
 @query("snk4_content_fingerprint")
 def snk4(spark, sf):
     return replay.content_fingerprint(recording(spark, sf), ["asset_id", "channel"])
+
+
+@query("snk4_portable_fingerprint", f"""WITH {EV}, h AS (SELECT k, md5(t || '|' || coalesce((round(v * 1000000))::BIGINT::VARCHAR, 'none')) AS h FROM ev)
+SELECT k AS series_id, count(*) AS rows, (sum(('0x' || substr(h, 1, 8))::BIGINT))::BIGINT AS total, bit_xor(('0x' || substr(h, 9, 8))::BIGINT) AS mixed FROM h GROUP BY k""")
+def snk4_portable(spark, sf):
+    return replay.portable_fingerprint(event_series(spark, sf), ["series_id"])
