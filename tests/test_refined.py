@@ -105,3 +105,12 @@ def test_only_doubtful_series_are_summed_again(spark):
     assert [r.series_id for r in structure._dfa(stuck, ["series_id"], None, False).where("doubtful").collect()] == [3]
     exact = {r.series_id: r.alpha for r in structure._dfa(stuck, ["series_id"], None, True).collect()}
     assert {r.series_id: r.alpha for r in structure.dfa(stuck, ["series_id"], refine=True).collect()} == pytest.approx(exact, rel=1e-9)
+
+
+def test_series_of_one_length_are_measured_together():
+    rng = np.random.default_rng(2)
+    some = [rng.normal(size=n) for n in (100, 0, 100, 64, 100, 30, 64)] + [np.full(100, 3.0)]
+    alpha, r2 = grouped.dfa_of_all(some)
+    for x, a, r in zip(some, alpha, r2):
+        want = kernels.dfa(x) if len(x) else (0.5, 0.0)
+        assert (a, r) == (pytest.approx(float(want[0]), rel=1e-12), pytest.approx(float(want[1]), rel=1e-12))

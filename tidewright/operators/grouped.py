@@ -10,14 +10,30 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import kernels
 
+#: Series of one length that are measured together.
+AT_ONCE = 512
+
 _PAIR = StructType([StructField("alpha", DoubleType()), StructField("r2", DoubleType())])
 
 
+def dfa_of_all(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, r2) of each array; those of one length are measured together."""
+    alpha, r2 = np.full(len(arrays), 0.5), np.zeros(len(arrays))
+    sizes = np.array([len(x) for x in arrays])
+    for n in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == n)
+        for at in range(0, len(rows), AT_ONCE):
+            part = rows[at : at + AT_ONCE]
+            alpha[part], r2[part] = kernels.dfa(np.stack([arrays[k] for k in part]))
+    return alpha, r2
+
+
 @F.pandas_udf(_PAIR)
 def dfa_of(values: pd.Series) -> pd.DataFrame:
     """(alpha, r2) of arrays in order: a column function. Non-finite values close up."""
-    pairs = [kernels.dfa(x[np.isfinite(x)]) if len(x) else (0.5, 0.0) for x in (np.asarray(v if v is not None else [], float) for v in values)]
-    return pd.DataFrame([(float(a), float(r)) for a, r in pairs], columns=["alpha", "r2"])
+    arrays = [np.asarray(v if v is not None else [], float) for v in values]
+    alpha, r2 = dfa_of_all([x if np.isfinite(x).all() else x[np.isfinite(x)] for x in arrays])
+    return pd.DataFrame({"alpha": alpha, "r2": r2})
 
 
 @F.pandas_udf(_PAIR)
