@@ -265,7 +265,26 @@ def errors(spark, sf):
     return s.select("series_id", "tick", F.abs(F.col("value") - F.coalesce(F.lag("value").over(w), F.col("value"))).alias("e"))
 
 
-@query("ar1_fit_ar_ridge")
+def _RIDGE(p: int) -> str:  # noqa: N802
+    """am(k, bias, w1 ... wp): the ridge autoregression of order p on the first 1000 values, its normal equations solved by
+    elimination (the matrix is symmetric and positive, so no rows change places)."""
+    one = range(1, p + 1)
+    lags = ", ".join(f"lag((v - m) / s, {i}) OVER o AS x{i}" for i in one)
+    sums = ", ".join([f"sum(x{i} * x{j}) + {'1e-4 * count(*)' if i == j else '0'} AS a{i}_{j}" for i in one for j in one if i <= j] + [f"sum(x{i} * y) AS b{i}" for i in one])
+    steps = ""
+    for k in one:
+        kept = [f"a{i}_{j}" for i in one for j in one if i <= j and i <= k] + [f"b{i}" for i in one if i <= k]
+        made = [f"a{i}_{j} - a{k}_{i} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in one for j in one if k < i <= j] + [f"b{i} - a{k}_{i} * b{k} / a{k}_{k} AS b{i}" for i in one if i > k]
+        steps += f", g{k} AS (SELECT k, {', '.join(kept + made)} FROM g{k - 1})"
+    for k in reversed(one):
+        rest = "".join(f" - a{k}_{j} * w{j}" for j in one if j > k)
+        steps += f", s{k} AS (SELECT *, (b{k}{rest}) / a{k}_{k} AS w{k} FROM {f's{k + 1}' if k < p else f'g{p}'})"
+    return f"""{EV}, tr AS (SELECT * FROM ev WHERE t < 1000), st AS (SELECT k, count(*) AS n, avg(v) AS m, greatest(stddev_pop(v), 1e-9) AS s FROM tr GROUP BY k),
+lg AS (SELECT k, t, (v - m) / s AS y, {lags} FROM tr JOIN st USING (k) WINDOW o AS (PARTITION BY k ORDER BY t)), g0 AS (SELECT k, {sums} FROM lg WHERE t >= {p} GROUP BY k){steps},
+am AS (SELECT k, {', '.join(f'w{i}' for i in one)}, m * (1 - {' - '.join(f'w{i}' for i in one)}) AS bias FROM s1 JOIN st USING (k) WHERE n >= {3 * p + 10})"""
+
+
+@query("ar1_fit_ar_ridge", f"WITH {_RIDGE(5)} SELECT k AS series_id, 5 AS p, round(bias, 6) AS bias, unnest([0, 1, 2, 3, 4]) AS lag, round(unnest([w1, w2, w3, w4, w5]), 6) AS weight FROM am")
 def ar1(spark, sf):
     m = forecast.ar_models(event_series(spark, sf).where("tick < 1000"), S, 5)
     return round_all(m.select("series_id", "p", "bias", F.posexplode("weights").alias("lag", "weight")))
