@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidewright.operators import forecast, guard, recursions
+from tidewright.operators import forecast, guard, ranks, recursions
 
 SERIES = {"a": 203, "b": 64, "c": 7, "d": 1, "e": 12}
 
@@ -80,3 +80,39 @@ def test_alpha_anomalies_against_the_kernel(spark):
     a, b = (frame(spark, x) for x in (train, test))
     got = sorted((r.asset_id, r.start, r.end) for r in forecast.detect_alpha_anomalies(a, b, ["asset_id", "channel"]).collect())
     assert got == sorted((k, s, t) for k in train for s, t in forecast.detect_alpha(train[k], test[k])) and len(got) >= 2
+
+
+@pytest.mark.parametrize("p, chunk", [(0, 400), (0, 65_536), (5, 777)])
+def test_forecast_anomalies_against_the_kernel(spark, p, chunk):
+    rng = np.random.default_rng(21)
+    sizes = {"long": (1200, 4700), "quiet": (700, 900), "lags": (900, 2301), "rest": (800, 2300), "short": (12, 500), "few": (300, 4), "flat": (300, 260), "alone": (400, 0)}
+    train, test = ({k: rng.normal(size=n[i]) + 3 for k, n in sizes.items()} for i in (0, 1))
+    for part in (train, test):
+        for i in range(4, len(part["lags"])):
+            part["lags"][i] += 0.7 * (part["lags"][i - 4] - 3)
+        part["flat"][:] = 1.5
+    test["long"][2200:2230] += 40
+    test["long"][3900:3906] += 9
+    test["lags"][1000:1100] *= 4
+    test["rest"][2290:] += 30
+    a, b = (frame(spark, x) for x in (train, test))
+    got = sorted((r.asset_id, r.start, r.end) for r in forecast.detect_forecast_anomalies(a, b, ["asset_id", "channel"], p, chunk=chunk).collect())
+    want = sorted((k, s, t) for k in train if len(test[k]) for s, t in forecast.detect(train[k], test[k], p))
+    assert got == want and {"long", "lags", "rest"} <= {k for k, _, _ in got}
+
+
+def test_forecast_anomalies_without_rows(spark, values):
+    df = frame(spark, values)
+    assert forecast.detect_forecast_anomalies(df.limit(0), df, ["asset_id", "channel"], 3).count() == 0
+    with pytest.raises(ValueError):
+        forecast.detect_forecast_anomalies(df, df, ["asset_id", "channel"], 3, chunk=100)
+
+
+def test_nth_smallest(spark):
+    rng = np.random.default_rng(5)
+    x = {"a": rng.exponential(size=997) ** 4, "b": np.round(rng.normal(size=300), 1), "c": np.full(50, 2.0), "d": np.array([7.0]), "e": np.r_[np.zeros(90), 1e300, rng.random(20) * 1e-9]}
+    df = frame(spark, {**x, "none": []}).unionByName(spark.createDataFrame([("a", "x", 9999, None)], "asset_id string, channel string, tick long, value double"))
+    for nth, at in (("n div 2", lambda n: n // 2), ("0", lambda n: 0), ("n - 1", lambda n: n - 1)):
+        for cells in (4, 65_536):
+            got = {r.asset_id: r.value for r in ranks.nth_smallest(df, ["asset_id", "channel"], "value", nth, cells=cells).collect()}
+            assert got == {k: np.sort(v)[at(len(v))] for k, v in x.items()}

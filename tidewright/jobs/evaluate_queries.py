@@ -369,6 +369,31 @@ def ar9(spark, sf):
     return forecast.detect_forecast_anomalies(*_train_test(spark, sf), S)
 
 
+#: Errors er(k, t, e) of the second part by five lags: smoothed, and raised by what the variance of the last ones exceeds that of the first part.
+_FORECAST = f"""{EV}, am AS (WITH {_RIDGE(5)} SELECT * FROM am), pa AS (SELECT 'a' AS q, k, t, v FROM ev WHERE t < 1000 UNION ALL SELECT 'b', k, t - 1000, CASE WHEN t BETWEEN 1500 AND 1560 THEN v + 150 ELSE v END FROM ev WHERE t >= 1000),
+sz AS (SELECT k, least(greatest(count(*) // 30, 10), 300) AS span FROM pa WHERE q = 'b' GROUP BY k HAVING count(*) > 5),
+ft AS (SELECT q, k, t, span, CASE WHEN t < 5 THEN 0 ELSE abs(v - (bias + {' + '.join(f'w{i} * lag(v, {i}) OVER o' for i in range(1, 6))})) END AS e FROM pa JOIN am USING (k) JOIN sz USING (k) WINDOW o AS (PARTITION BY q, k ORDER BY t)),
+wd AS MATERIALIZED (SELECT q, k, t, span, e, CASE WHEN t < greatest(span, 20) THEN 0 ELSE var_pop(e) OVER (PARTITION BY q, k ORDER BY t ROWS BETWEEN greatest(span, 20) - 1 PRECEDING AND CURRENT ROW) END AS r FROM ft),
+sm AS (SELECT q, k, t, span, e, r FROM wd WHERE t = 0 UNION ALL SELECT wd.q, wd.k, wd.t, wd.span, (wd.e * 2 + sm.e * (wd.span - 1)) / (wd.span + 1), (wd.r * 2 + sm.r * (wd.span - 1)) / (wd.span + 1) FROM sm JOIN wd ON wd.q = sm.q AND wd.k = sm.k AND wd.t = sm.t + 1),
+kn AS (SELECT k, avg(r) AS m, greatest(stddev_pop(r), 1e-12) AS s FROM sm WHERE q = 'a' AND t >= 5 GROUP BY k),
+er0 AS MATERIALIZED (SELECT k, t, e + greatest((r - m) / s, 0) * s * 0.3 AS e FROM sm JOIN kn USING (k) WHERE q = 'b')"""
+
+
+#: The whole series and its stretches of 2100 ticks are one table of series er(k, t, e); sequences of both are merged and pruned.
+_BOTH = f"""{_FORECAST}, lt AS (SELECT k, (t - 5) // 2100 AS g, (t - 5) % 2100 AS t, e, count(*) OVER (PARTITION BY k, (t - 5) // 2100) AS n FROM er0 WHERE t >= 5),
+er AS MATERIALIZED (SELECT k || '|all' AS k, t, e FROM er0 WHERE t >= 5 UNION ALL SELECT k || '|' || g, t, e FROM lt WHERE n >= 200),
+md AS (SELECT k, list_sort(list(e))[count(*) // 2 + 1] AS med FROM lt GROUP BY k), fl AS (SELECT k, any_value(med) + 3 * 1.4826 * list_sort(list(abs(e - med)))[count(*) // 2 + 1] AS floor FROM lt JOIN md USING (k) GROUP BY k),
+{_EPS.replace('1e0 + i', '2.5e0 + i').replace('range(23)', 'range(20)').replace('ep AS (', 'e0 AS (')}, ep AS (SELECT e0.k, CASE WHEN e0.k LIKE '%|all' THEN eps ELSE greatest(eps, floor) END AS eps FROM e0 JOIN fl ON fl.k = split_part(e0.k, '|', 1)),
+{_SEQ.replace('s - 5', 's - 50').replace('e + 5', 'e + 50')}, ps AS (SELECT split_part(k, '|', 1) AS k, s + o AS s, e + o AS e FROM (SELECT *, CASE WHEN k LIKE '%|all' THEN 0 ELSE 5 + 2100 * TRY_CAST(split_part(k, '|', 2) AS BIGINT) END AS o FROM sq)),
+pf AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM ps), pg AS (SELECT *, sum(CASE WHEN far IS NULL OR s > far + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM pf),
+one AS (SELECT k, min(s) AS s, max(e) AS e FROM pg GROUP BY k, g)"""
+
+
+@query("ar9_detect_forecast_anomalies_5", f"WITH RECURSIVE {_BOTH} SELECT * FROM (WITH sq AS (SELECT * FROM one), er AS (SELECT * FROM er0), {_CUT.replace('< 0.03', '< 0.13')} SELECT k AS series_id, s AS start, z AS end FROM cu WHERE c = 0)")
+def ar9_five(spark, sf):
+    return forecast.detect_forecast_anomalies(*_train_test(spark, sf), S, 5)
+
+
 #: Exponents of the last 96 values every 8 ticks, of both parts, as distances er(k, t, e) of the second from the first.
 _ALPHAS = f"""{EV}, pa AS (SELECT 'a' AS p, k, t, v FROM ev WHERE t < 1000 UNION ALL SELECT 'b', k, t - 1000, CASE WHEN t BETWEEN 1500 AND 1560 THEN v + 150 ELSE v END FROM ev WHERE t >= 1000),
 pn AS (SELECT p, k, count(*) AS n FROM pa GROUP BY ALL), pw AS (SELECT p, k, unnest(range(0, n - 95, 8)) // 8 AS w FROM pn WHERE n >= CASE p WHEN 'a' THEN 288 ELSE 96 END),

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from . import recursions, windows
+from ..sources.shared import stored
+from . import ranks, recursions, windows
 from .prepare import by_tick, islands
 
 ORDERS, RIDGE, LOCAL, LEAST = (3, 5, 10, 25, 50), 1e-4, 2100, 200
+#: Ticks of a band in which sequences and ticks meet.
+BAND = 4096
 
 
 def fit_ar(train: np.ndarray, p: int) -> tuple[np.ndarray, float] | None:
@@ -141,19 +144,6 @@ def detect_alpha(train: np.ndarray, test: np.ndarray, window: int = 96, z_min: f
     return [(s * 8, min(t * 8 + window - 1, len(test) - 1)) for s, t in found]
 
 
-def detect_forecast_anomalies(train: DataFrame, test: DataFrame, keys: list[str], method: str = "forecast", **how) -> DataFrame:
-    """(keys, start, end) per channel, from its training and test series; one channel is one task's work."""
-    schema = ", ".join(f"{k} {train.schema[k].dataType.simpleString()}" for k in keys) + ", start long, end long"
-    find = {"forecast": detect, "alpha": detect_alpha}[method]
-
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = (d.sort_values("tick")["value"].to_numpy(float) for d in (a, b))
-        found = find(x, y, **how) if len(x) and len(y) else []
-        return pd.DataFrame([(*key, s, t) for s, t in found], columns=[*keys, "start", "end"])
-
-    return train.groupBy(*keys).cogroup(test.groupBy(*keys)).applyInPandas(run, schema)
-
-
 def ar_models(train: DataFrame, keys: list[str], p: int = 0, chunk: int = recursions.CHUNK) -> DataFrame:
     """(keys, p, bias, weights) per channel; p 0 selects the order. Channels too short for it give no row. Blocks of a
     channel add up its normal equations, so that no task holds it whole; ticks run from 0 without gaps."""
@@ -196,31 +186,79 @@ def find_epsilon(errors: DataFrame, keys: list[str], z_min: float = 2.5) -> Data
 
 
 def anomaly_sequences(errors: DataFrame, eps: DataFrame, keys: list[str], buffer: int = 50) -> DataFrame:
-    """(keys, start, end): runs over eps, widened (a run open at the end is not), merged where they touch."""
+    """(keys, start, end): runs of ticks over eps, widened (a run open at the end is not), merged where they touch. Only what
+    lies over eps is put in order."""
     n = errors.groupBy(*keys).agg(F.max("tick").alias("_last"))
-    e = errors.join(eps, keys).join(n, keys).withColumn("_a", F.col("e") >= F.col("eps"))
-    runs = islands(e, keys, F.col("_a") == F.lag("_a").over(by_tick(keys))).where("_a").groupBy(*keys, "_last", "island").agg(F.min("tick").alias("s"), F.max("tick").alias("t"))
-    wide = runs.select(*keys, F.greatest(F.col("s") - buffer, F.lit(0)).alias("s"), F.when(F.col("t") == F.col("_last"), F.col("t")).otherwise(F.least(F.col("t") + buffer, F.col("_last"))).alias("t"))
-    w = Window.partitionBy(*keys).orderBy("s", "t")
-    far = F.max("t").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(far.isNull() | (F.col("s") > far + 1), 1).otherwise(0)
-    g = wide.withColumn("_n", new).withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return g.groupBy(*keys, "_g").agg(F.min("s").alias("start"), F.max("t").alias("end")).drop("_g")
+    e = errors.join(eps, keys).where(F.col("e") >= F.col("eps")).select(*keys, "tick")
+    runs = islands(e, keys, F.col("tick") == F.lag("tick").over(by_tick(keys)) + 1).groupBy(*keys, "island").agg(F.min("tick").alias("s"), F.max("tick").alias("t")).join(n, keys)
+    return merge_ranges(runs.select(*keys, F.greatest(F.col("s") - buffer, F.lit(0)).alias("start"), F.when(F.col("t") == F.col("_last"), F.col("t")).otherwise(F.least(F.col("t") + buffer, F.col("_last"))).alias("end")), keys)
+
+
+def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, end): ranges that overlap or touch are one."""
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(far.isNull() | (F.col("start") > far + 1), 1).otherwise(0)
+    g = ranges.select(*keys, "start", "end").withColumn("_n", new).withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return g.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
 
 
 def prune_sequences(errors: DataFrame, seqs: DataFrame, keys: list[str], share: float = 0.13) -> DataFrame:
-    """(keys, start, end, top) that stay: a first drop under `share` cuts all from there on."""
-    e = errors.select(*keys, "tick", "e")
-    inside = e.join(seqs, keys).where("tick BETWEEN start AND end").select(*keys, "tick", "start", "end", "e")
-    tops = inside.groupBy(*keys, "start", "end").agg(F.max("e").alias("top"))
-    rest = e.join(inside.select(*keys, "tick"), [*keys, "tick"], "left_anti").groupBy(*keys).agg(F.max("e").alias("_out"))
+    """(keys, start, end, top) that stay: a first drop under `share` cuts all from there on. Sequences do not overlap; they meet
+    the ticks within bands."""
+    band = lambda c: F.floor(F.col(c) / BAND)
+    spread = seqs.select(*keys, "start", "end", F.explode(F.sequence(band("start"), band("end"))).alias("_band"))
+    e = errors.select(*keys, "tick", "e", band("tick").alias("_band")).alias("e")
+    met = [F.col(f"e.{k}") == F.col(f"q.{k}") for k in [*keys, "_band"]] + [F.col("tick").between(F.col("start"), F.col("end"))]
+    tops = e.join(spread.alias("q"), met, "left").groupBy(*[F.col(f"e.{k}").alias(k) for k in keys], "start", "end").agg(F.max("e.e").alias("top"))
     w = Window.partitionBy(*keys).orderBy(F.desc("top"), "start")
-    r = tops.join(rest, keys, "left").withColumn("_next", F.coalesce(F.lead("top").over(w), F.greatest("_out", F.lit(0.0)), F.lit(0.0)))
+    r = tops.withColumn("_out", F.max(F.when(F.col("start").isNull(), F.col("top"))).over(Window.partitionBy(*keys))).where("start IS NOT NULL")
+    r = r.withColumn("_next", F.coalesce(F.lead("top").over(w), F.greatest("_out", F.lit(0.0)), F.lit(0.0)))
     drop = F.when(F.col("top") > 1e-12, (F.col("top") - F.col("_next")) / F.nullif("top", F.lit(0.0))).otherwise(0.0)
     low = F.max((drop < share).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return r.withColumn("_cut", low).where("_cut = 0").select(*keys, "start", "end", "top")
 
 
+def smoothed_errors(train: DataFrame, test: DataFrame, keys: list[str], p: int = 0, chunk: int = recursions.CHUNK) -> DataFrame:
+    """(keys, p, tick, e) of test: weighted means of the forecast errors, raised where the variance of the last ones stands out
+    from that of train. The model, its order (p 0) and the deviations come from train. Channels too short give no rows."""
+    by, span = [*keys, "_test"], F.least(F.greatest(F.expr("_n div 30"), F.lit(10)), F.lit(300))
+    parts = [d.select(*keys, F.lit(k).alias("_test"), F.col("tick").cast("long").alias("tick"), F.col("value").cast("double").alias("value")) for k, d in enumerate((train, test))]
+    both = stored(parts[0].unionByName(parts[1]))  # read six times
+    sizes = both.where("_test = 1").groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, "_n", span.alias("_span"))
+    models = ar_models(both.where("_test = 0").drop("_test"), keys, p, chunk).join(sizes, keys).where("_n > p")
+    models = stored(models.select(*keys, "p", "bias", "weights", F.greatest("_span", F.lit(20)).alias("width"), (2 / (F.col("_span") + 1)).alias("_gain")))
+    raw = recursions.forecast_errors(both, models, by, keys, max([p, *ORDERS]) + 300, chunk).join(models.select(*keys, "_gain"), keys)
+    even = stored(recursions.smoothed(raw, by, ["e", "variance"], "_gain", chunk=chunk).join(models.select(*keys, "p"), keys))
+    known = even.where("_test = 0 AND tick >= p").groupBy(*keys).agg(F.avg("variance").alias("_m"), F.greatest(F.stddev_pop("variance"), F.lit(1e-12)).alias("_s"))
+    boost = F.greatest((F.col("variance") - F.col("_m")) / F.col("_s"), F.lit(0.0)) * F.col("_s") * 0.3
+    return even.where("_test = 1").join(known, keys).select(*keys, "p", "tick", (F.col("e") + boost).alias("e"))
+
+
+def detect_forecast_anomalies(train: DataFrame, test: DataFrame, keys: list[str], p: int = 0, z_min: float = 2.5, share: float = 0.13, buffer: int = 50, chunk: int = recursions.CHUNK) -> DataFrame:
+    """(keys, start, end) in rows of test: sequences of smoothed forecast errors over the threshold of the whole channel, or over that of
+    their LOCAL ticks and a robust floor (the middle error and three deviations), that pruning leaves.
+
+    Ticks of both tables run from 0 without gaps. Models, errors, means and thresholds are made in blocks of a channel; what is put in
+    order for a whole channel is its errors' runs. Channels without a model, or with no more test values than its order, give none.
+    """
+    errors = stored(smoothed_errors(train, test, keys, p, chunk))
+    late = errors.where("tick >= p")
+    med = ranks.nth_smallest(late, keys, "e", "n div 2").withColumnRenamed("e", "_med")
+    off = late.join(med, keys).select(*keys, F.abs(F.col("e") - F.col("_med")).alias("_mad"))
+    floor = med.join(ranks.nth_smallest(off, keys, "_mad", "n div 2"), keys).select(*keys, (F.col("_med") + 3 * 1.4826 * F.col("_mad")).alias("_floor"))
+    whole = anomaly_sequences(errors, find_epsilon(late, keys, z_min), keys, buffer)
+    part = [*keys, "_part"]
+    cut = late.select(*keys, "p", F.expr(f"(tick - p) div {LOCAL}").alias("_part"), F.expr(f"(tick - p) % {LOCAL}").alias("tick"), "e")
+    sizes = cut.groupBy(*part, "p").count().where(F.col("count") >= LEAST).select(*part, "p")
+    local = cut.join(sizes.drop("p"), part).select(*part, "tick", "e")
+    eps = find_epsilon(local, part, z_min).join(floor, keys).select(*part, F.greatest("eps", "_floor").alias("eps"))
+    begin = F.col("p") + F.col("_part") * LOCAL
+    near = anomaly_sequences(local, eps, part, buffer).join(sizes, part).select(*keys, (F.col("start") + begin).alias("start"), (F.col("end") + begin).alias("end"))
+    found = stored(merge_ranges(whole.unionByName(near), keys))
+    return prune_sequences(errors, found, keys, share).select(*keys, "start", "end")
+
+
 def detect_alpha_anomalies(train: DataFrame, test: DataFrame, keys: list[str], window: int = 96, step: int = 8, z_min: float = 4.0, buffer: int = 50, share: float = 0.13) -> DataFrame:
     """(keys, start, end) in rows of test: sequences of its trailing exponents, every `step` ticks, far from the mean of train's in their
     deviations. Series with a train of under 3 windows, or a test of under one, give none. Exponents are measured in stretches, all else is

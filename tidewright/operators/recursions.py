@@ -35,35 +35,45 @@ def _path(x: np.ndarray, gain: float, start: float) -> np.ndarray:
     return pd.Series(np.r_[start, x]).ewm(alpha=gain, adjust=False).mean().to_numpy()[1:]
 
 
-def smoothed(df: DataFrame, keys: list[str], value: str, gain: float, start: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def smoothed(df: DataFrame, keys: list[str], value: str | Sequence[str], gain: float | str, start: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """(keys, tick, y): exponentially weighted means of `value` in the order of ticks; `start` names a column, one number a series,
-    that stands before the first value (None: the first value itself)."""
-    rows = df.select(*keys, "tick", F.col(value).cast("double").alias("x"), F.expr(f"tick div {chunk}").alias("_c"), *([F.col(start).cast("double").alias("_s")] if start else []))
+    that stands before the first value (None: the first value itself). A `gain` that is a name is a column too, one number a series.
+    Several values are gone through at once, and their means bear their names."""
+    names = [value] if isinstance(value, str) else list(value)
+    outs = ["y"] if isinstance(value, str) else names
+    x, s, o = ([f"{c}{i}" for i in range(len(names))] for c in ("_x", "_s", "_o"))
+    rate = (F.col(gain) if isinstance(gain, str) else F.lit(gain)).cast("double").alias("_g")
+    given = [F.col(start).cast("double").alias("_s")] if start else []
+    rows = df.select(*keys, "tick", rate, F.expr(f"tick div {chunk}").alias("_c"), *[F.col(v).cast("double").alias(a) for v, a in zip(names, x)], *given)
     by = [*keys, "_c"]
-    first = rows.groupBy(*keys).agg((F.first("_s") if start else F.min_by("x", "tick")).alias("_s"))
+    first = rows.groupBy(*keys).agg(*[(F.first("_s") if start else F.min_by(a, "tick")).alias(b) for a, b in zip(x, s)])
 
     def response(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("tick")["x"].to_numpy(float)
-        return _frame(by, key, 1, factor=[(1 - gain) ** len(x)], offset=[float(_path(x, gain, 0.0)[-1])])
+        pdf = pdf.sort_values("tick")
+        g = float(pdf["_g"].iloc[0])
+        return _frame(by, key, 1, factor=[(1 - g) ** len(pdf)], **{b: [float(_path(pdf[a].to_numpy(float), g, 0.0)[-1])] for a, b in zip(x, o)})
 
     def starts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_c")
-        at, out = float(pdf["_s"].iloc[0]), []
-        for f, o in zip(pdf["factor"], pdf["offset"]):
-            out.append(at)
-            at = f * at + o
-        return _frame(keys, key, len(pdf), _c=pdf["_c"].to_numpy(), _at=out)
+        out = {}
+        for b, c in zip(s, o):
+            at, out[b] = float(pdf[b].iloc[0]), []
+            for f, v in zip(pdf["factor"], pdf[c]):
+                out[b].append(at)
+                at = f * at + v
+        return _frame(keys, key, len(pdf), _c=pdf["_c"].to_numpy(), **out)
 
     def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tick")
-        y = _path(pdf["x"].to_numpy(float), gain, float(pdf["_at"].iloc[0]))
-        return _frame(keys, key[:-1], len(pdf), tick=pdf["tick"].to_numpy(), y=y)
+        g = float(pdf["_g"].iloc[0])
+        y = {name: _path(pdf[a].to_numpy(float), g, float(pdf[b].iloc[0])) for name, a, b in zip(outs, x, s)}
+        return _frame(keys, key[:-1], len(pdf), tick=pdf["tick"].to_numpy(), **y)
 
-    cells = rows.select(*by, "tick", "x")
-    maps = cells.groupBy(*by).applyInPandas(response, _schema(rows, by, "factor double", "offset double"))
+    cells = rows.select(*by, "tick", "_g", *x)
+    maps = cells.groupBy(*by).applyInPandas(response, _schema(rows, by, "factor double", *[f"{c} double" for c in o]))
     # one row a block: a series' composition is as many rows as it has blocks
-    known = maps.join(first, keys).groupBy(*keys).applyInPandas(starts, _schema(rows, keys, "_c long", "_at double"))
-    return cells.join(known, by).groupBy(*by).applyInPandas(whole, _schema(rows, keys, "tick long", "y double"))
+    known = maps.join(first, keys).groupBy(*keys).applyInPandas(starts, _schema(rows, keys, "_c long", *[f"{c} double" for c in s]))
+    return cells.join(known, by).groupBy(*by).applyInPandas(whole, _schema(rows, keys, "tick long", *[f"`{c}` double" for c in outs]))
 
 
 def _cusum(x: np.ndarray, mean: float, sd: float, up: float, down: float) -> tuple[list[int], float, float]:
@@ -195,3 +205,33 @@ def best_order(train: DataFrame, keys: list[str], orders: Sequence[int], ridge:
     scored = squared_errors(tail, normal_equations(head, keys, orders, ridge, chunk), keys, orders, chunk)
     best = scored.groupBy(*keys).agg(F.min(F.struct("mse", "p"))["p"].alias("p"))
     return n.join(best, keys, "left").select(*keys, F.coalesce("p", F.lit(usual)).alias("p"))
+
+
+def forecast_errors(df: DataFrame, models: DataFrame, keys: list[str], on: list[str], longest: int, chunk: int = CHUNK) -> DataFrame:
+    """(keys, tick, e, variance): |value - forecast| by a series' model, 0 for the first p ticks, and the population variance of its last
+    `width` ones, 0 for the first `width` ticks. models: (on, p, bias, weights, width), `on` among the keys; p + width is
+    `longest` at most. Series without a model give no rows. Ticks run from 0 without gaps. A block has the ticks
+    before it that it needs; a model goes to a block once, not with each of its rows."""
+    if chunk < longest:
+        raise ValueError("a block is shorter than the order and the width")
+    by = [*keys, "_c"]
+    rows = _overlapping(df.select(*keys, "tick", F.col("value").cast("double").alias("value")), keys, longest, chunk)
+    blocks = df.select(*keys, F.expr(f"tick div {chunk}").alias("_c")).distinct().join(models.select(*on, "p", "bias", "weights", "width"), on)
+    named = [f"_k{i}" for i in range(len(by))]
+    blocks = blocks.select(*[F.col(k).alias(n) for k, n in zip(by, named)], "p", "bias", "weights", "width")
+
+    def errors(key: tuple, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(known):
+            return _frame(keys, key[:-1], 0, tick=[], e=[], variance=[])
+        pdf, m = pdf.sort_values("tick"), known.iloc[0]
+        x, tick, own, p, width = pdf["value"].to_numpy(float), pdf["tick"].to_numpy(), pdf["_own"].to_numpy(bool), int(m["p"]), int(m["width"])
+        e, v = np.zeros(len(x)), np.zeros(len(x))
+        if len(x) > p:
+            e[p:] = np.abs(x[p:] - (m["bias"] + np.lib.stride_tricks.sliding_window_view(x, p)[:-1, ::-1] @ np.asarray(m["weights"], float)))
+        due = np.flatnonzero(own & (tick >= width))
+        for k in range(0, len(due), 4096):
+            at = due[k : k + 4096]
+            v[at] = np.lib.stride_tricks.sliding_window_view(e, width)[at - width + 1].var(axis=1)
+        return _frame(keys, key[:-1], int(own.sum()), tick=tick[own], e=e[own], variance=v[own])
+
+    return rows.groupBy(*by).cogroup(blocks.groupBy(*named)).applyInPandas(errors, _schema(df, keys, "tick long", "e double", "variance double"))
