@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -153,3 +154,11 @@ def test_masks_meet_any_two_substitutions():
 
     for bad in combinations(range(13), 2):
         assert any(not {i + p for p in m} & set(bad) for m in decontaminate.MASKS for i in range(13 - m[-1]))
+
+
+def test_ids_that_are_no_numbers_are_an_error(spark):
+    docs = spark.createDataFrame([("a", "x y"), ("b", "x y")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        substring.substring_dedup(docs)
+    small = docs.select(F.ascii("doc_id").cast("int").alias("doc_id"), "text")
+    assert [r.n_removed for r in substring.substring_dedup(small, span=2).orderBy("row.doc_id").collect()] == [0, 2]

@@ -161,3 +161,10 @@ def test_scores_with_rare_words(spark, monkeypatch):
     assert hmm.score_texts(df.limit(0), empty, counts).count() == 0
     r = hmm.score_texts(df.where("doc_id = 102"), empty, counts).first()
     assert (r.n_tokens, r.n_known, r.base_score) == (3, 0, 0.0)
+
+
+def test_labels_beyond_the_sample_go_by_their_documents(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 3)
+    rows = [(i, f"{lang} words of {lang} number {i}", lang) for i, lang in enumerate("aaaabbbccde")]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.labels == ["a", "b", "c"]

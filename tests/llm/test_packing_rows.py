@@ -1,5 +1,6 @@
 """Operator 10: special tokens in any case, and rows that share an id or have none."""
 
+import json
 import zlib
 
 import numpy as np
@@ -27,3 +28,18 @@ def test_rows_without_id_are_dealt_to_all_partitions(spark):
     # bits 25 to 49 of a sequence's number are its partition, those from 50 on its round
     held = packed.where(F.shiftright("sequence_id", 50) == 0).groupBy(F.shiftright("sequence_id", 25).alias("p")).count().collect()
     assert len(held) == 8 and max(r["count"] for r in held) < 300
+
+
+def test_words_are_encoded_apart_only_where_special_tokens_match_as_they_stand():
+    said = json.loads(tokens.tokenizer(PATH).to_str())
+
+    class Said:
+        def to_str(self):
+            return json.dumps(said)
+
+    assert packing.by_words(Said())
+    for how in ("lstrip", "rstrip", "single_word", "normalized"):
+        said["added_tokens"][0][how] = True
+        assert not packing.by_words(Said())
+        said["added_tokens"][0][how] = False
+    assert packing.by_words(Said())

@@ -117,12 +117,12 @@ def _sampled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS) -> Network | None:
     """Fit on about `per_lang` documents of each language, chosen by a hash of id and text, one at least, and at most
-    WINDOWS windows of each, spread over the text. Every label is learned; where they are so many that the
-    sample would exceed SAMPLE documents, each has fewer. Rows with a null id count like any other, rows that
+    WINDOWS windows of each, spread over the text. Where labels are so many that the
+    sample would exceed SAMPLE documents, each has fewer; of over SAMPLE labels, those of the most documents are learned. Rows with a null id count like any other, rows that
     repeat count once. None if nothing is labelled."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("lang IS NOT NULL AND length(text) > 0").withColumn("pick", F.xxhash64("doc_id", "text"))
-    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("pick").alias("n"), F.min("pick").alias("first")).collect()  # one row a label
+    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("pick").alias("n"), F.min("pick").alias("first")).orderBy(F.desc("n"), "lang").limit(SAMPLE).collect()
     if not kinds:
         return None
     each = min(per_lang, max(1, SAMPLE // len(kinds)))

@@ -45,11 +45,12 @@ PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 def by_words(tok) -> bool:
     """Whether a text's ids are those of `words_of` it: nothing joins over white space, A-Z are lower-cased,
-    runs of letters and of marks are pre-tokens of their own, and special tokens begin with '<|'."""
+    runs of letters and of marks are pre-tokens of their own, and special tokens begin with '<|' and match as they
+    stand: they take no white space beside them and do not ask for whole words."""
     said = json.loads(tok.to_str())
     first = ((said["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
     split = first.get("type") == "Split" and first.get("pattern") == {"Regex": PROVEN["pattern"]} and first.get("behavior") == "Removed" and first.get("invert") is True
-    special = all(t["content"].startswith("<|") and not t["normalized"] for t in said["added_tokens"])
+    special = all(t["content"].startswith("<|") and not any(t[how] for how in ("normalized", "lstrip", "rstrip", "single_word")) for t in said["added_tokens"])
     return split and said["normalizer"] == PROVEN["normalizer"] and special
 
 

@@ -220,8 +220,11 @@ def _matched(span: int):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """(doc_id, th, s, e): word ranges [s, e) that lie in windows which a smaller doc_id has too.
 
-    th is xxhash64 of the text and tells rows with the same id apart. Ranges may overlap.
+    th is xxhash64 of the text and tells rows with the same id apart. Ranges may overlap. Ids that are
+    not whole numbers are an error.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number: it says which document is the earlier one")
     shared_dir(docs.sparkSession)
     small_batches(docs.sparkSession)
     known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
