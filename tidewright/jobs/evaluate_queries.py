@@ -309,6 +309,23 @@ def ar2(spark, sf):
     return forecast.ar_models(event_series(spark, sf).where("tick < 1000"), S).select("series_id", "p")
 
 
+def _said(p: int) -> str:
+    return "bias + " + " + ".join(f"w{i} * x{i}" for i in range(1, p + 1))
+
+
+#: Both orders are fitted on the first four fifths of the first 1000 values and forecast the rest.
+_ORDERS = f"""{EV}, cu AS (SELECT k, count(*) AS n, count(*) * 4 // 5 AS cut FROM ev WHERE t < 1000 GROUP BY k),
+{', '.join(f"m{p} AS (WITH {_RIDGE(p).replace('tr AS (SELECT * FROM ev WHERE t < 1000)', 'tr AS (SELECT ev.* FROM ev JOIN cu USING (k) WHERE t < cut)')} SELECT * FROM am)" for p in (3, 5))},
+tl AS (SELECT k, t - cut AS t, v, {', '.join(f'lag(v, {i}) OVER o AS x{i}' for i in range(1, 6))}, count(*) OVER (PARTITION BY k) AS c FROM ev JOIN cu USING (k) WHERE t >= cut AND t < 1000 WINDOW o AS (PARTITION BY k ORDER BY t)),
+ms AS ({' UNION ALL '.join(f"SELECT k, {p} AS p, sum(CASE WHEN t >= {p} THEN (v - ({_said(p)})) ** 2 ELSE 0 END) / any_value(c) AS mse FROM tl JOIN m{p} USING (k) GROUP BY k" for p in (3, 5))}),
+od AS (SELECT cu.k, n, coalesce(p, 5) AS p FROM cu LEFT JOIN (SELECT k, p FROM ms QUALIFY row_number() OVER (PARTITION BY k ORDER BY mse, p) = 1) AS b ON b.k = cu.k)"""
+
+
+@query("ar2_select_ar_order_3_5", f"WITH {_ORDERS} SELECT k AS series_id, p FROM od WHERE n >= 3 * p + 10")
+def ar2_two(spark, sf):
+    return forecast.ar_models(event_series(spark, sf).where("tick < 1000"), S, orders=(3, 5)).select("series_id", "p")
+
+
 @query("ar3_ar_residuals", f"WITH {_AR3}, al AS (SELECT k, t, v, lag(v, 1) OVER o AS x1, lag(v, 2) OVER o AS x2, lag(v, 3) OVER o AS x3 FROM ev WINDOW o AS (PARTITION BY k ORDER BY t)) SELECT k AS series_id, t AS tick, round(CASE WHEN t < 3 THEN 0 ELSE abs(v - (bias + w1 * x1 + w2 * x2 + w3 * x3)) END, 6) AS e FROM al JOIN am USING (k)")
 def ar3(spark, sf):
     s = event_series(spark, sf)

@@ -144,13 +144,13 @@ def detect_alpha(train: np.ndarray, test: np.ndarray, window: int = 96, z_min: f
     return [(s * 8, min(t * 8 + window - 1, len(test) - 1)) for s, t in found]
 
 
-def ar_models(train: DataFrame, keys: list[str], p: int = 0, chunk: int = recursions.CHUNK) -> DataFrame:
-    """(keys, p, bias, weights) per channel; p 0 selects the order. Channels too short for it give no row. Blocks of a
+def ar_models(train: DataFrame, keys: list[str], p: int = 0, chunk: int = recursions.CHUNK, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    """(keys, p, bias, weights) per channel; p 0 selects the one of `orders`. Channels too short for it give no row. Blocks of a
     channel add up its normal equations, so that no task holds it whole; ticks run from 0 without gaps."""
     if p:
         return recursions.normal_equations(train, keys, [p], RIDGE, chunk).select(*keys, "p", "bias", "weights")
-    chosen = recursions.best_order(train, keys, ORDERS, RIDGE, 5, chunk)
-    return recursions.normal_equations(train, keys, ORDERS, RIDGE, chunk).join(chosen, [*keys, "p"]).select(*keys, "p", "bias", "weights")
+    chosen = recursions.best_order(train, keys, orders, RIDGE, 5, chunk)
+    return recursions.normal_equations(train, keys, orders, RIDGE, chunk).join(chosen, [*keys, "p"]).select(*keys, "p", "bias", "weights")
 
 
 def ar_residuals(df: DataFrame, models: DataFrame, keys: list[str], p: int) -> DataFrame:
