@@ -22,8 +22,9 @@ def of_file(c: str = "series_id") -> F.Column:
 
 def written(lines: DataFrame, key: str, order: list[str], where: str) -> str:
     """Rows (key, order..., value) as text files, one folder a key and the lines of a folder in order in one file."""
-    rows = lines.withColumn("k", F.col(key).cast("string"))
-    rows.repartition("k").sortWithinPartitions("k", *order).select("k", "value").write.partitionBy("k").text(where)
+    # by a hash of the key, of which Spark cannot think that a union's parts are dealt by it already; a key that is never null needs no other sort
+    rows = lines.withColumn("k", F.coalesce(F.col(key).cast("string"), F.lit("")))
+    rows.repartition(F.xxhash64("k")).sortWithinPartitions("k", *order).select("k", "value").write.partitionBy("k").text(where)
     return f"{where}/*/*.txt"
 
 
