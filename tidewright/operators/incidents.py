@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prepare
+
 GAP, LOOKBACK, TOLERANCE = 10, 20, 5
 
 
@@ -53,8 +55,8 @@ def fold_policy_events(events: DataFrame, incidents: DataFrame) -> DataFrame:
 
 def context_in_range(ranges: DataFrame, context: DataFrame, start: str = "start_tick", end: str = "end_tick") -> DataFrame:
     """Context events (asset_id, tick, kind, value) within each range, both ends included."""
-    c = context.select("asset_id", "tick", "kind", "value")
-    return ranges.join(c, (ranges["asset_id"] == c["asset_id"]) & c["tick"].between(ranges[start], ranges[end])).drop(c["asset_id"])
+    met = prepare.within(context.select("asset_id", "tick", "kind", "value"), ranges, ["asset_id"], "tick", start, end)
+    return met.select(*ranges.columns, "tick", "kind", "value")
 
 
 def attach_context(incidents: DataFrame, context: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
