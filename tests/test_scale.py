@@ -3,11 +3,15 @@
 import glob
 import random
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.jobs import source_queries
-from tidewright.operators import incidents, prepare
+from tidewright.jobs import incident_queries, source_queries, window_queries
+from tidewright.operators import calibrate, incidents, prepare
+
+from .test_changepoints import recursion
 
 
 @pytest.fixture
@@ -55,3 +59,45 @@ def test_labels_that_overlap(spark):
     assert {(x.series_id, x.ts): x.code for x in got.collect()} == want
     # one label a cell: what meets a time does not grow with the labels that hold it
     assert "_cell" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ties_of_a_mean_round_alike(spark):
+    values = [0.0403125, 0.040312499999999994, 0.040312500000000015]
+    rows = incident_queries.settled(spark.createDataFrame([(v,) for v in values], "saved double")).collect()
+    assert {r.saved for r in rows} == {0.040313}
+
+
+def test_change_points_in_sql_of_any_depth():
+    """A staircase that comes apart step by step, deeper than seven levels."""
+    rng = np.random.default_rng(3)
+    alphas = (np.repeat(0.5 + 1.7 ** np.arange(14), 4) + rng.normal(size=56) * 0.005).tolist()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given (k VARCHAR, block BIGINT, alpha DOUBLE)")
+    con.executemany("INSERT INTO given VALUES ('s', ?, ?)", list(enumerate(alphas)))
+    got = con.execute(f"WITH RECURSIVE b AS (SELECT * FROM given), {window_queries._SPLITS} SELECT location, seg FROM p").fetchall()
+    every = con.execute(f"WITH RECURSIVE b AS (SELECT * FROM given), {window_queries._SPLITS} SELECT max(length(seg)) FROM sp").fetchall()
+    assert sorted(x for x, _ in got) == [p[0] for p in recursion(alphas, 10)]
+    assert every[0][0] > 7, every
+
+
+def test_other_channels_speak_where_they_are(spark):
+    """Predictions by asset against a loop over ticks, with channels that are not always there."""
+    rng = random.Random(6)
+    rows = [(a, c, t, rng.gauss(3, 2) + t % 7) for a in "xy" for c in "pqr" for t in range(120) if c == "p" or (t + len(a + c)) % 5]
+    rows += [("z", "p", t, float(t)) for t in range(9)]
+    df = spark.createDataFrame(rows, "asset_id string, channel string, tick long, value double")
+    recon = calibrate.fit_reconstructors(df)
+    weights = {}
+    for r in recon.collect():
+        weights.setdefault((r.asset_id, r.channel), []).append(r)
+    value = {(a, c, t): v for a, c, t, v in rows}
+    want = {}
+    for (a, c, t), v in value.items():
+        there = [r.weight * value[a, r.source, t] for r in weights[a, c] if r.source and (a, r.source, t) in value]
+        if there:
+            want[a, c, t] = weights[a, c][0].bias + sum(there)
+    parity = calibrate.parity_z(df, recon)
+    got = {(r.asset_id, r.channel, r.tick): r.predicted for r in parity.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # one read of the rows serves all channels that ask
+    assert parity._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
