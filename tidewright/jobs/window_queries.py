@@ -79,26 +79,24 @@ def win6(spark, sf):
     return round_all(windows.find_changepoint(windows.block_alphas(_mixed(spark, sf), K), K))
 
 
-def _SPLITS(levels: int) -> str:  # noqa: N802
-    """p(k, seg, location, score, a, z): binary splitting of b(k, block, alpha), level by level."""
-    out = "b0 AS MATERIALIZED (SELECT k, block, alpha, '' AS seg FROM b)"
-    for i in range(levels):
-        out += f""",
-w{i} AS (SELECT *, abs(alpha - lag(alpha) OVER o) AS d, row_number() OVER o AS l, count(*) OVER (PARTITION BY k, seg) AS n, sum(alpha) OVER (PARTITION BY k, seg ORDER BY block ROWS UNBOUNDED PRECEDING) AS s, sum(alpha) OVER (PARTITION BY k, seg) AS tot, lead(block) OVER o AS nxt FROM b{i} WINDOW o AS (PARTITION BY k, seg ORDER BY block)),
-g{i} AS (SELECT k, seg, greatest(median(d) / 0.6745 / sqrt(2e0), 0.02) AS sg FROM w{i} GROUP BY k, seg),
-x{i} AS (SELECT *, abs(z - a) / (sg * sqrt(1e0 / l + 1e0 / (n - l))) AS score FROM (SELECT k, seg, nxt * 1024 AS location, s / l AS a, (tot - s) / (n - l) AS z, l, n FROM w{i} WHERE l >= 3 AND n - l >= 3) JOIN g{i} USING (k, seg) WHERE abs(z - a) >= 0.1),
-p{i} AS MATERIALIZED (SELECT k, seg, location, score, a, z FROM x{i} WHERE score > 4 QUALIFY row_number() OVER (PARTITION BY k, seg ORDER BY score DESC, l) = 1),
-b{i + 1} AS MATERIALIZED (SELECT k, block, alpha, seg || CASE WHEN block * 1024 < location THEN '0' ELSE '1' END AS seg FROM b{i} JOIN p{i} USING (k, seg))"""
-    every = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(levels))
-    return f"{out}, p AS (SELECT * FROM ({every}) QUALIFY row_number() OVER (PARTITION BY k ORDER BY seg) <= 10)"
-
-
-@query("win7_find_changepoints", f"WITH {_MIXED}, {_SPLITS(7)} SELECT k AS series_id, location, round(score, 6) AS z, round(a, 6) AS before, round(z, 6) AS after FROM p")
+#: p(k, seg, location, score, a, z): binary splitting of b(k, block, alpha), round by round until nothing splits; needs WITH RECURSIVE. A row
+#: of sp is a block, the segment it has come to, and the cut that led there (of segment cut).
+_SPLITS = """sp AS (SELECT k, block, alpha, '' AS seg, NULL::VARCHAR AS cut, NULL::BIGINT AS location, NULL::DOUBLE AS score, NULL::DOUBLE AS a, NULL::DOUBLE AS z FROM b UNION ALL
+SELECT k, block, alpha, seg || CASE WHEN block * 1024 < best.location THEN '0' ELSE '1' END, seg, best.location, best.score, best.a, best.z FROM (
+SELECT k, block, alpha, seg, first_value({'location': nxt * 1024, 'score': score, 'a': a, 'z': z}) OVER (PARTITION BY k, seg ORDER BY CASE WHEN score > 4 THEN score END DESC NULLS LAST, l) AS best FROM (
+SELECT *, CASE WHEN l >= 3 AND n - l >= 3 AND abs(z - a) >= 0.1 THEN abs(z - a) / (greatest(sg, 0.02) * sqrt(1e0 / l + 1e0 / (n - l))) END AS score FROM (
+SELECT *, median(d) OVER (PARTITION BY k, seg) / 0.6745 / sqrt(2e0) AS sg, s / l AS a, CASE WHEN n > l THEN (tot - s) / (n - l) END AS z FROM (
+SELECT k, block, alpha, seg, abs(alpha - lag(alpha) OVER o) AS d, row_number() OVER o AS l, count(*) OVER (PARTITION BY k, seg) AS n, sum(alpha) OVER (PARTITION BY k, seg ORDER BY block ROWS UNBOUNDED PRECEDING) AS s, sum(alpha) OVER (PARTITION BY k, seg) AS tot, lead(block) OVER o AS nxt
+FROM sp WINDOW o AS (PARTITION BY k, seg ORDER BY block))))) WHERE best.score > 4),
+p AS (SELECT k, cut AS seg, location, score, a, z FROM (SELECT DISTINCT k, cut, location, score, a, z FROM sp WHERE cut IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY k ORDER BY cut) <= 10)"""
+
+
+@query("win7_find_changepoints", f"WITH RECURSIVE {_MIXED}, {_SPLITS} SELECT k AS series_id, location, round(score, 6) AS z, round(a, 6) AS before, round(z, 6) AS after FROM p")
 def win7(spark, sf):
     return round_all(windows.find_changepoints(windows.block_alphas(_mixed(spark, sf), K), K))
 
 
-@query("win8_score_changepoints", f"""WITH {_MIXED}, {_SPLITS(7)}, tr AS (SELECT unnest(range(1, greatest(max(t), 16384) // 16384 + 1)) * 16384 AS middle FROM lo)
+@query("win8_score_changepoints", f"""WITH RECURSIVE {_MIXED}, {_SPLITS}, tr AS (SELECT unnest(range(1, greatest(max(t), 16384) // 16384 + 1)) * 16384 AS middle FROM lo)
 SELECT k AS series_id, location, round(score, 6) AS z, round(a, 6) AS before, round(z, 6) AS after, EXISTS (SELECT 1 FROM tr WHERE location BETWEEN middle - 1024 AND middle + 1024) AS in_truth FROM p""")
 def win8(spark, sf):
     points = windows.find_changepoints(windows.block_alphas(_mixed(spark, sf), K), K)
