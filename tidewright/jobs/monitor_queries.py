@@ -43,9 +43,8 @@ def frames(spark, sf, minutes: int = 60):
 
 
 def parts(r):
-    """(r, prefix, rest) of a recording without gaps."""
-    n = r.groupBy("asset_id").agg(prepare.calibration_length(F.max("tick") + 1).alias("_m"))
-    cut = r.join(n, "asset_id")
+    """(r, prefix, rest) of a recording without gaps, whose channels all have their asset's ticks."""
+    cut = with_baseline(r).withColumnRenamed("baseline", "_m")
     prefix = cut.where("tick < _m").drop("_m")
     rest = cut.where("tick >= _m").withColumn("tick", F.col("tick") - F.col("_m")).drop("_m")
     return r, prefix, rest
@@ -331,7 +330,8 @@ _FLEET_PARTS = FC.split("fst AS")[0].rstrip().rstrip(",")
 
 def with_baseline(r):
     """A recording with the length of its healthy prefix beside each row."""
-    n = F.max("tick").over(Window.partitionBy(*ID)) + 1
+    # the frame that gaps are filled by: no sort of its own
+    n = F.max("tick").over(prepare.by_tick(ID).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + 1
     return r.withColumn("baseline", prepare.calibration_length(n))
 
 
@@ -361,8 +361,7 @@ def leg9(spark, sf):
 @query("leg13_virtual_values", f"WITH {FC}, {PARITY('mf', 'fpm')} SELECT k AS asset_id, c AS channel, t AS tick, round(predicted, 6) AS predicted, round(sd, 6) AS sd, round(r2, 6) AS r2 FROM fpm JOIN frs USING (k, c)")
 def leg13(spark, sf):
     _, p, m = fleet_parts(spark, sf)
-    recon = cal.fit_reconstructors(p)
-    return round_all(legs.virtual_values(cal.parity_z(m, recon), recon))
+    return round_all(legs.virtual_values(m, cal.fit_reconstructors(p)))
 
 
 @query("leg14_dedupe_alarms", f"WITH {ALARMS}, g AS (SELECT *, tick - lag(tick) OVER (PARTITION BY asset_id, channel, leg ORDER BY tick) AS g FROM am) SELECT asset_id, channel, tick, leg FROM g WHERE g IS NULL OR g >= 500")

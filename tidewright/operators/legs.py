@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .calibrate import ID, REPEAT_MARGIN, ROLL, by
+from .calibrate import ID, REPEAT_MARGIN, ROLL, by, said_of
 from .prepare import islands
 
 RES_SPAN, ROLL_PERSIST, MISS_HITS, MISS_SPAN = 20, 10, 4, 32
@@ -137,7 +137,6 @@ def first_alarm_per_leg(alarms: DataFrame) -> DataFrame:
     return alarms.groupBy("leg").agg(F.count("*").alias("alarms")).join(first, "leg", "left").fillna({"firsts": 0})
 
 
-def virtual_values(parity: DataFrame, recon: DataFrame) -> DataFrame:
+def virtual_values(df: DataFrame, recon: DataFrame) -> DataFrame:
     """(asset, channel, tick, predicted, sd, r2): what a quarantined channel would read."""
-    q = recon.select(*ID, "sd", "r2").distinct()
-    return parity.select(*ID, "tick", "predicted").join(q, ID)
+    return said_of(df, recon).select(*ID, "tick", "predicted", "sd", "r2")
