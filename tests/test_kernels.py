@@ -54,3 +54,20 @@ def test_windows_agree_with_single_series():
 def test_any_series_gives_a_number(values):
     a, r = kernels.dfa(np.array(values, float)) if values else (0.5, 0.0)
     assert math.isfinite(a) and r <= 1 + 1e-9
+
+
+def test_windows_share_their_boxes(monkeypatch):
+    """A box is fitted once for all windows that hold it, and windows in which rounding counts are done apart."""
+    base = noise(1500, 5)
+    stuck, spike = base.copy(), base.copy()
+    stuck[500:900], stuck[1200:1260], spike[700] = stuck[500], 7.0, 1e12
+    for x in (base, np.cumsum(base), stuck, spike, np.full(1500, 3.3), 1e8 + 1e-6 * base, np.where(np.arange(1500) == 40, np.nan, base)):
+        for window, step in ((256, 1), (96, 2), (128, 64), (60, 1)):
+            got, want = kernels.rolling_alpha(x, window, step), kernels.dfa(kernels.windows(x, window, step))
+            assert np.allclose(got[0], want[0], atol=1e-9, equal_nan=True) and np.allclose(got[1], want[1], atol=1e-9, equal_nan=True)
+    both = kernels.rolling_alpha(np.stack([base, stuck]), 96, 2)[0]
+    assert np.allclose(both[1], kernels.rolling_alpha(stuck, 96, 2)[0])
+    seen, fit = [], kernels._box_rss
+    monkeypatch.setattr(kernels, "_box_rss", lambda boxes: seen.append(boxes.size) or fit(boxes))
+    kernels.rolling_alpha(base, 256, 1)
+    assert sum(seen) < 0.2 * (1500 - 255) * 12 * 256

@@ -92,3 +92,48 @@ def test_incidents_gap(spark):
     e = spark.createDataFrame([("a", t, k, "c", "l", 1.0, 1.0) for t, k in ((1, "rolled_back"), (5, "alarm"), (14, "alarm"), (20, "rolled_back"), (29, "alarm"), (50, "alarm"))], "asset_id string, tick long, kind string, channel string, leg string, observed double, threshold double")
     got = [(r.start_tick, r.end_tick) for r in incidents.spans(incidents.group_incidents(e)).orderBy("start_tick").collect()]
     assert got == [(5, 29), (50, 50)]
+
+
+def faulty(seed, n=3000):
+    """Channels that stick, shift, drift, drop out, widen and jump at random."""
+    r = np.random.default_rng(seed)
+    c = 2 + seed % 4
+    x = r.normal(size=(c, n))
+    x[1] += x[0]
+    for _ in range(r.integers(2, 9)):
+        a, ch, what = int(r.integers(500, n)), r.integers(c), r.integers(6)
+        b = min(n, a + int(r.integers(10, 900)))
+        x[ch, a:b] = {0: x[ch, a] + np.zeros(b - a), 1: x[ch, a:b] + 2, 2: np.where(r.random(b - a) < 0.3, np.nan, x[ch, a:b]), 3: x[ch, a:b] + np.arange(b - a) * 0.01, 4: x[ch, a:b] * 5, 5: x[ch, a:b] + 30 * (np.arange(b - a) == 0)}[int(what)]
+    if seed % 3 == 0:
+        x[0, 300:305] = np.nan
+    return x
+
+
+def told(found):
+    return [(k, kind, ch, fault, *((a.leg, a.hit_gap, round(a.observed, 7)) if a else ())) for k, events in found for kind, a, ch, fault in events]
+
+
+@pytest.mark.parametrize("config", [mon.Config(), mon.Config(1e4, 0.5, True, 10, 2, 3), mon.Config(1e3)])
+def test_blocks_of_ticks_are_ticks_one_by_one(config):
+    """The guard over a recording, and over batches of it, against one tick after another; and it skips most of them."""
+    seen = 0
+    for seed in range(12):
+        x = faulty(seed)
+        cal = lambda: mon.Calibration.of(guard.filled(x[:, :300]), config)
+        g = mon.Guard(cal(), seed % 2 == 0)
+        want = told([(k, g.push(col.tolist(), np.isfinite(col).tolist())) for k, col in enumerate(x[:, 300:].T)])
+        assert told(mon.Guard(cal(), seed % 2 == 0).run(x[:, 300:])) == want
+        g, got, at = mon.Guard(cal(), seed % 2 == 0), [], 300
+        while at < x.shape[1]:
+            size = int(np.random.default_rng(at).integers(1, 500))
+            got += told([(at - 300 + k, e) for k, e in g.run(x[:, at : at + size])])
+            at += size
+        assert got == want
+        seen += len(want)
+    assert seen > 100
+
+
+def test_quiet_ticks_are_not_walked(monkeypatch):
+    x, walked, push = base(), [], mon.Monitor.push
+    monkeypatch.setattr(mon.Monitor, "push", lambda *a: walked.append(1) or push(*a))
+    assert list(mon.Guard(mon.Calibration.of(x[:, :1500])).run(x[:, 1500:])) == [] and len(walked) < 100
