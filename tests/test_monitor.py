@@ -94,7 +94,7 @@ def test_incidents_gap(spark):
     assert got == [(5, 29), (50, 50)]
 
 
-def faulty(seed, n=3000):
+def faulty(seed, n=1800):
     """Channels that stick, shift, drift, drop out, widen and jump at random."""
     r = np.random.default_rng(seed)
     c = 2 + seed % 4
@@ -117,7 +117,7 @@ def told(found):
 def test_blocks_of_ticks_are_ticks_one_by_one(config):
     """The guard over a recording, and over batches of it, against one tick after another; and it skips most of them."""
     seen = 0
-    for seed in range(12):
+    for seed in range(5):
         x = faulty(seed)
         cal = lambda: mon.Calibration.of(guard.filled(x[:, :300]), config)
         g = mon.Guard(cal(), seed % 2 == 0)
@@ -130,10 +130,39 @@ def test_blocks_of_ticks_are_ticks_one_by_one(config):
             at += size
         assert got == want
         seen += len(want)
-    assert seen > 100
+    assert seen > 20
 
 
 def test_quiet_ticks_are_not_walked(monkeypatch):
     x, walked, push = base(), [], mon.Monitor.push
     monkeypatch.setattr(mon.Monitor, "push", lambda *a: walked.append(1) or push(*a))
     assert list(mon.Guard(mon.Calibration.of(x[:, :1500])).run(x[:, 1500:])) == [] and len(walked) < 100
+
+
+def test_readings_know_their_windows_ahead(monkeypatch):
+    """Channels on their own clocks: alarms as reading by reading, without a fit for each."""
+    x, rng = faulty(3), np.random.default_rng(1)
+    cal = mon.Calibration.of(guard.filled(x[:, :300]))
+    order = np.sort(rng.permutation(x[:, 300:].size)[:2500])
+    ch, v = order % len(x), x[:, 300:].T.reshape(-1)[order]
+    slow, want = mon.Monitor(cal), []
+    for k, (c, value) in enumerate(zip(ch.tolist(), v.tolist())):
+        if alarm := slow.feed(c, value if np.isfinite(value) else None):
+            want.append((k, alarm.leg, alarm.channel, round(alarm.observed, 7)))
+            slow.clear()
+    fits, dfa = [], mon.kernels.dfa
+    monkeypatch.setattr(mon.kernels, "dfa", lambda w: fits.append(1) or dfa(w))
+    got = [(k, a.leg, a.channel, round(a.observed, 7)) for k, a in mon.Monitor(cal).readings(ch, v)]
+    assert got == want and want and len(fits) < 100
+
+
+def test_alarms_of_a_recording():
+    for seed in range(3):
+        x = faulty(seed)
+        cal = mon.Calibration.of(guard.filled(x[:, :300]))
+        m, want = mon.Monitor(cal), []
+        for k, col in enumerate(x[:, 300:].T):
+            if alarm := m.push(col.tolist(), np.isfinite(col).tolist()):
+                want.append((k, alarm.leg, alarm.channel))
+                m.clear()
+        assert [(k, a.leg, a.channel) for k, a in mon.Monitor(cal).alarms(x[:, 300:])] == want
