@@ -166,3 +166,19 @@ def test_alarms_of_a_recording():
                 want.append((k, alarm.leg, alarm.channel))
                 m.clear()
         assert [(k, a.leg, a.channel) for k, a in mon.Monitor(cal).alarms(x[:, 300:])] == want
+
+
+def test_a_case_makes_its_recording_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+    plain = spark.createDataFrame(long(base(300, c=2)))
+
+    def count(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    none = spark.createDataFrame([], "asset_id string")
+    replay.save_case(str(tmp_path / "case"), plain.mapInPandas(count, plain.schema), dict.fromkeys(("events", "evidence", "incidents", "calibration"), none), 192)
+    saved = replay.load_case(spark, str(tmp_path / "case"))
+    assert made.value == 600 and saved["manifest"].first().rows == 600 and saved["channels"].count() == 2
+    assert saved["manifest"].select("hash", "total").first() == replay.content_fingerprint(plain, ["asset_id"]).select("hash", "total").first()
