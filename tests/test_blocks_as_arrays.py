@@ -1,10 +1,15 @@
 """Exponents of blocks as arrays: no row is repeated by box size, and the values are those of the relational form."""
 
+import os
+
 import numpy as np
 import pytest
 
 from tidewright.functions import kernels
-from tidewright.operators import domains, structure
+from tidewright.jobs import catalog, domain_queries
+from tidewright.operators import domains, prepare, structure
+
+SF = "/root/testdata/sf0.001"
 
 
 def series(spark, n):
@@ -36,3 +41,18 @@ def test_short_exponents_together():
         for k, row in enumerate(x):
             want = kernels.dfa_short(row)
             assert np.isnan(alpha[k]) if want is None else (alpha[k], r2[k]) == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_exponents_of_six_columns_are_measured_once(spark):
+    plan = catalog.QUERIES["dom9_group_holdout"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+    rows = {r.id: r["values"] for r in domain_queries.leg_vectors(spark, SF).collect()}
+    placed = prepare.assign_ticks(spark.read.parquet(f"{SF}/lineitem.parquet"), ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
+    blocks = {}
+    for r in sorted(placed.collect(), key=lambda r: (r.l_suppkey, r.tick)):
+        blocks.setdefault(f"{r.l_suppkey}/{r.tick // 128}", []).append([float(r[c]) for c in domain_queries.LEGS])
+    whole = {k: np.array(v) for k, v in blocks.items() if len(v) == 128}
+    assert rows.keys() == whole.keys() and whole
+    for k, x in whole.items():
+        assert rows[k] == pytest.approx([round(float(kernels.dfa(x[:, c])[0]), 6) for c in range(6)], abs=2e-6)
