@@ -57,3 +57,15 @@ def test_rounds_are_the_recursion(spark, most):
 
 def test_no_blocks(spark):
     assert windows.find_changepoints(spark.createDataFrame([], "series_id string, block long, alpha double"), ["series_id"]).count() == 0
+
+
+@pytest.mark.parametrize("most", [10, 3])
+def test_rounds_do_not_follow_the_number_of_cuts(spark, monkeypatch, most):
+    rng = np.random.default_rng(3)
+    alphas = (np.tile([0.5] * 4 + [1.2] * 4, 12) + rng.normal(size=96) * 0.02).tolist()
+    rounds, one = [], windows.find_changepoint
+    monkeypatch.setattr(windows, "find_changepoint", lambda *a: rounds.append(1) or one(*a))
+    got = windows.find_changepoints(spark.createDataFrame([("s", i, a) for i, a in enumerate(alphas)], "series_id string, block long, alpha double"), ["series_id"], max_points=most)
+    want = recursion(alphas, most)
+    assert len(want) == most and sorted(r.location for r in got.collect()) == [p[0] for p in want]
+    assert len(rounds) <= most + 1

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -113,21 +111,25 @@ def find_changepoints(blocks: DataFrame, keys: list[str], min_segment: int = 3 *
     """(keys, location, z, before, after): binary splitting, left part first, until nothing splits or `max_points` are found.
 
     All open segments of all series are split at once, round by round; a segment is named by its way down (0 left, 1 right), whose
-    order is that of a search that goes left first, so the cap takes the same points as if it had stopped there. A round
-    is windows over the block table by series and segment; a series that splits no more is not read again."""
+    order is that of a search that goes left first. A segment that comes after `max_points` cuts of its series is not read
+    again: its cuts would come after them too. A cut has one cut before it a level above it, so there are `max_points` rounds at
+    most, however many cuts a series would have without the cap. A round is windows over what is left of the block table by
+    series and segment; a series that splits no more is not read again."""
     by = [*keys, "_seg"]
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("_seg"))
     open_ = stored(blocks.select(*keys, "block", "alpha", F.lit("").alias("_seg")))
-    found = []
+    found = None
     while True:
         cut = stored(find_changepoint(open_, by, min_segment, block))
         if not cut.limit(1).count():
             break
-        found.append(cut)
+        every = cut if found is None else found.unionByName(cut)
+        found = stored(every.withColumn("_r", order).where(F.col("_r") <= max_points).drop("_r"))
+        full = found.groupBy(*keys).agg(F.max("_seg").alias("_last"), F.count("*").alias("_found")).where(F.col("_found") == max_points).drop("_found")
         side = F.concat("_seg", F.when(F.col("block") * block < F.col("location"), "0").otherwise("1"))
-        open_ = stored(open_.join(cut.select(*by, "location"), by).select(*keys, "block", "alpha", side.alias("_seg")))
-    points = reduce(DataFrame.unionByName, found) if found else cut
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy("_seg"))
-    return points.withColumn("_r", order).where(F.col("_r") <= max_points).select(*keys, "location", "z", "before", "after")
+        parts = open_.join(cut.select(*by, "location"), by).select(*keys, "block", "alpha", side.alias("_seg")).join(full, keys, "left")
+        open_ = stored(parts.where("_last IS NULL OR _seg < _last").drop("_last"))
+    return (cut if found is None else found).select(*keys, "location", "z", "before", "after")
 
 
 def score_changepoints(points: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
