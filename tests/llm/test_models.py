@@ -168,3 +168,25 @@ def test_labels_beyond_the_sample_go_by_their_documents(spark, monkeypatch):
     rows = [(i, f"{lang} words of {lang} number {i}", lang) for i, lang in enumerate("aaaabbbccde")]
     net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert net.labels == ["a", "b", "c"]
+
+
+def test_whole_texts_are_learned_until_the_likelihood_settles(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = [" ".join(w + str(rng.randrange(20)) for _ in range(rng.randint(1, 40)) for w in "abc") for _ in range(80)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*docs, "", None])], "doc_id long, text string")
+    found = []
+    for length in (128, 2):
+        monkeypatch.setattr(hmm, "SEGMENT", length)
+        m, _ = hmm.train(df)
+        found.append((m.start, m.move, m.emit))
+    for a, b in zip(*found):  # transitions over cuts count, wherever they fall
+        assert b == pytest.approx(a, rel=1e-6, abs=1e-12)
+    place = {w: i for i, w in enumerate(m.known.to_pylist())}
+    seqs = [np.array([*(m.cls[place[w.encode()]] for w in t.split()), hmm.END]) for t in [*docs, "", ""]]
+    whole = [m.expected([s], [True]) for s in seqs]
+    got = m.expected_whole(np.concatenate(seqs), np.array([len(s) for s in seqs]))
+    for k in range(3):
+        assert got[k] == pytest.approx(sum(w[k] for w in whole), rel=1e-9, abs=1e-12)
+    assert got[3] == pytest.approx(sum(forward(m, s) for s in seqs), rel=1e-12)
+    m.update(*got[:3])
+    assert m.likelihoods(seqs).sum() - got[3] < hmm.SETTLED * m.tokens
