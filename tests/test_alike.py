@@ -31,3 +31,17 @@ def test_pairs_of_one_cell_are_dealt_out(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert max(r["count"] for r in tasks) < len(want) / 4
+
+
+def test_fingerprints_are_measured_once_for_both_sides(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def measured(v):
+        seen.add(1)
+        return v
+
+    rows = [(i, 0.5 + i / 1000, 0.3, 3.0, 0.5) for i in range(40)]
+    fps = spark.createDataFrame(rows, "series_id long, alpha double, width double, kurtosis double, hurst double").withColumn("alpha", measured("alpha"))
+    assert structure.similar_fingerprints(fps, "series_id", 0.2).count() == 40 * 39 // 2
+    assert seen.value == 40
