@@ -71,3 +71,16 @@ def test_windows_share_their_boxes(monkeypatch):
     monkeypatch.setattr(kernels, "_box_rss", lambda boxes: seen.append(boxes.size) or fit(boxes))
     kernels.rolling_alpha(base, 256, 1)
     assert sum(seen) < 0.2 * (1500 - 255) * 12 * 256
+
+
+def test_windows_over_runs_of_equal_values_share_their_boxes(monkeypatch):
+    """Boxes within a run are lines, in every window; only windows that are lines throughout are done apart, equal ones once."""
+    rng = np.random.default_rng(4)
+    apart, whole = [], kernels.dfa
+    monkeypatch.setattr(kernels, "dfa", lambda x: apart.append(len(x)) or whole(x))
+    for run in (3, 16, 60, 64, 255, 360, 900):
+        x = np.repeat(rng.normal(size=1800 // run + 1) * 40, run)[:1800]
+        for window, step in ((256, 1), (96, 2)):
+            got, want = kernels.rolling_alpha(x, window, step), whole(kernels.windows(x, window, step))
+            assert np.allclose(got[0], want[0], atol=1e-8) and np.allclose(got[1], want[1], atol=1e-8)
+    assert sum(apart) < 300
